@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelspark.llm import exact_dedup
+from panelspark.llm import exact_dedup, language_id, mixing, pii
 from panelspark.llm.common import table
 
 
@@ -10,7 +10,19 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_exact_dedup,)}
+def op3_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark, sf_dir):
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op5_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_pii, op5_mixing, op8_exact_dedup)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
@@ -18,4 +30,22 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM t""",
+    "op5_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(CAST(doc_id AS VARCHAR)) AS place FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+        o AS (SELECT *, row_number() OVER (ORDER BY source_size / w, source NULLS LAST) AS k FROM s),
+        l AS (SELECT *, (SELECT sum(source_size) FROM s) - coalesce(3 * sum(source_size) OVER b, 0) AS open_size,
+                     (SELECT sum(w) FROM s) - coalesce(sum(w) OVER b, 0) AS open_w
+              FROM o WINDOW b AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT min_by(open_size, k) AS open_size, min_by(open_w, k) AS open_w, min(k) AS k FROM l WHERE 3 * source_size * open_w > open_size * w),
+        t AS (SELECT o.source, o.source_size,
+                     CASE WHEN o.k < f.k OR f.k IS NULL THEN CAST(3 * o.source_size AS DOUBLE) ELSE CAST(f.open_size * o.w AS DOUBLE) / CAST(f.open_w AS DOUBLE) END AS target,
+                     CAST(CASE WHEN o.k < f.k OR f.k IS NULL THEN 3 * o.source_size ELSE (f.open_size * o.w) // f.open_w END AS BIGINT) AS whole
+              FROM o, f),
+        p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.whole,
+                     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_word
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+               CAST(CASE WHEN source_size = 0 THEN 0 ELSE (whole // greatest(source_size, 1)) * size + greatest(0, least(first_word + size, whole % greatest(source_size, 1)) - first_word) END AS BIGINT) AS taken
+        FROM p""",
 }
