@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.llm import exact_dedup, language_id, mixing, pii
+from pyspark.sql import functions as F
+
+from panelspark.llm import exact_dedup, language_id, mixing, pii, simhash
 from panelspark.llm.common import table
 
 
@@ -22,7 +24,11 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_pii, op5_mixing, op8_exact_dedup)}
+def op6_simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_pii, op5_mixing, op6_simhash, op8_exact_dedup)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
