@@ -61,8 +61,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", chars: int = SLICE_CHARS
         start = end
 
 
-def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Apply function to slices of df (which has a column text); it returns the output columns as a dict."""
+def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
+    """Apply function to slices of df, cut by the bytes of a column; it returns the output columns as a dict."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
@@ -70,7 +70,7 @@ def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema:
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, column):
                 got = function(piece)
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 

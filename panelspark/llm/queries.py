@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.llm import exact_dedup, language_id, mixing, pii, simhash
+from panelspark.llm import bpe, exact_dedup, language_id, mixing, pii, records, simhash
 from panelspark.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark, sf_dir):
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents")))
+
+
 def op3_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,11 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_pii, op5_mixing, op6_simhash, op8_exact_dedup)}
+def op10_token_records(spark, sf_dir):
+    return records.read(records.write(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_pii, op5_mixing, op6_simhash, op8_exact_dedup, op10_token_records)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
