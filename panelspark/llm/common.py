@@ -77,52 +77,39 @@ def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema:
     return df.mapInArrow(run, schema)
 
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int | None = None) -> Iterator[dict]:
-    """From batches sorted by integer keys, blocks of whole runs as numpy columns; a run never spans two blocks.
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int | None = None) -> Iterator[tuple[dict, bool]]:
+    """From batches sorted by integer keys, (block of numpy columns, True) of whole runs: a run never spans two blocks.
 
-    A run longer than `limit` rows is given once as {"oversize": key values} and its rows are passed over; so memory
-    is bounded by a batch plus one run.
+    A run longer than `limit` rows comes in several blocks of its own, with False; so memory is bounded by a batch and
+    the limit.
     """
-    held: list[dict] = []
-    held_rows = 0
-    skipping: tuple | None = None
-
-    def joined(parts):
-        return parts[0] if len(parts) == 1 else {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    held: dict | None = None
+    long: tuple | None = None
 
     for batch in batches:
-        cols = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
-        n = batch.num_rows
-        if not n:
+        if not batch.num_rows:
             continue
-        if skipping is not None:
-            same = np.ones(n, bool)
-            for k, v in zip(keys, skipping, strict=True):
-                same &= cols[k] == v
-            first = n if same.all() else int(np.argmin(same))
-            if first == n:
+        cols = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+        if long is not None:
+            same = np.logical_and.reduce([cols[k] == v for k, v in zip(keys, long, strict=True)])
+            first = len(same) if same.all() else int(np.argmin(same))
+            if first:
+                yield {k: v[:first] for k, v in cols.items()}, False
+            if first == len(same):
                 continue
-            skipping = None
+            long = None
             cols = {k: v[first:] for k, v in cols.items()}
-            n -= first
-        held.append(cols)
-        held_rows += n
-        block = joined(held)
-        last = tuple(block[k][-1] for k in keys)
-        change = np.zeros(held_rows, bool)
-        for k in keys:
-            change[1:] |= block[k][1:] != block[k][:-1]
-        starts = np.flatnonzero(change)
-        cut = int(starts[-1]) if len(starts) else 0
+        block = cols if held is None else {k: np.concatenate([held[k], cols[k]]) for k in cols}
+        cut = int(run_bounds(block, keys)[0][-1])
         if cut:
-            yield {k: v[:cut] for k, v in block.items()}
-        held = [{k: v[cut:] for k, v in block.items()}]
-        held_rows -= cut
-        if limit is not None and held_rows > limit:
-            yield {"oversize": last}
-            held, held_rows, skipping = [], 0, last
-    if held_rows:
-        yield joined(held)
+            yield {k: v[:cut] for k, v in block.items()}, True
+        held = {k: v[cut:] for k, v in block.items()}
+        if limit is not None and len(held[keys[0]]) > limit:
+            long = tuple(held[k][-1] for k in keys)
+            yield held, False
+            held = None
+    if held is not None:
+        yield held, True
 
 
 def run_bounds(block: dict, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:

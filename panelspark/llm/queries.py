@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, exact_dedup, language_id, mixing, pii, records, simhash
+from panelspark.llm import bpe, exact_dedup, language_id, mixing, pii, records, simhash, substring_dedup
 from panelspark.llm.common import table
 
 
@@ -32,11 +32,15 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_token_records(spark, sf_dir):
     return records.read(records.write(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_pii, op5_mixing, op6_simhash, op8_exact_dedup, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_pii, op5_mixing, op6_simhash, op7_substring_dedup, op8_exact_dedup, op10_token_records)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""

@@ -90,13 +90,13 @@ def _joined_up(fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray
 
 
 def _bucket_links(rows: DataFrame, keys: list[str], radius: int, limit: int | None) -> DataFrame:
-    """Links within each group of equal keys, as (a, b); for a group over the limit one row with its keys instead."""
+    """Links within each group of equal keys, as (a, b); for a group over the limit rows with its keys instead."""
     names = ["a", "b", *[f"over_{k}" for k in keys]]
 
     def run(batches):
-        for block in sorted_runs(batches, keys, limit):
-            if "oversize" in block:
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2 + [pa.array([int(x)], pa.int64()) for x in block["oversize"]], names)
+        for block, whole in sorted_runs(batches, keys, limit):
+            if not whole:
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2 + [pa.array(block[k][:1], pa.int64()) for k in keys], names)
                 continue
             out_a, out_b = [], []
             for s, e in zip(*run_bounds(block, keys), strict=True):
@@ -119,7 +119,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     tables = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])
     rows = distinct.select("fp", "rep", F.posexplode(tables).alias("slot", "bucket")).select(F.col("slot").cast("long").alias("slot"), "bucket", "fp", "rep")
     found = written(_bucket_links(rows, ["slot", "bucket"], radius, 2 * block), "bucket-links")
-    over = found.filter("a is null").select(F.col("over_slot").alias("slot"), F.col("over_bucket").alias("bucket"))
+    over = found.filter("a is null").select(F.col("over_slot").alias("slot"), F.col("over_bucket").alias("bucket")).distinct()
     large = rows.join(over, ["slot", "bucket"], "left_semi")
     parts = large.groupBy("slot", "bucket").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
     dealt = large.join(parts, ["slot", "bucket"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
