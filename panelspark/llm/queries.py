@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, exact_dedup, language_id, mixing, pii, records, simhash, substring_dedup
+from panelspark.llm import bpe, embedding_dedup, exact_dedup, language_id, mixing, pii, records, simhash, substring_dedup, toxicity
 from panelspark.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op1_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark, sf_dir):
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents")))
 
@@ -36,11 +40,15 @@ def op7_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_records(spark, sf_dir):
     return records.read(records.write(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_pii, op5_mixing, op6_simhash, op7_substring_dedup, op8_exact_dedup, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_language_id, op4_pii, op5_mixing, op6_simhash, op7_substring_dedup, op8_exact_dedup, op9_toxicity, op10_token_records)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
