@@ -1,15 +1,65 @@
-"""The corpus pipeline: five stages, each a whole-table operator, written and read again in between."""
+"""The corpus pipeline: language ID, exact dedup, SimHash near-dedup, mixing to target weights, BPE encoding.
+
+Each stage takes all that its predecessor kept, whole; its result is written as Parquet to the shared folder and read
+again as the next stage's documents. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelspark.llm import bpe, exact_dedup, language_id, mixing, simhash
+from panelspark.llm.common import table, written
+
+#: A text is rejected when no language is found, or the best one's probability is below this and its lead is small.
+LEAST_SCORE = 0.4
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs less the rows with a dropped doc_id; rows without doc_id stay."""
+    return docs.join(dropped.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; those without letters, or like no learned language, go."""
+    return language_id.recognised(docs, language_id.train(docs), LEAST_SCORE)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of equal texts stays."""
+    return without(docs, written(exact_dedup.exact_groups(docs).filter("not kept").select("doc_id"), "copies"))
 
 
-def run(spark, sf_dir):
-    """documents through every stage."""
-    from panelspark.llm.common import table, written
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of linked fingerprints stays."""
+    return without(docs, written(simhash.near_groups(docs).filter("doc_id <> component_id").select("doc_id"), "near-copies"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, to the nearest whole number; often not at all."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per row of the mix: doc_id, n_tokens, and the digests of its ids and of the text they decode to."""
+    return bpe.digest(bpe.encode(docs))
+
+
+STAGES = [
+    ("language id", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("simhash near-dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: SQL can express neither the classifier nor the hashes; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))

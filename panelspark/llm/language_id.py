@@ -13,10 +13,11 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import crc_bucket, map_texts
+from panelspark.llm.common import crc_bucket, map_texts, slices
 
 #: Character n-grams of 1 to 3 letters fall into so many buckets.
 BUCKETS = 4096
@@ -152,6 +153,28 @@ def predict(docs: DataFrame, model: Model | None, threshold: float = AMBIGUOUS)
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def recognised(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, that are not `und` nor ambiguous with a score under `least`."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = docs.schema
+    if "text" not in docs.columns:
+        raise ValueError("docs has no column text")
+
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch):
+                keep = [t is not None and LETTER.search(t) is not None for t in piece.column(piece.schema.get_field_index("text")).to_pylist()]
+                piece = piece.filter(pa.array(keep))
+                if model is not None and piece.num_rows:
+                    text = piece.column(piece.schema.get_field_index("text")).to_pylist()
+                    _, p, lead = model.decode(np.stack([features(t, model.buckets) for t in text]))
+                    piece = piece.filter(pa.array((p >= least) | (lead >= AMBIGUOUS)))
+                yield pa.RecordBatch.from_arrays(piece.columns, schema=to_arrow_schema(schema))
+
+    return docs.mapInArrow(run, schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Train on docs' own labels outside fold 0 and predict every row: doc_id, held_out, lang_pred, score, ambiguous."""
     found = predict(docs, train(docs))

@@ -141,6 +141,5 @@ def mix(docs: DataFrame, weights=cyclic_weights, block_words: int = BLOCK_WORDS,
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, each as often as the nearest whole number of times its words are taken (half: up)."""
-    copies = mix(docs, **how).filter("2 * taken >= size and size > 0").groupBy("doc_id").agg(F.max(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).cast("int").alias("copies"))
-    columns = docs.columns
-    return docs.join(copies.hint("shuffle_hash"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    times = mix(docs, **how).filter("2 * taken >= size and size > 0").groupBy("doc_id").agg(F.max(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).cast("int").alias("_mix_times"))
+    return docs.join(times.hint("shuffle_hash"), "doc_id").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
