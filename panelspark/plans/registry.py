@@ -1,10 +1,631 @@
-"""Registered queries over the market-shaped views, each with its DuckDB equivalent."""
+"""Registered queries over the market-shaped views, each with its DuckDB equivalent where SQL can express it.
+
+Dates and times are returned as text and doubles rounded to six places, so that both engines' results compare.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from panelspark.functions.windows import rolling, series
+from panelspark.operators import adjust, ledger, metrics, panel, portfolio, qc, rolling as roll, signals, trades, validation
+from panelspark.sources.views import damped, daily_bars, ticks
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Dates and times as text, doubles to six places, whole numbers as long."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind == "date":
+            c = c.cast("string")
+        elif kind.startswith("timestamp"):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        elif kind in ("double", "float"):
+            c = F.round(c, 6) + F.lit(0.0)
+        elif kind in ("int", "smallint", "tinyint"):
+            c = c.cast("long")
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+def r6(x: str, name: str) -> str:
+    return f"round({x}, 6) + 0.0 AS {name}"
+
+
+BARS = """bars AS (SELECT concat(l_returnflag, l_linestatus) AS symbol, CAST(l_shipdate AS date) AS date,
+    CAST(sum(CAST(l_extendedprice AS decimal(15,2))) AS double) / count(*) AS close, max(l_extendedprice) AS high, min(l_extendedprice) AS low,
+    CAST(sum(CAST(l_quantity AS bigint)) AS bigint) AS volume FROM lineitem GROUP BY 1, 2)"""
+PANEL = BARS + """, px AS (SELECT symbol, date, 5000 + close / 100 AS close, 5000 + high / 100 AS high, 5000 + low / 100 AS low FROM bars),
+cm AS (SELECT * FROM px WHERE date IN (SELECT date FROM px GROUP BY date HAVING count(*) = (SELECT count(DISTINCT symbol) FROM px))),
+r AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i FROM cm)"""
+TICKS = """hour AS (SELECT event_type AS symbol, time_bucket(INTERVAL 60 MINUTES, ts) AS ts, arg_max(value, {'a': ts, 'b': event_id}) AS close,
+    max(value) AS high, min(value) AS low, count(*) AS n FROM events GROUP BY 1, 2)"""
+
+
+def base(spark, sf_dir) -> DataFrame:
+    """The damped panel on its common dates, with returns: symbol, date, close, high, low, volume, ret."""
+    return panel.with_returns(panel.common_history(damped(daily_bars(spark, sf_dir))))
+
+
+def hourly(spark, sf_dir) -> DataFrame:
+    return panel.resample(ticks(spark, sf_dir), "60 minutes", tie="event_id")
+
+
+# --- ingest and quality ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {BARS} SELECT symbol, CAST(date AS varchar) AS date, {r6('close', 'close')}, {r6('high', 'high')}, {r6('low', 'low')}, volume FROM bars")
+def daily_bars_view(spark, sf_dir):
+    return tidy(daily_bars(spark, sf_dir))
+
+
+@query(f"WITH {TICKS} SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {r6('close', 'close')}, {r6('high', 'high')}, {r6('low', 'low')}, n FROM hour")
+def resample_hourly(spark, sf_dir):
+    return tidy(hourly(spark, sf_dir))
+
+
+@query(f"WITH {PANEL} SELECT symbol, CAST(date AS varchar) AS date, {r6('close', 'close')}, {r6('ret', 'ret')} FROM r")
+def panel_common_history(spark, sf_dir):
+    return tidy(base(spark, sf_dir).select("symbol", "date", "close", "ret"))
+
+
+@query(f"""WITH {BARS}, u AS (SELECT d.date, s.symbol, b.close FROM (SELECT DISTINCT date FROM bars) d CROSS JOIN (SELECT DISTINCT symbol FROM bars) s
+    LEFT JOIN bars b ON b.date = d.date AND b.symbol = s.symbol),
+    f AS (SELECT symbol, date, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM u)
+    SELECT symbol, CAST(date AS varchar) AS date, {r6('close', 'close')} FROM f
+    WHERE date IN (SELECT date FROM f WHERE close IS NOT NULL GROUP BY date HAVING count(*) = (SELECT count(DISTINCT symbol) FROM f))""")
+def panel_forward_filled(spark, sf_dir):
+    return tidy(panel.forward_filled(daily_bars(spark, sf_dir)))
+
+
+@query(f"""WITH {BARS}, x AS (SELECT *, close / lag(close) OVER w - 1 AS ret, CASE WHEN close - lag(close) OVER w = 0 THEN 1 ELSE 0 END AS flat FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+    y AS (SELECT *, sum(flat) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS run FROM x),
+    g AS (SELECT symbol, count(*) AS n_rows, min(date) AS first, max(date) AS last, count(date) - count(DISTINCT date) AS dup, count(*) FILTER (WHERE close IS NULL) AS missing,
+        count(*) FILTER (WHERE close <= 0) AS nonpos, min(least(close, high, low)) < 0 AS negative, CAST(max(run) AS bigint) AS stale, count(*) FILTER (WHERE abs(ret) > 0.5) AS extreme,
+        count(DISTINCT CASE WHEN dayofweek(date) BETWEEN 1 AND 5 THEN date END) AS present FROM y GROUP BY symbol),
+    h AS (SELECT *, (SELECT count(*) FROM generate_series(CAST(g.first AS timestamp), CAST(g.last AS timestamp), INTERVAL 1 DAY) t(d) WHERE dayofweek(d) BETWEEN 1 AND 5) AS days FROM g),
+    k AS (SELECT *, days - present AS missing_days FROM h),
+    l AS (SELECT *, concat_ws('; ', CASE WHEN dup > 0 THEN concat(dup, ' duplicate timestamps') END, CASE WHEN missing > 0 THEN concat(missing, ' missing closes') END,
+        CASE WHEN nonpos > 0 THEN concat(nonpos, ' non-positive closes') END, CASE WHEN negative THEN 'negative prices' END,
+        CASE WHEN 100 * missing_days > 10 * greatest(days, 1) THEN concat(missing_days, ' missing business days') END, CASE WHEN stale >= 5 THEN 'stale run' END,
+        CASE WHEN extreme > 0 THEN concat(extreme, ' extreme moves') END) AS issues FROM k)
+    SELECT symbol, n_rows, CAST(first AS varchar) AS first, CAST(last AS varchar) AS last, dup, missing, nonpos, negative, missing_days, stale, extreme, issues,
+        CASE WHEN dup > 0 OR missing > 0 OR nonpos > 0 OR negative THEN 'FAIL' WHEN issues <> '' THEN 'WARN' ELSE 'OK' END AS status FROM l""")
+def qc_report(spark, sf_dir):
+    return tidy(qc.qc_report(daily_bars(spark, sf_dir)))
+
+
+DAYS = f"""{BARS}, span AS (SELECT symbol, min(date) AS a, max(date) AS b FROM bars GROUP BY symbol),
+    days AS (SELECT symbol, CAST(unnest(generate_series(CAST(a AS timestamp), CAST(b AS timestamp), INTERVAL 1 DAY)) AS date) AS date FROM span),
+    wk AS (SELECT * FROM days WHERE dayofweek(date) BETWEEN 1 AND 5)"""
+
+
+@query(f"WITH {DAYS} SELECT symbol, CAST(date AS varchar) AS date FROM wk ANTI JOIN bars USING (symbol, date)")
+def calendar_gaps(spark, sf_dir):
+    return tidy(qc.calendar_gaps(daily_bars(spark, sf_dir)))
+
+
+@query(f"""WITH {DAYS}, m AS (SELECT wk.symbol, wk.date, CASE WHEN b.date IS NULL THEN 0 ELSE 1 END AS here FROM wk LEFT JOIN bars b ON b.symbol = wk.symbol AND b.date = wk.date),
+    i AS (SELECT *, sum(here) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
+    SELECT symbol, CAST(min(date) AS varchar) AS first, CAST(max(date) AS varchar) AS last, count(*) AS days FROM i WHERE here = 0 GROUP BY symbol, island HAVING count(*) > 1""")
+def missing_runs(spark, sf_dir):
+    return tidy(qc.missing_runs(daily_bars(spark, sf_dir), longest=1))
+
+
+ACTIONS = [("AF", "1996-03-04", 10.0, 10.0), ("AF", "1998-07-01", 2.0, 2.0), ("NO", "1997-01-15", 5.0, 5.0), ("RF", "1999-05-20", 4.0, 4.0)]
+ACTIONS_SQL = "acts(symbol, ex_date, price_div, vol_mult) AS (VALUES " + ", ".join(f"('{s}', DATE '{d}', {p}, {v})" for s, d, p, v in ACTIONS) + ")"
+ADJUSTED = f"""{BARS}, {ACTIONS_SQL}, adj AS (SELECT b.symbol, b.date, b.close / coalesce(product(a.price_div), 1) AS close, b.high / coalesce(product(a.price_div), 1) AS high,
+    b.low / coalesce(product(a.price_div), 1) AS low, b.volume * coalesce(product(a.vol_mult), 1) AS volume
+    FROM bars b LEFT JOIN acts a ON a.symbol = b.symbol AND b.date < a.ex_date GROUP BY b.symbol, b.date, b.close, b.high, b.low, b.volume)"""
+
+
+def _actions(spark):
+    return spark.createDataFrame(ACTIONS, "symbol string, ex_date string, price_div double, vol_mult double").withColumn("ex_date", F.to_date("ex_date"))
+
+
+@query(f"WITH {ADJUSTED} SELECT symbol, CAST(date AS varchar) AS date, {r6('close', 'close')}, {r6('high', 'high')}, {r6('low', 'low')}, {r6('volume', 'volume')} FROM adj")
+def corporate_action_adjust(spark, sf_dir):
+    return tidy(adjust.adjusted(daily_bars(spark, sf_dir), _actions(spark)))
+
+
+@query(f"""WITH {ADJUSTED}, j AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM adj WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31')
+    SELECT symbol, CAST(date AS varchar) AS date, {r6('ret', 'ret')} FROM j WHERE abs(ret) > 0.5""")
+def residual_jumps(spark, sf_dir):
+    return tidy(adjust.residual_jumps(daily_bars(spark, sf_dir), _actions(spark), "1996-01-01", "1999-12-31"))
+
+
+# --- signals -----------------------------------------------------------------------------------------------------
+
+_W = "PARTITION BY symbol ORDER BY date"
+MOMENTUM_SQL = "(" + " + ".join(f"sign(close / lag(close, {k}) OVER ({_W}) - 1)" for k in signals.MOMENTUM) + f") / {len(signals.MOMENTUM)}"
+
+
+def _range(k):
+    w = f"OVER ({_W} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count(close) {w} = {k} THEN 2 * (close - min(close) {w}) / (max(close) {w} - min(close) {w}) - 1 END"
+
+
+BREAKOUT_SQL = "(" + " + ".join(_range(k) for k in signals.BREAKOUT) + f") / {len(signals.BREAKOUT)}"
+
+
+@query(f"WITH {PANEL} SELECT symbol, CAST(date AS varchar) AS date, {r6(MOMENTUM_SQL, 'signal')} FROM r")
+def momentum_signal(spark, sf_dir):
+    return tidy(base(spark, sf_dir).select("symbol", "date", roll.momentum("close", series("symbol"), signals.MOMENTUM).alias("signal")))
+
+
+@query(f"WITH {PANEL} SELECT symbol, CAST(date AS varchar) AS date, {r6(BREAKOUT_SQL, 'signal')} FROM r")
+def breakout_signal(spark, sf_dir):
+    return tidy(base(spark, sf_dir).select("symbol", "date", roll.breakout("close", series("symbol"), signals.BREAKOUT).alias("signal")))
+
+
+def _legs(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    pairs = bars.select(F.col("symbol").alias("sym_a")).distinct().crossJoin(bars.select(F.col("symbol").alias("sym_b")).distinct()).filter("sym_a < sym_b")
+    return panel.all_pairs(bars, pairs)
+
+
+PAIRS = TICKS + """, legs AS (SELECT concat(a.symbol, '/', b.symbol) AS pair, a.symbol AS sym_a, b.symbol AS sym_b, a.ts, a.close AS a, b.close AS b, a.high, a.low, ln(a.close) AS la, ln(b.close) AS lb
+    FROM hour a JOIN hour b ON a.ts = b.ts AND a.symbol < b.symbol),
+bt AS (SELECT *, CASE WHEN count(*) OVER w = 60 THEN covar_pop(la, lb) OVER w / var_pop(lb) OVER w END AS beta FROM legs WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+rs AS (SELECT *, la - beta * lb AS resid FROM bt),
+z AS (SELECT *, CASE WHEN count(resid) OVER w = 60 THEN (resid - avg(resid) OVER w) / stddev_samp(resid) OVER w END AS z, row_number() OVER (PARTITION BY pair ORDER BY ts) - 1 AS i
+    FROM rs WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"WITH {PAIRS} SELECT pair, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {r6('beta', 'beta')}, {r6('resid', 'resid')}, {r6('z', 'z')} FROM z")
+def rolling_beta_zscore(spark, sf_dir):
+    return tidy(roll.spread_zscore(_legs(spark, sf_dir)).select("pair", "ts", "beta", "resid", "z"))
+
+
+@query(f"""WITH {PANEL} SELECT a.symbol AS i, b.symbol AS j, count(*) AS n, {r6('corr(a.ret, b.ret)', 'corr')} FROM r a JOIN r b ON a.date = b.date AND a.symbol <= b.symbol
+    WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2""")
+def return_correlation(spark, sf_dir):
+    return tidy(metrics.return_correlation(base(spark, sf_dir)))
+
+
+def _ewm_sql(source: str, column: str, span: int, name: str, kind: str) -> str:
+    """A CTE with symbol, i and the weighted mean or deviation: a self-join with weights q^(t - i)."""
+    w = f"pow({1 - 2 / (span + 1)!r}, t.i - s.i)"
+    x = f"s.{column}"
+    mean = f"sum({w} * {x}) / sum({w})"
+    if kind == "mean":
+        value = mean
+    else:
+        value = f"CASE WHEN count(*) > 1 THEN sqrt(greatest(sum({w} * {x} * {x}) / sum({w}) - pow({mean}, 2), 0) * pow(sum({w}), 2) / (pow(sum({w}), 2) - sum({w} * {w}))) END"
+    return f"{name} AS (SELECT t.symbol, t.i, {value} AS v FROM {source} t JOIN {source} s ON s.symbol = t.symbol AND s.i <= t.i AND s.i > t.i - {40 * span} WHERE {x} IS NOT NULL GROUP BY 1, 2)"
+
+
+@query(f"WITH {PANEL}, {_ewm_sql('r', 'ret', 30, 'v', 'sd')} SELECT r.symbol, CAST(r.date AS varchar) AS date, {r6('v.v', 'vol')} FROM r LEFT JOIN v USING (symbol, i)")
+def ewm_vol(spark, sf_dir):
+    return tidy(roll.ewm(base(spark, sf_dir), "ret", {"vol": ("sd", 30)}).select("symbol", "date", "vol"))
+
+
+def _crossover_sql(pairs) -> tuple[str, str]:
+    spans = sorted({s for p in pairs for s in p})
+    ctes = ", ".join(_ewm_sql("r", "close", s, f"m{s}", "mean") for s in spans)
+    diffs = ", ".join(f"m{f}.v - m{s}.v AS x{f}_{s}" for f, s in pairs)
+    joins = " ".join(f"JOIN m{s} USING (symbol, i)" for s in spans)
+    w = f"OVER ({_W} ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"
+    total = " + ".join(f"tanh(x{f}_{s} / CASE WHEN count(x{f}_{s}) {w} >= 63 THEN nullif(stddev_samp(x{f}_{s}) {w}, 0) END)" for f, s in pairs)
+    return f"{PANEL}, {ctes}, d AS (SELECT r.symbol, r.date, r.i, r.close, r.ret, {diffs} FROM r {joins})", f"({total}) / {len(pairs)}"
+
+
+_CTE, _CROSS = _crossover_sql(signals.CROSSOVERS)
+
+
+@query(f"WITH {_CTE} SELECT symbol, CAST(date AS varchar) AS date, {r6(_CROSS, 'signal')} FROM d")
+def ewma_crossover(spark, sf_dir):
+    return tidy(signals.crossover(base(spark, sf_dir), name="signal").select("symbol", "date", "signal"))
+
+
+@query(f"""WITH {_CTE}, e AS (SELECT symbol, date, ({MOMENTUM_SQL} + {_CROSS} + {BREAKOUT_SQL}) / 3 AS f FROM d)
+    SELECT symbol, CAST(date AS varchar) AS date, {r6('CASE WHEN f IS NOT NULL THEN greatest(least(f, 1), -1) END', 'forecast')} FROM e""")
+def ensemble_forecast(spark, sf_dir):
+    return tidy(signals.families(base(spark, sf_dir)).select("symbol", "date", signals.forecast(("tsmom", "ewma", "bo")).alias("forecast")))
+
+
+# --- portfolios --------------------------------------------------------------------------------------------------
+
+LOOKBACKS, VOL_ROWS = (10, 21, 42, 63), (20, 60)
+
+
+def configs(spark, sf_dir) -> DataFrame:
+    """config_id, date, ret of eight simple trend configurations: a lagged momentum sign over a lagged trailing deviation."""
+    w = series("symbol")
+    rows = base(spark, sf_dir).select("symbol", "date", "close", "ret")
+    for k in LOOKBACKS:
+        rows = rows.withColumn(f"_s{k}", roll.momentum("close", w, (k,)))
+    for v in VOL_ROWS:
+        rows = rows.withColumn(f"_v{v}", rolling(F.stddev_samp, "ret", w, v))
+    one = [(f"L{k:03d}/V{v:03d}", F.coalesce(F.try_divide(F.lag(f"_s{k}").over(w), F.lag(f"_v{v}").over(w)), F.lit(0.0)) * 0.001) for k in LOOKBACKS for v in VOL_ROWS]
+    for i, (_, e) in enumerate(one):
+        rows = rows.withColumn(f"_e{i}", e)
+    rows = rows.select("symbol", "date", "ret", F.explode(F.array(*[F.struct(F.lit(n).alias("config_id"), F.col(f"_e{i}").alias("pos")) for i, (n, _) in enumerate(one)])).alias("c")).select("symbol", "date", "ret", "c.*")
+    return portfolio.portfolio_returns(rows, ("config_id",))
+
+
+def _configs_sql() -> str:
+    sd = ", ".join(f"CASE WHEN count(ret) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {v - 1} PRECEDING AND CURRENT ROW) = {v} THEN stddev_samp(ret) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {v - 1} PRECEDING AND CURRENT ROW) END AS v{v}" for v in VOL_ROWS)
+    sg = ", ".join(f"sign(close / lag(close, {k}) OVER ({_W}) - 1) AS s{k}" for k in LOOKBACKS)
+    one = " UNION ALL ".join(f"SELECT 'L{k:03d}/V{v:03d}' AS config_id, date, ret, coalesce(lag(s{k}) OVER ({_W}) / nullif(lag(v{v}) OVER ({_W}), 0), 0) * 0.001 AS pos FROM fe" for k in LOOKBACKS for v in VOL_ROWS)
+    return f"{PANEL}, fe AS (SELECT symbol, date, ret, {sd}, {sg} FROM r), po AS ({one}), cfg AS (SELECT config_id, date, coalesce(sum(pos * ret), 0) AS ret FROM po GROUP BY 1, 2)"
+
+
+CONFIGS = _configs_sql()
+
+
+@query(f"WITH {CONFIGS} SELECT config_id, CAST(date AS varchar) AS date, {r6('ret', 'ret')} FROM cfg")
+def trend_portfolio(spark, sf_dir):
+    return tidy(configs(spark, sf_dir))
+
+
+def _target(spark, sf_dir):
+    rows = base(spark, sf_dir).withColumn("signal", roll.momentum("close", series("symbol"), signals.MOMENTUM)).withColumn("config_id", F.lit("tsmom"))
+    targets = spark.createDataFrame(list(portfolio.VOL_TARGETS.items()), "target_id string, target double")
+    return portfolio.targeted(portfolio.inverse_vol_exposure(rows), targets)
+
+
+TARGETED = f"""{PANEL}, {_ewm_sql('r', 'ret', 30, 'v', 'sd')}, sg AS (SELECT symbol, date, i, ret, {MOMENTUM_SQL} AS signal FROM r),
+    ex AS (SELECT sg.symbol, sg.date, sg.ret, coalesce(lag(sg.signal) OVER (PARTITION BY sg.symbol ORDER BY sg.i) / nullif(lag(v.v) OVER (PARTITION BY sg.symbol ORDER BY sg.i), 0), 0) AS expo FROM sg LEFT JOIN v USING (symbol, i)),
+    raw AS (SELECT date, coalesce(sum(expo * ret), 0) AS raw FROM ex GROUP BY date),
+    sd AS (SELECT date, CASE WHEN count(raw) OVER w = 30 THEN stddev_samp(raw) OVER w END AS sd FROM raw WINDOW w AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+    sc AS (SELECT date, lag(sd) OVER (ORDER BY date) AS sd FROM sd),
+    tg(target_id, target) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in portfolio.VOL_TARGETS.items())}),
+    po AS (SELECT tg.target_id, ex.symbol, ex.date, ex.ret, greatest(least(ex.expo * coalesce(least(tg.target / nullif(sc.sd, 0), 50), 0), 1), -1) AS pos FROM ex JOIN sc USING (date) CROSS JOIN tg)"""
+
+
+@query(f"WITH {TARGETED} SELECT target_id, CAST(date AS varchar) AS date, {r6('coalesce(sum(pos * ret), 0)', 'ret')} FROM po GROUP BY target_id, date")
+def vol_targeted_portfolio(spark, sf_dir):
+    return tidy(portfolio.portfolio_returns(_target(spark, sf_dir), ("target_id",)))
+
+
+@query(f"""WITH {TARGETED}, fr AS (SELECT *, coalesce(abs(pos - lag(pos) OVER (PARTITION BY target_id, symbol ORDER BY date)) * 0.0005, 0) AS fric FROM po)
+    SELECT target_id, CAST(date AS varchar) AS date, {r6('coalesce(sum(pos * ret), 0) - sum(fric)', 'ret')} FROM fr GROUP BY target_id, date""")
+def vol_targeted_portfolio_costs(spark, sf_dir):
+    return tidy(portfolio.portfolio_returns(_target(spark, sf_dir).withColumn("cost", F.lit(0.0005)), ("target_id",), "cost"))
+
+
+@query()
+def trend_study_grid(spark, sf_dir):
+    return tidy(portfolio.trend_grid(base(spark, sf_dir)))
+
+
+@query(f"""WITH {PANEL}, w AS (SELECT symbol, date, ret - avg(ret) OVER (PARTITION BY symbol) AS x FROM r WHERE i > (SELECT max(i) FROM r) - 252 AND ret IS NOT NULL),
+    m AS (SELECT a.symbol AS i, b.symbol AS j, count(*) AS t, avg(a.x * b.x) AS s, avg(a.x * a.x * b.x * b.x) AS s22, avg(a.x * a.x * a.x * b.x) AS s31, avg(a.x * b.x * b.x * b.x) AS s13 FROM w a JOIN w b USING (date) GROUP BY 1, 2),
+    v AS (SELECT i AS k, s AS v FROM m WHERE i = j),
+    n AS (SELECT m.*, vi.v AS vi, vj.v AS vj, m.s / sqrt(vi.v * vj.v) AS corr, s22 - s * s AS pi,
+        CASE WHEN i <> j THEN sqrt(vj.v / vi.v) * (s31 - vi.v * s) + sqrt(vi.v / vj.v) * (s13 - vj.v * s) ELSE 0 END AS rho FROM m JOIN v vi ON vi.k = m.i JOIN v vj ON vj.k = m.j),
+    g AS (SELECT avg(corr) FILTER (WHERE i <> j) AS rbar, sum(pi) AS pi_sum, sum(pi) FILTER (WHERE i = j) AS pi_diag, sum(rho) AS rho_sum, max(t) AS rows FROM n),
+    f AS (SELECT n.*, g.*, CASE WHEN i <> j THEN rbar * sqrt(vi * vj) ELSE s END AS target FROM n, g),
+    d AS (SELECT greatest(least((max(pi_sum) - max(pi_diag) - max(rbar) / 2 * max(rho_sum)) / sum(pow(target - s, 2)) / max(rows), 1), 0) AS delta FROM f)
+    SELECT i, j, {r6('1e6 * (delta * target + (1 - delta) * s)', 'cov_e6')}, {r6('delta', 'delta')} FROM f, d""")
+def ledoit_wolf(spark, sf_dir):
+    rows = base(spark, sf_dir).withColumn("_t", F.row_number().over(series("symbol").orderBy(F.desc("date")))).filter("_t <= 252 and ret is not null")
+    return tidy(portfolio.shrunk_covariance(rows.select(F.lit(0).cast("long").alias("window_id"), "date", "symbol", "ret")).select("i", "j", (1e6 * F.col("cov")).alias("cov_e6"), "delta"))
+
+
+@query()
+def risk_parity_weights(spark, sf_dir):
+    return tidy(portfolio.risk_parity_weights(base(spark, sf_dir)).select("symbol", "date", "weight"))
+
+
+# --- metrics -----------------------------------------------------------------------------------------------------
+
+DRAWN = """eq AS (SELECT *, product(1 + ret) OVER (PARTITION BY config_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM cfg),
+    dd AS (SELECT *, 1 - equity / max(equity) OVER (PARTITION BY config_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dd FROM eq),
+    mo AS (SELECT config_id, avg(ret) AS m, var_pop(ret) AS v FROM cfg GROUP BY 1),
+    sk AS (SELECT c.config_id, avg(pow(ret - m, 3)) / pow(max(v), 1.5) AS skew, avg(pow(ret - m, 4)) / pow(max(v), 2) - 3 AS kurt FROM cfg c JOIN mo USING (config_id) GROUP BY 1)"""
+
+
+@query(f"""WITH {CONFIGS}, {DRAWN} SELECT config_id, count(ret) AS n, {r6('avg(ret)', 'mean')}, {r6('stddev_samp(ret)', 'sd')}, {r6('max(dd)', 'maxdd')}, {r6('min(ret)', 'worst_day')}, {r6('max(skew)', 'skew')}, {r6('max(kurt)', 'kurt')},
+    {r6('avg(ret) / stddev_samp(ret) * sqrt(252)', 'sharpe')}, {r6('product(1 + ret) - 1', 'total_return')}, {r6('pow(product(1 + ret), 252.0 / count(ret)) - 1', 'annual_return')} FROM dd JOIN sk USING (config_id) GROUP BY config_id""")
+def performance_metrics(spark, sf_dir):
+    return tidy(metrics.performance(configs(spark, sf_dir)))
+
+
+@query(f"""WITH {CONFIGS}, sg AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY config_id ORDER BY date) <= floor(count(*) OVER (PARTITION BY config_id) * 0.6) THEN 'train' ELSE 'test' END AS segment FROM cfg)
+    SELECT config_id, segment, count(*) AS n, {r6('avg(ret) / stddev_samp(ret) * sqrt(252)', 'sharpe')}, {r6('product(1 + ret) - 1', 'total_return')} FROM sg GROUP BY 1, 2""")
+def train_test_metrics(spark, sf_dir):
+    return tidy(metrics.performance(metrics.segments(configs(spark, sf_dir), 0.6), ("config_id", "segment")).select("config_id", "segment", "n", "sharpe", "total_return"))
+
+
+@query(f"WITH {CONFIGS}, {DRAWN} SELECT config_id, count(*) FILTER (WHERE ret < -0.05) AS bad_days, {r6('max(dd)', 'maxdd')}, round(100000.0 * product(1 + ret), 2) AS final_equity FROM dd GROUP BY 1")
+def risk_limits(spark, sf_dir):
+    return tidy(metrics.risk_limits(configs(spark, sf_dir)).withColumn("final_equity", F.round("final_equity", 2)))
+
+
+@query(f"""WITH {CONFIGS}, fo AS (SELECT *, ntile(5) OVER (PARTITION BY config_id ORDER BY date) AS fold FROM cfg)
+    SELECT config_id, CAST(fold AS bigint) AS fold, count(*) AS n, {r6('avg(ret) / stddev_samp(ret) * sqrt(252)', 'sharpe')} FROM fo GROUP BY 1, 2""")
+def fold_sharpes(spark, sf_dir):
+    return tidy(metrics.fold_sharpes(configs(spark, sf_dir), 5))
+
+
+def _normal_cdf_sql(x: str) -> str:
+    """Simpson's rule for the normal density from 0 to x on 2,000 intervals."""
+    return f"(0.5 + ({x}) / 2000 / 3 * (SELECT sum(CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(({x}) * k / 2000.0, 2) / 2)) FROM generate_series(0, 2000) t(k)) / sqrt(2 * pi()))"
+
+
+def _quantiles(trials: int) -> float:
+    import math
+    from statistics import NormalDist
+
+    from panelspark.functions.normal import EULER_GAMMA
+
+    return (1 - EULER_GAMMA) * NormalDist().inv_cdf(1 - 1 / trials) + EULER_GAMMA * NormalDist().inv_cdf(1 - 1 / (trials * math.e))
+
+
+@query(f"""WITH {CONFIGS}, {DRAWN}, b AS (SELECT config_id, count(*) AS n, avg(ret) / stddev_pop(ret) AS sr FROM cfg GROUP BY 1),
+    s AS (SELECT b.*, sqrt((1 - skew * sr + (kurt + 2) / 4 * sr * sr) / (n - 1)) AS sd FROM b JOIN sk USING (config_id)),
+    t AS (SELECT *, sd * {_quantiles(8)!r} AS sr0 FROM s)
+    SELECT config_id, n, {r6('sr', 'sr')}, round(sr0, 6) AS sr0, {r6(_normal_cdf_sql('(sr - sr0) / sd'), 'dsr')} FROM t""")
+def deflated_sharpe(spark, sf_dir):
+    return tidy(metrics.deflated_sharpe(configs(spark, sf_dir), 8))
+
+
+@query(f"""WITH {PANEL}, {_ewm_sql('r', 'ret', 30, 'v', 'sd')}, sg AS (SELECT symbol, i, ret, sign(close / lag(close, 60) OVER ({_W}) - 1) AS s FROM r),
+    p AS (SELECT sg.symbol, sg.ret * lag(sg.s) OVER w / nullif(lag(v.v) OVER w, 0) AS x FROM sg LEFT JOIN v USING (symbol, i) WINDOW w AS (PARTITION BY sg.symbol ORDER BY sg.i))
+    SELECT symbol, count(x) AS n, {r6('avg(x) / stddev_samp(x) * sqrt(252)', 'sharpe')} FROM p GROUP BY symbol""")
+def instrument_sharpe(spark, sf_dir):
+    w = series("symbol")
+    rows = roll.ewm(base(spark, sf_dir), "ret", {"vol": ("sd", 30)}).withColumn("s", roll.momentum("close", w, (60,)))
+    rows = rows.withColumn("x", F.try_divide(F.col("ret") * F.lag("s").over(w), F.lag("vol").over(w)))
+    return tidy(rows.groupBy("symbol").agg(F.count("x").alias("n"), (F.try_divide(F.avg("x"), F.stddev_samp("x")) * 252**0.5).alias("sharpe")))
+
+
+# --- trades ------------------------------------------------------------------------------------------------------
+
+SPEC = {"point": 0.01, "mult": 1.0, "comm_rt": 0.5, "spread": 5.0}
+
+
+def _pair_trades(spark, sf_dir, **how):
+    legs = _legs(spark, sf_dir).withColumn("spread_a", F.lit(SPEC["spread"])).withColumn("spread_b", F.lit(SPEC["spread"]))
+    specs = hourly(spark, sf_dir).select("symbol").distinct().select("symbol", *[F.lit(SPEC[c]).alias(c) for c in ("point", "mult", "comm_rt")])
+    return trades.pair_trades(legs, specs, **how)
+
+
+#: The open state of a pair travels along its rows: entry row and what was fixed there.
+PAIR_TRADES = PAIRS + """, ok AS (SELECT pair, i, a, b, beta, z, row_number() OVER (PARTITION BY pair ORDER BY i) AS k FROM z WHERE i > 60 AND z IS NOT NULL AND beta IS NOT NULL),
+st AS (
+    SELECT pair, k, i, a, b, beta, z, CASE WHEN abs(z) > 2 AND beta > 0 THEN k END AS entry, CAST(NULL AS bigint) AS closed FROM ok WHERE k = 1
+    UNION ALL
+    SELECT o.pair, o.k, o.i, o.a, o.b, o.beta, o.z,
+        CASE WHEN s.entry IS NULL THEN CASE WHEN abs(o.z) > 2 AND o.beta > 0 THEN o.k END WHEN abs(o.z) < 0.4 OR abs(o.z) > 3.2 THEN NULL ELSE s.entry END,
+        CASE WHEN s.entry IS NOT NULL AND (abs(o.z) < 0.4 OR abs(o.z) > 3.2) THEN s.entry END
+    FROM st s JOIN ok o ON o.pair = s.pair AND o.k = s.k + 1),
+tr AS (SELECT x.pair, row_number() OVER (PARTITION BY x.pair ORDER BY x.k) AS trade_no, x.i - e.i AS bars, e.z AS entry_z, x.z AS exit_z,
+        CASE WHEN e.z > 0 THEN -1 ELSE 1 END * (25000.0 / e.a * (x.a - e.a) - e.beta * 25000.0 / e.b * (x.b - e.b)) AS gross,
+        2 * (25000.0 / e.a + e.beta * 25000.0 / e.b) * (5 * 0.01 + 0.5) * 0.5 AS fric, CASE WHEN abs(x.z) > 3.2 THEN 1 ELSE 0 END AS stopped
+    FROM st x JOIN ok e ON e.pair = x.pair AND e.k = x.closed WHERE x.closed IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {PAIR_TRADES} SELECT pair, trade_no, bars, {r6('entry_z', 'entry_z')}, {r6('exit_z', 'exit_z')}, {r6('gross', 'gross')}, {r6('fric', 'fric')}, {r6('gross - fric', 'net')}, CAST(stopped AS bigint) AS stopped FROM tr""")
+def pair_trades(spark, sf_dir):
+    return tidy(_pair_trades(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {PAIR_TRADES}, e AS (SELECT *, gross - fric AS net, sum(gross - fric) OVER (PARTITION BY pair ORDER BY trade_no) AS equity, count(*) OVER (PARTITION BY pair) // 2 AS half FROM tr),
+    d AS (SELECT *, max(equity) OVER (PARTITION BY pair ORDER BY trade_no) - equity AS dd FROM e)
+    SELECT pair, count(*) AS trades, {r6('avg(gross)', 'gross_pt')}, {r6('avg(fric)', 'fric_pt')}, {r6('avg(net)', 'net_pt')}, {r6('sum(net)', 'net_total')}, {r6('100 * avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END)', 'winrate')},
+    {r6('avg(gross) / avg(fric)', 'ratio')}, {r6('median(bars)', 'med_bars')}, {r6('100 * avg(stopped)', 'stop_pct')}, {r6('avg(net) FILTER (WHERE trade_no <= half)', 'net_pt_h1')}, {r6('avg(net) FILTER (WHERE trade_no > half)', 'net_pt_h2')}, {r6('max(dd)', 'maxdd')}
+    FROM d GROUP BY pair""")
+def pair_screen(spark, sf_dir):
+    return tidy(trades.pair_summary(_pair_trades(spark, sf_dir)).orderBy(F.desc("net_pt")))
+
+
+def _leg_trades(spark, sf_dir):
+    legs = _legs(spark, sf_dir).select(F.col("pair").alias("symbol"), "sym_a", "ts", "a", "b")
+    range_ = hourly(spark, sf_dir).select(F.col("symbol").alias("sym_a"), "ts", "high", "low")
+    rows = legs.join(range_, ["sym_a", "ts"]).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))
+    grid = [(f"z{z}/a{m}", z, 3.0, m, 120) for z in (1.5, 2.0, 2.5) for m in (0.5, 1.0, 3.5)]
+    return trades.leg_trades(trades.leg_features(rows, trades.SingleLeg(trend_span=60)), spark.createDataFrame(grid, "config_id string, entry double, stop double, range_mult double, warmup int"))
+
+
+@query()
+def single_leg_trades(spark, sf_dir):
+    return tidy(_leg_trades(spark, sf_dir))
+
+
+@query()
+def single_leg_summary(spark, sf_dir):
+    return tidy(trades.risk_summary(_leg_trades(spark, sf_dir)))
+
+
+@query()
+def single_leg_by_side(spark, sf_dir):
+    return tidy(trades.by_side(_leg_trades(spark, sf_dir)))
+
+
+@query()
+def parameter_sweep(spark, sf_dir):
+    return tidy(trades.best_by_total(trades.risk_summary(_leg_trades(spark, sf_dir)), least_trades=3))
+
+
+@query()
+def entry_thresholds(spark, sf_dir):
+    legs = _legs(spark, sf_dir).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))
+    return tidy(trades.entry_thresholds(trades.friction_calibration(legs)))
+
+
+OVERLAY_GRID = [(f, s, t) for f in (16, 32) for s in (96, 192) for t in (0.008, 0.012)]
+
+
+def _ledger(spark, sf_dir):
+    rows = base(spark, sf_dir).select("symbol", "date", "close")
+    out = None
+    for f, s in sorted({g[:2] for g in OVERLAY_GRID}):
+        signal = signals.overlay_signal(rows, f, s)
+        for t in sorted({g[2] for g in OVERLAY_GRID}):
+            one = signals.overlay_exposure(signal, t).withColumn("config_id", F.lit(f"{f:03d}/{s:03d}/{t}"))
+            out = one if out is None else out.unionByName(one)
+    return trades.share_ledger(out.select("symbol", "config_id", "date", "close", "exposure"), max_cost_ratio=0.005)
+
+
+@query()
+def share_ledger(spark, sf_dir):
+    return tidy(_ledger(spark, sf_dir))
+
+
+@query()
+def cost_diagnostics(spark, sf_dir):
+    return tidy(metrics.cost_diagnostics(_ledger(spark, sf_dir)))
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS v, l_returnflag = 'R' AS sells FROM lineitem)
+    SELECT sells, count(*) AS n, round(sum(v * 0.0000317 * 1.18 + CASE WHEN sells THEN v * 0.00001 + 13 * 1.18 ELSE v * 0.00015 END), 2) AS cost FROM t GROUP BY sells""")
+def transaction_costs(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_extendedprice").alias("v"), (F.col("l_returnflag") == "R").alias("sells"))
+    return rows.groupBy("sells").agg(F.count("*").alias("n"), F.round(F.sum(trades.trade_cost(F.col("v"), F.col("sells"))), 2).alias("cost"))
+
+
+# --- validation --------------------------------------------------------------------------------------------------
+
+
+def _rows(spark, sf_dir):
+    """row, date, label_end of the panel's dates: a label ends five dates later."""
+    dates = base(spark, sf_dir).select("date").distinct()
+    w = Window.orderBy("date")
+    return dates.select((F.row_number().over(w) - 1).cast("long").alias("row"), "date", F.lead("date", 5).over(w).alias("label_end")).withColumn("label_end", F.coalesce("label_end", "date"))
+
+
+ROWS = f"""{PANEL}, ro AS (SELECT row_number() OVER (ORDER BY date) - 1 AS row, date, coalesce(lead(date, 5) OVER (ORDER BY date), date) AS label_end FROM (SELECT DISTINCT date FROM r))"""
+
+
+@query(f"""WITH {ROWS}, f AS (SELECT *, ntile(5) OVER (ORDER BY row) AS fold FROM ro), b AS (SELECT fold, min(row) AS a, max(row) AS b, min(date) AS t0, max(label_end) AS t1 FROM f GROUP BY fold),
+    c AS (SELECT b.*, (SELECT max(row) FROM ro WHERE ro.date <= b.t1) AS last FROM b)
+    SELECT CAST(fold AS bigint) AS fold, row, CASE WHEN row BETWEEN a AND b THEN 'test' WHEN label_end < t0 OR row > last + 20 THEN 'train' ELSE 'purged' END AS role FROM ro, c""")
+def purged_kfold(spark, sf_dir):
+    return tidy(validation.purged_kfold(_rows(spark, sf_dir), 5, 20))
+
+
+COMBOS = "co AS (SELECT row_number() OVER (ORDER BY a.g, b.g) - 1 AS split_id, a.g AS g1, b.g AS g2 FROM generate_series(1, 10) a(g) JOIN generate_series(1, 10) b(g) ON a.g < b.g)"
+
+
+@query(f"""WITH {ROWS}, {COMBOS}, g AS (SELECT row, ntile(10) OVER (ORDER BY row) AS grp FROM ro), e AS (SELECT grp, max(row) AS last FROM g GROUP BY grp)
+    SELECT CAST(split_id AS bigint) AS split_id, row, CASE WHEN g.grp IN (g1, g2) THEN 'test' WHEN (row > e1.last AND row <= e1.last + 25) OR (row > e2.last AND row <= e2.last + 25) THEN 'embargoed' ELSE 'train' END AS role
+    FROM g CROSS JOIN co JOIN e e1 ON e1.grp = g1 JOIN e e2 ON e2.grp = g2""")
+def cpcv_splits(spark, sf_dir):
+    return tidy(validation.combinatorial_splits(_rows(spark, sf_dir), 10, 2, 25))
+
+
+SELECTED = f"""{CONFIGS}, {COMBOS}, gr AS (SELECT *, ntile(10) OVER (PARTITION BY config_id ORDER BY date) AS grp, row_number() OVER (PARTITION BY config_id ORDER BY date) AS rn, count(*) OVER (PARTITION BY config_id) AS t FROM cfg),
+    en AS (SELECT grp, max(rn) AS last FROM gr GROUP BY grp),
+    sc AS (SELECT split_id, config_id, avg(ret) / (stddev_pop(ret) + 1e-12) AS score FROM gr CROSS JOIN co JOIN en e1 ON e1.grp = g1 JOIN en e2 ON e2.grp = g2
+        WHERE gr.grp NOT IN (g1, g2) AND NOT (rn > e1.last AND rn <= e1.last + floor(t * 0.01)) AND NOT (rn > e2.last AND rn <= e2.last + floor(t * 0.01)) GROUP BY 1, 2 HAVING count(*) >= 50),
+    se AS (SELECT split_id, config_id AS selected, score FROM (SELECT *, row_number() OVER (PARTITION BY split_id ORDER BY score DESC, config_id) AS k FROM sc) WHERE k = 1)"""
+
+
+@query(f"WITH {SELECTED} SELECT CAST(split_id AS bigint) AS split_id, selected, {r6('score', 'score')} FROM se")
+def cpcv_selection(spark, sf_dir):
+    return tidy(validation.selections(configs(spark, sf_dir)))
+
+
+PATHS = f"""{SELECTED}, te AS (SELECT split_id, unnest([g1, g2]) AS grp FROM co), ps AS (SELECT te.grp, se.selected, row_number() OVER (PARTITION BY te.grp ORDER BY te.split_id) AS path FROM te JOIN se USING (split_id)),
+    pr AS (SELECT ps.path, gr.date, gr.ret FROM ps JOIN gr ON gr.grp = ps.grp AND gr.config_id = ps.selected WHERE ps.path <= 9)"""
+
+
+@query(f"WITH {PATHS} SELECT path, count(*) AS n, {r6('avg(ret) / (stddev_pop(ret) + 1e-12) * sqrt(252)', 'sharpe')} FROM pr GROUP BY path")
+def cpcv_paths(spark, sf_dir):
+    return tidy(validation.path_sharpes(configs(spark, sf_dir)))
+
+
+def _benchmark(spark, sf_dir):
+    return base(spark, sf_dir).groupBy("date").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("bench"))
+
+
+_CUM = "OVER (PARTITION BY path ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@query(f"""WITH {PATHS}, be AS (SELECT date, coalesce(avg(ret), 0) AS bench FROM r GROUP BY date), j AS (SELECT pr.*, be.bench FROM pr JOIN be USING (date)),
+    e AS (SELECT *, product(1 + ret) {_CUM} AS es, product(1 + bench) {_CUM} AS eb FROM j), d AS (SELECT *, 1 - es / max(es) {_CUM} AS ds, 1 - eb / max(eb) {_CUM} AS db FROM e)
+    SELECT path, {r6('avg(ret) / stddev_pop(ret) * sqrt(252)', 'sharpe_s')}, {r6('max(ds)', 'maxdd_s')}, {r6('(pow(product(1 + ret), 252.0 / count(*)) - 1) / max(ds)', 'calmar_s')},
+    {r6('avg(bench) / stddev_pop(bench) * sqrt(252)', 'sharpe_b')}, {r6('max(db)', 'maxdd_b')}, {r6('(pow(product(1 + bench), 252.0 / count(*)) - 1) / max(db)', 'calmar_b')}, {r6('max(db) - max(ds)', 'd_maxdd')} FROM d GROUP BY path""")
+def cpcv_paired_paths(spark, sf_dir):
+    return tidy(validation.paired_paths(configs(spark, sf_dir), _benchmark(spark, sf_dir)))
+
+
+@query(f"""WITH {CONFIGS}, gr AS (SELECT *, ntile(10) OVER (PARTITION BY config_id ORDER BY date) AS grp FROM cfg),
+    su AS (SELECT config_id, grp, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM gr GROUP BY 1, 2),
+    ma AS (SELECT m FROM generate_series(0, 1023) t(m) WHERE bit_count(m) = 5),
+    hf AS (SELECT m, config_id, (m >> (grp - 1)) & 1 AS inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM su, ma GROUP BY 1, 2, 3),
+    sc AS (SELECT m, config_id, inside, s / n / (sqrt(greatest(q / n - pow(s / n, 2), 0)) + 1e-12) AS sr FROM hf),
+    pv AS (SELECT m, config_id, max(CASE WHEN inside = 1 THEN sr END) AS a, max(CASE WHEN inside = 0 THEN sr END) AS b FROM sc GROUP BY 1, 2),
+    be AS (SELECT *, first_value(b) OVER (PARTITION BY m ORDER BY a DESC, config_id) AS bb FROM pv),
+    rk AS (SELECT m, least(greatest(count(*) FILTER (WHERE b <= bb) * 1.0 / count(*), 1.0 / (count(*) + 1)), count(*) * 1.0 / (count(*) + 1)) AS rank FROM be GROUP BY m)
+    SELECT {r6('avg(CASE WHEN ln(rank / (1 - rank)) < 0 THEN 1.0 ELSE 0 END)', 'pbo')}, count(*) AS splits FROM rk""")
+def overfitting_probability(spark, sf_dir):
+    return tidy(validation.overfitting_probability(configs(spark, sf_dir)))
+
+
+@query()
+def study_verdict(spark, sf_dir):
+    return tidy(validation.study_verdict(configs(spark, sf_dir)))
+
+
+@query()
+def overlay_gate(spark, sf_dir):
+    """The share ledger's configurations of the first symbol against holding it."""
+    rows = _ledger(spark, sf_dir)
+    first = rows.agg(F.min("symbol").alias("symbol"))
+    returns = rows.join(F.broadcast(first), "symbol", "left_semi").select("config_id", "date", F.col("strat_ret").alias("ret"))
+    held = base(spark, sf_dir).join(F.broadcast(first), "symbol", "left_semi").select("date", F.coalesce("ret", F.lit(0.0)).alias("bench"))
+    return tidy(validation.overlay_verdict(returns, held, len(OVERLAY_GRID)))
+
+
+# --- provenance --------------------------------------------------------------------------------------------------
+
+HASHED = f"""{BARS}, rh AS (SELECT date_trunc('month', date) AS month, sha256(concat_ws('|', CAST(date AS varchar), symbol, CAST(CAST(round(close * 1e6) AS bigint) AS varchar))) AS h FROM bars),
+    mh AS (SELECT month, sha256(string_agg(h, '' ORDER BY h)) AS h FROM rh GROUP BY month), dh AS (SELECT sha256(concat_ws('|', '1', '', string_agg(h, '' ORDER BY month))) AS dataset_hash FROM mh)"""
+
+
+@query(f"WITH {HASHED} SELECT dataset_hash FROM dh")
+def dataset_fingerprint(spark, sf_dir):
+    return ledger.fingerprint(daily_bars(spark, sf_dir))
+
+
+TRIALS = [("T1", "2024-01-01", "A", 12, "PASS"), ("T2", "2024-01-02", "A", 12, "REJECT"), ("T3", "2024-01-03", "B", 0, "REJECT"), ("T4", "2024-01-04", "C", 0, "STALE"), ("T5", "2024-01-05", "C", 64, "PASS")]
+TRIALS_SQL = "tl(trial_id, run_ts, config, keep, status) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {k}, '{s}')" for a, b, c, k, s in TRIALS) + ")"
+
+
+def _trials(spark, current):
+    """Trials whose stored hash is the start of the current one, or (keep 0) of another dataset's."""
+    rows = spark.createDataFrame(TRIALS, "trial_id string, run_ts string, config string, keep int, status string").crossJoin(current)
+    return rows.select("trial_id", "run_ts", "config", F.when(F.col("keep") > 0, F.expr("substring(dataset_hash, 1, keep)")).otherwise("none").alias("dataset_hash"), "status")
+
+
+_STORED = f"{HASHED}, {TRIALS_SQL}, st AS (SELECT tl.*, CASE WHEN keep > 0 THEN substring(dataset_hash, 1, keep) ELSE 'none' END AS stored, dataset_hash FROM tl, dh)"
+
+
+@query(f"""WITH {_STORED}, ac AS (SELECT * FROM st WHERE status <> 'STALE') SELECT trial_id, config, CASE WHEN starts_with(dataset_hash, stored) THEN '' ELSE 'hash mismatch' END AS problem,
+    (SELECT count(*) FROM (SELECT DISTINCT config, stored FROM ac)) AS slots, (SELECT count(*) FROM (SELECT DISTINCT config, stored FROM ac)) > 20 AS over_budget FROM ac""")
+def ledger_check(spark, sf_dir):
+    current = ledger.fingerprint(daily_bars(spark, sf_dir))
+    return ledger.ledger_check(_trials(spark, current), current)
+
+
+@query(f"WITH {_STORED} SELECT trial_id, config, stored AS dataset_hash, status FROM (SELECT *, row_number() OVER (PARTITION BY config, stored ORDER BY run_ts, trial_id) AS k FROM st) WHERE k = 1")
+def distinct_trials(spark, sf_dir):
+    return ledger.distinct_trials(_trials(spark, ledger.fingerprint(daily_bars(spark, sf_dir)))).drop("run_ts")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A momentum portfolio on the three-symbol panel, sized by lagged trailing deviation, and its metrics."""
+    rows = panel.with_returns(panel.common_history(damped(daily_bars(spark, sf_dir, symbol=("l_returnflag",)))))
+    w = series("symbol")
+    rows = rows.withColumn("_s", roll.momentum("close", w, (21, 63))).withColumn("_v", rolling(F.stddev_samp, "ret", w, 20))
+    rows = rows.withColumn("pos", F.coalesce(F.try_divide(F.lag("_s").over(w), F.lag("_v").over(w)), F.lit(0.0)) * 0.001).withColumn("config_id", F.lit("trend"))
+    return metrics.performance(portfolio.portfolio_returns(rows, ("config_id",)))
