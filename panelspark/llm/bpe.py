@@ -25,7 +25,7 @@ from panelspark.llm.common import map_texts
 #: A chunk has so many bytes on average: a power of two.
 CHUNK_BYTES = 512
 #: Entries of a cache's young half; when it is full it becomes the old half.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 CACHED_CHUNKS = 20_000
 #: Words given to the library at once.
 BULK = 400
@@ -35,6 +35,8 @@ LETTERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 NUMBERS = rb"0-9\xb2\xb3\xb9\xbc-\xbe"
 BLANKS = rb"\x09-\x0d\x20\x85\xa0"
 PIECES = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[" + LETTERS + rb"]+|[" + NUMBERS + rb"]|[^" + LETTERS + NUMBERS + BLANKS + rb"]+")
+#: A full stop or comma before white space that belongs to a longer run of punctuation.
+MIXED_STOPS = re.compile(rb"[^" + LETTERS + NUMBERS + rb"][.,][ \n]")
 LOWER = bytes(b + 32 if 65 <= b <= 90 or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256))
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
@@ -62,7 +64,8 @@ class Cache:
 
 
 class Encoder:
-    """The library's encoding of whole texts, as packed little-endian uint32 ids, word by word from a cache."""
+    """The library's encoding of whole texts, as packed little-endian uint32 ids, word by word from a cache. Texts within
+    Latin-1 have their pre-tokens cut here and encoded by the library in bulk; other texts go to it word by word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -78,43 +81,69 @@ class Encoder:
         self.names = [n.encode() for n in names]
         self.ends = np.array([n.endswith("</w>") for n in names])
         self.numbers = [b"%d" % i for i in range(size)]
-        self.words, self.pieces, self.chunks = Cache(CACHED_WORDS), Cache(CACHED_WORDS), Cache(CACHED_CHUNKS)
+        self.words, self.others, self.chunks = Cache(CACHED_WORDS), Cache(CACHED_WORDS // 4), Cache(CACHED_CHUNKS)
 
     def direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fill_pieces(self, pieces) -> None:
-        """Encode single pre-tokens, many at a time; each one's last token, and no other, ends a word."""
-        missing = self.pieces.missing(pieces)
-        for at in range(0, len(missing), BULK):
-            part = missing[at : at + BULK]
+    def plain(self, text: bytes) -> bytes | None:
+        """The text in lower-case Latin-1, a full stop or comma that ends a word set apart (it is a pre-token of its own
+        there); None for a text that has other characters or spells a special token."""
+        try:
+            t = text if text.isascii() else text.decode().encode("latin-1")
+        except UnicodeError:
+            return None
+        if any(s in text for s in self.special):
+            return None
+        t = t.translate(LOWER)
+        if not MIXED_STOPS.search(t):
+            for stop in (b".", b","):
+                for space in (b" ", b"\n"):
+                    t = t.replace(stop + space, b" " + stop + space)
+        return t
+
+    def _fill(self, words) -> dict:
+        """Make sure of lower-case Latin-1 words; gives the dict that has them. Their pre-tokens are encoded many at a
+        time; each one's last token, and no other, ends a word."""
+        cache = self.words
+        compound = []
+        single = set()
+        for w in cache.missing(words):
+            pieces = PIECES.findall(w)
+            if len(pieces) == 1 and pieces[0] == w:
+                single.add(w)
+            else:
+                compound.append((w, pieces))
+        of = cache.young
+        parts = {x for _, p in compound for x in p if x not in single}
+        single.update(cache.missing(parts) if parts else ())
+        single = list(single)
+        for at in range(0, len(single), BULK):
+            part = single[at : at + BULK]
             ids = self.direct([b" ".join(part).decode("latin-1")])[0]
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            found = np.split(ids, cut[:-1]) if len(cut) == len(part) else self.direct([p.decode("latin-1") for p in part])
-            self.pieces.young.update(zip(part, (x.tobytes() for x in found), strict=True))
-
-    def fill(self, words) -> dict:
-        """Make sure of the words (UTF-8, free of ASCII white space); gives the dict that has them."""
-        plain, other = [], []
-        for w in self.words.missing(words):
-            try:
-                if any(s in w for s in self.special):
-                    raise UnicodeError
-                plain.append((w, PIECES.findall((w if w.isascii() else w.decode().encode("latin-1")).translate(LOWER))))
-            except UnicodeError:
-                other.append(w)
-        self._fill_pieces(itertools.chain.from_iterable(p for _, p in plain))
-        of = self.pieces.young
-        self.words.young.update((w, b"".join([of[x] for x in p])) for w, p in plain)
-        for at in range(0, len(other), BULK):
-            part = other[at : at + BULK]
-            self.words.young.update(zip(part, (x.tobytes() for x in self.direct([w.decode() for w in part])), strict=True))
-        return self.words.young
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cut) == len(part):
+                packed, cut = ids.tobytes(), cut.tolist()
+                found = [packed[i:j] for i, j in zip([0, *cut], cut, strict=False)]
+            else:
+                found = [x.tobytes() for x in self.direct([p.decode("latin-1") for p in part])]
+            of.update(zip(part, found, strict=True))
+        of.update((w, b"".join([of[x] for x in p])) for w, p in compound)
+        return of
 
     def by_words(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        of = self.fill(itertools.chain.from_iterable(words))
-        return [b"".join([of[w] for w in x]) for x in words]
+        ready = [self.plain(t) for t in texts]
+        words = [None if t is None else t.split() for t in ready]
+        of = self._fill(itertools.chain.from_iterable(w for w in words if w))
+        out = [None if x is None else b"".join([of[w] for w in x]) for x in words]
+        for i in (i for i, x in enumerate(out) if x is None):
+            fragments = texts[i].split()
+            missing = self.others.missing(fragments)
+            for at in range(0, len(missing), BULK):
+                part = missing[at : at + BULK]
+                self.others.young.update(zip(part, (x.tobytes() for x in self.direct([w.decode() for w in part])), strict=True))
+            out[i] = b"".join([self.others.young[w] for w in fragments])
+        return out
 
     def by_chunks(self, texts: list[bytes]) -> list[bytes]:
         cut = [chunked(t) for t in texts]
@@ -136,8 +165,8 @@ class Encoder:
             plan += [pending, b""]
             joins.append(pending)
             plans.append(plan)
-        of = self.fill(j for j in joins if j)
-        return [b"".join([x for j, ids in zip(p[::2], p[1::2], strict=True) for x in (of[j] if j else b"", ids)]) for p in plans]
+        repaired = iter(self.by_words(joins))
+        return [b"".join([x for ids in p[1::2] for x in (next(repaired), ids)]) for p in plans]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The library joins a decoder-less vocabulary's tokens by single spaces."""
