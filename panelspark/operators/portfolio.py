@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.lineage import settled
 from panelspark.functions.windows import clip, ratio_change, rolling, series, so_far
 from panelspark.operators.rolling import ewm, turnover
 from panelspark.operators.signals import families, forecast
@@ -60,7 +61,7 @@ def moments(windows: DataFrame) -> DataFrame:
 def shrunk_covariance(windows: DataFrame) -> DataFrame:
     """Constant-correlation shrinkage: window_id, i, j, cov (shrunk) and delta (the intensity). Mean products such as
     E[(xi^2 - Sii)(xi xj - Sij)] are E[xi^3 xj] - Sii Sij, so one pass of moments gives everything."""
-    m = moments(windows)
+    m = settled(moments(windows), "moments")
     var = m.filter("i = j").select("window_id", F.col("i").alias("k"), F.col("s").alias("v"))
     m = m.join(var.select("window_id", F.col("k").alias("i"), F.col("v").alias("vi")), ["window_id", "i"]).join(var.select("window_id", F.col("k").alias("j"), F.col("v").alias("vj")), ["window_id", "j"])
     si, sj, off = F.sqrt("vi"), F.sqrt("vj"), F.col("i") != F.col("j")
@@ -118,6 +119,7 @@ def rebalance_windows(panel: DataFrame, rows: int = COVARIANCE_ROWS, every: int
 
 def risk_parity_weights(panel: DataFrame, rows: int = COVARIANCE_ROWS, every: int = REBALANCE_ROWS) -> DataFrame:
     """The panel with `weight`: the last rebalance's equal-risk weight, known a row later."""
+    panel = settled(panel, "panel")
     weights = equal_risk(shrunk_covariance(rebalance_windows(panel, rows, every))).withColumnRenamed("window_id", "t")
     w = series("symbol")
     out = panel.withColumn("t", (F.row_number().over(w) - 1).cast("long")).join(weights, ["t", "symbol"], "left")
@@ -134,7 +136,7 @@ def trend_grid(panel: DataFrame, sizings: tuple[str, ...] = ("invvol", "lw_rp"),
     spark = panel.sparkSession
     w = series("symbol")
     rows = families(panel.select("symbol", "date", "close").withColumn("ret", ratio_change("close", w)))
-    rows = ewm(rows, "ret", {"_vol": ("sd", 30)})
+    rows = settled(ewm(rows, "ret", {"_vol": ("sd", 30)}), "trend-features")
     if "lw_rp" in sizings:
         rows = risk_parity_weights(rows)
     parts = []
@@ -146,5 +148,5 @@ def trend_grid(panel: DataFrame, sizings: tuple[str, ...] = ("invvol", "lw_rp"),
         rows = rows.withColumn(f"_e{i}", expo)
     stacked = rows.select("symbol", "date", "ret", F.explode(F.array(*[F.struct(F.lit(n).alias("config_id"), F.col(f"_e{i}").alias("expo")) for i, (n, _) in enumerate(parts)])).alias("c")).select("symbol", "date", "ret", "c.*")
     targets = spark.createDataFrame(list(vol_targets.items()), "target_id string, target double")
-    out = portfolio_returns(targeted(stacked, targets), ("config_id", "target_id"))
+    out = portfolio_returns(targeted(settled(stacked, "exposures"), targets), ("config_id", "target_id"))
     return out.select(F.concat_ws("/", "target_id", "config_id").alias("config_id"), "date", "ret")

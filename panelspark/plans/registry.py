@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.lineage import settled
 from panelspark.functions.windows import rolling, series
 from panelspark.operators import adjust, ledger, metrics, panel, portfolio, qc, rolling as roll, signals, trades, validation
 from panelspark.sources.views import damped, daily_bars, ticks
@@ -465,14 +466,7 @@ OVERLAY_GRID = [(f, s, t) for f in (16, 32) for s in (96, 192) for t in (0.008,
 
 
 def _ledger(spark, sf_dir):
-    rows = base(spark, sf_dir).select("symbol", "date", "close")
-    out = None
-    for f, s in sorted({g[:2] for g in OVERLAY_GRID}):
-        signal = signals.overlay_signal(rows, f, s)
-        for t in sorted({g[2] for g in OVERLAY_GRID}):
-            one = signals.overlay_exposure(signal, t).withColumn("config_id", F.lit(f"{f:03d}/{s:03d}/{t}"))
-            out = one if out is None else out.unionByName(one)
-    return trades.share_ledger(out.select("symbol", "config_id", "date", "close", "exposure"), max_cost_ratio=0.005)
+    return trades.share_ledger(signals.overlay_grid(base(spark, sf_dir), OVERLAY_GRID), max_cost_ratio=0.005)
 
 
 @query()
@@ -573,13 +567,13 @@ def overfitting_probability(spark, sf_dir):
 
 @query()
 def study_verdict(spark, sf_dir):
-    return tidy(validation.study_verdict(configs(spark, sf_dir)))
+    return tidy(validation.study_verdict(settled(configs(spark, sf_dir), "configs")))
 
 
 @query()
 def overlay_gate(spark, sf_dir):
     """The share ledger's configurations of the first symbol against holding it."""
-    rows = _ledger(spark, sf_dir)
+    rows = settled(_ledger(spark, sf_dir), "ledger")
     first = rows.agg(F.min("symbol").alias("symbol"))
     returns = rows.join(F.broadcast(first), "symbol", "left_semi").select("config_id", "date", F.col("strat_ret").alias("ret"))
     held = base(spark, sf_dir).join(F.broadcast(first), "symbol", "left_semi").select("date", F.coalesce("ret", F.lit(0.0)).alias("bench"))
