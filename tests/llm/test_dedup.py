@@ -2,10 +2,10 @@ import hashlib
 
 import numpy as np
 import pytest
-import xxhash
 
 from panelspark.llm import embedding_dedup, exact_dedup, simhash, substring_dedup
 from panelspark.llm.components import components
+from tests_llm_helpers import brute_components, simple_fingerprint, squeezed
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, " "), (5, "a  b\tc"), (6, "a b c"), (7, "word " * 3000), (8, "word " * 3000), (9, "é ñ 𝄞 x"), (10, "a b c")]
 SCHEMA = "doc_id long, text string, words string, norm string"
@@ -15,18 +15,6 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
 
 
-def squeezed(t):
-    out, gap = [], False
-    for c in t or "":
-        if c in " \t\n\x0b\x0c\r":
-            gap or out.append(" ")
-            gap = True
-        else:
-            out.append(c)
-            gap = False
-    return "".join(out)
-
-
 def test_exact_groups(spark):
     got = {r["doc_id"]: r for r in exact_dedup.exact_groups(docs(spark, ODD)).collect()}
     by = {}
@@ -56,22 +44,6 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-def simple_fingerprint(t):
-    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
-    runs = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
-    h = [xxhash.xxh64_intdigest(x, 42) for x in runs]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def brute_components(ids, near):
-    label = list(range(len(ids)))
-    while True:
-        new = [min(label[j] for j in range(len(ids)) if near[i][j]) for i in range(len(ids))]
-        if new == label:
-            return [min(ids[j] for j in range(len(ids)) if label[j] == label[i]) for i in range(len(ids))]
-        label = new
-
-
 def test_simhash_groups(spark):
     rng = np.random.default_rng(0)
     base = [f"w{i}" for i in rng.integers(0, 300, 200)]
