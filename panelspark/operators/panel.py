@@ -67,6 +67,11 @@ def with_costs(panel: DataFrame, costs: DataFrame) -> DataFrame:
     return panel.join(costs, ["symbol", "date"], "left").withColumn("cost", F.last("cost", ignorenulls=True).over(so_far(series("symbol"))))
 
 
+def relative_spread(bars: DataFrame, specs: DataFrame) -> DataFrame:
+    """Bars with rel_spread, the quoted spread in points times the point's size over the close. specs: symbol, point."""
+    return bars.join(F.broadcast(specs.select("symbol", "point")), "symbol", "left").withColumn("rel_spread", F.try_divide(F.col("spread") * F.col("point"), F.col("close"))).drop("point")
+
+
 def with_returns(panel: DataFrame) -> DataFrame:
     """Simple returns between a symbol's consecutive rows, without filling."""
     return panel.withColumn("ret", ratio_change("close", series("symbol")))

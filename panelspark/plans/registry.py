@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.lineage import settled
 from panelspark.functions.windows import rolling, series
 from panelspark.operators import adjust, ledger, metrics, panel, portfolio, qc, rolling as roll, signals, trades, validation
+from panelspark.sources import bars
 from panelspark.sources.views import damped, daily_bars, ticks
 
 QUERIES: dict = {}
@@ -111,6 +112,25 @@ def qc_report(spark, sf_dir):
     return tidy(qc.qc_report(daily_bars(spark, sf_dir)))
 
 
+@query(f"WITH {BARS} SELECT CAST(date AS varchar) AS date, symbol, CASE WHEN symbol < 'B' THEN 'EQ' ELSE 'BE' END AS series, {r6('close', 'close')}, {r6('volume', 'volume')} FROM bars WHERE symbol < 'N'")
+def exchange_dialects(spark, sf_dir):
+    """Bars under the two header dialects of exchange files, with padded keys and either date spelling, made one again."""
+    raw = daily_bars(spark, sf_dir).filter("symbol < 'N' or symbol > 'R'").withColumn("open", F.col("close"))
+    shapes = [(bars.MODERN, F.col("date").cast("string"), "EQ", raw.filter("symbol < 'N'")), (bars.LEGACY, F.upper(F.date_format("date", "dd-MMM-yyyy")), "BE", raw.filter("symbol > 'R'"))]
+    out = [bars.one_dialect(df.select(date.alias(d["date"]), F.concat(F.col("symbol"), F.lit(" ")).alias(d["symbol"]), F.lit(series_).alias(d["series"]), *[F.col(c).alias(d[c]) for c in (*bars.PRICES, "volume")])) for d, date, series_, df in shapes]
+    return tidy(out[0].unionByName(out[1]).filter("symbol < 'N'").select("date", "symbol", "series", "close", "volume"))
+
+
+@query(f"""WITH {BARS}, q AS (SELECT symbol, date, (1 + volume % 7) * 0.01 / close AS rel FROM bars WHERE symbol <> 'AF' OR dayofweek(date) <> 2), d AS (SELECT b.symbol, b.date, q.rel FROM bars b LEFT JOIN q USING (symbol, date))
+    SELECT symbol, CAST(date AS varchar) AS date, {r6("1e6 * last_value(rel IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", 'cost_e6')} FROM d""")
+def aligned_costs(spark, sf_dir):
+    """Relative spreads, missing on one symbol's Tuesdays, aligned to the bars' dates and carried forward."""
+    rows = daily_bars(spark, sf_dir)
+    specs = rows.select("symbol").distinct().withColumn("point", F.lit(0.01))
+    costs = panel.relative_spread(rows.withColumn("spread", 1 + F.col("volume") % 7), specs).filter("symbol <> 'AF' or dayofweek(date) <> 3").select("symbol", "date", F.col("rel_spread").alias("cost"))
+    return tidy(panel.with_costs(rows.select("symbol", "date"), costs).select("symbol", "date", (1e6 * F.col("cost")).alias("cost_e6")))
+
+
 DAYS = f"""{BARS}, span AS (SELECT symbol, min(date) AS a, max(date) AS b FROM bars GROUP BY symbol),
     days AS (SELECT symbol, CAST(unnest(generate_series(CAST(a AS timestamp), CAST(b AS timestamp), INTERVAL 1 DAY)) AS date) AS date FROM span),
     wk AS (SELECT * FROM days WHERE dayofweek(date) BETWEEN 1 AND 5)"""
@@ -128,6 +148,21 @@ def missing_runs(spark, sf_dir):
     return tidy(qc.missing_runs(daily_bars(spark, sf_dir), longest=1))
 
 
+@query(f"""WITH {BARS}, wk AS (SELECT CAST(d AS date) AS date FROM generate_series(TIMESTAMP '1995-01-02', TIMESTAMP '1996-12-31', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) BETWEEN 1 AND 5),
+    fi AS (SELECT DISTINCT date FROM bars WHERE day(date) <> 13), sy AS (SELECT DISTINCT symbol FROM bars)
+    SELECT CAST(NULL AS varchar) AS symbol, CAST(date AS varchar) AS date, 'weekday-404' AS reason FROM wk WHERE date NOT IN (SELECT date FROM fi)
+    UNION ALL SELECT sy.symbol, CAST(wk.date AS varchar), 'not-listed' FROM wk JOIN fi USING (date) CROSS JOIN sy WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = sy.symbol AND b.date = wk.date)""")
+def skipped_days(spark, sf_dir):
+    rows = daily_bars(spark, sf_dir)
+    files = rows.select("date").distinct().filter("day(date) <> 13")
+    return tidy(qc.skipped_days("1995-01-02", "1996-12-31", files, rows.select("date", "symbol")))
+
+
+@query(f"WITH {BARS} SELECT symbol, count(*) FILTER (WHERE close IS NULL OR close <= 0) = 0 AS valid FROM bars GROUP BY symbol")
+def valid_prices(spark, sf_dir):
+    return qc.valid_prices(daily_bars(spark, sf_dir))
+
+
 ACTIONS = [("AF", "1996-03-04", 10.0, 10.0), ("AF", "1998-07-01", 2.0, 2.0), ("NO", "1997-01-15", 5.0, 5.0), ("RF", "1999-05-20", 4.0, 4.0)]
 ACTIONS_SQL = "acts(symbol, ex_date, price_div, vol_mult) AS (VALUES " + ", ".join(f"('{s}', DATE '{d}', {p}, {v})" for s, d, p, v in ACTIONS) + ")"
 ADJUSTED = f"""{BARS}, {ACTIONS_SQL}, adj AS (SELECT b.symbol, b.date, b.close / coalesce(product(a.price_div), 1) AS close, b.high / coalesce(product(a.price_div), 1) AS high,
@@ -175,9 +210,9 @@ def breakout_signal(spark, sf_dir):
 
 
 def _legs(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    pairs = bars.select(F.col("symbol").alias("sym_a")).distinct().crossJoin(bars.select(F.col("symbol").alias("sym_b")).distinct()).filter("sym_a < sym_b")
-    return panel.all_pairs(bars, pairs)
+    hours = hourly(spark, sf_dir)
+    pairs = hours.select(F.col("symbol").alias("sym_a")).distinct().crossJoin(hours.select(F.col("symbol").alias("sym_b")).distinct()).filter("sym_a < sym_b")
+    return panel.all_pairs(hours, pairs)
 
 
 PAIRS = TICKS + """, legs AS (SELECT concat(a.symbol, '/', b.symbol) AS pair, a.symbol AS sym_a, b.symbol AS sym_b, a.ts, a.close AS a, b.close AS b, a.high, a.low, ln(a.close) AS la, ln(b.close) AS lb
@@ -456,6 +491,15 @@ def parameter_sweep(spark, sf_dir):
     return tidy(trades.best_by_total(trades.risk_summary(_leg_trades(spark, sf_dir)), least_trades=3))
 
 
+RATIO = PAIRS + """, qt AS (SELECT pair, ts, a, b, a - CASE WHEN count(*) OVER w = 60 THEN avg(a / b) OVER w END * b AS spread FROM legs WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+    ss AS (SELECT pair, CASE WHEN count(spread) OVER w = 60 THEN stddev_samp(spread) OVER w END AS sd FROM qt WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"WITH {RATIO} SELECT pair, {r6('median(sd)', 'sigma')}, 0.05 AS bid_ask, {r6('0.05 / median(sd)', 'cost')} FROM ss GROUP BY pair")
+def friction_calibration(spark, sf_dir):
+    return tidy(trades.friction_calibration(_legs(spark, sf_dir).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))))
+
+
 @query()
 def entry_thresholds(spark, sf_dir):
     legs = _legs(spark, sf_dir).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))
@@ -537,6 +581,12 @@ def cpcv_paths(spark, sf_dir):
     return tidy(validation.path_sharpes(configs(spark, sf_dir)))
 
 
+@query(f"""WITH {PATHS}, s AS (SELECT path, avg(ret) / (stddev_pop(ret) + 1e-12) * sqrt(252) AS sharpe FROM pr GROUP BY path)
+    SELECT count(*) AS n, {r6('min(sharpe)', 'low')}, {r6('median(sharpe)', 'median')}, {r6('max(sharpe)', 'high')}, {r6('quantile_cont(sharpe, 0.05)', 'p5')}, {r6('avg(CASE WHEN sharpe > 0 THEN 1.0 ELSE 0 END)', 'positive')} FROM s""")
+def path_distribution(spark, sf_dir):
+    return tidy(metrics.distribution(validation.path_sharpes(configs(spark, sf_dir)), "sharpe"))
+
+
 def _benchmark(spark, sf_dir):
     return base(spark, sf_dir).groupBy("date").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("bench"))
 
@@ -591,6 +641,15 @@ def dataset_fingerprint(spark, sf_dir):
     return ledger.fingerprint(daily_bars(spark, sf_dir))
 
 
+@query()
+def dataset_manifest(spark, sf_dir):
+    """The bars' manifest with the digests of two small raw files."""
+    rows = settled(daily_bars(spark, sf_dir), "bars")
+    digests = bars.file_digests(spark, f"{sf_dir}/region.parquet").unionByName(bars.file_digests(spark, f"{sf_dir}/nation.parquet")).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    out = ledger.manifest(rows, qc.qc_report(rows), digests, ledger.fingerprint(rows))
+    return out.select("rows", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), F.to_json("symbols").alias("symbols"), "all_present_rows", F.to_json("files").alias("files"), F.to_json("qc").alias("qc"), "passed", "dataset_hash")
+
+
 TRIALS = [("T1", "2024-01-01", "A", 12, "PASS"), ("T2", "2024-01-02", "A", 12, "REJECT"), ("T3", "2024-01-03", "B", 0, "REJECT"), ("T4", "2024-01-04", "C", 0, "STALE"), ("T5", "2024-01-05", "C", 64, "PASS")]
 TRIALS_SQL = "tl(trial_id, run_ts, config, keep, status) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {k}, '{s}')" for a, b, c, k, s in TRIALS) + ")"
 

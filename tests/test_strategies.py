@@ -148,4 +148,4 @@ def test_deflated_sharpe_falls_with_trials(spark):
 def test_entry_threshold_grows_with_cost(spark):
     got = trades.entry_thresholds(spark.createDataFrame([("P", 0.1)], "pair string, cost double")).orderBy("multiple").collect()
     entries = [r["entry"] for r in got]
-    assert entries == sorted(entries) and 0.05 <= entries[0] and entries[-1] < 4
+    assert entries == sorted(entries) and 0.03 <= entries[0] and entries[-1] < 4
