@@ -98,12 +98,12 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
     weight = np.sqrt(len(y) / (len(languages) * share))[:, None]
 
     def solve(rows):
-        a, t, w = x[rows].astype(np.float64), code[y[rows]], weight[rows]
-        a1 = np.hstack([a, np.ones((len(a), 1))]) * w
-        k = a1 @ a1.T
+        w = weight[rows].astype(np.float32)
+        a = x[rows] * w
+        k = (a @ a.T + w * w.T).astype(np.float64)
         k[np.diag_indices_from(k)] += RIDGE
-        beta = a1.T @ np.linalg.solve(k, t * w)
-        return beta[:-1], beta[-1]
+        dual = np.linalg.solve(k, code[y[rows]] * weight[rows])
+        return a.T @ dual.astype(np.float32), (weight[rows].T @ dual)[0]
 
     half = np.arange(len(y)) % 2 == 0
     if len(y) >= 4 and len(languages) > 1:
@@ -129,11 +129,15 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, folds: int = 5, held_
 
     def of(piece):
         lang, text = piece.column("lang").to_pylist(), piece.column("text").to_pylist()
-        return {"lang": lang, "x": [features(t).tobytes() for t in text]}
+        return {"lang": lang, "x": [features(t).astype(np.float16).tobytes() for t in text]}
 
     rows = map_texts(labelled.filter(pick < wanted).select("lang", "text"), of, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows])
+    x, lang = np.empty((len(rows), BUCKETS), np.float32), [r["lang"] for r in rows]
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r["x"], np.float16)
+    del rows
+    return fit(x, lang)
 
 
 def predict(docs: DataFrame, model: Model | None, threshold: float = AMBIGUOUS) -> DataFrame:
