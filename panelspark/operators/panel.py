@@ -69,7 +69,7 @@ def with_costs(panel: DataFrame, costs: DataFrame) -> DataFrame:
 
 def relative_spread(bars: DataFrame, specs: DataFrame) -> DataFrame:
     """Bars with rel_spread, the quoted spread in points times the point's size over the close. specs: symbol, point."""
-    return bars.join(F.broadcast(specs.select("symbol", "point")), "symbol", "left").withColumn("rel_spread", F.try_divide(F.col("spread") * F.col("point"), F.col("close"))).drop("point")
+    return bars.join(specs.select("symbol", "point"), "symbol", "left").withColumn("rel_spread", F.try_divide(F.col("spread") * F.col("point"), F.col("close"))).drop("point")
 
 
 def with_returns(panel: DataFrame) -> DataFrame:

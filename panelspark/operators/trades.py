@@ -25,7 +25,7 @@ def pair_trades(legs: DataFrame, specs: DataFrame, rows: int = 60, entry: float
 
     legs: pair, sym_a, sym_b, ts, a, b, spread_a, spread_b (in points). specs: symbol, point, mult, comm_rt.
     """
-    spec = lambda side: F.broadcast(specs.select(F.col("symbol").alias(f"sym_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("point", "mult", "comm_rt")]))
+    spec = lambda side: specs.select(F.col("symbol").alias(f"sym_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("point", "mult", "comm_rt")])
     z = spread_zscore(legs, rows).join(spec("a"), "sym_a").join(spec("b"), "sym_b")
     number = F.row_number().over(series("pair", order="ts")) - 1
     half = lambda s: (F.col(f"spread_{s}") * F.col(f"point_{s}") * F.col(f"mult_{s}") + F.col(f"comm_rt_{s}")) * 0.5

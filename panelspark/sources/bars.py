@@ -53,8 +53,8 @@ def _vendor(spark: SparkSession, paths: list[str], sep: str, header: str) -> Dat
 
 
 def read_vendor_files(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files of either delimiter with DATE+TIME, DATETIME or DATE and at least CLOSE, one instrument each. Files are
-    read together by header: only the first line of each is looked at beforehand."""
+    """CSV files of either delimiter with DATE+TIME, DATETIME or DATE and at least CLOSE, one instrument each. A first
+    pass finds each file's header line; files with the same one are then read together."""
     heads = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
     first = heads.filter("at = 0").groupBy("path").agg(F.min_by("value", "row").alias("header")).groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
     out = None
