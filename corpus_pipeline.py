@@ -7,7 +7,6 @@ again as the next stage's documents. All stages but the last return the columns
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelspark.llm import bpe, exact_dedup, language_id, mixing, simhash
 from panelspark.llm.common import table, written
