@@ -1,8 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the text's bytes cuts it into chunks, so passages that documents share become the same chunks
-wherever they stand. A task encodes each distinct chunk once and keeps it in a bounded cache (tasks of the same Python
-worker share it). A cut may fall inside a word; the words at a join belong to neither chunk. The join is repaired by
+wherever they stand. A task encodes each distinct chunk once and keeps it in a bounded cache, emptied when it ends. A cut may fall inside a word; the words at a join belong to neither chunk. The join is repaired by
 encoding the text from the last white space before it to the first after it, over as many chunks as that takes: at
 white space on both sides the encodings of chunk, join and whole text agree exactly, since the tokenizer never merges
 across it. Within a chunk, words come from a cache of encoded words, filled by the tokenizers library in bulk.
@@ -25,7 +24,7 @@ from panelspark.llm.common import map_texts
 #: A chunk has so many bytes on average: a power of two.
 CHUNK_BYTES = 512
 #: Entries of a cache's young half; when it is full it becomes the old half.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 CACHED_CHUNKS = 20_000
 #: Words given to the library at once.
 BULK = 400
@@ -63,6 +62,23 @@ class Cache:
         return out
 
 
+class Vocabulary:
+    """Tokens by id, without the tokenizer: all that decoding takes."""
+
+    def __init__(self, path: str):
+        with open(path) as f:
+            told = json.load(f)
+        added = told.get("added_tokens", [])
+        of = {i: t for t, i in told["model"]["vocab"].items()} | {t["id"]: t["content"] for t in added}
+        self.special = [t["content"] for t in added]
+        self.names = [of.get(i, "").encode() for i in range(max(of) + 1)]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The library joins a decoder-less vocabulary's tokens by single spaces."""
+        names = self.names
+        return b" ".join([names[i] for i in ids.tolist()])
+
+
 class Encoder:
     """The library's encoding of whole texts, as packed little-endian uint32 ids, word by word from a cache. Texts within
     Latin-1 have their pre-tokens cut here and encoded by the library in bulk; other texts go to it word by word."""
@@ -73,16 +89,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path) as f:
-            added = json.load(f).get("added_tokens", [])
-        self.special = [t["content"].encode() for t in added]
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.names = [n.encode() for n in names]
-        self.ends = np.array([n.endswith("</w>") for n in names])
-        self.numbers = [b"%d" % i for i in range(size)]
+        self.special = [t.encode() for t in vocabulary(path).special]
+        self.ends = np.array([n.endswith(b"</w>") for n in vocabulary(path).names])
         self.words, self.others, self.chunks = Cache(CACHED_WORDS), Cache(CACHED_WORDS // 4), Cache(CACHED_CHUNKS)
 
+    def forget(self) -> None:
+        """Empty the caches, so that an idle Python worker holds little memory."""
+        for cache in (self.words, self.others, self.chunks):
+            cache.young, cache.old = {}, {}
+
     def direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -168,11 +183,6 @@ class Encoder:
         repaired = iter(self.by_words(joins))
         return [b"".join([x for ids in p[1::2] for x in (next(repaired), ids)]) for p in plans]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The library joins a decoder-less vocabulary's tokens by single spaces."""
-        names = self.names
-        return b" ".join([names[i] for i in ids.tolist()])
-
 
 def chunked(text: bytes, average: int = CHUNK_BYTES) -> list[bytes]:
     """Cut after every byte whose rolling hash of the 32 bytes up to it has its top bits clear, but never inside a
@@ -203,6 +213,11 @@ def chunk_words(chunk: bytes) -> tuple[bytes, list[bytes] | None, bytes]:
     return head, words, tail
 
 
+@functools.lru_cache(2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One encoder a Python worker and vocabulary, with what it has cached."""
@@ -234,7 +249,7 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, reuse_chunks: boo
         ids = [x + tail for x in (e.by_chunks(texts) if reuse_chunks else e.by_words(texts))]
         return {"doc_id": piece.column("doc_id"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of, "doc_id long, n_tokens long, ids binary")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of, "doc_id long, n_tokens long, ids binary", finish=lambda: encoder(path).forget())
 
 
 def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
@@ -242,7 +257,7 @@ def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     path = tokenizer_path or default_path()
 
     def of(piece):
-        e = encoder(path)
+        e = vocabulary(path)
         return {n: piece.column(n) for n in ("doc_id", "n_tokens", "ids")} | {"text": [e.decode(np.frombuffer(x, "<u4")).decode() for x in piece.column("ids").to_pylist()]}
 
     return map_texts(encoded.select("doc_id", "n_tokens", "ids", F.lit("").alias("text")), of, "doc_id long, n_tokens long, ids binary, text string")
@@ -253,9 +268,9 @@ def digest(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     path = tokenizer_path or default_path()
 
     def of(piece):
-        e = encoder(path)
+        e = vocabulary(path)
         ids = [np.frombuffer(x, "<u4") for x in piece.column("ids").to_pylist()]
-        said = [hashlib.sha256(b" ".join([e.numbers[i] for i in x.tolist()])).hexdigest() for x in ids]
+        said = [hashlib.sha256(b" ".join([b"%d" % i for i in x.tolist()])).hexdigest() for x in ids]
         return {"doc_id": piece.column("doc_id"), "n_tokens": piece.column("n_tokens"), "ids_sha256": said, "decoded_sha256": [hashlib.sha256(e.decode(x)).hexdigest() for x in ids]}
 
     return map_texts(encoded.select("doc_id", "n_tokens", "ids"), of, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", column="ids")

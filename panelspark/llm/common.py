@@ -17,6 +17,10 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in slices of about so many characters, which bounds a Python worker's memory.
 SLICE_CHARS = 2_000_000
+#: Rows that hold whole texts travel between Spark and Python in batches of about so many bytes (Spark's own limit is
+#: 64 MB, of which several copies would be held on either side).
+BATCH_BYTES = 4 << 20
+BATCH_KEY, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,8 +65,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", chars: int = SLICE_CHARS
         start = end
 
 
-def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
-    """Apply function to slices of df, cut by the bytes of a column; it returns the output columns as a dict."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES, unless the session has a limit of its own."""
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
+def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text", finish: Callable[[], None] | None = None) -> DataFrame:
+    """Apply function to slices of df, cut by the bytes of a column; it returns the output columns as a dict. finish is
+    called at the end of a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
@@ -73,7 +84,10 @@ def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema:
             for piece in slices(batch, column):
                 got = function(piece)
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+        if finish is not None:
+            finish()
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import crc_bucket, map_texts, slices
+from panelspark.llm.common import bounded_batches, crc_bucket, map_texts, slices
 
 #: Character n-grams of 1 to 3 letters fall into so many buckets.
 BUCKETS = 4096
@@ -176,6 +176,7 @@ def recognised(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
                     piece = piece.filter(pa.array((p >= least) | (lead >= AMBIGUOUS)))
                 yield pa.RecordBatch.from_arrays(piece.columns, schema=to_arrow_schema(schema))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.bpe import default_path, encoder
-from panelspark.llm.common import fresh_path, slices, written
+from panelspark.llm.common import bounded_batches, fresh_path, slices, written
 
 END_ID = 1
 #: Added to a rotated checksum, so that a checksum of data that holds checksums is sound (fixed value of the format).
@@ -98,6 +98,7 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer_path: str | None
             fs.move(f"{name}.index.{mine}", f"{name}.index")
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{name}.records"], "index_path": [f"{name}.index"], "n_docs": [len(index)], "n_ids": [n_ids]})
 
+    bounded_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = ordered.mapInArrow(save, "part long, path string, index_path string, n_docs long, n_ids long")
     return written(manifest.withColumn("folder", F.lit(folder)), "manifest")
