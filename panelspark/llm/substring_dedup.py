@@ -4,7 +4,8 @@ Seeds: of the `seed_words`-word runs within each window of `min_words` words, th
 anchor (winnowing), so equal windows have the same anchor at the same place, and about one word in seven is an anchor.
 Anchors are joined on their hash; those that occur once end there. Extension: every occurrence left is extended both
 ways, through each split of the words still missing between its left and its right, to windows of the full length;
-within an anchor's occurrences, in order of document and position, a window that has been seen is a repeat. This finds
+within an anchor's occurrences, in order of document and position, a window that has been seen is a repeat (those seen
+within the same task are marked there, so that a very frequent passage is not sent to one task as a whole). This finds
 what extending every pair would find, with work in proportion to the occurrences. Covered words merge into maximal
 repeats. Texts are shuffled once, by doc_id, and the two joins with them share that exchange.
 """
@@ -17,9 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import map_texts, run_bounds, slices, sorted_runs
+from panelspark.llm.common import map_texts, slices, sorted_runs
 
 MIN_WORDS = 20
+#: Windows of an anchor at most: min_words - seed_words + 1 may not exceed it.
+SPLITS = 62
 SEED_WORDS = 8
 #: Occurrences of one anchor that a task holds at a time; anchors with more are dealt out by window.
 MOST_HELD = 200_000
@@ -100,17 +103,31 @@ def anchors(texts: list[bytes], min_words: int, seed_words: int):
     return own, first, run_hashes(words, min_words, WINDOW)[start], best.view(np.int64), first + where
 
 
+def _spread(doc_ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Keys that deal out rows whose fate is known already."""
+    return finished(doc_ids.astype(np.uint64) * np.uint64(GRAM) + places.astype(np.uint64)).view(np.int64)
+
+
 def _seeds(docs: DataFrame, min_words: int, seed_words: int) -> DataFrame:
-    """anchor, doc_id, pos of every anchor."""
+    """key, doc_id, pos, known of every anchor. Of an anchor that occurs several times within a slice of texts only the
+    first goes by its hash, marked known = 1; the others are repeated for sure (known = 2) and dealt out evenly. So a
+    very frequent anchor makes no more rows of one key than there are slices."""
 
     def of(piece):
         own, _, _, anchor, pos = anchors(_bytes(piece), min_words, seed_words)
         new = np.ones(len(own), bool)
         new[1:] = (own[1:] != own[:-1]) | (pos[1:] != pos[:-1])
-        ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
-        return {"anchor": anchor[new], "doc_id": ids[own[new]], "pos": pos[new]}
+        ids, anchor, pos = piece.column("doc_id").to_numpy(zero_copy_only=False)[own[new]], anchor[new], pos[new]
+        order = np.argsort(anchor, kind="stable")
+        again = np.zeros(len(anchor), bool)
+        again[1:] = anchor[order[1:]] == anchor[order[:-1]]
+        more = np.append(again[1:], False)
+        key, known = anchor[order].copy(), np.where(again, 2, more.astype(np.int64))
+        ids, pos = ids[order], pos[order]
+        key[again] = _spread(ids[again], pos[again])
+        return {"key": key, "doc_id": ids, "pos": pos, "known": known}
 
-    return map_texts(docs, of, "anchor long, doc_id long, pos long")
+    return map_texts(docs, of, "key long, doc_id long, pos long, known long")
 
 
 def _bytes(piece) -> list[bytes]:
@@ -123,14 +140,14 @@ def _repeated(seeds: DataFrame) -> DataFrame:
     def run(batches):
         held = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             if not batch.num_rows:
                 continue
             open_before = False
             if held is not None:
                 cols, open_before = [np.concatenate([h, c]) for h, c in zip(held[0], cols, strict=True)], held[1]
             same = cols[0][1:] == cols[0][:-1]
-            many = np.zeros(len(cols[0]), bool)
+            many = cols[3] > 0
             many[1:] |= same
             many[:-1] |= same
             many[0] |= open_before
@@ -140,12 +157,16 @@ def _repeated(seeds: DataFrame) -> DataFrame:
         if held is not None and held[1]:
             yield pa.RecordBatch.from_arrays([pa.array(held[0][1]), pa.array(held[0][2])], ["doc_id", "pos"])
 
-    return seeds.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, pos long")
+    return seeds.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, pos long")
+
+
+EXTENDED = "key long, doc_id long, pos long, back long, mask long, done long, windows binary"
 
 
 def _extended(with_places: DataFrame, min_words: int, seed_words: int) -> DataFrame:
-    """anchor, doc_id, pos, back (words from the first window to the anchor) and the windows' hashes, of the anchors at
-    the places listed with each text."""
+    """The windows of the anchors at the places listed with each text. A row (done = 0): key (the anchor), doc_id, pos,
+    back (words from its first window to the anchor), mask (which of its windows) and their hashes. A window that the
+    same slice of texts has earlier is a repeat for sure: such are taken out into rows with done = 1, dealt out evenly."""
 
     def run(batches):
         for batch in batches:
@@ -160,12 +181,27 @@ def _extended(with_places: DataFrame, min_words: int, seed_words: int) -> DataFr
                 if not len(keep):
                     continue
                 own, first, window, anchor, pos = (x[keep] for x in (own, first, window, anchor, pos))
-                new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (pos[1:] != pos[:-1])]))
-                offsets = pa.array(np.append(new, len(own)) * 8, pa.int32())
-                packed = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, offsets.buffers()[1], pa.py_buffer(window.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(ids[own[new]]), pa.array(pos[new]), pa.array((pos - first)[new]), packed], ["anchor", "doc_id", "pos", "back", "windows"])
-
-    return with_places.mapInArrow(run, "anchor long, doc_id long, pos long, back long, windows binary")
+                new = np.concatenate([[True], (own[1:] != own[:-1]) | (pos[1:] != pos[:-1])])
+                lead, row = np.flatnonzero(new), np.cumsum(new) - 1
+                bit = np.int64(1) << (first - first[lead][row])
+                doc, split = ids[own], pos - first
+                order = np.lexsort((first, doc, split, anchor, window))
+                again = np.zeros(len(order), bool)
+                again[order[1:]] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (window, anchor, split)])
+                for done in (0, 1):
+                    chosen = np.flatnonzero(again == bool(done))
+                    if not len(chosen):
+                        continue
+                    rows, n = np.unique(row[chosen], return_counts=True)
+                    mask = np.zeros(len(lead), np.int64)
+                    np.bitwise_or.at(mask, row[chosen], bit[chosen])
+                    here = lead[rows]
+                    offsets = np.append(0, np.cumsum(n)) * 8 * (1 - done)
+                    packed = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.array(offsets, pa.int32()).buffers()[1], pa.py_buffer(b"" if done else window[chosen].tobytes())])
+                    key = _spread(doc[here], pos[here]) if done else anchor[here]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc[here], pos[here], (pos - first)[here], mask[rows], np.full(len(rows), done))] + [packed], ["key", "doc_id", "pos", "back", "mask", "done", "windows"])
+
+    return with_places.mapInArrow(run, EXTENDED)
 
 
 def _seen_before(extended: DataFrame) -> DataFrame:
@@ -174,27 +210,30 @@ def _seen_before(extended: DataFrame) -> DataFrame:
     names = ["doc_id", "base", "mask", "anchor", "split", "window"]
 
     def run(batches):
-        for block, whole in sorted_runs(batches, ["anchor"], MOST_HELD):
-            n = np.fromiter(map(len, block["windows"]), np.int64, len(block["windows"])) // 8
-            window = np.frombuffer(b"".join(block["windows"]), np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            split = block["back"][row] - at
+        for block, whole in sorted_runs(batches, ["key"], MOST_HELD):
             base = block["pos"] - block["back"]
+            known = np.flatnonzero(block["done"] == 1)
+            if len(known):
+                yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (block["doc_id"], base, block["mask"])] + [pa.nulls(len(known), pa.int64())] * 3, names)
+            fresh = np.flatnonzero(block["done"] == 0)
+            if not len(fresh):
+                continue
+            key, doc_id, base, back, bits = (x[fresh] for x in (block["key"], block["doc_id"], base, block["back"], block["mask"]))
+            window = np.frombuffer(b"".join(block["windows"][fresh]), np.int64)
+            row, at = np.nonzero(bits[:, None] >> np.arange(SPLITS) & 1)
+            split = back[row] - at
             if not whole:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block["doc_id"][row], base[row] + at, np.ones(len(row), np.int64), block["anchor"][row], split, window)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc_id[row], base[row] + at, np.ones(len(row), np.int64), key[row], split, window)], names)
                 continue
-            begins, ends = run_bounds(block, ["anchor"])
-            group = np.repeat(np.repeat(np.arange(len(begins)), ends - begins), n)
-            order = np.lexsort((split, group, window))  # stable: equal windows stay in order of document and position
-            g, w, s = group[order], window[order], split[order]
+            order = np.lexsort((split, key[row], window))  # stable: equal windows stay in order of document and position
+            g, w, s = key[row][order], window[order], split[order]
             again = order[1:][(g[1:] == g[:-1]) & (w[1:] == w[:-1]) & (s[1:] == s[:-1])]
-            mask = np.zeros(len(n), np.int64)
+            mask = np.zeros(len(bits), np.int64)
             np.bitwise_or.at(mask, row[again], np.int64(1) << at[again])
             out = np.flatnonzero(mask)
-            yield pa.RecordBatch.from_arrays([pa.array(block["doc_id"][out]), pa.array(base[out]), pa.array(mask[out])] + [pa.nulls(len(out), pa.int64())] * 3, names)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_id[out]), pa.array(base[out]), pa.array(mask[out])] + [pa.nulls(len(out), pa.int64())] * 3, names)
 
-    return extended.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return extended.repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _settled(seen: DataFrame) -> DataFrame:
