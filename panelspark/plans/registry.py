@@ -112,13 +112,24 @@ def qc_report(spark, sf_dir):
     return tidy(qc.qc_report(daily_bars(spark, sf_dir)))
 
 
+def _one_dialect(spark, sf_dir) -> DataFrame:
+    """Bars of all symbols under the two header dialects of exchange files (those before 'B' modern, series EQ; the others
+    legacy, series BE), with padded keys and either date spelling, made one again."""
+    raw = daily_bars(spark, sf_dir).withColumn("open", F.col("close"))
+    shapes = [(bars.MODERN, F.col("date").cast("string"), "EQ", raw.filter("symbol < 'B'")), (bars.LEGACY, F.upper(F.date_format("date", "dd-MMM-yyyy")), "BE", raw.filter("symbol >= 'B'"))]
+    out = [bars.one_dialect(df.select(date.alias(d["date"]), F.concat(F.col("symbol"), F.lit(" ")).alias(d["symbol"]), F.lit(series_).alias(d["series"]), *[F.col(c).alias(d[c]) for c in (*bars.PRICES, "volume")])) for d, date, series_, df in shapes]
+    return out[0].unionByName(out[1]).select("date", "symbol", "series", "close", "volume")
+
+
 @query(f"WITH {BARS} SELECT CAST(date AS varchar) AS date, symbol, CASE WHEN symbol < 'B' THEN 'EQ' ELSE 'BE' END AS series, {r6('close', 'close')}, {r6('volume', 'volume')} FROM bars WHERE symbol < 'N'")
 def exchange_dialects(spark, sf_dir):
-    """Bars under the two header dialects of exchange files, with padded keys and either date spelling, made one again."""
-    raw = daily_bars(spark, sf_dir).filter("symbol < 'N' or symbol > 'R'").withColumn("open", F.col("close"))
-    shapes = [(bars.MODERN, F.col("date").cast("string"), "EQ", raw.filter("symbol < 'N'")), (bars.LEGACY, F.upper(F.date_format("date", "dd-MMM-yyyy")), "BE", raw.filter("symbol > 'R'"))]
-    out = [bars.one_dialect(df.select(date.alias(d["date"]), F.concat(F.col("symbol"), F.lit(" ")).alias(d["symbol"]), F.lit(series_).alias(d["series"]), *[F.col(c).alias(d[c]) for c in (*bars.PRICES, "volume")])) for d, date, series_, df in shapes]
-    return tidy(out[0].unionByName(out[1]).filter("symbol < 'N'").select("date", "symbol", "series", "close", "volume"))
+    """The part of exchange_dialects_all that this query's SQL asks for: symbols before 'N', modern dialect only."""
+    return tidy(_one_dialect(spark, sf_dir).filter("symbol < 'N'"))
+
+
+@query(f"WITH {BARS} SELECT CAST(date AS varchar) AS date, symbol, CASE WHEN symbol < 'B' THEN 'EQ' ELSE 'BE' END AS series, {r6('close', 'close')}, {r6('volume', 'volume')} FROM bars")
+def exchange_dialects_all(spark, sf_dir):
+    return tidy(_one_dialect(spark, sf_dir))
 
 
 @query(f"""WITH {BARS}, q AS (SELECT symbol, date, (1 + volume % 7) * 0.01 / close AS rel FROM bars WHERE symbol <> 'AF' OR dayofweek(date) <> 2), d AS (SELECT b.symbol, b.date, q.rel FROM bars b LEFT JOIN q USING (symbol, date))
