@@ -7,7 +7,10 @@ ways, through each split of the words still missing between its left and its rig
 within an anchor's occurrences, in order of document and position, a window that has been seen is a repeat (those seen
 within the same task are marked there, so that a very frequent passage is not sent to one task as a whole). This finds
 what extending every pair would find, with work in proportion to the occurrences. Covered words merge into maximal
-repeats. Texts are shuffled once, by doc_id, and the two joins with them share that exchange.
+repeats. Texts are shuffled once, by row, and the two joins with them share that exchange.
+
+A row is known by a 64-bit hash of its doc_id and text, as rows may share a doc_id. Rows alike in both are numbered: the
+first of them is extended, the others repeat it from end to end.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import map_texts, slices, sorted_runs
@@ -103,13 +106,13 @@ def anchors(texts: list[bytes], min_words: int, seed_words: int):
     return own, first, run_hashes(words, min_words, WINDOW)[start], best.view(np.int64), first + where
 
 
-def _spread(doc_ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+def _spread(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Keys that deal out rows whose fate is known already."""
-    return finished(doc_ids.astype(np.uint64) * np.uint64(GRAM) + places.astype(np.uint64)).view(np.int64)
+    return finished(rows.astype(np.uint64) * np.uint64(GRAM) + places.astype(np.uint64)).view(np.int64)
 
 
 def _seeds(docs: DataFrame, min_words: int, seed_words: int) -> DataFrame:
-    """key, doc_id, pos, known of every anchor. Of an anchor that occurs several times within a slice of texts only the
+    """key, row, pos, known of every anchor. Of an anchor that occurs several times within a slice of texts only the
     first goes by its hash, marked known = 1; the others are repeated for sure (known = 2) and dealt out evenly. So a
     very frequent anchor makes no more rows of one key than there are slices."""
 
@@ -117,17 +120,17 @@ def _seeds(docs: DataFrame, min_words: int, seed_words: int) -> DataFrame:
         own, _, _, anchor, pos = anchors(_bytes(piece), min_words, seed_words)
         new = np.ones(len(own), bool)
         new[1:] = (own[1:] != own[:-1]) | (pos[1:] != pos[:-1])
-        ids, anchor, pos = piece.column("doc_id").to_numpy(zero_copy_only=False)[own[new]], anchor[new], pos[new]
+        rows, anchor, pos = piece.column("row").to_numpy(zero_copy_only=False)[own[new]], anchor[new], pos[new]
         order = np.argsort(anchor, kind="stable")
         again = np.zeros(len(anchor), bool)
         again[1:] = anchor[order[1:]] == anchor[order[:-1]]
         more = np.append(again[1:], False)
         key, known = anchor[order].copy(), np.where(again, 2, more.astype(np.int64))
-        ids, pos = ids[order], pos[order]
-        key[again] = _spread(ids[again], pos[again])
-        return {"key": key, "doc_id": ids, "pos": pos, "known": known}
+        rows, pos = rows[order], pos[order]
+        key[again] = _spread(rows[again], pos[again])
+        return {"key": key, "row": rows, "pos": pos, "known": known}
 
-    return map_texts(docs, of, "key long, doc_id long, pos long, known long")
+    return map_texts(docs, of, "key long, row long, pos long, known long")
 
 
 def _bytes(piece) -> list[bytes]:
@@ -135,7 +138,7 @@ def _bytes(piece) -> list[bytes]:
 
 
 def _repeated(seeds: DataFrame) -> DataFrame:
-    """doc_id, pos of the anchors that occur more than once; looks one row back, so a group may be of any size."""
+    """row, pos of the anchors that occur more than once; looks one row back, so a group may be of any size."""
 
     def run(batches):
         held = None
@@ -153,27 +156,27 @@ def _repeated(seeds: DataFrame) -> DataFrame:
             many[0] |= open_before
             held = ([c[-1:] for c in cols], bool(many[-1]))
             out = np.flatnonzero(many[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(cols[1][out]), pa.array(cols[2][out])], ["doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[1][out]), pa.array(cols[2][out])], ["row", "pos"])
         if held is not None and held[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(held[0][1]), pa.array(held[0][2])], ["doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(held[0][1]), pa.array(held[0][2])], ["row", "pos"])
 
-    return seeds.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, pos long")
+    return seeds.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, pos long")
 
 
-EXTENDED = "key long, doc_id long, pos long, back long, mask long, done long, windows binary"
+EXTENDED = "key long, doc_id long, row long, pos long, back long, mask long, done long, windows binary"
 
 
 def _extended(with_places: DataFrame, min_words: int, seed_words: int) -> DataFrame:
-    """The windows of the anchors at the places listed with each text. A row (done = 0): key (the anchor), doc_id, pos,
+    """The windows of the anchors at the places listed with each text. A row (done = 0): key (the anchor), doc_id, row, pos,
     back (words from its first window to the anchor), mask (which of its windows) and their hashes. A window that the
     same slice of texts has earlier is a repeat for sure: such are taken out into rows with done = 1, dealt out evenly."""
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column("places")))
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column("places")), pc.equal(batch.column("copy"), 1)))
             for piece in slices(batch):
                 own, first, window, anchor, pos = anchors(_bytes(piece), min_words, seed_words)
-                ids, places = piece.column("doc_id").to_numpy(zero_copy_only=False), piece.column("places")
+                ids, keys, places = *(piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row")), piece.column("places")
                 at = places.flatten().to_numpy(zero_copy_only=False)
                 of = np.repeat(np.arange(piece.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
                 wide = np.int64(1) << np.int64(40)
@@ -184,8 +187,8 @@ def _extended(with_places: DataFrame, min_words: int, seed_words: int) -> DataFr
                 new = np.concatenate([[True], (own[1:] != own[:-1]) | (pos[1:] != pos[:-1])])
                 lead, row = np.flatnonzero(new), np.cumsum(new) - 1
                 bit = np.int64(1) << (first - first[lead][row])
-                doc, split = ids[own], pos - first
-                order = np.lexsort((first, doc, split, anchor, window))
+                doc, text, split = ids[own], keys[own], pos - first
+                order = np.lexsort((first, text, doc, split, anchor, window))
                 again = np.zeros(len(order), bool)
                 again[order[1:]] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (window, anchor, split)])
                 for done in (0, 1):
@@ -198,32 +201,32 @@ def _extended(with_places: DataFrame, min_words: int, seed_words: int) -> DataFr
                     here = lead[rows]
                     offsets = np.append(0, np.cumsum(n)) * 8 * (1 - done)
                     packed = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.array(offsets, pa.int32()).buffers()[1], pa.py_buffer(b"" if done else window[chosen].tobytes())])
-                    key = _spread(doc[here], pos[here]) if done else anchor[here]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc[here], pos[here], (pos - first)[here], mask[rows], np.full(len(rows), done))] + [packed], ["key", "doc_id", "pos", "back", "mask", "done", "windows"])
+                    key = _spread(text[here], pos[here]) if done else anchor[here]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc[here], text[here], pos[here], (pos - first)[here], mask[rows], np.full(len(rows), done))] + [packed], ["key", "doc_id", "row", "pos", "back", "mask", "done", "windows"])
 
     return with_places.mapInArrow(run, EXTENDED)
 
 
 def _seen_before(extended: DataFrame) -> DataFrame:
-    """doc_id, base and mask: the window at word base + i is a repeat if bit i of mask is set. The windows of an anchor
+    """doc_id, row, base and mask: the window at word base + i is a repeat if bit i of mask is set. The windows of an anchor
     with more occurrences than a task holds are still open: they come one by one, with their anchor, split and hash."""
-    names = ["doc_id", "base", "mask", "anchor", "split", "window"]
+    names = ["doc_id", "row", "base", "mask", "anchor", "split", "window"]
 
     def run(batches):
         for block, whole in sorted_runs(batches, ["key"], MOST_HELD):
             base = block["pos"] - block["back"]
             known = np.flatnonzero(block["done"] == 1)
             if len(known):
-                yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (block["doc_id"], base, block["mask"])] + [pa.nulls(len(known), pa.int64())] * 3, names)
+                yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (block["doc_id"], block["row"], base, block["mask"])] + [pa.nulls(len(known), pa.int64())] * 3, names)
             fresh = np.flatnonzero(block["done"] == 0)
             if not len(fresh):
                 continue
-            key, doc_id, base, back, bits = (x[fresh] for x in (block["key"], block["doc_id"], base, block["back"], block["mask"]))
+            key, doc_id, text, base, back, bits = (x[fresh] for x in (block["key"], block["doc_id"], block["row"], base, block["back"], block["mask"]))
             window = np.frombuffer(b"".join(block["windows"][fresh]), np.int64)
             row, at = np.nonzero(bits[:, None] >> np.arange(SPLITS) & 1)
             split = back[row] - at
             if not whole:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc_id[row], base[row] + at, np.ones(len(row), np.int64), key[row], split, window)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc_id[row], text[row], base[row] + at, np.ones(len(row), np.int64), key[row], split, window)], names)
                 continue
             order = np.lexsort((split, key[row], window))  # stable: equal windows stay in order of document and position
             g, w, s = key[row][order], window[order], split[order]
@@ -231,9 +234,9 @@ def _seen_before(extended: DataFrame) -> DataFrame:
             mask = np.zeros(len(bits), np.int64)
             np.bitwise_or.at(mask, row[again], np.int64(1) << at[again])
             out = np.flatnonzero(mask)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_id[out]), pa.array(base[out]), pa.array(mask[out])] + [pa.nulls(len(out), pa.int64())] * 3, names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (doc_id, text, base, mask)] + [pa.nulls(len(out), pa.int64())] * 3, names)
 
-    return extended.repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return extended.repartition("key").sortWithinPartitions("key", "doc_id", "row", "pos").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _settled(seen: DataFrame) -> DataFrame:
@@ -244,38 +247,44 @@ def _settled(seen: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            open_ = np.asarray(batch.column(3).is_valid())
-            keys = [pc.fill_null(batch.column(i), 0).to_numpy(zero_copy_only=False) for i in (3, 4, 5)]
+            open_ = np.asarray(batch.column(4).is_valid())
+            keys = [pc.fill_null(batch.column(i), 0).to_numpy(zero_copy_only=False) for i in (4, 5, 6)]
             same = ~open_
             same[1:] |= open_[:-1] & np.logical_and.reduce([k[1:] == k[:-1] for k in keys])
             same[0] |= last is not None and all(k[0] == x for k, x in zip(keys, last, strict=True))
             last = [k[-1] for k in keys] if open_[-1] else None
-            yield batch.select(["doc_id", "base", "mask"]).filter(pa.array(same))
+            yield batch.select(["row", "base", "mask"]).filter(pa.array(same))
 
     keys = ["anchor", "split", "window"]
-    spread = F.when(F.col("anchor").isNull(), F.xxhash64("doc_id", "base")).otherwise(F.xxhash64(*keys))
-    return seen.repartition(spread).sortWithinPartitions(*keys, "doc_id", "base").mapInArrow(run, "doc_id long, base long, mask long")
+    spread = F.when(F.col("anchor").isNull(), F.xxhash64("row", "base")).otherwise(F.xxhash64(*keys))
+    return seen.repartition(spread).sortWithinPartitions(*keys, "doc_id", "row", "base").mapInArrow(run, "row long, base long, mask long")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (maximal repeats as [start, end) in words) and kept (the other
+    """One row per row of docs: doc_id, n_words, spans (maximal repeats as [start, end) in words) and kept (the other
     words, joined by single spaces).
 
     A word goes if a window of min_words words that covers it also starts earlier, in a document of smaller doc_id or
-    before it in the same one. Null and empty texts have no words; shorter texts lose none. doc_id is taken as unique;
-    a row without doc_id keeps all its words and is not compared. Extra columns are ignored.
+    before it in the same one. Null and empty texts have no words; shorter texts lose none. Different texts with one
+    doc_id are documents of their own, in an order that depends on nothing but them (that of the rows' hashes). Of rows
+    alike in doc_id and text one loses what it would lose alone; the others lose all words, unless they are shorter than
+    a window. A row without doc_id keeps all its words and is not compared. Extra columns are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places = _repeated(_seeds(texts.filter("doc_id is not null"), min_words, seed_words)).groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    places = _repeated(_seeds(texts.filter("doc_id is not null"), min_words, seed_words)).groupBy("row").agg(F.array_distinct(F.collect_list("pos")).alias("places"))
     # both joins keep every text, so that they are the same exchange
-    extended = _extended(texts.join(places.hint("shuffle_hash"), "doc_id", "left"), min_words, seed_words)
-    repeats = _settled(_seen_before(extended)).groupBy("doc_id").agg(F.collect_list(F.struct("base", "mask")).alias("repeats"))
+    texts = texts.withColumn("copy", F.row_number().over(Window.partitionBy("row").orderBy("doc_id")))
+    extended = _extended(texts.join(places.hint("shuffle_hash"), "row", "left"), min_words, seed_words)
+    repeats = _settled(_seen_before(extended)).groupBy("row").agg(F.collect_list(F.struct("base", "mask")).alias("repeats"))
 
     def of(piece):
         out = {"doc_id": piece.column("doc_id"), "n_words": [], "spans": [], "kept": []}
-        for text, repeats in zip(_bytes(piece), piece.column("repeats"), strict=True):
+        again = pc.and_(pc.greater(piece.column("copy"), 1), pc.is_valid(piece.column("doc_id"))).to_pylist()
+        for text, repeats, copy in zip(_bytes(piece), piece.column("repeats"), again, strict=True):
             words, spans = text.split(), []
-            if repeats.is_valid:
+            if copy:
+                spans = [{"start": 0, "end": len(words)}] if len(words) >= min_words else []
+            elif repeats.is_valid:
                 change = np.zeros(len(words) + 1, np.int64)
                 base, mask = (repeats.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 s = np.concatenate([base[(mask >> i & 1).astype(bool)] + i for i in range(min_words - seed_words + 1)])
@@ -293,7 +302,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
             out["kept"].append(b" ".join(kept + words[at:] if spans else words).decode())
         return out
 
-    joined = texts.join(repeats.hint("shuffle_hash"), "doc_id", "left")
+    joined = texts.join(repeats.hint("shuffle_hash"), "row", "left")
     return map_texts(joined, of, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string")
 
 
