@@ -1,6 +1,6 @@
 """Purged and combinatorial cross-validation, out-of-sample paths, overfitting probability, verdicts.
 
-Returns are long: config_id, date, ret. Rows x splits is never formed for the selection: a split's statistics are sums
+Returns are long: config_id, date, ret, and where keys are given (a symbol, say) those too: each is judged by itself. Rows x splits is never formed for the selection: a split's statistics are sums
 over groups, so each configuration is reduced to a few sums a group once, and the split table, whose size is fixed by
 the numbers of groups, is joined to those.
 """
@@ -64,15 +64,15 @@ def combinatorial_splits(rows: DataFrame, groups: int, k: int, embargo: int) ->
     return dealt.select("split_id", "row", F.when(F.col("role") == "test", "test").when(late, "embargoed").otherwise("train").alias("role"))
 
 
-def group_sums(returns: DataFrame, groups: int, embargo: float = 0.0) -> DataFrame:
-    """config_id, grp: n, s, q (rows, sum, sum of squares), and hn, hs, hq of the group's first rows (its head), as many
+def group_sums(returns: DataFrame, groups: int, embargo: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, config_id, grp: n, s, q (rows, sum, sum of squares), and hn, hs, hq of the group's first rows (its head), as many
     as the embargo, a share of all rows, holds."""
-    w = series("config_id")
-    rows = returns.withColumn("grp", F.ntile(groups).over(w)).withColumn("emb", F.floor(F.count("*").over(Window.partitionBy("config_id")) * embargo))
-    head = F.row_number().over(Window.partitionBy("config_id", "grp").orderBy("date")) <= F.col("emb")
+    w = series(*keys, "config_id")
+    rows = returns.withColumn("grp", F.ntile(groups).over(w)).withColumn("emb", F.floor(F.count("*").over(Window.partitionBy(*keys, "config_id")) * embargo))
+    head = F.row_number().over(Window.partitionBy(*keys, "config_id", "grp").orderBy("date")) <= F.col("emb")
     rows = rows.withColumn("head", head)
     r, h = F.col("ret"), F.when(F.col("head"), F.col("ret"))
-    return rows.groupBy("config_id", "grp").agg(F.count("*").alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("q"), F.count(h).alias("hn"), F.coalesce(F.sum(h), F.lit(0.0)).alias("hs"), F.coalesce(F.sum(h * h), F.lit(0.0)).alias("hq"), F.max("emb").alias("emb"))
+    return rows.groupBy(*keys, "config_id", "grp").agg(F.count("*").alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("q"), F.count(h).alias("hn"), F.coalesce(F.sum(h), F.lit(0.0)).alias("hs"), F.coalesce(F.sum(h * h), F.lit(0.0)).alias("hq"), F.max("emb").alias("emb"))
 
 
 def sharpe_of_sums(n, s, q):
@@ -80,39 +80,39 @@ def sharpe_of_sums(n, s, q):
     return mean / (F.sqrt(F.greatest(q / n - mean * mean, F.lit(0.0))) + TINY)
 
 
-def selections(returns: DataFrame, groups: int = 10, k: int = 2, embargo: float = 0.01) -> DataFrame:
-    """split_id and the configuration with the best in-sample ratio (the first of equal ones); splits with fewer than 50
+def selections(returns: DataFrame, groups: int = 10, k: int = 2, embargo: float = 0.01, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, split_id and the configuration with the best in-sample ratio (the first of equal ones); splits with fewer than 50
     train rows are left out. Only the rows after a test group are embargoed; an embargo longer than a group is an error."""
     spark = returns.sparkSession
-    sums = group_sums(returns, groups, embargo).withColumn("n", F.when(F.col("emb") > F.col("n"), F.raise_error(F.lit("the embargo is longer than a group"))).otherwise(F.col("n")))
+    sums = group_sums(returns, groups, embargo, keys).withColumn("n", F.when(F.col("emb") > F.col("n"), F.raise_error(F.lit("the embargo is longer than a group"))).otherwise(F.col("n")))
     splits = split_table(spark, groups, k)
     before = splits.select("split_id", (F.col("grp") + 1).alias("grp"), (F.col("role") == "test").alias("after_test"))
     train = splits.join(before, ["split_id", "grp"], "left").filter("role = 'train'").select("split_id", "grp", F.coalesce("after_test", F.lit(False)).alias("after_test"))
     less = lambda c: F.sum(F.col(c) - F.when(F.col("after_test"), F.col(f"h{c}")).otherwise(0))
-    each = sums.join(F.broadcast(train), "grp").groupBy("split_id", "config_id").agg(less("n").alias("n"), less("s").alias("s"), less("q").alias("q"))
+    each = sums.join(F.broadcast(train), "grp").groupBy(*keys, "split_id", "config_id").agg(less("n").alias("n"), less("s").alias("s"), less("q").alias("q"))
     each = each.filter(F.col("n") >= LEAST_TRAIN).withColumn("score", sharpe_of_sums(F.col("n"), F.col("s"), F.col("q")))
-    first = F.row_number().over(Window.partitionBy("split_id").orderBy(F.desc("score"), "config_id"))
-    return each.withColumn("_rn", first).filter("_rn = 1").select("split_id", F.col("config_id").alias("selected"), "score")
+    first = F.row_number().over(Window.partitionBy(*keys, "split_id").orderBy(F.desc("score"), "config_id"))
+    return each.withColumn("_rn", first).filter("_rn = 1").select(*keys, "split_id", F.col("config_id").alias("selected"), "score")
 
 
 def selection_counts(selected: DataFrame) -> DataFrame:
     return selected.groupBy("selected").agg(F.count("*").alias("times"))
 
 
-def path_segments(selected: DataFrame, spark, groups: int = 10, k: int = 2) -> DataFrame:
-    """path, grp, selected: path p takes, in each group, the p-th split that tested it; paths lacking a group go."""
+def path_segments(selected: DataFrame, spark, groups: int = 10, k: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, path, grp, selected: path p takes, in each group, the p-th split that tested it; paths lacking a group go."""
     tested = split_table(spark, groups, k).filter("role = 'test'").join(selected, "split_id")
-    w = Window.partitionBy("grp").orderBy("split_id")
+    w = Window.partitionBy(*keys, "grp").orderBy("split_id")
     paths = tested.withColumn("path", F.row_number().over(w)).filter(F.col("path") <= n_paths(groups, k))
-    whole = F.count("*").over(Window.partitionBy("path"))
-    return paths.withColumn("_n", whole).filter(F.col("_n") == groups).select("path", "grp", "selected")
+    whole = F.count("*").over(Window.partitionBy(*keys, "path"))
+    return paths.withColumn("_n", whole).filter(F.col("_n") == groups).select(*keys, "path", "grp", "selected")
 
 
-def path_returns(returns: DataFrame, groups: int = 10, k: int = 2, embargo: float = 0.01) -> DataFrame:
-    """path, date, selected, ret of the out-of-sample paths."""
-    segments = path_segments(selections(returns, groups, k, embargo), returns.sparkSession, groups, k)
-    rows = returns.withColumn("grp", F.ntile(groups).over(series("config_id")))
-    return rows.join(segments, (rows["grp"] == segments["grp"]) & (rows["config_id"] == segments["selected"])).select("path", "date", "selected", "ret")
+def path_returns(returns: DataFrame, groups: int = 10, k: int = 2, embargo: float = 0.01, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, path, date, selected, ret of the out-of-sample paths."""
+    segments = path_segments(selections(returns, groups, k, embargo, keys), returns.sparkSession, groups, k, keys).withColumnRenamed("selected", "config_id")
+    rows = returns.withColumn("grp", F.ntile(groups).over(series(*keys, "config_id")))
+    return rows.join(segments, [*keys, "grp", "config_id"]).select(*keys, "path", "date", F.col("config_id").alias("selected"), "ret")
 
 
 def path_sharpes(returns: DataFrame, groups: int = 10, k: int = 2, embargo: float = 0.01) -> DataFrame:
@@ -120,17 +120,18 @@ def path_sharpes(returns: DataFrame, groups: int = 10, k: int = 2, embargo: floa
     return paths.groupBy("path").agg(F.count("*").alias("n"), (F.avg("ret") / (F.stddev_pop("ret") + TINY) * YEAR**0.5).alias("sharpe"))
 
 
-def _ratios(rows: DataFrame, ret: str, tag: str) -> DataFrame:
-    out = drawdowns(rows, ret, ("path",)).groupBy("path").agg(F.count("*").alias("_n"), F.coalesce(F.try_divide(F.avg(ret), F.stddev_pop(ret)) * YEAR**0.5, F.lit(0.0)).alias(f"sharpe_{tag}"), F.max("dd").alias(f"maxdd_{tag}"), F.product(1 + F.col(ret)).alias("_g"))
+def _ratios(rows: DataFrame, ret: str, tag: str, by: tuple[str, ...]) -> DataFrame:
+    out = drawdowns(rows, ret, by).groupBy(*by).agg(F.count("*").alias("_n"), F.coalesce(F.try_divide(F.avg(ret), F.stddev_pop(ret)) * YEAR**0.5, F.lit(0.0)).alias(f"sharpe_{tag}"), F.max("dd").alias(f"maxdd_{tag}"), F.product(1 + F.col(ret)).alias("_g"))
     growth = F.pow("_g", F.lit(float(YEAR)) / F.col("_n")) - 1
     return out.withColumn(f"calmar_{tag}", F.when(F.col(f"maxdd_{tag}") > 1e-9, growth / F.col(f"maxdd_{tag}"))).drop("_n", "_g")
 
 
-def paired_paths(returns: DataFrame, benchmark: DataFrame, groups: int = 10, k: int = 2, embargo: float = 0.01) -> DataFrame:
+def paired_paths(returns: DataFrame, benchmark: DataFrame, groups: int = 10, k: int = 2, embargo: float = 0.01, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per path: Sharpe, largest drawdown and Calmar of strategy (s) and benchmark (b), and the drawdown saved. A date
-    that the benchmark (date, bench) lacks counts as 0."""
-    rows = path_returns(returns, groups, k, embargo).join(benchmark, "date", "left").withColumn("bench", F.coalesce("bench", F.lit(0.0)))
-    return _ratios(rows, "ret", "s").join(_ratios(rows, "bench", "b"), "path").withColumn("d_maxdd", F.col("maxdd_b") - F.col("maxdd_s"))
+    that the benchmark (keys, date, bench) lacks counts as 0."""
+    by = (*keys, "path")
+    rows = path_returns(returns, groups, k, embargo, keys).join(benchmark, [*keys, "date"], "left").withColumn("bench", F.coalesce("bench", F.lit(0.0)))
+    return _ratios(rows, "ret", "s", by).join(_ratios(rows, "bench", "b", by), list(by)).withColumn("d_maxdd", F.col("maxdd_b") - F.col("maxdd_s"))
 
 
 def overfitting(returns: DataFrame, groups: int = 10) -> DataFrame:
@@ -164,10 +165,12 @@ def study_verdict(returns: DataFrame, trials: int = 20, dsr_gate: float = 0.95,
     return out.withColumn("status", F.when((F.col("dsr") > dsr_gate) & (F.col("pbo") < pbo_gate), "PASS").otherwise("REJECT"))
 
 
-def overlay_verdict(returns: DataFrame, benchmark: DataFrame, trials: int) -> DataFrame:
-    """One row: the full-sample best configuration, its deflated Sharpe, the distribution of the drawdown saved, and
-    whether its 5th percentile is above 0."""
-    best = performance(returns).orderBy(F.desc(F.coalesce("sharpe", F.lit(float("-inf")))), "config_id").limit(1).select("config_id")
-    dsr = deflated_sharpe(returns.join(F.broadcast(best), "config_id", "left_semi"), trials)
-    saved = distribution(paired_paths(returns, benchmark), "d_maxdd").select(F.col("n").alias("paths"), F.col("median").alias("saved_median"), F.col("p5").alias("saved_p5"), F.col("positive").alias("saved_share"))
-    return dsr.select("config_id", "sr", "sr0", "dsr").crossJoin(saved).withColumn("mandate", F.when(F.col("saved_p5") > 0, "PASS").otherwise("FAIL"))
+def overlay_verdict(returns: DataFrame, benchmark: DataFrame, trials: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """A row a key: the full-sample best configuration, its deflated Sharpe, the distribution of the drawdown saved, and
+    whether its 5th percentile is above 0. A key with no whole path has paths 0 and FAIL."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.coalesce("sharpe", F.lit(float("-inf")))), "config_id"))
+    best = performance(returns, (*keys, "config_id")).withColumn("_rn", first).filter("_rn = 1").select(*keys, "config_id")
+    dsr = deflated_sharpe(returns.join(F.broadcast(best), [*keys, "config_id"], "left_semi"), trials, (*keys, "config_id"))
+    saved = distribution(paired_paths(returns, benchmark, keys=keys), "d_maxdd", keys).select(*keys, F.col("n").alias("paths"), F.col("median").alias("saved_median"), F.col("p5").alias("saved_p5"), F.col("positive").alias("saved_share"))
+    out = dsr.select(*keys, "config_id", "sr", "sr0", "dsr").join(saved, list(keys), "left").withColumn("paths", F.coalesce("paths", F.lit(0)))
+    return out.withColumn("mandate", F.when(F.col("saved_p5") > 0, "PASS").otherwise("FAIL"))

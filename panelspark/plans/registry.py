@@ -633,11 +633,10 @@ def study_verdict(spark, sf_dir):
 
 @query()
 def overlay_gate(spark, sf_dir):
-    """The share ledger's configurations of the first symbol against holding it."""
+    """The share ledger's configurations of each symbol against holding it."""
     rows = settled(_ledger(spark, sf_dir), "ledger")
-    first = rows.agg(F.min("symbol").alias("symbol"))
-    returns = rows.join(F.broadcast(first), "symbol", "left_semi").select("config_id", "date", F.col("strat_ret").alias("ret"))
-    held = base(spark, sf_dir).join(F.broadcast(first), "symbol", "left_semi").select("date", F.coalesce("ret", F.lit(0.0)).alias("bench"))
+    returns = rows.select("symbol", "config_id", "date", F.col("strat_ret").alias("ret"))
+    held = base(spark, sf_dir).select("symbol", "date", F.coalesce("ret", F.lit(0.0)).alias("bench"))
     return tidy(validation.overlay_verdict(returns, held, len(OVERLAY_GRID)))
 
 
