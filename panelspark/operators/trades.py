@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.normal import erfi
+from panelspark.functions.normal import erfi, expected_max_sharpe, normal_cdf
 from panelspark.functions.windows import series
 from panelspark.operators.metrics import excess_kurtosis, skew
 from panelspark.operators.rolling import additive_drawdowns, average_range, ewm, ratio_zscore, spread_zscore
@@ -94,14 +94,24 @@ def leg_features(bars: DataFrame, p: SingleLeg = SingleLeg(), keys: tuple[str, .
     return out.withColumn("range", average_range(series(*keys, order="ts"), p.range_rows)).withColumn("i", F.row_number().over(series(*keys, order="ts")) - 1)
 
 
+def window_features(bars: DataFrame, windows: tuple[int, ...], p: SingleLeg = SingleLeg(), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """leg_features for each rolling window, told apart by rows. bars are read once a window."""
+    out = None
+    for k in windows:
+        part = leg_features(bars, replace(p, rows=k), keys).withColumn("rows", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def leg_trades(features: DataFrame, configs: DataFrame, use_trend: bool = True) -> DataFrame:
     """Long below -entry while above the trend, short above entry while below it; the stop lies range_mult ranges away
     and is hit within a bar at its price; else out when |z| reaches `stop`, or z crosses 0. One bid-ask a trade; r is
     the net over the stop's distance.
 
-    configs: config_id, entry, stop, range_mult, warmup (rows that are only watched).
+    configs: config_id, entry, stop, range_mult, warmup (rows that are only watched), and rows (the window of the features
+    to use) where features holds several.
     """
-    rows = features.crossJoin(F.broadcast(configs))
+    rows = features.join(F.broadcast(configs), "rows") if "rows" in features.columns else features.crossJoin(F.broadcast(configs))
 
     def machine(_):
         state = {"open": None, "n": 0}
@@ -162,6 +172,17 @@ def best_by_total(summary: DataFrame, least_trades: int = 30, top: int = 8) -> D
     return summary.filter(F.col("trades") >= least_trades).orderBy(F.desc("sum_r"), "symbol", "config_id").limit(top)
 
 
+def sweep_ranking(summary: DataFrame, trials: int, least_trades: int = 30, top: int = 8) -> DataFrame:
+    """Of each symbol, the configurations with enough trades and the largest total by rank; the best one has sr0 and dsr,
+    its deflated Sharpe a trade, with trials the number of configurations tried, too few trades or not."""
+    first = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("sum_r"), "config_id"))
+    best = summary.filter(F.col("trades") >= least_trades).withColumn("rank", first).filter(F.col("rank") <= top)
+    sr = F.col("sr_trade")
+    sd = F.sqrt(F.try_divide(1 - F.col("skew") * sr + (F.col("kurt") + 2) / 4 * sr * sr, (F.col("trades") - 1).cast("double")))
+    sr0 = F.when(F.col("rank") == 1, expected_max_sharpe(sd, F.lit(trials)))
+    return best.withColumn("_sd", sd).withColumn("sr0", sr0).withColumn("dsr", normal_cdf(F.try_divide(sr - F.col("sr0"), F.col("_sd")))).drop("_sd")
+
+
 #: Transaction-cost rates of an exchange-traded fund, delivery (fixed values).
 COSTS = {"brokerage": 0.0, "exchange": 0.0000307, "regulator": 0.000001, "tax_buy": 0.0, "tax_sell": 0.00001, "stamp_buy": 0.00015, "gst": 0.18, "depository_sell": 13.0}
 

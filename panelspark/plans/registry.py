@@ -64,8 +64,8 @@ def base(spark, sf_dir) -> DataFrame:
     return panel.with_returns(panel.common_history(damped(daily_bars(spark, sf_dir))))
 
 
-def hourly(spark, sf_dir) -> DataFrame:
-    return panel.resample(ticks(spark, sf_dir), "60 minutes", tie="event_id")
+def hourly(spark, sf_dir, every="60 minutes") -> DataFrame:
+    return panel.resample(ticks(spark, sf_dir), every, tie="event_id")
 
 
 # --- ingest and quality ------------------------------------------------------------------------------------------
@@ -220,8 +220,8 @@ def breakout_signal(spark, sf_dir):
     return tidy(base(spark, sf_dir).select("symbol", "date", roll.breakout("close", series("symbol"), signals.BREAKOUT).alias("signal")))
 
 
-def _legs(spark, sf_dir):
-    hours = hourly(spark, sf_dir)
+def _legs(spark, sf_dir, every="60 minutes"):
+    hours = hourly(spark, sf_dir, every)
     pairs = hours.select(F.col("symbol").alias("sym_a")).distinct().crossJoin(hours.select(F.col("symbol").alias("sym_b")).distinct()).filter("sym_a < sym_b")
     return panel.all_pairs(hours, pairs)
 
@@ -474,12 +474,15 @@ def pair_screen(spark, sf_dir):
     return tidy(trades.pair_summary(_pair_trades(spark, sf_dir)).orderBy(F.desc("net_pt")))
 
 
+def _leg_bars(spark, sf_dir, every="60 minutes"):
+    legs = _legs(spark, sf_dir, every).select(F.col("pair").alias("symbol"), "sym_a", "ts", "a", "b")
+    range_ = hourly(spark, sf_dir, every).select(F.col("symbol").alias("sym_a"), "ts", "high", "low")
+    return legs.join(range_, ["sym_a", "ts"]).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))
+
+
 def _leg_trades(spark, sf_dir):
-    legs = _legs(spark, sf_dir).select(F.col("pair").alias("symbol"), "sym_a", "ts", "a", "b")
-    range_ = hourly(spark, sf_dir).select(F.col("symbol").alias("sym_a"), "ts", "high", "low")
-    rows = legs.join(range_, ["sym_a", "ts"]).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))
     grid = [(f"z{z}/a{m}", z, 3.0, m, 120) for z in (1.5, 2.0, 2.5) for m in (0.5, 1.0, 3.5)]
-    return trades.leg_trades(trades.leg_features(rows, trades.SingleLeg(trend_span=60)), spark.createDataFrame(grid, "config_id string, entry double, stop double, range_mult double, warmup int"))
+    return trades.leg_trades(trades.leg_features(_leg_bars(spark, sf_dir), trades.SingleLeg(trend_span=60)), spark.createDataFrame(grid, "config_id string, entry double, stop double, range_mult double, warmup int"))
 
 
 @query()
@@ -497,9 +500,16 @@ def single_leg_by_side(spark, sf_dir):
     return tidy(trades.by_side(_leg_trades(spark, sf_dir)))
 
 
+SWEEP_WINDOWS = (40, 60, 90)
+SWEEP_GRID = [(f"z{z}/a{m}/w{k}", z, 3.0, m, 120, k) for z in (1.5, 2.0, 2.5) for m in (2.5, 3.5, 5.0) for k in SWEEP_WINDOWS]
+
+
 @query()
 def parameter_sweep(spark, sf_dir):
-    return tidy(trades.best_by_total(trades.risk_summary(_leg_trades(spark, sf_dir)), least_trades=3))
+    """Every entry x range multiple x window on 15-minute bars; the best configurations of each pair, the first one's Sharpe deflated."""
+    features = trades.window_features(settled(_leg_bars(spark, sf_dir, "15 minutes"), "legs"), SWEEP_WINDOWS, trades.SingleLeg(trend_span=60))
+    done = trades.leg_trades(features, spark.createDataFrame(SWEEP_GRID, "config_id string, entry double, stop double, range_mult double, warmup int, rows int"))
+    return tidy(trades.sweep_ranking(trades.risk_summary(settled(done, "sweep")), len(SWEEP_GRID)))
 
 
 RATIO = PAIRS + """, qt AS (SELECT pair, ts, a, b, a - CASE WHEN count(*) OVER w = 60 THEN avg(a / b) OVER w END * b AS spread FROM legs WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
@@ -628,7 +638,8 @@ def overfitting_probability(spark, sf_dir):
 
 @query()
 def study_verdict(spark, sf_dir):
-    return tidy(validation.study_verdict(settled(configs(spark, sf_dir), "configs")))
+    """The verdict on the trend study's grid: every vol target x sizing x signal set."""
+    return tidy(validation.study_verdict(settled(portfolio.trend_grid(base(spark, sf_dir)), "configs")))
 
 
 @query()
