@@ -1,10 +1,15 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the text's bytes cuts it into chunks, so passages that documents share become the same chunks
-wherever they stand. A task encodes each distinct chunk once and keeps it in a bounded cache, emptied when it ends. A cut may fall inside a word; the words at a join belong to neither chunk. The join is repaired by
-encoding the text from the last white space before it to the first after it, over as many chunks as that takes: at
-white space on both sides the encodings of chunk, join and whole text agree exactly, since the tokenizer never merges
-across it. Within a chunk, words come from a cache of encoded words, filled by the tokenizers library in bulk.
+wherever they stand. A task encodes each distinct chunk once and keeps it in a cache bounded in bytes. A cut may fall
+inside a word; the words at a join belong to neither chunk. A join is repaired by encoding it again with the last word
+of the chunk before and the first of the chunk after; if the ids of those two words come out at its ends as they are in
+the chunks, the ids between them are the join's, else more words are taken in on both sides, and at last the whole text.
+Within a chunk, words come from a cache of encoded words, filled by the tokenizers library in bulk.
+
+Encoding, decoding and digests are one pass in one Python worker, so a task slot holds one tokenizer and one set of
+caches. A chunk that several tasks meet is encoded by each of them (README has the measured share): sharing the ids
+would shuffle every document's pieces to spare that.
 """
 
 from __future__ import annotations
@@ -22,12 +27,17 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import map_texts
 
 #: A chunk has so many bytes on average: a power of two.
-CHUNK_BYTES = 512
-#: Entries of a cache's young half; when it is full it becomes the old half.
-CACHED_WORDS = 200_000
-CACHED_CHUNKS = 20_000
+CHUNK_BYTES = 1024
+#: Bytes of a cache's young half, its entries' overhead included; when it is full it becomes the old half.
+CACHED_WORDS = 24 << 20
+CACHED_CHUNKS = 12 << 20
+ENTRY_BYTES = 180
+#: Texts worked on at a time, in bytes.
+SLICE_BYTES = 1 << 20
 #: Words given to the library at once.
 BULK = 400
+#: Most words on either side that a join is encoded with before the whole text is.
+MARGIN = 3
 
 #: Latin-1 letters, lower case; digits; white space (fixed values of the tokenizer's pattern within Latin-1).
 LETTERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
@@ -44,24 +54,47 @@ GEAR = np.random.default_rng(1).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 class Cache:
-    """A dict of bounded size that keeps what is used: entries move from the old half to the young one when read."""
+    """A dict bounded in bytes that keeps what is used: entries move from the old half to the young one when read."""
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.young, self.old, self.size = {}, {}, 0
+
+    def turn(self) -> None:
+        """Between texts: a full young half becomes the old one."""
+        if self.size > self.most:
+            self.young, self.old, self.size = {}, self.young, 0
+
+    def add(self, keys: list, values: list) -> None:
+        self.young.update(zip(keys, values, strict=True))
+        self.size += sum(map(len, keys)) + sum(map(len, values)) + ENTRY_BYTES * len(keys)
 
     def missing(self, keys) -> list:
         """The keys that are in neither half; those found in the old half move to the young one."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        out = []
+        out, found = [], []
         for k in set(keys).difference(self.young):
-            if (v := self.old.get(k)) is None:
-                out.append(k)
-            else:
-                self.young[k] = v
+            (out if k not in self.old else found).append(k)
+        self.add(found, [self.old.pop(k) for k in found])
         return out
 
 
+class Chunk:
+    """An encoded chunk: what is before its first white space, the ids of its words (None: no white space), what follows
+    the last; and its first and last words, which the encoding of a join has to agree with."""
+
+    __slots__ = ("first", "head", "ids", "last", "tail")
+
+    def __init__(self, head: bytes, words: list[bytes] | None, tail: bytes, ids: bytes):
+        self.head, self.ids, self.tail = head, None if words is None else ids, tail
+        self.first, self.last = (words or [])[:MARGIN], (words or [])[-MARGIN:]
+
+    def __len__(self) -> int:
+        return len(self.head) + len(self.tail) + len(self.ids or b"") + 3 * ENTRY_BYTES
+
+
 class Vocabulary:
     """Tokens by id, without the tokenizer: all that decoding takes."""
 
@@ -93,10 +126,14 @@ class Encoder:
         self.ends = np.array([n.endswith(b"</w>") for n in vocabulary(path).names])
         self.words, self.others, self.chunks = Cache(CACHED_WORDS), Cache(CACHED_WORDS // 4), Cache(CACHED_CHUNKS)
 
+    def turn(self) -> None:
+        for cache in (self.words, self.others, self.chunks):
+            cache.turn()
+
     def forget(self) -> None:
         """Empty the caches, so that an idle Python worker holds little memory."""
         for cache in (self.words, self.others, self.chunks):
-            cache.young, cache.old = {}, {}
+            cache.clear()
 
     def direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -129,7 +166,6 @@ class Encoder:
                 single.add(w)
             else:
                 compound.append((w, pieces))
-        of = cache.young
         parts = {x for _, p in compound for x in p if x not in single}
         single.update(cache.missing(parts) if parts else ())
         single = list(single)
@@ -142,8 +178,9 @@ class Encoder:
                 found = [packed[i:j] for i, j in zip([0, *cut], cut, strict=False)]
             else:
                 found = [x.tobytes() for x in self.direct([p.decode("latin-1") for p in part])]
-            of.update(zip(part, found, strict=True))
-        of.update((w, b"".join([of[x] for x in p])) for w, p in compound)
+            cache.add(part, found)
+        of = cache.young
+        cache.add([w for w, _ in compound], [b"".join([of[x] for x in p]) for _, p in compound])
         return of
 
     def by_words(self, texts: list[bytes]) -> list[bytes]:
@@ -156,32 +193,60 @@ class Encoder:
             missing = self.others.missing(fragments)
             for at in range(0, len(missing), BULK):
                 part = missing[at : at + BULK]
-                self.others.young.update(zip(part, (x.tobytes() for x in self.direct([w.decode() for w in part])), strict=True))
+                self.others.add(part, [x.tobytes() for x in self.direct([w.decode() for w in part])])
             out[i] = b"".join([self.others.young[w] for w in fragments])
         return out
 
+    def short(self, texts: list[bytes]) -> list[bytes]:
+        """by_words() for texts that mostly are single words met before."""
+        out = [self.words.young.get(t.translate(LOWER)) if t.isascii() and b"<" not in t else None for t in texts]
+        open_ = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(open_, self.by_words([texts[i] for i in open_]), strict=True):
+            out[i] = ids
+        return out
+
     def by_chunks(self, texts: list[bytes]) -> list[bytes]:
         cut = [chunked(t) for t in texts]
         fresh = self.chunks.missing(itertools.chain.from_iterable(cut))
         split = [chunk_words(c) for c in fresh]
-        inner = self.by_words([b" ".join(words) if words else b"" for _, words, _ in split])
-        self.chunks.young.update((c, (head, None if words is None else ids, tail)) for c, (head, words, tail), ids in zip(fresh, split, inner, strict=True))
+        inner = self.by_words([b" ".join(words or ()) for _, words, _ in split])
+        self.chunks.add(fresh, [Chunk(*x, ids) for x, ids in zip(split, inner, strict=True)])
         known = self.chunks.young
-        plans, joins = [], []
+        plans = []
         for chunks in cut:
-            plan, pending = [], b""
-            for c in chunks:
-                head, ids, tail = known[c]
-                pending += head
-                if ids is not None:  # white space was met: the join before this chunk is complete
-                    plan += [pending, ids]
-                    joins.append(pending)
-                    pending = tail
-            plan += [pending, b""]
-            joins.append(pending)
-            plans.append(plan)
-        repaired = iter(self.by_words(joins))
-        return [b"".join([x for ids in p[1::2] for x in (next(repaired), ids)]) for p in plans]
+            plan, pending, last = [], b"", []
+            for c in map(known.__getitem__, chunks):
+                pending += c.head
+                if c.ids is not None:  # white space was met: the join before this chunk is complete
+                    plan += [(last, pending, c.first), c.ids]
+                    pending, last = c.tail, c.last
+            plans.append([*plan, (last, pending, [])])
+        repaired = iter(self.repaired([join for plan in plans for join in plan[::2]]))
+        out = []
+        for text, plan in zip(texts, plans, strict=True):
+            joins = [next(repaired) for _ in plan[::2]]
+            if None in joins:
+                out.append(self.direct([text.decode()])[0].tobytes())
+            else:
+                out.append(b"".join([x for pair in zip(joins, [*plan[1::2], b""], strict=True) for x in pair]))
+        return out
+
+    def repaired(self, joins: list[tuple[list[bytes], bytes, list[bytes]]]) -> list[bytes | None]:
+        """The ids of each join, given the words before and after it; None where they never came to agree."""
+        out: list[bytes | None] = [None if joint else b"" for _, joint, _ in joins]
+        open_ = [i for i, (_, joint, _) in enumerate(joins) if joint]
+        for width in range(1, MARGIN + 1):
+            before, after = ([b" ".join(w) for w in side] for side in ([joins[i][0][-width:] for i in open_], [joins[i][2][:width] for i in open_]))
+            spans = [b" ".join([x for x in (a, joins[i][1], z) if x]) for i, a, z in zip(open_, before, after, strict=True)]
+            distinct = list(dict.fromkeys(spans))
+            of = dict(zip(distinct, (x.tobytes() for x in self.direct([s.decode() for s in distinct])), strict=True))
+            for i, span, a, z in zip(open_, spans, self.short(before), self.short(after), strict=True):
+                ids = of[span]
+                if len(ids) >= len(a) + len(z) and ids.startswith(a) and ids.endswith(z):
+                    out[i] = ids[len(a) : len(ids) - len(z)]
+            if not (open_ := [i for i in open_ if out[i] is None]):
+                break
+        return out
 
 
 def chunked(text: bytes, average: int = CHUNK_BYTES) -> list[bytes]:
@@ -233,12 +298,17 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, tokenizer_path: str | None = None, reuse_chunks: bool = True, end_id: int | None = None) -> DataFrame:
-    """doc_id, n_tokens and ids (packed little-endian uint32) of every row's whole text; null is empty and has no ids.
+def coded(docs: DataFrame, columns: tuple[str, ...], tokenizer_path: str | None = None, reuse_chunks: bool = True, end_id: int | None = None) -> DataFrame:
+    """doc_id, n_tokens and the columns named, of every row's whole text; null is empty and has no ids:
+
+    ids             packed little-endian uint32
+    text            the ids decoded again
+    ids_sha256      of the decimal ids joined by single spaces, lower-case hex
+    decoded_sha256  of the decoded text in UTF-8
 
     end_id, if given, is appended to each. tokenizer_path is a file that every executor has, of a tokenizer that drops
-    white space, marks word ends and has no decoder. Rows that repeat a doc_id each give a row; extra columns are
-    ignored.
+    white space, marks word ends and has no decoder. Rows that repeat a doc_id each give a row, also those without one;
+    extra columns are ignored.
     """
     path = tokenizer_path or default_path()
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -246,10 +316,30 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, reuse_chunks: boo
     def of(piece):
         texts = [(t or "").encode("utf-8", "replace") for t in piece.column("text").to_pylist()]
         e = encoder(path)
-        ids = [x + tail for x in (e.by_chunks(texts) if reuse_chunks else e.by_words(texts))]
-        return {"doc_id": piece.column("doc_id"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+        e.turn()
+        packed = [x + tail for x in (e.by_chunks(texts) if reuse_chunks else e.by_words(texts))]
+        del texts
+        out = {"doc_id": piece.column("doc_id"), "n_tokens": [len(x) // 4 for x in packed]}
+        if "ids" in columns:
+            out["ids"] = packed
+        if "ids_sha256" in columns:
+            out["ids_sha256"] = [hashlib.sha256(b" ".join([b"%d" % i for i in np.frombuffer(x, "<u4").tolist()])).hexdigest() for x in packed]
+        if {"text", "decoded_sha256"} & set(columns):
+            said = [vocabulary(path).decode(np.frombuffer(x, "<u4")) for x in packed]
+            if "text" in columns:
+                out["text"] = [x.decode() for x in said]
+            if "decoded_sha256" in columns:
+                out["decoded_sha256"] = [hashlib.sha256(x).hexdigest() for x in said]
+        return out
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of, "doc_id long, n_tokens long, ids binary", finish=lambda: encoder(path).forget())
+    kinds = {"ids": "binary"}
+    schema = ", ".join(["doc_id long", "n_tokens long", *[f"{c} {kinds.get(c, 'string')}" for c in columns]])
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of, schema, chars=SLICE_BYTES, finish=lambda: encoder(path).forget())
+
+
+def encode(docs: DataFrame, tokenizer_path: str | None = None, **how) -> DataFrame:
+    """doc_id, n_tokens and ids of every row's whole text, as in coded()."""
+    return coded(docs, ("ids",), tokenizer_path, **how)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
@@ -260,17 +350,9 @@ def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         e = vocabulary(path)
         return {n: piece.column(n) for n in ("doc_id", "n_tokens", "ids")} | {"text": [e.decode(np.frombuffer(x, "<u4")).decode() for x in piece.column("ids").to_pylist()]}
 
-    return map_texts(encoded.select("doc_id", "n_tokens", "ids", F.lit("").alias("text")), of, "doc_id long, n_tokens long, ids binary, text string")
+    return map_texts(encoded.select("doc_id", "n_tokens", "ids"), of, "doc_id long, n_tokens long, ids binary, text string", column="ids")
 
 
-def digest(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the decimal ids and of the decoded text; decodes on the way."""
-    path = tokenizer_path or default_path()
-
-    def of(piece):
-        e = vocabulary(path)
-        ids = [np.frombuffer(x, "<u4") for x in piece.column("ids").to_pylist()]
-        said = [hashlib.sha256(b" ".join([b"%d" % i for i in x.tolist()])).hexdigest() for x in ids]
-        return {"doc_id": piece.column("doc_id"), "n_tokens": piece.column("n_tokens"), "ids_sha256": said, "decoded_sha256": [hashlib.sha256(e.decode(x)).hexdigest() for x in ids]}
-
-    return map_texts(encoded.select("doc_id", "n_tokens", "ids"), of, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", column="ids")
+def digest(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids of every row's whole text and of what they decode to."""
+    return coded(docs, ("ids_sha256", "decoded_sha256"), tokenizer_path)

@@ -23,24 +23,54 @@ BATCH_BYTES = 4 << 20
 BATCH_KEY, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
+_own: dict[str, str] = {}
+_tables: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one if driver and executors
+    are one process (tests), else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="panelspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="panelspark-")
+        _own[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables through Hadoop's file systems, whatever store they are in."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        tables = _tables.get(spark.sparkContext.applicationId, [])
+        if path in tables:
+            tables.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that this subpackage has written in this application and not deleted yet: to be called when
+    the results have been stored elsewhere, as lazy results read these tables."""
+    delete(spark, *list(_tables.get(spark.sparkContext.applicationId, [])))
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """written(), and the table's path."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
+    return written_at(df, name)[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,9 +101,9 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
-def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text", finish: Callable[[], None] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text", chars: int = SLICE_CHARS, finish: Callable[[], None] | None = None) -> DataFrame:
     """Apply function to slices of df, cut by the bytes of a column; it returns the output columns as a dict. finish is
-    called at the end of a task."""
+    called at the end of a task, which gives unused memory back to the system."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
@@ -81,11 +111,12 @@ def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema:
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, column):
+            for piece in slices(batch, column, chars):
                 got = function(piece)
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
         if finish is not None:
             finish()
+        pa.default_memory_pool().release_unused()
 
     bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ def op1_embedding_dedup(spark, sf_dir):
 
 
 def op2_bpe(spark, sf_dir):
-    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents")))
+    return bpe.digest(table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark, sf_dir):

@@ -84,12 +84,14 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer_path: str | None
                     fs.create_dir(root)
                     out = fs.open_output_stream(f"{name}.{mine}")
                 texts = [(t or "").encode("utf-8", "replace") for t in piece.column("text").to_pylist()]
+                encoder(path).turn()
                 for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoder(path).by_words(texts), strict=True):
                     ids = np.frombuffer(ids + tail, "<u4")
                     record = frame(doc_id, ids)
                     out.write(record)
                     index.append((doc_id, at, len(ids)))
                     at, n_ids = at + len(record), n_ids + len(ids)
+        encoder(path).forget()
         if out is not None:
             out.close()
             with fs.open_output_stream(f"{name}.index.{mine}") as f:
