@@ -1,10 +1,12 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame operations only.
 
 A text is cut after every word whose hash falls on a fixed residue, so equal passages are cut alike wherever they
-stand. Each chunk gets its 64-bit hash as identifier; a dictionary of the distinct (hash, chunk) pairs verifies that
-no two chunks share one. Documents are then compared by their ordered identifier lists alone: the dictionary is the
-only step that moves text, each distinct chunk once a map task, and a long document is never moved as a whole.
-Should two chunks ever share a hash, the documents that hold either are told apart by their SHA-256 as well.
+stand. Each chunk gets its 64-bit hash as identifier, and texts are read a single time: a document becomes the ordered
+list of its chunks' identifiers and of their SHA-256 digests. An identifier is verified when all chunks that have it, in
+the whole table, share one digest; documents are then compared by their ordered identifier lists alone, and no text is
+moved. Should two chunks ever share an identifier, the documents that hold either are told apart by their text's
+SHA-256 as well. Groups are written before the documents are joined to them, so that both sides of that join are plain
+exchanges and adaptive execution can split a group of very many copies over tasks.
 """
 
 from __future__ import annotations
@@ -39,28 +41,31 @@ def chunks_of(norm: Column, words_per_chunk: int = WORDS_PER_CHUNK) -> Column:
     return once(F.split(norm, " "), cut)
 
 
-def with_chunks(docs: DataFrame, words_per_chunk: int = WORDS_PER_CHUNK) -> DataFrame:
-    """doc_id, text_sha256 and the chunks of each document."""
-    return docs.select("doc_id", once(normalised(F.col("text")), lambda n: F.struct(F.sha2(n.cast("binary"), 256).alias("text_sha256"), chunks_of(n, words_per_chunk).alias("chunks"))).alias("x")).select("doc_id", "x.text_sha256", "x.chunks")
+def recipes_of(docs: DataFrame, words_per_chunk: int = WORDS_PER_CHUNK) -> DataFrame:
+    """doc_id, text_sha256, recipe (the chunks' identifiers in order) and digests (their SHA-256 in the same order)."""
+    listed = lambda n: once(chunks_of(n, words_per_chunk), lambda c: F.struct(F.transform(c, lambda x: F.xxhash64(x)).alias("recipe"), F.transform(c, lambda x: F.unhex(F.sha2(x.cast("binary"), 256))).alias("digests")))
+    both = once(normalised(F.col("text")), lambda n: F.struct(F.sha2(n.cast("binary"), 256).alias("text_sha256"), listed(n).alias("c")))
+    return docs.select("doc_id", both.alias("x")).select("doc_id", "x.text_sha256", "x.c.recipe", "x.c.digests")
 
 
-def conflicts(chunked: DataFrame) -> DataFrame:
-    """Identifiers that stand for more than one chunk text: none, but for a hash collision."""
-    chunk = chunked.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("id"), "chunk")
-    return chunk.groupBy("id", "chunk").agg(F.lit(1).alias("one")).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+def conflicts(recipes: DataFrame) -> DataFrame:
+    """Identifiers that stand for more than one chunk: none, but for a hash collision."""
+    pairs = recipes.select(F.explode(F.arrays_zip("recipe", "digests")).alias("c")).select(F.col("c.recipe").alias("id"), F.col("c.digests").alias("digest"))
+    return pairs.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("id")
 
 
 def exact_groups(docs: DataFrame, words_per_chunk: int = WORDS_PER_CHUNK) -> DataFrame:
     """One row per document: doc_id, keep_id (smallest doc_id of equal texts), group_size, kept, text_sha256.
 
     Null and empty texts are equal to each other; a text of white space only equals a single space. Rows that repeat
-    a doc_id each count in group_size and are all kept or dropped alike. Extra columns are ignored; no rows in, none
-    out.
+    a doc_id each count in group_size and are all kept or dropped alike; a row without doc_id counts, but is never the one
+    that stays unless all of its group are, when keep_id is null and kept is true for each. Extra columns are ignored; no
+    rows in, none out.
     """
-    chunked = with_chunks(docs, words_per_chunk)
-    clash = written(conflicts(chunked), "chunk-conflicts")
-    recipes = written(chunked.select("doc_id", "text_sha256", F.transform("chunks", lambda c: F.xxhash64(c)).alias("recipe")), "recipes")
-    doubtful = recipes.select("text_sha256", F.explode("recipe").alias("id")).join(clash, "id", "left_semi").select("text_sha256").distinct().withColumn("apart", F.col("text_sha256"))
-    keyed = recipes.join(doubtful, "text_sha256", "left").withColumn("apart", F.coalesce("apart", F.lit("")))
-    groups = keyed.groupBy("recipe", "apart").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return keyed.join(groups, ["recipe", "apart"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    recipes = written(recipes_of(docs, words_per_chunk), "recipes")
+    clash = written(conflicts(recipes), "chunk-conflicts")
+    plain = recipes.select("doc_id", "text_sha256", "recipe")
+    doubtful = plain.select("text_sha256", F.explode("recipe").alias("id")).join(clash, "id", "left_semi").select("text_sha256").distinct().withColumn("apart", F.col("text_sha256"))
+    keyed = plain.join(doubtful, "text_sha256", "left").withColumn("apart", F.coalesce("apart", F.lit("")))
+    groups = written(keyed.groupBy("recipe", "apart").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")
+    return keyed.join(groups, ["recipe", "apart"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
