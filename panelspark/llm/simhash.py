@@ -133,10 +133,12 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fp and component_id, the smallest doc_id that links within the radius lead to.
 
     Texts without words (null, empty, white space) have fingerprint 0 and link like any other. Rows that repeat a
-    doc_id each give a row. Extra columns are ignored.
+    doc_id each give a row. A row without doc_id gives no links: it has the component of the rows with its fingerprint,
+    or null where all of those lack a doc_id. Extra columns are ignored.
     """
     prints = written(fingerprints(docs), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "distinct-fingerprints")
     grouped = components(links(distinct, radius), "a", "b")
-    of = distinct.join(grouped, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    # written first, so that both sides of the last join are plain exchanges and a very common fingerprint can be split
+    of = written(distinct.join(grouped, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "fingerprint-components")
+    return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
