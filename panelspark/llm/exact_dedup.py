@@ -42,10 +42,10 @@ def chunks_of(norm: Column, words_per_chunk: int = WORDS_PER_CHUNK) -> Column:
 
 
 def recipes_of(docs: DataFrame, words_per_chunk: int = WORDS_PER_CHUNK) -> DataFrame:
-    """doc_id, text_sha256, recipe (the chunks' identifiers in order) and digests (their SHA-256 in the same order)."""
+    """doc_id, text_hash (of the text as it is), text_sha256, recipe (the chunks' identifiers in order) and digests (their SHA-256 in the same order)."""
     listed = lambda n: once(chunks_of(n, words_per_chunk), lambda c: F.struct(F.transform(c, lambda x: F.xxhash64(x)).alias("recipe"), F.transform(c, lambda x: F.unhex(F.sha2(x.cast("binary"), 256))).alias("digests")))
     both = once(normalised(F.col("text")), lambda n: F.struct(F.sha2(n.cast("binary"), 256).alias("text_sha256"), listed(n).alias("c")))
-    return docs.select("doc_id", both.alias("x")).select("doc_id", "x.text_sha256", "x.c.recipe", "x.c.digests")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), both.alias("x")).select("doc_id", "text_hash", "x.text_sha256", "x.c.recipe", "x.c.digests")
 
 
 def conflicts(recipes: DataFrame) -> DataFrame:
@@ -55,7 +55,8 @@ def conflicts(recipes: DataFrame) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, words_per_chunk: int = WORDS_PER_CHUNK) -> DataFrame:
-    """One row per document: doc_id, keep_id (smallest doc_id of equal texts), group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id (smallest doc_id of equal texts), group_size, kept, text_sha256, and
+    text_hash, which tells rows of one doc_id apart.
 
     Null and empty texts are equal to each other; a text of white space only equals a single space. Rows that repeat
     a doc_id each count in group_size and are all kept or dropped alike; a row without doc_id counts, but is never the one
@@ -64,8 +65,8 @@ def exact_groups(docs: DataFrame, words_per_chunk: int = WORDS_PER_CHUNK) -> Dat
     """
     recipes = written(recipes_of(docs, words_per_chunk), "recipes")
     clash = written(conflicts(recipes), "chunk-conflicts")
-    plain = recipes.select("doc_id", "text_sha256", "recipe")
+    plain = recipes.select("doc_id", "text_hash", "text_sha256", "recipe")
     doubtful = plain.select("text_sha256", F.explode("recipe").alias("id")).join(clash, "id", "left_semi").select("text_sha256").distinct().withColumn("apart", F.col("text_sha256"))
     keyed = plain.join(doubtful, "text_sha256", "left").withColumn("apart", F.coalesce("apart", F.lit("")))
     groups = written(keyed.groupBy("recipe", "apart").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")
-    return keyed.join(groups, ["recipe", "apart"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return keyed.join(groups, ["recipe", "apart"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_hash")

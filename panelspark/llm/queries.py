@@ -9,7 +9,7 @@ from panelspark.llm.common import table
 
 
 def op8_exact_dedup(spark, sf_dir):
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op1_embedding_dedup(spark, sf_dir):
@@ -68,10 +68,26 @@ ORACLE_SQL = {
                      CASE WHEN o.k < f.k OR f.k IS NULL THEN CAST(3 * o.source_size AS DOUBLE) ELSE CAST(f.open_size * o.w AS DOUBLE) / CAST(f.open_w AS DOUBLE) END AS target,
                      CAST(CASE WHEN o.k < f.k OR f.k IS NULL THEN 3 * o.source_size ELSE (f.open_size * o.w) // f.open_w END AS BIGINT) AS whole
               FROM o, f),
-        p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.whole,
+        p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.whole,
                      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_word
-              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        e AS (SELECT source, source_size, whole, CAST(ceil(source_size / 1024) AS BIGINT) AS blocks, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM t),
+        q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(whole // greatest(source_size, 1) * blocks + ceil((whole % greatest(source_size, 1)) / 1024) AS BIGINT) ELSE 0 END AS quota FROM e),
+        u AS (SELECT *, CAST(sum(quota) OVER (ORDER BY no) AS HUGEINT) AS cum, CAST(sum(quota) OVER () AS HUGEINT) AS total, count(*) OVER () AS n_sources FROM q),
+        g AS (SELECT *, CASE WHEN cum < total THEN cum * 18446744073709551616 // total ELSE 18446744073709551615 END AS edge FROM u),
+        i AS (SELECT slot, (CAST(slot AS HUGEINT) * 11400714819323198485) % 18446744073709551616 AS point FROM (SELECT unnest(range((SELECT CAST(max(total) AS BIGINT) FROM g))) AS slot)),
+        j AS (SELECT slot, least((SELECT count(*) FROM g WHERE edge <= point), (SELECT count(*) - 1 FROM g)) AS no FROM i),
+        k AS (SELECT slot, no, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS rank FROM j),
+        n AS (SELECT g.no, g.quota, g.total, g.n_sources, count(k.slot) AS golden FROM g LEFT JOIN k ON k.no = g.no GROUP BY ALL),
+        z AS (SELECT k.slot, k.no, k.rank FROM k JOIN g ON g.no = k.no AND k.rank < g.quota
+              UNION ALL SELECT CAST(total AS BIGINT) + r * n_sources + no, no, r FROM (SELECT *, unnest(range(golden, quota)) AS r FROM n)),
+        x AS (SELECT p.doc_id, p.size, p.source_size, p.target, p.whole, p.first_word, q.no, p.first_word // 1024 AS b0, (p.first_word + p.size - 1) // 1024 AS b1, row_number() OVER () AS row_no
+              FROM p JOIN q ON q.source IS NOT DISTINCT FROM p.source),
+        y AS (SELECT row_no, min(slot) FILTER (WHERE turn = 0) AS first_slot, count(*) AS n_slots
+              FROM (SELECT x.row_no, z.slot, c.turn FROM (SELECT *, unnest(range(CAST(b0 AS BIGINT), CAST(b1 AS BIGINT) + 1)) AS b FROM x WHERE size > 0) x, (VALUES (0), (1), (2)) c(turn), z
+                    WHERE c.turn * x.source_size + greatest(x.first_word, x.b * 1024) < x.whole AND z.no = x.no AND z.rank = c.turn * CAST(ceil(x.source_size / 1024) AS BIGINT) + x.b) GROUP BY row_no)
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-               CAST(CASE WHEN source_size = 0 THEN 0 ELSE (whole // greatest(source_size, 1)) * size + greatest(0, least(first_word + size, whole % greatest(source_size, 1)) - first_word) END AS BIGINT) AS taken
-        FROM p""",
+               CAST(CASE WHEN source_size = 0 THEN 0 ELSE (whole // greatest(source_size, 1)) * size + greatest(0, least(first_word + size, whole % greatest(source_size, 1)) - first_word) END AS BIGINT) AS taken,
+               CAST(y.first_slot AS BIGINT) AS first_slot, CAST(coalesce(y.n_slots, 0) AS BIGINT) AS n_slots
+        FROM x LEFT JOIN y USING (row_no)""",
 }

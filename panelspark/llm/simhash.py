@@ -52,13 +52,13 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+    """doc_id, its fingerprint as a signed long, and text_hash, which tells rows of one doc_id apart."""
 
     def of(piece):
         found = np.array([fingerprint(shingle_hashes(t)) for t in piece.column("text").to_pylist()], np.uint64)
-        return {"doc_id": piece.column("doc_id"), "fp": found.view(np.int64)}
+        return {"doc_id": piece.column("doc_id"), "fp": found.view(np.int64), "text_hash": piece.column("text_hash")}
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of, "doc_id long, fp long")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")), of, "doc_id long, fp long, text_hash long")
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -130,7 +130,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fp and component_id, the smallest doc_id that links within the radius lead to.
+    """One row per document: doc_id, fp, component_id (the smallest doc_id that links within the radius lead to) and
+    text_hash.
 
     Texts without words (null, empty, white space) have fingerprint 0 and link like any other. Rows that repeat a
     doc_id each give a row. A row without doc_id gives no links: it has the component of the rows with its fingerprint,
@@ -141,4 +142,4 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     grouped = components(links(distinct, radius), "a", "b")
     # written first, so that both sides of the last join are plain exchanges and a very common fingerprint can be split
     of = written(distinct.join(grouped, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "fingerprint-components")
-    return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id", "text_hash")
