@@ -6,7 +6,8 @@ again as the next stage's documents. All stages but the last return the columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from panelspark.llm import bpe, exact_dedup, language_id, mixing, simhash
 from panelspark.llm.common import table, written
@@ -15,9 +16,27 @@ from panelspark.llm.common import table, written
 LEAST_SCORE = 0.4
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less the rows with a dropped doc_id; rows without doc_id stay."""
-    return docs.join(dropped.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+def matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs joined (left_semi or left_anti) with keys (doc_id, text_hash): rows of one doc_id, or none, are told apart by
+    their text."""
+    keys = keys.select(F.col("doc_id").alias("_key_id"), F.col("text_hash").alias("_key_hash"))
+    return docs.join(keys.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keys["_key_id"]) & (F.xxhash64(docs["text"]) == keys["_key_hash"]), how)
+
+
+def one_of_each(docs: DataFrame, decided: DataFrame, *group: Column) -> DataFrame:
+    """The row of docs that each group keeps. decided: doc_id, text_hash and kept of every row; where a group keeps several
+    rows, as they share a doc_id, the one with the smallest text_hash stays, and of rows alike in both any one."""
+    decided = written(decided.select("doc_id", "text_hash", "kept", *[g.alias(f"_g{i}") for i, g in enumerate(group)]), "decided")
+    names = [f"_g{i}" for i in range(len(group))]
+    ties = written(decided.filter("kept").groupBy(*names).agg(F.count("*").alias("_n"), F.min("text_hash").alias("_first")).filter("_n > 1").drop("_n"), "ties")
+    if ties.isEmpty():
+        return matched(docs, decided.filter("not kept").distinct(), "left_anti")
+    decided = decided.join(ties, names, "left").withColumn("kept", F.col("kept") & (F.col("_first").isNull() | (F.col("text_hash") == F.col("_first"))))
+    alike = decided.filter("kept and _first is not null").distinct()
+    gone = decided.filter("not kept").select("doc_id", "text_hash").unionByName(alike.select("doc_id", "text_hash")).distinct()
+    number = F.row_number().over(Window.partitionBy(docs["doc_id"], F.xxhash64(docs["text"])).orderBy(docs["doc_id"]))
+    once = matched(docs, alike, "left_semi").withColumn("_key_number", number).filter("_key_number = 1").drop("_key_number")
+    return matched(docs, gone, "left_anti").unionByName(once)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,17 +45,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of equal texts stays."""
-    return without(docs, written(exact_dedup.exact_groups(docs).filter("not kept").select("doc_id"), "copies"))
+    """One row of each group of equal texts stays, that of the smallest doc_id; rows without doc_id stay only where no
+    row of their group has one."""
+    return one_of_each(docs, exact_dedup.exact_groups(docs), F.col("text_sha256"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of linked fingerprints stays."""
-    return without(docs, written(simhash.near_groups(docs).filter("doc_id <> component_id").select("doc_id"), "near-copies"))
+    """One row of each group of linked fingerprints stays, that of the smallest doc_id; rows without doc_id stay only
+    where no row with their fingerprint has one."""
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return one_of_each(docs, simhash.near_groups(docs).withColumn("kept", kept), F.col("component_id").isNull(), F.coalesce("component_id", "fp"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number; often not at all."""
+    """Each document as often as the mix takes it, to the nearest whole number (often not at all), in the order of the
+    schedule's slots."""
     return mixing.mixed_documents(docs)
 
 
