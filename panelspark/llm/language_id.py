@@ -3,12 +3,14 @@
 Each language has a codeword of bits; one binary classifier over hashed character n-grams predicts each bit. A text
 goes to the language whose codeword has the smallest loss under the predicted margins, each bit weighted by how well
 its classifier separates the training rows; a text whose best two codewords lie close together is flagged ambiguous.
-The model is fitted in numpy on a bounded sample of labelled rows, every text is then scored whole, in its own task.
+The model is fitted in numpy, in one task, on a bounded sample of labelled rows; the driver gets the fitted weights
+only. Every text is then scored whole, in its own task.
 """
 
 from __future__ import annotations
 
 import itertools
+import pickle
 import re
 from dataclasses import dataclass
 
@@ -102,8 +104,9 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
         a = x[rows] * w
         k = (a @ a.T + w * w.T).astype(np.float64)
         k[np.diag_indices_from(k)] += RIDGE
+        del a  # as large as x: made again rather than held while the system is solved
         dual = np.linalg.solve(k, code[y[rows]] * weight[rows])
-        return a.T @ dual.astype(np.float32), (weight[rows].T @ dual)[0]
+        return (x[rows] * w).T @ dual.astype(np.float32), (weight[rows].T @ dual)[0]
 
     half = np.arange(len(y)) % 2 == 0
     if len(y) >= 4 and len(languages) > 1:
@@ -123,7 +126,7 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, folds: int = 5, held_
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    each, parts = max_rows // len(counts), 1 << 20
+    each, parts = max(1, max_rows // len(counts)), 1 << 20
     pick = F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(parts))
     wanted = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(parts, -(-each * parts // n)))) for k, n in counts.items()])
 
@@ -131,13 +134,19 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, folds: int = 5, held_
         lang, text = piece.column("lang").to_pylist(), piece.column("text").to_pylist()
         return {"lang": lang, "x": [features(t).astype(np.float16).tobytes() for t in text]}
 
-    rows = map_texts(labelled.filter(pick < wanted).select("lang", "text"), of, "lang string, x binary").collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x, lang = np.empty((len(rows), BUCKETS), np.float32), [r["lang"] for r in rows]
-    for i, r in enumerate(rows):
-        x[i] = np.frombuffer(r["x"], np.float16)
-    del rows
-    return fit(x, lang)
+    def learn(batches):
+        rows = sorted((r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), key=lambda r: r)
+        if rows:
+            x = np.empty((len(rows), BUCKETS), np.float32)
+            for i, (_, packed) in enumerate(rows):
+                x[i] = np.frombuffer(packed, np.float16)
+            lang = [k for k, _ in rows]
+            del rows
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(x, lang))]})
+
+    sample = map_texts(labelled.filter(pick < wanted).select("lang", "text"), of, "lang string, x binary")
+    fitted = sample.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(fitted[0]["model"]) if fitted else None
 
 
 def predict(docs: DataFrame, model: Model | None, threshold: float = AMBIGUOUS) -> DataFrame:
