@@ -111,16 +111,22 @@ def test_embeddings(spark, monkeypatch):
     v = [[float(np.float32(x)) for x in row] for row in v]
     rows = [(i, x, i % 2) for i, x in enumerate(v)] + [(900 + i, v[0], 0) for i in range(3)]
     rows += [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] * 16, 0), (1003, [1.0, None] * 8, 0), (1004, v[0], None), (1005, [], 0), (1006, v[0][:4], 0), (1007, [float("inf")] * 16, 1)]
+    rows += [(None, v[0], 0), (3, v[3], 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, links string")
-    good = [r for r in rows if r[0] < 1000]
+    good = [r for r in rows if r[0] is not None and r[0] < 1000]
     x = embedding_dedup.unit(np.array([r[1] for r in good]))
     near = (x @ x.T >= 0.98) & (np.array([r[2] for r in good])[:, None] == np.array([r[2] for r in good]))
     comp = brute_components([r[0] for r in good], near)
-    want = {r[0]: (int(near[i].sum()) - 1, comp[i]) for i, r in enumerate(good)} | {i: (0, i) for i in range(1000, 1008)}
+    want = {r[0]: (int(near[i].sum()) - 1, comp[i]) for i, r in enumerate(good)} | {i: (0, i) for i in range(1000, 1008)} | {None: (0, None)}
     check = lambda: {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_groups(df).collect()}
     assert check() == want
     monkeypatch.setattr(embedding_dedup, "SHARD_NODES", 15)
     assert check() == want
     monkeypatch.setattr(embedding_dedup, "SHARD_LIMIT", 8)
     assert check() == want
+    monkeypatch.setattr(embedding_dedup, "MAX_CENTRES", 2)  # cells first, and blocks of their nodes
+    monkeypatch.setattr(embedding_dedup, "CELL_BLOCK", 9)
+    assert check() == want
+    monkeypatch.setattr(embedding_dedup, "LEAST_RECALL", 1.5)  # everything compared
+    assert check() == want
     assert embedding_dedup.near_groups(df.limit(0)).count() == 0
