@@ -2,12 +2,13 @@
 
 Seeds: of the `seed_words`-word runs within each window of `min_words` words, the one with the smallest hash is its
 anchor (winnowing), so equal windows have the same anchor at the same place, and about one word in seven is an anchor.
-Anchors are joined on their hash; those that occur once end there. Extension: every occurrence left is extended both
-ways, through each split of the words still missing between its left and its right, to windows of the full length;
-within an anchor's occurrences, in order of document and position, a window that has been seen is a repeat (those seen
-within the same task are marked there, so that a very frequent passage is not sent to one task as a whole). This finds
-what extending every pair would find, with work in proportion to the occurrences. Covered words merge into maximal
-repeats. Texts are shuffled once, by row, and the two joins with them share that exchange.
+Anchors are joined on their hash; those that occur once end there. Extension: every occurrence left brings the words
+around it and is extended both ways, through each split of the words still missing between its left and its right, to
+windows of the full length; within an anchor's occurrences, in order of document and position, a window that has been
+seen is a repeat (those seen within the same task are marked there, so that a very frequent passage is not sent to one
+task as a whole). Hashes only bring windows together: a window counts as seen when all of its words are equal to those
+of an earlier one. This finds what extending every pair would find, with work in proportion to the occurrences. Covered
+words merge into maximal repeats. Texts are shuffled once, by row, and the two joins with them share that exchange.
 
 A row is known by a 64-bit hash of its doc_id and text, as rows may share a doc_id. Rows alike in both are numbered: the
 first of them is extended, the others repeat it from end to end.
@@ -28,7 +29,7 @@ MIN_WORDS = 20
 SPLITS = 62
 SEED_WORDS = 8
 #: Occurrences of one anchor that a task holds at a time; anchors with more are dealt out by window.
-MOST_HELD = 200_000
+MOST_HELD = 20_000
 
 #: Odd multipliers, a value for each byte, and the finisher's multipliers (any fixed values do).
 BASE = 0xD6E8FEB86659FD93
@@ -86,6 +87,40 @@ def run_hashes(words: np.ndarray, n: int, multiplier: int) -> np.ndarray:
     return finished(h)
 
 
+def numbered(texts: list[bytes]) -> np.ndarray:
+    """A number for every word of the texts: equal words, and no others, have the same."""
+    words = b" ".join(texts).split()
+    of = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return np.fromiter(map(of.__getitem__, words), np.int64, len(words))
+
+
+def seen_before(start: np.ndarray, keys: list[np.ndarray], words: np.ndarray, n: int) -> np.ndarray:
+    """Which windows (n words from start) have the words of an earlier one with the same keys, a hash of the window among
+    them. The hash brings windows together; whether they are equal is decided on their words."""
+    order = np.lexsort((np.arange(len(start)), *keys))
+    alike = np.zeros(len(start), bool)
+    alike[1:] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys])
+    same = np.empty(len(start), bool)
+    for at in range(0, len(start), 100_000):
+        pairs = np.flatnonzero(alike[at : at + 100_000]) + at
+        a, b = start[order[pairs]], start[order[pairs - 1]]
+        equal = np.ones(len(pairs), bool)
+        for k in range(n):
+            equal &= words[a + k] == words[b + k]
+        same[pairs] = equal
+    out = np.zeros(len(start), bool)
+    out[order[alike]] = True
+    if not same[alike].all():  # different words with one hash: those stretches are gone through by their words
+        stretch = np.cumsum(~alike)
+        for s in np.unique(stretch[alike & ~same]):
+            met = set()
+            for i in order[stretch == s]:
+                window = words[start[i] : start[i] + n].tobytes()
+                out[i] = window in met
+                met.add(window)
+    return out
+
+
 def anchors(texts: list[bytes], min_words: int, seed_words: int):
     """Of the texts' windows that lie within one text: the text's number, the window's first word in it, its hash, its
     anchor's hash and first word in the text."""
@@ -163,19 +198,21 @@ def _repeated(seeds: DataFrame) -> DataFrame:
     return seeds.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, pos long")
 
 
-EXTENDED = "key long, doc_id long, row long, pos long, back long, mask long, done long, windows binary"
+EXTENDED = "key long, doc_id long, row long, pos long, back long, mask long, done long, around binary"
 
 
 def _extended(with_places: DataFrame, min_words: int, seed_words: int) -> DataFrame:
     """The windows of the anchors at the places listed with each text. A row (done = 0): key (the anchor), doc_id, row, pos,
-    back (words from its first window to the anchor), mask (which of its windows) and their hashes. A window that the
-    same slice of texts has earlier is a repeat for sure: such are taken out into rows with done = 1, dealt out evenly."""
+    back (words from its first window to the anchor), mask (which of its windows) and the text around it, from the first
+    window's first word to the last one's last. A window that the same slice of texts has earlier is a repeat for sure:
+    such are taken out into rows with done = 1 and no text, dealt out evenly."""
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pc.and_(pc.is_valid(batch.column("places")), pc.equal(batch.column("copy"), 1)))
             for piece in slices(batch):
-                own, first, window, anchor, pos = anchors(_bytes(piece), min_words, seed_words)
+                texts = _bytes(piece)
+                own, first, window, anchor, pos = anchors(texts, min_words, seed_words)
                 ids, keys, places = *(piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row")), piece.column("places")
                 at = places.flatten().to_numpy(zero_copy_only=False)
                 of = np.repeat(np.arange(piece.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
@@ -184,78 +221,89 @@ def _extended(with_places: DataFrame, min_words: int, seed_words: int) -> DataFr
                 if not len(keep):
                     continue
                 own, first, window, anchor, pos = (x[keep] for x in (own, first, window, anchor, pos))
+                data = b" ".join(texts)
+                begins, ends = word_spans(np.frombuffer(data, np.uint8))
+                start = np.searchsorted(begins, np.cumsum([0] + [len(t) + 1 for t in texts]))[own] + first
                 new = np.concatenate([[True], (own[1:] != own[:-1]) | (pos[1:] != pos[:-1])])
                 lead, row = np.flatnonzero(new), np.cumsum(new) - 1
                 bit = np.int64(1) << (first - first[lead][row])
                 doc, text, split = ids[own], keys[own], pos - first
-                order = np.lexsort((first, text, doc, split, anchor, window))
-                again = np.zeros(len(order), bool)
-                again[order[1:]] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (window, anchor, split)])
+                order = np.lexsort((first, text, doc))  # of document and position
+                again = np.empty(len(order), bool)
+                again[order] = seen_before(start[order], [split[order], anchor[order], window[order]], numbered(texts), min_words)
                 for done in (0, 1):
                     chosen = np.flatnonzero(again == bool(done))
                     if not len(chosen):
                         continue
-                    rows, n = np.unique(row[chosen], return_counts=True)
+                    rows = np.unique(row[chosen])
                     mask = np.zeros(len(lead), np.int64)
                     np.bitwise_or.at(mask, row[chosen], bit[chosen])
                     here = lead[rows]
-                    offsets = np.append(0, np.cumsum(n)) * 8 * (1 - done)
-                    packed = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.array(offsets, pa.int32()).buffers()[1], pa.py_buffer(b"" if done else window[chosen].tobytes())])
+                    if done:
+                        around = pa.array([b""] * len(rows), pa.binary())
+                    else:
+                        bits = min_words - seed_words + 1
+                        last = bits - 1 - (mask[rows, None] >> np.arange(bits)[::-1] & 1).argmax(1) + min_words - 1
+                        around = pa.array([data[i:j] for i, j in zip(begins[start[here]].tolist(), ends[start[here] + last].tolist(), strict=True)], pa.binary())
                     key = _spread(text[here], pos[here]) if done else anchor[here]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc[here], text[here], pos[here], (pos - first)[here], mask[rows], np.full(len(rows), done))] + [packed], ["key", "doc_id", "row", "pos", "back", "mask", "done", "windows"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc[here], text[here], pos[here], (pos - first)[here], mask[rows], np.full(len(rows), done))] + [around], ["key", "doc_id", "row", "pos", "back", "mask", "done", "around"])
 
     return with_places.mapInArrow(run, EXTENDED)
 
 
-def _seen_before(extended: DataFrame) -> DataFrame:
+def _seen_before(extended: DataFrame, min_words: int) -> DataFrame:
     """doc_id, row, base and mask: the window at word base + i is a repeat if bit i of mask is set. The windows of an anchor
-    with more occurrences than a task holds are still open: they come one by one, with their anchor, split and hash."""
-    names = ["doc_id", "row", "base", "mask", "anchor", "split", "window"]
+    with more occurrences than a task holds are still open: they come one by one, with their anchor, split and words."""
+    names = ["doc_id", "row", "base", "mask", "anchor", "split"]
 
     def run(batches):
         for block, whole in sorted_runs(batches, ["key"], MOST_HELD):
             base = block["pos"] - block["back"]
             known = np.flatnonzero(block["done"] == 1)
             if len(known):
-                yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (block["doc_id"], block["row"], base, block["mask"])] + [pa.nulls(len(known), pa.int64())] * 3, names)
+                yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (block["doc_id"], block["row"], base, block["mask"])] + [pa.nulls(len(known), pa.int64())] * 2 + [pa.nulls(len(known), pa.binary())], [*names, "words"])
             fresh = np.flatnonzero(block["done"] == 0)
             if not len(fresh):
                 continue
             key, doc_id, text, base, back, bits = (x[fresh] for x in (block["key"], block["doc_id"], block["row"], base, block["back"], block["mask"]))
-            window = np.frombuffer(b"".join(block["windows"][fresh]), np.int64)
+            around = block["around"][fresh].tolist()
+            hashes, counts = word_hashes(around)
             row, at = np.nonzero(bits[:, None] >> np.arange(SPLITS) & 1)
-            split = back[row] - at
+            start, split = (np.cumsum(counts) - counts)[row] + at, back[row] - at
             if not whole:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc_id[row], text[row], base[row] + at, np.ones(len(row), np.int64), key[row], split, window)], names)
+                words = b" ".join(around).split()
+                said = [b" ".join(words[s : s + min_words]) for s in start.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc_id[row], text[row], base[row] + at, np.ones(len(row), np.int64), key[row], split)] + [pa.array(said, pa.binary())], [*names, "words"])
                 continue
-            order = np.lexsort((split, key[row], window))  # stable: equal windows stay in order of document and position
-            g, w, s = key[row][order], window[order], split[order]
-            again = order[1:][(g[1:] == g[:-1]) & (w[1:] == w[:-1]) & (s[1:] == s[:-1])]
+            window = run_hashes(hashes, min_words, WINDOW)[start]
+            again = seen_before(start, [split, key[row], window], numbered(around), min_words)  # rows come in order of document and position
             mask = np.zeros(len(bits), np.int64)
             np.bitwise_or.at(mask, row[again], np.int64(1) << at[again])
             out = np.flatnonzero(mask)
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (doc_id, text, base, mask)] + [pa.nulls(len(out), pa.int64())] * 3, names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (doc_id, text, base, mask)] + [pa.nulls(len(out), pa.int64())] * 2 + [pa.nulls(len(out), pa.binary())], [*names, "words"])
 
-    return extended.repartition("key").sortWithinPartitions("key", "doc_id", "row", "pos").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    schema = ", ".join([f"{n} long" for n in names] + ["words binary"])
+    return extended.repartition("key").sortWithinPartitions("key", "doc_id", "row", "pos").mapInArrow(run, schema)
 
 
 def _settled(seen: DataFrame) -> DataFrame:
-    """Of the open windows, all but the first of equal ones are repeats too; the rest passes through."""
+    """Of the open windows, all but the first with the same words are repeats too; the rest passes through."""
 
     def run(batches):
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            open_ = np.asarray(batch.column(4).is_valid())
-            keys = [pc.fill_null(batch.column(i), 0).to_numpy(zero_copy_only=False) for i in (4, 5, 6)]
+            open_ = np.asarray(batch.column("anchor").is_valid())
+            keys = [pc.fill_null(batch.column(k), 0).to_numpy(zero_copy_only=False) for k in ("anchor", "split")]
+            keys.append(pc.fill_null(batch.column("words"), b"").to_numpy(zero_copy_only=False))
             same = ~open_
             same[1:] |= open_[:-1] & np.logical_and.reduce([k[1:] == k[:-1] for k in keys])
             same[0] |= last is not None and all(k[0] == x for k, x in zip(keys, last, strict=True))
             last = [k[-1] for k in keys] if open_[-1] else None
             yield batch.select(["row", "base", "mask"]).filter(pa.array(same))
 
-    keys = ["anchor", "split", "window"]
+    keys = ["anchor", "split", "words"]
     spread = F.when(F.col("anchor").isNull(), F.xxhash64("row", "base")).otherwise(F.xxhash64(*keys))
     return seen.repartition(spread).sortWithinPartitions(*keys, "doc_id", "row", "base").mapInArrow(run, "row long, base long, mask long")
 
@@ -275,7 +323,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     # both joins keep every text, so that they are the same exchange
     texts = texts.withColumn("copy", F.row_number().over(Window.partitionBy("row").orderBy("doc_id")))
     extended = _extended(texts.join(places.hint("shuffle_hash"), "row", "left"), min_words, seed_words)
-    repeats = _settled(_seen_before(extended)).groupBy("row").agg(F.collect_list(F.struct("base", "mask")).alias("repeats"))
+    repeats = _settled(_seen_before(extended, min_words)).groupBy("row").agg(F.collect_list(F.struct("base", "mask")).alias("repeats"))
 
     def of(piece):
         out = {"doc_id": piece.column("doc_id"), "n_words": [], "spans": [], "kept": []}

@@ -104,6 +104,31 @@ def test_substring(spark, monkeypatch, held):
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate({97: 98, 98: 97})
+    return w, w.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("held", [200_000, 2])
+def test_substring_compares_words(spark, monkeypatch, held):
+    """Two words with one hash, and all windows with one hash: only equal words are removed."""
+    monkeypatch.setattr(substring_dedup, "MOST_HELD", held)
+    one, two = thue_morse(1024)
+    h = substring_dedup.word_hashes([f"{one} {two}".encode()])[0]
+    assert h[0] == h[1]
+    run = [f"u{i}" for i in range(40)]
+    text = lambda w: " ".join([*run[:12], w, *run[12:]])
+    rows = [(1, text(one)), (2, text(two)), (3, text(one)), (4, text(two)), (5, text(one) + " " + text(two))]
+    removed = lambda r: {x["doc_id"]: (x["n_words"], sum(s["end"] - s["start"] for s in x["spans"]), x["kept"]) for x in substring_dedup.remove_repeats(docs(spark, r)).collect()}
+    assert removed(rows) == brute_removed(rows, 20)
+    assert removed(rows[:2])[2] == brute_removed(rows[:2], 20)[2]
+    start, words = np.arange(0, 60, 3), np.arange(80) % 6
+    got = substring_dedup.seen_before(start, [np.zeros(20)], words, 4)
+    assert got.tolist() == [tuple(words[s : s + 4]) in {tuple(words[x : x + 4]) for x in start[:i]} for i, s in enumerate(start)]
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centre = rng.standard_normal((6, 16))
