@@ -11,7 +11,8 @@ of an earlier one. This finds what extending every pair would find, with work in
 words merge into maximal repeats. Texts are shuffled once, by row, and the two joins with them share that exchange.
 
 A row is known by a 64-bit hash of its doc_id and text, as rows may share a doc_id. Rows alike in both are numbered: the
-first of them is extended, the others repeat it from end to end.
+first of them is extended, the others repeat it from end to end. So do texts that have the SHA-256 of one with a smaller
+doc_id: a table of digests finds them beforehand, and their passages are not compared with each other.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import map_texts, slices, sorted_runs
+from panelspark.llm.common import map_texts, slices, sorted_runs, written
 
 MIN_WORDS = 20
 #: Windows of an anchor at most: min_words - seed_words + 1 may not exceed it.
@@ -152,6 +153,7 @@ def _seeds(docs: DataFrame, min_words: int, seed_words: int) -> DataFrame:
     very frequent anchor makes no more rows of one key than there are slices."""
 
     def of(piece):
+        piece = _compared(piece)
         own, _, _, anchor, pos = anchors(_bytes(piece), min_words, seed_words)
         new = np.ones(len(own), bool)
         new[1:] = (own[1:] != own[:-1]) | (pos[1:] != pos[:-1])
@@ -168,6 +170,11 @@ def _seeds(docs: DataFrame, min_words: int, seed_words: int) -> DataFrame:
     return map_texts(docs, of, "key long, row long, pos long, known long")
 
 
+def _compared(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows that are compared: those with a doc_id that do not repeat another one from end to end."""
+    return batch.filter(pc.and_(pc.and_(pc.is_null(batch.column("again")), pc.equal(batch.column("copy"), 1)), pc.is_valid(batch.column("doc_id"))))
+
+
 def _bytes(piece) -> list[bytes]:
     return [(t or "").encode("utf-8", "replace") for t in piece.column("text").to_pylist()]
 
@@ -209,7 +216,8 @@ def _extended(with_places: DataFrame, min_words: int, seed_words: int) -> DataFr
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pc.and_(pc.is_valid(batch.column("places")), pc.equal(batch.column("copy"), 1)))
+            batch = _compared(batch)
+            batch = batch.filter(pc.is_valid(batch.column("places")))
             for piece in slices(batch):
                 texts = _bytes(piece)
                 own, first, window, anchor, pos = anchors(texts, min_words, seed_words)
@@ -308,6 +316,14 @@ def _settled(seen: DataFrame) -> DataFrame:
     return seen.repartition(spread).sortWithinPartitions(*keys, "doc_id", "row", "base").mapInArrow(run, "row long, base long, mask long")
 
 
+def _copies(texts: DataFrame, min_words: int) -> DataFrame:
+    """row of the texts of min_words words or more, at least by their length, that another text with a smaller doc_id (or
+    of the same one, by row) equals."""
+    digests = written(texts.filter(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * min_words - 1)).select("doc_id", "row", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")), "digests")
+    first = written(digests.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.row").alias("first_row")), "first-texts")
+    return written(digests.join(first, "digest").filter("row <> first_row").select("row").distinct().withColumn("again", F.lit(1)), "copies")
+
+
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, spans (maximal repeats as [start, end) in words) and kept (the other
     words, joined by single spaces).
@@ -319,15 +335,15 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     a window. A row without doc_id keeps all its words and is not compared. Extra columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    places = _repeated(_seeds(texts.filter("doc_id is not null"), min_words, seed_words)).groupBy("row").agg(F.array_distinct(F.collect_list("pos")).alias("places"))
-    # both joins keep every text, so that they are the same exchange
-    texts = texts.withColumn("copy", F.row_number().over(Window.partitionBy("row").orderBy("doc_id")))
+    # all joins keep every text, so that they are the same exchange
+    texts = texts.join(_copies(texts, min_words).hint("shuffle_hash"), "row", "left").withColumn("copy", F.row_number().over(Window.partitionBy("row").orderBy("doc_id")))
+    places = _repeated(_seeds(texts, min_words, seed_words)).groupBy("row").agg(F.array_distinct(F.collect_list("pos")).alias("places"))
     extended = _extended(texts.join(places.hint("shuffle_hash"), "row", "left"), min_words, seed_words)
     repeats = _settled(_seen_before(extended, min_words)).groupBy("row").agg(F.collect_list(F.struct("base", "mask")).alias("repeats"))
 
     def of(piece):
         out = {"doc_id": piece.column("doc_id"), "n_words": [], "spans": [], "kept": []}
-        again = pc.and_(pc.greater(piece.column("copy"), 1), pc.is_valid(piece.column("doc_id"))).to_pylist()
+        again = pc.and_(pc.or_(pc.greater(piece.column("copy"), 1), pc.is_valid(piece.column("again"))), pc.is_valid(piece.column("doc_id"))).to_pylist()
         for text, repeats, copy in zip(_bytes(piece), piece.column("repeats"), again, strict=True):
             words, spans = text.split(), []
             if copy:
