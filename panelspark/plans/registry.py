@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.lineage import settled
 from panelspark.functions.windows import rolling, series
 from panelspark.operators import adjust, ledger, metrics, panel, portfolio, qc, rolling as roll, signals, trades, validation
+from panelspark.plans import sql
 from panelspark.sources import bars
 from panelspark.sources.views import damped, daily_bars, ticks
 
@@ -18,11 +19,11 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = oracle
         return f
 
     return add
@@ -45,8 +46,7 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def r6(x: str, name: str) -> str:
-    return f"round({x}, 6) + 0.0 AS {name}"
+r6 = sql.r6
 
 
 BARS = """bars AS (SELECT concat(l_returnflag, l_linestatus) AS symbol, CAST(l_shipdate AS date) AS date,
@@ -57,6 +57,8 @@ cm AS (SELECT * FROM px WHERE date IN (SELECT date FROM px GROUP BY date HAVING
 r AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i FROM cm)"""
 TICKS = """hour AS (SELECT event_type AS symbol, time_bucket(INTERVAL 60 MINUTES, ts) AS ts, arg_max(value, {'a': ts, 'b': event_id}) AS close,
     max(value) AS high, min(value) AS low, count(*) AS n FROM events GROUP BY 1, 2)"""
+LEGS = """leg AS MATERIALIZED (SELECT concat(a.symbol, '/', b.symbol) AS symbol, a.ts, a.close AS a, b.close AS b, a.high, a.low, row_number() OVER (PARTITION BY a.symbol, b.symbol ORDER BY a.ts) - 1 AS i
+    FROM hour a JOIN hour b ON a.ts = b.ts AND a.symbol < b.symbol)"""
 
 
 def base(spark, sf_dir) -> DataFrame:
@@ -121,15 +123,18 @@ def _one_dialect(spark, sf_dir) -> DataFrame:
     return out[0].unionByName(out[1]).select("date", "symbol", "series", "close", "volume")
 
 
-@query(f"WITH {BARS} SELECT CAST(date AS varchar) AS date, symbol, CASE WHEN symbol < 'B' THEN 'EQ' ELSE 'BE' END AS series, {r6('close', 'close')}, {r6('volume', 'volume')} FROM bars WHERE symbol < 'N'")
+DIALECTS = f"WITH {BARS} SELECT CAST(date AS varchar) AS date, symbol, CASE WHEN symbol < 'B' THEN 'EQ' ELSE 'BE' END AS series, {r6('close', 'close')}, {r6('volume', 'volume')} FROM bars"
+
+
+@query(DIALECTS)
 def exchange_dialects(spark, sf_dir):
-    """The part of exchange_dialects_all that this query's SQL asks for: symbols before 'N', modern dialect only."""
-    return tidy(_one_dialect(spark, sf_dir).filter("symbol < 'N'"))
+    return tidy(_one_dialect(spark, sf_dir))
 
 
-@query(f"WITH {BARS} SELECT CAST(date AS varchar) AS date, symbol, CASE WHEN symbol < 'B' THEN 'EQ' ELSE 'BE' END AS series, {r6('close', 'close')}, {r6('volume', 'volume')} FROM bars")
+@query(DIALECTS)
 def exchange_dialects_all(spark, sf_dir):
-    return tidy(_one_dialect(spark, sf_dir))
+    """The name that exchange_dialects had for all symbols while it left some out; kept for its callers."""
+    return exchange_dialects(spark, sf_dir)
 
 
 @query(f"""WITH {BARS}, q AS (SELECT symbol, date, (1 + volume % 7) * 0.01 / close AS rel FROM bars WHERE symbol <> 'AF' OR dayofweek(date) <> 2), d AS (SELECT b.symbol, b.date, q.rel FROM bars b LEFT JOIN q USING (symbol, date))
@@ -402,24 +407,10 @@ def fold_sharpes(spark, sf_dir):
     return tidy(metrics.fold_sharpes(configs(spark, sf_dir), 5))
 
 
-def _normal_cdf_sql(x: str) -> str:
-    """Simpson's rule for the normal density from 0 to x on 2,000 intervals."""
-    return f"(0.5 + ({x}) / 2000 / 3 * (SELECT sum(CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(({x}) * k / 2000.0, 2) / 2)) FROM generate_series(0, 2000) t(k)) / sqrt(2 * pi()))"
-
-
-def _quantiles(trials: int) -> float:
-    import math
-    from statistics import NormalDist
-
-    from panelspark.functions.normal import EULER_GAMMA
-
-    return (1 - EULER_GAMMA) * NormalDist().inv_cdf(1 - 1 / trials) + EULER_GAMMA * NormalDist().inv_cdf(1 - 1 / (trials * math.e))
-
-
 @query(f"""WITH {CONFIGS}, {DRAWN}, b AS (SELECT config_id, count(*) AS n, avg(ret) / stddev_pop(ret) AS sr FROM cfg GROUP BY 1),
     s AS (SELECT b.*, sqrt((1 - skew * sr + (kurt + 2) / 4 * sr * sr) / (n - 1)) AS sd FROM b JOIN sk USING (config_id)),
-    t AS (SELECT *, sd * {_quantiles(8)!r} AS sr0 FROM s)
-    SELECT config_id, n, {r6('sr', 'sr')}, round(sr0, 6) AS sr0, {r6(_normal_cdf_sql('(sr - sr0) / sd'), 'dsr')} FROM t""")
+    t AS (SELECT *, sd * {sql.quantiles(8)!r} AS sr0 FROM s)
+    SELECT config_id, n, {r6('sr', 'sr')}, round(sr0, 6) AS sr0, {r6(sql.normal_cdf('(sr - sr0) / sd'), 'dsr')} FROM t""")
 def deflated_sharpe(spark, sf_dir):
     return tidy(metrics.deflated_sharpe(configs(spark, sf_dir), 8))
 
@@ -480,31 +471,41 @@ def _leg_bars(spark, sf_dir, every="60 minutes"):
     return legs.join(range_, ["sym_a", "ts"]).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))
 
 
+LEG_GRID = [(f"z{z}/a{m}", z, 3.0, m, 120) for z in (1.5, 2.0, 2.5) for m in (0.5, 1.0, 3.5)]
+LEG_SQL = f"WITH RECURSIVE {TICKS}, {LEGS}, {sql.recursive_mean('leg', 'a', 60, 'trend')}, {sql.leg_features(60, 60, 'f60')}, {sql.leg_trades(['f60'], [(*g, 0) for g in LEG_GRID])}"
+
+
 def _leg_trades(spark, sf_dir):
-    grid = [(f"z{z}/a{m}", z, 3.0, m, 120) for z in (1.5, 2.0, 2.5) for m in (0.5, 1.0, 3.5)]
-    return trades.leg_trades(trades.leg_features(_leg_bars(spark, sf_dir), trades.SingleLeg(trend_span=60)), spark.createDataFrame(grid, "config_id string, entry double, stop double, range_mult double, warmup int"))
+    return trades.leg_trades(trades.leg_features(_leg_bars(spark, sf_dir), trades.SingleLeg(trend_span=60)), spark.createDataFrame(LEG_GRID, "config_id string, entry double, stop double, range_mult double, warmup int"))
 
 
-@query()
+@query(f"""{LEG_SQL} SELECT symbol, config_id, CAST(trade_no AS bigint) AS trade_no, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, bars, reason, CAST(sgn AS bigint) AS sgn, {r6('gross_pts', 'gross_pts')}, {r6('net_pts', 'net_pts')}, {r6('r', 'r')} FROM trades""")
 def single_leg_trades(spark, sf_dir):
     return tidy(_leg_trades(spark, sf_dir))
 
 
-@query()
+@query(f"{LEG_SQL}, {sql.SUMMARY} SELECT {sql.summary_columns()} FROM summary")
 def single_leg_summary(spark, sf_dir):
     return tidy(trades.risk_summary(_leg_trades(spark, sf_dir)))
 
 
-@query()
+@query(f"{LEG_SQL} SELECT symbol, config_id, CAST(sgn AS bigint) AS sgn, count(*) AS n, {r6('100 * avg(CASE WHEN r > 0 THEN 1e0 ELSE 0 END)', 'win')}, {r6('avg(r)', 'avg_r')}, {r6('sum(r)', 'sum_r')} FROM trades GROUP BY symbol, config_id, sgn")
 def single_leg_by_side(spark, sf_dir):
     return tidy(trades.by_side(_leg_trades(spark, sf_dir)))
 
 
 SWEEP_WINDOWS = (40, 60, 90)
 SWEEP_GRID = [(f"z{z}/a{m}/w{k}", z, 3.0, m, 120, k) for z in (1.5, 2.0, 2.5) for m in (2.5, 3.5, 5.0) for k in SWEEP_WINDOWS]
+SWEEP_SQL = (
+    f"WITH RECURSIVE {TICKS.replace('60 MINUTES', '15 MINUTES')}, {LEGS}, {sql.recursive_mean('leg', 'a', 60, 'trend')}, "
+    + ", ".join(sql.leg_features(k, 60, f"f{k}") for k in SWEEP_WINDOWS)
+    + f", {sql.leg_trades([f'f{k}' for k in SWEEP_WINDOWS], [(*g[:5], SWEEP_WINDOWS.index(g[5])) for g in SWEEP_GRID])}, {sql.SUMMARY}"
+)
 
 
-@query()
+@query(f"""{SWEEP_SQL}, bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY sum_r DESC, config_id) AS rank FROM summary WHERE trades >= 30) WHERE rank <= 8),
+    ds AS (SELECT *, sqrt((1 - skew * sr_trade + (kurt + 2) / 4 * sr_trade * sr_trade) / (trades - 1)) AS sd FROM bs), dz AS (SELECT *, CASE WHEN rank = 1 THEN sd * {sql.quantiles(len(SWEEP_GRID))!r} END AS sr0 FROM ds)
+    SELECT {sql.summary_columns()}, CAST(rank AS bigint) AS rank, {r6('sr0', 'sr0')}, {r6(sql.normal_cdf('(sr_trade - sr0) / sd'), 'dsr')} FROM dz""")
 def parameter_sweep(spark, sf_dir):
     """Every entry x range multiple x window on 15-minute bars; the best configurations of each pair, the first one's Sharpe deflated."""
     features = trades.window_features(settled(_leg_bars(spark, sf_dir, "15 minutes"), "legs"), SWEEP_WINDOWS, trades.SingleLeg(trend_span=60))
@@ -530,16 +531,20 @@ def entry_thresholds(spark, sf_dir):
 OVERLAY_GRID = [(f, s, t) for f in (16, 32) for s in (96, 192) for t in (0.008, 0.012)]
 
 
+LEDGER_SQL = f"WITH RECURSIVE {PANEL}, {_ewm_sql('r', 'ret', 20, 'vol', 'sd')}, " + ", ".join(sql.recursive_mean("r", "close", s, f"m{s}") for s in (16, 32, 96, 192)) + f", {sql.share_ledger(OVERLAY_GRID)}"
+
+
 def _ledger(spark, sf_dir):
     return trades.share_ledger(signals.overlay_grid(base(spark, sf_dir), OVERLAY_GRID), max_cost_ratio=0.005)
 
 
-@query()
+@query(f"{LEDGER_SQL} SELECT symbol, config_id, CAST(date AS varchar) AS date, {r6('equity', 'equity')}, {r6('cost', 'cost')}, {r6('pos_frac', 'pos_frac')}, {r6('strat_ret', 'strat_ret')} FROM ledger")
 def share_ledger(spark, sf_dir):
     return tidy(_ledger(spark, sf_dir))
 
 
-@query()
+@query(f"""{LEDGER_SQL} SELECT symbol, config_id, count(*) FILTER (WHERE cost > 0) AS rebalances, {r6('sum(cost)', 'total_cost')}, {r6("1e4 * sum(cost) / 1e5 / (datediff('day', min(date), max(date)) / 365.25)", 'bps_per_year')},
+    {r6('min(equity - pos_frac * equity)', 'min_cash')} FROM ledger GROUP BY symbol, config_id""")
 def cost_diagnostics(spark, sf_dir):
     return tidy(metrics.cost_diagnostics(_ledger(spark, sf_dir)))
 
