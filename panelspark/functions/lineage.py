@@ -5,17 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the folder all executors share (spark.checkpoint.dir; a fresh temporary one where that is
-    unset, as in tests) and read back."""
-    spark = df.sparkSession
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder all executors share: spark.checkpoint.dir. Where that is unset, in a temporary one if
+    driver and executors are one process (tests), else it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="panelspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own.get(context.applicationId) or "file://" + tempfile.mkdtemp(prefix="panelspark-")
+        _own[context.applicationId] = folder
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the folder all executors share, and read back."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.lineage import settled
+from panelspark.functions.lineage import scratch, settled
 from panelspark.functions.windows import rolling, series
-from panelspark.operators import adjust, ledger, metrics, panel, portfolio, qc, rolling as roll, signals, trades, validation
+from panelspark.operators import adjust, build, ledger, metrics, panel, portfolio, qc, rolling as roll, signals, trades, validation
 from panelspark.plans import sql
 from panelspark.sources import bars
 from panelspark.sources.views import damped, daily_bars, ticks
@@ -352,7 +352,13 @@ def vol_targeted_portfolio_costs(spark, sf_dir):
     return tidy(portfolio.portfolio_returns(_target(spark, sf_dir).withColumn("cost", F.lit(0.0005)), ("target_id",), "cost"))
 
 
-@query()
+WEIGHTS_SQL = f"{sql.shrunk_windows(portfolio.COVARIANCE_ROWS, portfolio.REBALANCE_ROWS)}, {sql.EQUAL_RISK}"
+GRID_SQL = f"WITH RECURSIVE {_CTE}, {_ewm_sql('r', 'ret', 30, 'vol', 'sd')}, {WEIGHTS_SQL}, " + sql.trend_grid(
+    f"sg AS (SELECT symbol, date, i, ret, {MOMENTUM_SQL} AS tsmom, {_CROSS} AS ewma, {BREAKOUT_SQL} AS bo FROM d)", portfolio.SIGNAL_SETS, portfolio.VOL_TARGETS
+)
+
+
+@query(f"{GRID_SQL} SELECT config_id, CAST(date AS varchar) AS date, {r6('ret', 'ret')} FROM grid")
 def trend_study_grid(spark, sf_dir):
     return tidy(portfolio.trend_grid(base(spark, sf_dir)))
 
@@ -371,7 +377,7 @@ def ledoit_wolf(spark, sf_dir):
     return tidy(portfolio.shrunk_covariance(rows.select(F.lit(0).cast("long").alias("window_id"), "date", "symbol", "ret")).select("i", "j", (1e6 * F.col("cov")).alias("cov_e6"), "delta"))
 
 
-@query()
+@query(f"WITH RECURSIVE {PANEL}, {WEIGHTS_SQL} SELECT symbol, CAST(date AS varchar) AS date, {r6('weight', 'weight')} FROM wt")
 def risk_parity_weights(spark, sf_dir):
     return tidy(portfolio.risk_parity_weights(base(spark, sf_dir)).select("symbol", "date", "weight"))
 
@@ -522,7 +528,7 @@ def friction_calibration(spark, sf_dir):
     return tidy(trades.friction_calibration(_legs(spark, sf_dir).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))))
 
 
-@query()
+@query(sql.entry_thresholds(RATIO))
 def entry_thresholds(spark, sf_dir):
     legs = _legs(spark, sf_dir).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))
     return tidy(trades.entry_thresholds(trades.friction_calibration(legs)))
@@ -641,13 +647,13 @@ def overfitting_probability(spark, sf_dir):
     return tidy(validation.overfitting_probability(configs(spark, sf_dir)))
 
 
-@query()
+@query(sql.study_verdict(GRID_SQL))
 def study_verdict(spark, sf_dir):
     """The verdict on the trend study's grid: every vol target x sizing x signal set."""
     return tidy(validation.study_verdict(settled(portfolio.trend_grid(base(spark, sf_dir)), "configs")))
 
 
-@query()
+@query(sql.overlay_gate(LEDGER_SQL, len(OVERLAY_GRID)))
 def overlay_gate(spark, sf_dir):
     """The share ledger's configurations of each symbol against holding it."""
     rows = settled(_ledger(spark, sf_dir), "ledger")
@@ -667,6 +673,88 @@ def dataset_fingerprint(spark, sf_dir):
     return ledger.fingerprint(daily_bars(spark, sf_dir))
 
 
+#: The bars and a series that fails its checks: AF's, with every price at -5.
+BUILT = f"""{BARS}, raw AS (SELECT symbol, date, close FROM bars UNION ALL SELECT 'ZZ', date, -5e0 FROM bars WHERE symbol = 'AF'), bad AS (SELECT symbol FROM raw GROUP BY 1 HAVING count(*) FILTER (WHERE close <= 0 OR close IS NULL) > 0 OR count(*) > count(DISTINCT date)),
+    ok AS (SELECT * FROM raw WHERE symbol NOT IN (SELECT symbol FROM bad)), un AS (SELECT d.date, s.symbol, ok.close FROM (SELECT DISTINCT date FROM ok) d CROSS JOIN (SELECT DISTINCT symbol FROM ok) s LEFT JOIN ok ON ok.date = d.date AND ok.symbol = s.symbol),
+    rh AS (SELECT date_trunc('month', date) AS month, sha256(concat_ws('|', CAST(date AS varchar), symbol, coalesce(CAST(CAST(round(close * 1e6) AS bigint) AS varchar), ''))) AS h FROM un),
+    mh AS (SELECT month, sha256(string_agg(h, '' ORDER BY h)) AS h FROM rh GROUP BY month), dh AS (SELECT sha256(concat_ws('|', '1', '', string_agg(h, '' ORDER BY month))) AS dataset_hash FROM mh)"""
+
+
+def _built(spark, sf_dir):
+    rows = daily_bars(spark, sf_dir)
+    bad = rows.filter("symbol = 'AF'").select(F.lit("ZZ").alias("symbol"), "date", *[F.lit(-5.0).alias(c) for c in ("close", "high", "low")], "volume")
+    return build.build_panel(rows.unionByName(bad))
+
+
+@query(f"""WITH {BUILT}, pr AS (SELECT count(*) AS n FROM (SELECT date FROM ok GROUP BY 1 HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM ok)))
+    SELECT (SELECT string_agg(symbol, ',' ORDER BY symbol) FROM (SELECT DISTINCT symbol FROM ok)) AS symbols, (SELECT string_agg(symbol, ',' ORDER BY symbol) FROM bad) AS failed, count(DISTINCT date) AS rows,
+    CAST(min(date) AS varchar) AS first, CAST(max(date) AS varchar) AS last, (SELECT n FROM pr) AS all_present_rows, (SELECT count(*) FROM bad) = 0 AS passed, (SELECT dataset_hash FROM dh) AS dataset_hash FROM ok""")
+def build_panel(spark, sf_dir):
+    """The whole build over the bars and a bad series: its manifest."""
+    return tidy(_built(spark, sf_dir)[2].withColumns({"symbols": F.array_join("symbols", ","), "failed": F.array_join("failed", ",")}))
+
+
+@query(f"""WITH {BUILT} SELECT symbol, CAST(date AS varchar) AS date, {r6('close', 'close')}, {r6('close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1', 'ret')}
+    FROM un WHERE symbol <> 'RF' AND date IN (SELECT date FROM un WHERE close IS NOT NULL AND symbol <> 'RF' GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) - 1 FROM un))""")
+def stored_panel(spark, sf_dir):
+    """The built panel written by symbol and read again without one of them, on the dates that all others have."""
+    path = scratch(spark, "stored-panel")
+    bars.write_panel(_built(spark, sf_dir)[0], path)
+    return tidy(bars.read_panel(spark, path, drop=("RF",)).select("symbol", "date", "close", "ret"))
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    rows = daily_bars(spark, sf_dir)
+    return rows.select("symbol", F.col("date").cast("timestamp").alias("ts"), F.col("close").alias("open"), "high", "low", "close", "volume")
+
+
+@query(f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d 00:00:00') AS ts, {r6('close', 'open')}, {r6('high', 'high')}, {r6('low', 'low')}, {r6('close', 'close')}, volume AS tickvol, CAST(0 AS bigint) AS vol, CAST(0 AS bigint) AS spread FROM bars")
+def bar_files(spark, sf_dir):
+    """The bars as canonical bar files, one folder a symbol, and read back."""
+    path = scratch(spark, "bar-files")
+    bars.write_bar_files(_files(spark, sf_dir), path)
+    return tidy(bars.read_bar_files(spark, f"{path}/*", symbol=F.element_at(F.split(F.element_at(F.split("_metadata.file_path", "/"), -2), "="), -1)))
+
+
+@query(f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d 00:00:00') AS ts, {r6('high', 'high')}, {r6('low', 'low')}, {r6('close', 'close')}, {r6('volume', 'volume')} FROM bars")
+def vendor_files(spark, sf_dir):
+    """The bars as vendor files of both delimiters and two header shapes, and read back: dates that can't be read go."""
+    path, rows = scratch(spark, "vendor-files"), _files(spark, sf_dir)
+    day = F.date_format("ts", "yyyy-MM-dd")
+    comma = rows.filter("symbol < 'B'").select("symbol", day.alias("Date"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Adj Close"), F.col("volume").alias("Volume"))
+    tab = rows.filter("symbol >= 'B'").select("symbol", F.date_format("ts", "yyyy.MM.dd").alias("<DATE>"), F.lit("00:00:00").alias("<TIME>"), F.col("high").alias("<HIGH>"), F.col("low").alias("<LOW>"), F.col("close").alias("<CLOSE>"), F.col("volume").alias("<VOL>"))
+    odd = comma.filter("symbol = 'AF'").withColumn("Date", F.lit("1999-02-31"))
+    for name, df, sep in (("comma", comma.unionByName(odd), ","), ("tab", tab, "\t")):
+        df.repartition("symbol").write.option("header", True).option("sep", sep).partitionBy("symbol").csv(f"{path}/{name}")
+    out = bars.read_vendor_files(spark, f"{path}/*/*", symbol=F.element_at(F.split(F.element_at(F.split("_metadata.file_path", "/"), -2), "="), -1))
+    return tidy(out.select("symbol", "ts", "high", "low", "close", "volume"))
+
+
+@query(f"WITH {BARS} SELECT CAST(date AS varchar) AS date, symbol, 'EQ' AS series, {r6('high', 'high')}, {r6('close', 'close')}, {r6('volume', 'volume')} FROM bars WHERE symbol = 'NO'")
+def daily_files(spark, sf_dir):
+    """Exchange daily files, one a year in each dialect by turns, and one instrument's series read from them."""
+    path, rows = scratch(spark, "daily-files"), _files(spark, sf_dir).withColumn("series", F.lit("EQ")).withColumn("y", F.year("ts"))
+    for d, odd, text in ((bars.MODERN, 0, F.date_format("ts", "yyyy-MM-dd")), (bars.LEGACY, 1, F.upper(F.date_format("ts", "dd-MMM-yyyy")))):
+        part = rows.filter(F.col("y") % 2 == odd)
+        part = part.select(text.alias(d["date"]), *[F.col(c).alias(d[c]) for c in ("symbol", "series", *bars.PRICES, "volume")], "y")
+        part.repartition("y").write.option("header", True).partitionBy("y").csv(f"{path}/{odd}")
+    return tidy(bars.one_series(bars.read_daily_files(spark, f"{path}/*/*/*.csv"), "NO").select("date", "symbol", "series", "high", "close", "volume"))
+
+
+@query(f"""WITH {TICKS}, q AS (SELECT *, CAST(1 + n % 7 AS double) AS spread FROM hour), z AS (SELECT symbol, time_bucket(INTERVAL 1 DAY, ts) AS ts, arg_max(close, ts) AS close, max(high) AS high, min(low) AS low, avg(spread) AS spread, 1e6 * avg(spread * 1e-2 / close) AS rel_spread_e6 FROM q GROUP BY 1, 2)
+    SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {r6('close', 'close')}, {r6('high', 'high')}, {r6('low', 'low')}, {r6('spread', 'spread')}, {r6('rel_spread_e6', 'rel_spread_e6')} FROM z""")
+def resample_daily(spark, sf_dir):
+    """Hourly bars to days: the coarser bars with their mean spread, and the daily closes' mean relative spread beside them."""
+    rows = settled(hourly(spark, sf_dir).withColumn("spread", (1 + F.col("n") % 7).cast("double")), "hourly")
+    days = panel.daily(rows, F.try_divide(F.col("spread") * F.lit(0.01), F.col("close"))).select("symbol", F.col("date").cast("timestamp").alias("ts"), F.col("close").alias("day_close"), (1e6 * F.col("rel_spread")).alias("rel_spread_e6"))
+    return tidy(panel.resample_bars(rows, "1 day").join(days, ["symbol", "ts"]).filter("close = day_close").drop("day_close"))
+
+
+@query(f"""WITH {TICKS} SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {r6('close', 'close')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, CAST(ts AS date) ORDER BY ts DESC) AS k FROM hour) WHERE k = 1""")
+def last_bar_per_date(spark, sf_dir):
+    return tidy(panel.last_per_date(hourly(spark, sf_dir).withColumn("date", F.to_date("ts"))).select("symbol", "ts", "close"))
+
+
 @query()
 def dataset_manifest(spark, sf_dir):
     """The bars' manifest with the digests of the raw files that they come from (2 GB each at most)."""

@@ -97,3 +97,109 @@ def share_ledger(grid: list[tuple[int, int, float]], capital: float = 1e5, max_c
                         SELECT x.symbol, x.config_id, x.i, x.date, x.close AS p, st.shares, st.cash, st.equity, floor(x.want * (st.cash + st.shares * x.close) / x.close) - st.shares AS wanted, greatest(0, floor(st.cash / ({buy.format(v='x.close')} + x.close))) AS n
                         FROM st JOIN expo x ON x.symbol = st.symbol AND x.config_id = st.config_id AND x.i = st.i + 1))))),
     ledger AS MATERIALIZED (SELECT symbol, config_id, i, date, equity, cost, (equity - cash) / equity AS pos_frac, CASE WHEN before IS NULL THEN 0 ELSE equity / before - 1 END AS strat_ret FROM st WHERE i >= 0)"""
+
+
+COMBOS = "co AS (SELECT row_number() OVER (ORDER BY a.g, b.g) - 1 AS split_id, a.g AS g1, b.g AS g2 FROM generate_series(1, 10) a(g) JOIN generate_series(1, 10) b(g) ON a.g < b.g)"
+
+
+def out_of_sample(source: str) -> str:
+    """se (key, split_id, selected, score), ps and pr (key, path, date, ret) of source (key, config_id, date, ret)."""
+    late = "NOT (rn > {e}.last AND rn <= {e}.last + floor(t * 0.01))"
+    return f"""{COMBOS}, gr AS (SELECT *, ntile(10) OVER w AS grp, row_number() OVER w AS rn, count(*) OVER (PARTITION BY key, config_id) AS t FROM {source} WINDOW w AS (PARTITION BY key, config_id ORDER BY date)),
+    lg AS (SELECT key, grp, max(rn) AS last FROM gr GROUP BY 1, 2),
+    sc AS (SELECT gr.key, split_id, config_id, avg(ret) / (stddev_pop(ret) + 1e-12) AS score FROM gr CROSS JOIN co JOIN lg e1 ON e1.key = gr.key AND e1.grp = g1 JOIN lg e2 ON e2.key = gr.key AND e2.grp = g2
+        WHERE gr.grp NOT IN (g1, g2) AND {late.format(e='e1')} AND {late.format(e='e2')} GROUP BY 1, 2, 3 HAVING count(*) >= 50),
+    se AS (SELECT key, split_id, config_id AS selected, score FROM (SELECT *, row_number() OVER (PARTITION BY key, split_id ORDER BY score DESC, config_id) AS k FROM sc) WHERE k = 1),
+    te AS (SELECT split_id, unnest([g1, g2]) AS grp FROM co), ps AS (SELECT se.key, te.grp, se.selected, row_number() OVER (PARTITION BY se.key, te.grp ORDER BY te.split_id) AS path FROM te JOIN se USING (split_id)),
+    pr AS (SELECT ps.key, ps.path, gr.date, gr.ret FROM ps JOIN gr ON gr.key = ps.key AND gr.grp = ps.grp AND gr.config_id = ps.selected WHERE ps.path <= 9)"""
+
+
+def deflated(source: str, trials: int, name: str = "dsr") -> str:
+    """dsr (key, config_id, sr, sr0, sd) of source (key, config_id, ret)."""
+    return f"""{name}_m AS (SELECT key, config_id, count(*) AS n, avg(ret) AS m, var_pop(ret) AS v FROM {source} GROUP BY 1, 2),
+    {name}_s AS (SELECT s.key, s.config_id, avg(pow(ret - m, 3)) / pow(max(v), 1.5) AS g3, avg(pow(ret - m, 4)) / pow(max(v), 2) AS g4, max(m) / sqrt(max(v)) AS sr, max(n) AS n FROM {source} s JOIN {name}_m USING (key, config_id) GROUP BY 1, 2),
+    {name} AS (SELECT *, sd * {quantiles(trials)!r} AS sr0 FROM (SELECT *, sqrt((1 - g3 * sr + (g4 - 1) / 4 * sr * sr) / (n - 1)) AS sd FROM {name}_s))"""
+
+
+_CUM = "OVER (PARTITION BY key, path ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def overlay_gate(ledger_sql: str, trials: int) -> str:
+    return f"""{ledger_sql}, lr AS MATERIALIZED (SELECT symbol AS key, config_id, date, strat_ret AS ret FROM ledger), {out_of_sample('lr')},
+    jb AS (SELECT pr.*, coalesce(r.ret, 0) AS bench FROM pr JOIN r ON r.symbol = pr.key AND r.date = pr.date),
+    je AS (SELECT *, product(1 + ret) {_CUM} AS es, product(1 + bench) {_CUM} AS eb FROM jb), jd AS (SELECT *, 1 - es / max(es) {_CUM} AS ds, 1 - eb / max(eb) {_CUM} AS db FROM je),
+    sv AS (SELECT key, path, max(db) - max(ds) AS saved FROM jd GROUP BY 1, 2),
+    sm AS (SELECT key, count(*) AS paths, median(saved) AS saved_median, quantile_cont(saved, 0.05) AS saved_p5, avg(CASE WHEN saved > 0 THEN 1e0 ELSE 0 END) AS saved_share FROM sv GROUP BY 1),
+    be AS (SELECT key, config_id FROM (SELECT key, config_id, row_number() OVER (PARTITION BY key ORDER BY coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0) DESC, config_id) AS k FROM lr GROUP BY 1, 2) WHERE k = 1),
+    bs AS (SELECT lr.* FROM lr JOIN be USING (key, config_id)), {deflated('bs', trials)}
+    SELECT key AS symbol, config_id, {r6('sr', 'sr')}, {r6('sr0', 'sr0')}, {r6(normal_cdf('(sr - sr0) / sd'), 'dsr')}, paths, {r6('saved_median', 'saved_median')}, {r6('saved_p5', 'saved_p5')}, {r6('saved_share', 'saved_share')},
+    CASE WHEN saved_p5 > 0 THEN 'PASS' ELSE 'FAIL' END AS mandate FROM dsr JOIN sm USING (key)"""
+
+
+def shrunk_windows(rows: int, every: int) -> str:
+    """wr and cov (window_id, i, j, cov, delta) of each rebalance window over the returns of r (symbol, i, date, ret)."""
+    return f"""wd AS (SELECT k * {every} + {rows} AS window_id, r.symbol, r.date, r.ret FROM r JOIN (SELECT unnest(range(0, (SELECT (max(i) - {rows}) // {every} FROM r) + 1)) AS k) ON r.i >= k * {every} AND r.i < k * {every} + {rows} WHERE r.ret IS NOT NULL),
+    wn AS (SELECT window_id FROM wd GROUP BY 1 HAVING count(DISTINCT date) >= {rows // 2}),
+    wr AS MATERIALIZED (SELECT window_id, symbol, date, ret - avg(ret) OVER (PARTITION BY window_id, symbol) AS x FROM wd WHERE window_id IN (SELECT window_id FROM wn)),
+    mm AS MATERIALIZED (SELECT a.window_id, a.symbol AS i, b.symbol AS j, count(*) AS t, avg(a.x * b.x) AS s, avg(a.x * a.x * b.x * b.x) AS s22, avg(a.x * a.x * a.x * b.x) AS s31, avg(a.x * b.x * b.x * b.x) AS s13 FROM wr a JOIN wr b USING (window_id, date) GROUP BY 1, 2, 3),
+    mv AS (SELECT window_id, i AS k, s AS v FROM mm WHERE i = j),
+    mn AS (SELECT mm.*, vi.v AS vi, vj.v AS vj, mm.s / sqrt(vi.v * vj.v) AS corr, s22 - s * s AS pi, CASE WHEN i <> j THEN sqrt(vj.v / vi.v) * (s31 - vi.v * s) + sqrt(vi.v / vj.v) * (s13 - vj.v * s) ELSE 0 END AS rho
+        FROM mm JOIN mv vi ON vi.window_id = mm.window_id AND vi.k = mm.i JOIN mv vj ON vj.window_id = mm.window_id AND vj.k = mm.j),
+    mg AS (SELECT window_id, avg(corr) FILTER (WHERE i <> j) AS rbar, sum(pi) AS pi_sum, sum(pi) FILTER (WHERE i = j) AS pi_diag, sum(rho) AS rho_sum, max(t) AS rows FROM mn GROUP BY 1),
+    mf AS (SELECT mn.*, mg.* EXCLUDE (window_id), CASE WHEN i <> j THEN rbar * sqrt(vi * vj) ELSE s END AS target FROM mn JOIN mg USING (window_id)),
+    md AS (SELECT window_id, greatest(least((max(pi_sum) - max(pi_diag) - max(rbar) / 2 * max(rho_sum)) / sum(pow(target - s, 2)) / max(rows), 1), 0) AS delta FROM mf GROUP BY 1),
+    cov AS MATERIALIZED (SELECT window_id, i, j, delta * target + (1 - delta) * s AS cov, delta FROM mf JOIN md USING (window_id))"""
+
+
+#: wt (symbol, i, date, weight): equal-risk weights of each window, one weight a step, until a whole round moves none by
+#: 1e-8; carried forward and known a row later. Reads cov and r.
+EQUAL_RISK = """cl AS (SELECT window_id, list(row ORDER BY i) AS c, list(i ORDER BY i) AS names FROM (SELECT window_id, i, list(cov ORDER BY j) AS row FROM cov GROUP BY 1, 2) GROUP BY 1),
+    er AS (SELECT window_id, 0 AS step, len(names) AS n, list_transform(names, lambda q: 1e0 / len(names)) AS x, list_transform(names, lambda q: 1e9) AS before FROM cl
+        UNION ALL
+        SELECT window_id, step + 1, n, list_transform(range(1, n + 1), lambda j: CASE WHEN j = k THEN (sqrt(rest * rest + 4 * c[k][k] * (1e0 / n)) - rest) / (2 * c[k][k]) ELSE x[j] END), CASE WHEN k = 1 THEN x ELSE before END FROM (
+            SELECT er.*, cl.c, step % er.n + 1 AS k, list_sum(list_transform(range(1, er.n + 1), lambda j: CASE WHEN j = step % er.n + 1 THEN 0e0 ELSE cl.c[step % er.n + 1][j] * er.x[j] END)) AS rest FROM er JOIN cl USING (window_id)
+            WHERE step < 200 * er.n AND NOT (step > 0 AND step % er.n = 0 AND list_max(list_transform(range(1, er.n + 1), lambda j: abs(er.x[j] - er.before[j]))) < 1e-8))),
+    ex AS (SELECT window_id, arg_max(x, step) AS x FROM er GROUP BY 1), ew AS (SELECT window_id, unnest(names) AS symbol, unnest(list_transform(x, lambda v: v / list_sum(x))) AS weight FROM ex JOIN cl USING (window_id)),
+    wl AS (SELECT r.symbol, r.i, r.date, last_value(ew.weight IGNORE NULLS) OVER (PARTITION BY r.symbol ORDER BY r.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS weight FROM r LEFT JOIN ew ON ew.window_id = r.i AND ew.symbol = r.symbol),
+    wt AS (SELECT symbol, i, date, lag(weight) OVER (PARTITION BY symbol ORDER BY i) AS weight FROM wl)"""
+
+
+def trend_grid(signals: str, sets: dict[str, tuple[str, ...]], targets: dict[str, float]) -> str:
+    """grid (config_id, date, ret) from sg (symbol, date, i, ret, tsmom, ewma, bo), vol (symbol, i, v) and wt."""
+    w = "OVER (PARTITION BY symbol ORDER BY i)"
+    one = lambda chosen: f"lag(greatest(least(({' + '.join(chosen)}) / {len(chosen)}, 1), -1) + 0 * ({' + '.join(chosen)})) {w}"
+    parts = " UNION ALL ".join(
+        f"SELECT '{size}/{name}' AS c, symbol, date, ret, coalesce({one(chosen)} * {factor} / nullif(lag(vol) {w}, 0), 0) AS expo FROM sv0" for size, factor in (("invvol", "1e0"), ("lw_rp", "weight")) for name, chosen in sets.items()
+    )
+    values = ", ".join(f"('{k}', {v:e})" for k, v in targets.items())
+    return f"""{signals}, sv0 AS MATERIALIZED (SELECT sg.*, vol.v AS vol, wt.weight FROM sg LEFT JOIN vol USING (symbol, i) JOIN wt USING (symbol, i)), xp AS MATERIALIZED ({parts}),
+    rw AS (SELECT c, date, coalesce(sum(expo * ret), 0) AS raw FROM xp GROUP BY 1, 2), rd AS (SELECT c, date, CASE WHEN count(raw) OVER w = 30 THEN stddev_samp(raw) OVER w END AS sd FROM rw WINDOW w AS (PARTITION BY c ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+    rl AS (SELECT c, date, lag(sd) OVER (PARTITION BY c ORDER BY date) AS sd FROM rd), tg(target_id, target) AS (VALUES {values}),
+    grid AS MATERIALIZED (SELECT concat_ws('/', target_id, c) AS config_id, date, coalesce(sum(greatest(least(expo * coalesce(least(target / nullif(sd, 0), 50), 0), 1), -1) * ret), 0) AS ret FROM xp JOIN rl USING (c, date) CROSS JOIN tg GROUP BY 1, 2)"""
+
+
+def study_verdict(grid_sql: str, trials: int = 20) -> str:
+    return f"""{grid_sql}, lr AS MATERIALIZED (SELECT 1 AS key, config_id, date, ret FROM grid), {out_of_sample('lr')},
+    tp AS (SELECT selected AS config_id, count(*) AS times FROM se GROUP BY 1 ORDER BY 2 DESC, min(split_id) LIMIT 1), bs AS (SELECT lr.* FROM lr JOIN tp USING (config_id)), {deflated('bs', trials)},
+    eq AS (SELECT config_id, ret, product(1 + ret) OVER w AS e, max(1e0) OVER w AS one, date FROM bs WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    dw AS (SELECT min(ret) AS worst_day, max(dd) AS maxdd FROM (SELECT ret, 1 - e / max(e) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dd FROM eq)),
+    sh AS (SELECT count(*) AS paths, min(s) AS low, median(s) AS mid, max(s) AS high FROM (SELECT avg(ret) / (stddev_pop(ret) + 1e-12) * sqrt(252) AS s FROM pr GROUP BY path)),
+    su AS (SELECT config_id, grp, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM gr GROUP BY 1, 2), ma AS (SELECT m FROM generate_series(0, 1023) t(m) WHERE bit_count(m) = 5),
+    hf AS (SELECT m, config_id, (m >> (grp - 1)) & 1 AS inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM su, ma GROUP BY 1, 2, 3), hs AS (SELECT m, config_id, inside, s / n / (sqrt(greatest(q / n - pow(s / n, 2), 0)) + 1e-12) AS sr FROM hf),
+    pv AS (SELECT m, config_id, max(CASE WHEN inside = 1 THEN sr END) AS a, max(CASE WHEN inside = 0 THEN sr END) AS b FROM hs GROUP BY 1, 2), pb AS (SELECT *, first_value(b) OVER (PARTITION BY m ORDER BY a DESC, config_id) AS bb FROM pv),
+    pk AS (SELECT m, least(greatest(count(*) FILTER (WHERE b <= bb) * 1.0 / count(*), 1.0 / (count(*) + 1)), count(*) * 1.0 / (count(*) + 1)) AS rank FROM pb GROUP BY m), po AS (SELECT avg(CASE WHEN ln(rank / (1 - rank)) < 0 THEN 1.0 ELSE 0 END) AS pbo FROM pk),
+    ve AS (SELECT config_id, times, sr, sr0, {normal_cdf('(sr - sr0) / sd')} AS dsr, worst_day, maxdd, paths, low, mid, high, pbo FROM tp JOIN dsr USING (config_id), dw, sh, po)
+    SELECT config_id, times, {r6('sr', 'sr')}, {r6('sr0', 'sr0')}, {r6('dsr', 'dsr')}, {r6('worst_day', 'worst_day')}, {r6('maxdd', 'maxdd')}, paths, {r6('low', 'sharpe_low')}, {r6('mid', 'sharpe_median')}, {r6('high', 'sharpe_high')}, {r6('pbo', 'pbo')},
+    CASE WHEN dsr > 0.95 AND pbo < 0.05 THEN 'PASS' ELSE 'REJECT' END AS status FROM ve"""
+
+
+def entry_thresholds(ratio_sql: str) -> str:
+    """The best entry on a grid of 400 points and then on 400 around it; erfi by trapezoids on 2,000 points."""
+    den = "4 / sqrt(pi()) * sum(CASE WHEN q IN (0, 1999) THEN 5e-1 ELSE 1e0 END * exp(pow(-a / sqrt(2e0) * (q / 1999e0), 2)) * (-a / sqrt(2e0) / 1999))"
+    best = "arg_min(a, {{'v': CASE WHEN den > 0 THEN -(-2 * a - cost) / den ELSE 1e9 END, 'k': k}}) AS a, min(CASE WHEN den > 0 THEN -(-2 * a - cost) / den ELSE 1e9 END) AS v"
+    best = best.replace("{{", "{").replace("}}", "}")
+    return f"""WITH {ratio_sql}, fc AS (SELECT pair, median(sd) AS sigma FROM ss GROUP BY 1), cs AS MATERIALIZED (SELECT pair, m AS multiple, 5e-2 / sigma * m AS cost FROM fc, (VALUES (0e0), (1e0), (2e0), (5e0)) t(m)), qs AS (SELECT unnest(range(2000)) AS q),
+    g0 AS (SELECT k, -4e0 + (-5e-2 - -4e0) * k / 399 AS a FROM (SELECT unnest(range(400)) AS k)), d0 AS MATERIALIZED (SELECT k, a, {den} AS den FROM g0, qs GROUP BY 1, 2), b0 AS MATERIALIZED (SELECT pair, multiple, cost, {best} FROM cs, d0 GROUP BY 1, 2, 3),
+    g1 AS (SELECT DISTINCT a AS a0, k, a - 3.95e0 / 400 + (a + 3.95e0 / 400 - (a - 3.95e0 / 400)) * k / 399 AS a FROM b0, (SELECT unnest(range(400)) AS k)), d1 AS MATERIALIZED (SELECT a0, k, a, {den} AS den FROM g1, qs GROUP BY 1, 2, 3),
+    b1 AS (SELECT pair, multiple, cost, a0, v0, {best} FROM (SELECT pair, multiple, cost, b0.a AS a0, b0.v AS v0, d1.k, d1.a, d1.den FROM b0 JOIN d1 ON d1.a0 = b0.a) GROUP BY 1, 2, 3, 4, 5)
+    SELECT pair, multiple, {r6('cost', 'cost')}, {r6('-(CASE WHEN v < v0 THEN a ELSE a0 END)', 'entry')} FROM b1"""

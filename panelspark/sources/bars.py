@@ -24,12 +24,14 @@ def symbol_of_file(name: Column) -> Column:
     return F.upper(F.split(F.split(bare, "_")[0], r"\.")[0])
 
 
-def read_bar_files(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated bar files, one instrument each: symbol, ts, open, high, low, close, tickvol, vol, spread."""
+def read_bar_files(spark: SparkSession, path: str, symbol: Column | None = None) -> DataFrame:
+    """Tab-separated bar files, one instrument each: symbol, ts, open, high, low, close, tickvol, vol, spread. The symbol is
+    that of the file's name, unless an expression (over _metadata) is given, as for files in a folder a symbol."""
     raw = spark.read.option("sep", "\t").option("header", True).schema(BAR_FILE).csv(path)
     ts = F.try_to_timestamp(F.concat_ws(" ", "`<DATE>`", "`<TIME>`"), F.lit("yyyy.MM.dd HH:mm:ss"))
     cols = [F.col(f"`<{c}>`").alias(c.lower()) for c in ("OPEN", "HIGH", "LOW", "CLOSE", "TICKVOL", "VOL", "SPREAD")]
-    return raw.select(symbol_of_file(F.col("_metadata.file_name")).alias("symbol"), ts.alias("ts"), *cols).filter("ts is not null")
+    symbol = symbol_of_file(F.col("_metadata.file_name")) if symbol is None else symbol
+    return raw.select(symbol.alias("symbol"), ts.alias("ts"), *cols).filter("ts is not null")
 
 
 def parsed_time(columns: list[str]) -> Column:
@@ -39,31 +41,35 @@ def parsed_time(columns: list[str]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats], F.try_to_timestamp(text))
 
 
-def _vendor(spark: SparkSession, paths: list[str], sep: str, header: str) -> DataFrame:
+def _vendor(raw: DataFrame, sep: str, header: str, symbol: Column) -> DataFrame:
     names = [c.strip().strip("<>").upper() for c in header.rstrip("\r\n").split(sep)]
-    raw = spark.read.option("sep", sep).option("header", True).schema(", ".join(f"`{n}` string" for n in names)).csv(paths)
     rename = {"OPEN": "open", "HIGH": "high", "LOW": "low", "CLOSE": "close", "ADJ CLOSE": "close", "VOLUME": "volume", "VOL": "volume"}
     found = {v: k for k, v in rename.items() if k in names}
     if "close" not in found:
-        raise ValueError(f"no CLOSE column in {paths[0]}")
+        raise ValueError(f"no CLOSE column in {header!r}")
     if not ({"DATE", "DATETIME"} & set(names)):
-        raise ValueError(f"no DATE or DATETIME column in {paths[0]}")
+        raise ValueError(f"no DATE or DATETIME column in {header!r}")
+    parts = raw.filter((F.col("header") == header) & (F.col("value") != header)).select(symbol.alias("symbol"), F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in names)), {"sep": sep}).alias("_c"))
+    parts = parts.select("symbol", *[F.col(f"_c.`{n}`").alias(n) for n in names])
     wanted = [(F.col(f"`{found[c]}`").try_cast("double") if c in found else F.lit(None).cast("double")).alias(c) for c in (*PRICES, "volume")]
-    return raw.select(symbol_of_file(F.col("_metadata.file_name")).alias("symbol"), parsed_time(names).alias("ts"), *wanted).filter("ts is not null")
-
-
-def read_vendor_files(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files of either delimiter with DATE+TIME, DATETIME or DATE and at least CLOSE, one instrument each. A first
-    pass finds each file's header line; files with the same one are then read together."""
-    heads = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
-    first = heads.filter("at = 0").groupBy("path").agg(F.min_by("value", "row").alias("header")).groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
-    out = None
-    for r in sorted(first, key=lambda r: r["header"]):
-        sep = "\t" if r["header"].count("\t") >= r["header"].count(",") else ","
-        part = _vendor(spark, sorted(r["paths"]), sep, r["header"])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    return parts.select("symbol", parsed_time(names).alias("ts"), *wanted).filter("ts is not null")
+
+
+def read_vendor_files(spark: SparkSession, path: str, symbol: Column | None = None) -> DataFrame:
+    """CSV files of either delimiter with DATE+TIME, DATETIME or DATE and at least CLOSE, one instrument each. A file's
+    header is its first line; the driver sees each distinct header once, never the files: lines are joined to their
+    file's header (broadcast where Spark finds that small), and parsed by it."""
+    symbol = symbol_of_file(F.col("_metadata.file_name")) if symbol is None else symbol
+    lines = spark.read.text(path).select("value", symbol.alias("_symbol"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+    heads = lines.filter("at = 0").groupBy("path").agg(F.min_by("value", "row").alias("header"))
+    distinct = sorted(r["header"] for r in heads.select("header").distinct().collect())
+    if not distinct:
         raise ValueError(f"no files under {path}")
+    raw, out = lines.select("value", "path", "_symbol").join(heads, "path"), None
+    for header in distinct:
+        sep = "\t" if header.count("\t") >= header.count(",") else ","
+        part = _vendor(raw, sep, header, F.col("_symbol"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
