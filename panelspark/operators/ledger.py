@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = "1"
+SCHEMA_VERSION = "2"
 TRIALS = "trial_id string, run_ts timestamp, commit string, dataset_hash string, config string, status string"
 
 
@@ -16,8 +16,10 @@ def row_digests(panel: DataFrame) -> DataFrame:
 
 
 def month_digests(panel: DataFrame) -> DataFrame:
-    """A digest a month, of its rows' sorted digests: no task holds more than a month."""
-    return row_digests(panel).groupBy("month").agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("h"))
+    """A digest a month: its rows' digests are dealt to 65,536 buckets by their first digits, sorted and hashed in those,
+    and the buckets' digests are hashed in order; no task holds more than a bucket, or the buckets of a month."""
+    buckets = row_digests(panel).groupBy("month", F.substring("h", 1, 4).alias("p")).agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("h"))
+    return buckets.groupBy("month").agg(F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"])), 256).alias("h"))
 
 
 def fingerprint(panel: DataFrame, actions: DataFrame | None = None, version: str = SCHEMA_VERSION) -> DataFrame:
@@ -32,11 +34,13 @@ def fingerprint(panel: DataFrame, actions: DataFrame | None = None, version: str
 
 
 def manifest(panel: DataFrame, report: DataFrame, digests: DataFrame, dataset_hash: DataFrame) -> DataFrame:
-    """One row: counts, date range, symbols, files' digests, quality reports, dates with all symbols, dataset hash."""
+    """One row: counts, date range, symbols, files' digests (and rows, if digests has n_rows), quality reports, dates with
+    all symbols, dataset hash."""
     n = panel.agg(F.countDistinct("symbol").alias("n"))
     full = panel.filter("close is not null").groupBy("date").agg(F.countDistinct("symbol").alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).agg(F.count("*").alias("all_present_rows"))
     body = panel.agg(F.count("*").alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"), F.sort_array(F.collect_set("symbol")).alias("symbols"))
-    files = digests.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "sha256")))).alias("files"))
+    of_files = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", c))))
+    files = digests.agg(of_files("sha256").alias("files"), *[of_files(c).alias("file_rows") for c in ("n_rows",) if c in digests.columns])
     quality = report.agg(F.sort_array(F.collect_list(F.struct("symbol", "status", "n_rows", "issues"))).alias("qc"), (F.count_if(F.col("status") == "FAIL") == 0).alias("passed"))
     return body.crossJoin(full).crossJoin(files).crossJoin(quality).crossJoin(dataset_hash)
 

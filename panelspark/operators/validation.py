@@ -28,6 +28,16 @@ def aligned(returns: DataFrame) -> DataFrame:
     return returns.join(full.select("date"), "date", "left_semi")
 
 
+def contiguous(rows: DataFrame, groups: int, name: str) -> DataFrame:
+    """rows with the number (from 1) of their near-equal contiguous group, worked out from row (0-based) and the number of
+    rows: the first groups are a row longer. No task sees all rows in order."""
+    n = rows.agg(F.count("*").alias("_t"))
+    size, longer = F.floor(F.col("_t") / groups), F.col("_t") % groups
+    head = longer * (size + 1)
+    group = F.when(F.col("row") < head, F.floor(F.col("row") / (size + 1))).otherwise(longer + F.floor((F.col("row") - head) / F.greatest(size, F.lit(1)))) + 1
+    return rows.crossJoin(F.broadcast(n)).withColumn(name, group.cast("int")).drop("_t")
+
+
 def purged_kfold(rows: DataFrame, folds: int, embargo: int, strict: bool = True) -> DataFrame:
     """fold, row, role of every row in every fold. Test: the fold's contiguous rows. Train: rows whose label ends before
     the fold's first date (at it, if not strict), and those from `embargo` rows after the position of the fold's last
@@ -35,9 +45,9 @@ def purged_kfold(rows: DataFrame, folds: int, embargo: int, strict: bool = True)
 
     rows: row (0-based), date, label_end.
     """
-    marked = rows.withColumn("_fold", F.ntile(folds).over(Window.orderBy("row")))
+    marked = contiguous(rows, folds, "_fold")
     bounds = marked.groupBy("_fold").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("date").alias("t0"), F.max("label_end").alias("t1"))
-    after = bounds.join(rows.select(F.col("row").alias("_r"), F.col("date").alias("_d")), F.col("_d") <= F.col("t1")).groupBy("_fold", "a", "b", "t0").agg(F.max("_r").alias("last"))
+    after = F.broadcast(bounds).join(rows.select(F.col("row").alias("_r"), F.col("date").alias("_d")), F.col("_d") <= F.col("t1")).groupBy("_fold", "a", "b", "t0").agg(F.max("_r").alias("last"))
     before = F.col("label_end") < F.col("t0") if strict else F.col("label_end") <= F.col("t0")
     role = F.when(F.col("row").between(F.col("a"), F.col("b")), "test").when(before | (F.col("row") > F.col("last") + embargo), "train").otherwise("purged")
     return rows.crossJoin(F.broadcast(after)).select(F.col("_fold").alias("fold"), "row", role.alias("role"))
@@ -55,7 +65,7 @@ def n_paths(groups: int, k: int) -> int:
 
 def combinatorial_splits(rows: DataFrame, groups: int, k: int, embargo: int) -> DataFrame:
     """split_id, row, role: test, train, or embargoed (the rows directly after a test group). rows: row (0-based)."""
-    marked = rows.withColumn("grp", F.ntile(groups).over(Window.orderBy("row")))
+    marked = contiguous(rows, groups, "grp")
     ends = marked.groupBy("grp").agg(F.max("row").alias("end"))
     splits = split_table(rows.sparkSession, groups, k)
     tests = splits.filter("role = 'test'").join(ends, "grp").groupBy("split_id").agg(F.collect_list("end").alias("ends"))

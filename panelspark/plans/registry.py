@@ -66,6 +66,12 @@ def base(spark, sf_dir) -> DataFrame:
     return panel.with_returns(panel.common_history(damped(daily_bars(spark, sf_dir))))
 
 
+def _span(rows) -> tuple[str, str]:
+    """First and last date."""
+    r = rows.agg(F.min("date").cast("string").alias("a"), F.max("date").cast("string").alias("b")).first()
+    return r["a"], r["b"]
+
+
 def hourly(spark, sf_dir, every="60 minutes") -> DataFrame:
     return panel.resample(ticks(spark, sf_dir), every, tie="event_id")
 
@@ -164,14 +170,15 @@ def missing_runs(spark, sf_dir):
     return tidy(qc.missing_runs(daily_bars(spark, sf_dir), longest=1))
 
 
-@query(f"""WITH {BARS}, wk AS (SELECT CAST(d AS date) AS date FROM generate_series(TIMESTAMP '1995-01-02', TIMESTAMP '1996-12-31', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) BETWEEN 1 AND 5),
+@query(f"""WITH {BARS}, wk AS (SELECT d AS date FROM (SELECT CAST(unnest(generate_series(CAST(min(date) AS timestamp), CAST(max(date) AS timestamp), INTERVAL 1 DAY)) AS date) AS d FROM bars) WHERE dayofweek(d) BETWEEN 1 AND 5),
     fi AS (SELECT DISTINCT date FROM bars WHERE day(date) <> 13), sy AS (SELECT DISTINCT symbol FROM bars)
     SELECT CAST(NULL AS varchar) AS symbol, CAST(date AS varchar) AS date, 'weekday-404' AS reason FROM wk WHERE date NOT IN (SELECT date FROM fi)
     UNION ALL SELECT sy.symbol, CAST(wk.date AS varchar), 'not-listed' FROM wk JOIN fi USING (date) CROSS JOIN sy WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = sy.symbol AND b.date = wk.date)""")
 def skipped_days(spark, sf_dir):
-    rows = daily_bars(spark, sf_dir)
+    """Over all dates of the table; days numbered 13 have no file."""
+    rows = settled(daily_bars(spark, sf_dir), "bars")
     files = rows.select("date").distinct().filter("day(date) <> 13")
-    return tidy(qc.skipped_days("1995-01-02", "1996-12-31", files, rows.select("date", "symbol")))
+    return tidy(qc.skipped_days(*_span(rows), files, rows.select("date", "symbol")))
 
 
 @query(f"WITH {BARS} SELECT symbol, count(*) FILTER (WHERE close IS NULL OR close <= 0) = 0 AS valid FROM bars GROUP BY symbol")
@@ -195,10 +202,11 @@ def corporate_action_adjust(spark, sf_dir):
     return tidy(adjust.adjusted(daily_bars(spark, sf_dir), _actions(spark)))
 
 
-@query(f"""WITH {ADJUSTED}, j AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM adj WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31')
+@query(f"""WITH {ADJUSTED}, j AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM adj)
     SELECT symbol, CAST(date AS varchar) AS date, {r6('ret', 'ret')} FROM j WHERE abs(ret) > 0.5""")
 def residual_jumps(spark, sf_dir):
-    return tidy(adjust.residual_jumps(daily_bars(spark, sf_dir), _actions(spark), "1996-01-01", "1999-12-31"))
+    rows = settled(daily_bars(spark, sf_dir), "bars")
+    return tidy(adjust.residual_jumps(rows, _actions(spark), *_span(rows)))
 
 
 # --- signals -----------------------------------------------------------------------------------------------------
@@ -363,18 +371,11 @@ def trend_study_grid(spark, sf_dir):
     return tidy(portfolio.trend_grid(base(spark, sf_dir)))
 
 
-@query(f"""WITH {PANEL}, w AS (SELECT symbol, date, ret - avg(ret) OVER (PARTITION BY symbol) AS x FROM r WHERE i > (SELECT max(i) FROM r) - 252 AND ret IS NOT NULL),
-    m AS (SELECT a.symbol AS i, b.symbol AS j, count(*) AS t, avg(a.x * b.x) AS s, avg(a.x * a.x * b.x * b.x) AS s22, avg(a.x * a.x * a.x * b.x) AS s31, avg(a.x * b.x * b.x * b.x) AS s13 FROM w a JOIN w b USING (date) GROUP BY 1, 2),
-    v AS (SELECT i AS k, s AS v FROM m WHERE i = j),
-    n AS (SELECT m.*, vi.v AS vi, vj.v AS vj, m.s / sqrt(vi.v * vj.v) AS corr, s22 - s * s AS pi,
-        CASE WHEN i <> j THEN sqrt(vj.v / vi.v) * (s31 - vi.v * s) + sqrt(vi.v / vj.v) * (s13 - vj.v * s) ELSE 0 END AS rho FROM m JOIN v vi ON vi.k = m.i JOIN v vj ON vj.k = m.j),
-    g AS (SELECT avg(corr) FILTER (WHERE i <> j) AS rbar, sum(pi) AS pi_sum, sum(pi) FILTER (WHERE i = j) AS pi_diag, sum(rho) AS rho_sum, max(t) AS rows FROM n),
-    f AS (SELECT n.*, g.*, CASE WHEN i <> j THEN rbar * sqrt(vi * vj) ELSE s END AS target FROM n, g),
-    d AS (SELECT greatest(least((max(pi_sum) - max(pi_diag) - max(rbar) / 2 * max(rho_sum)) / sum(pow(target - s, 2)) / max(rows), 1), 0) AS delta FROM f)
-    SELECT i, j, {r6('1e6 * (delta * target + (1 - delta) * s)', 'cov_e6')}, {r6('delta', 'delta')} FROM f, d""")
+@query(f"WITH {PANEL}, {sql.shrunk_windows(portfolio.COVARIANCE_ROWS, portfolio.REBALANCE_ROWS)} SELECT CAST(window_id AS bigint) AS window_id, i, j, {r6('1e6 * cov', 'cov_e6')}, {r6('delta', 'delta')} FROM cov")
 def ledoit_wolf(spark, sf_dir):
-    rows = base(spark, sf_dir).withColumn("_t", F.row_number().over(series("symbol").orderBy(F.desc("date")))).filter("_t <= 252 and ret is not null")
-    return tidy(portfolio.shrunk_covariance(rows.select(F.lit(0).cast("long").alias("window_id"), "date", "symbol", "ret")).select("i", "j", (1e6 * F.col("cov")).alias("cov_e6"), "delta"))
+    """The shrunk covariance of every rebalance window."""
+    rows = portfolio.rebalance_windows(settled(base(spark, sf_dir), "panel"))
+    return tidy(portfolio.shrunk_covariance(rows).select("window_id", "i", "j", (1e6 * F.col("cov")).alias("cov_e6"), "delta"))
 
 
 @query(f"WITH RECURSIVE {PANEL}, {WEIGHTS_SQL} SELECT symbol, CAST(date AS varchar) AS date, {r6('weight', 'weight')} FROM wt")
@@ -471,6 +472,15 @@ def pair_screen(spark, sf_dir):
     return tidy(trades.pair_summary(_pair_trades(spark, sf_dir)).orderBy(F.desc("net_pt")))
 
 
+@query(ORACLE_SQL["pair_screen"])
+def ranked_screen(spark, sf_dir):
+    """The screen as one ranked CSV file, read back."""
+    path = scratch(spark, "ranked")
+    screen = pair_screen(spark, sf_dir)
+    bars.write_ranked(screen, path)
+    return spark.read.option("header", True).schema(screen.schema).csv(path)
+
+
 def _leg_bars(spark, sf_dir, every="60 minutes"):
     legs = _legs(spark, sf_dir, every).select(F.col("pair").alias("symbol"), "sym_a", "ts", "a", "b")
     range_ = hourly(spark, sf_dir, every).select(F.col("symbol").alias("sym_a"), "ts", "high", "low")
@@ -665,7 +675,7 @@ def overlay_gate(spark, sf_dir):
 # --- provenance --------------------------------------------------------------------------------------------------
 
 HASHED = f"""{BARS}, rh AS (SELECT date_trunc('month', date) AS month, sha256(concat_ws('|', CAST(date AS varchar), symbol, CAST(CAST(round(close * 1e6) AS bigint) AS varchar))) AS h FROM bars),
-    mh AS (SELECT month, sha256(string_agg(h, '' ORDER BY h)) AS h FROM rh GROUP BY month), dh AS (SELECT sha256(concat_ws('|', '1', '', string_agg(h, '' ORDER BY month))) AS dataset_hash FROM mh)"""
+    bh AS (SELECT month, substring(h, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM rh GROUP BY 1, 2), mh AS (SELECT month, sha256(string_agg(h, '' ORDER BY p)) AS h FROM bh GROUP BY month), dh AS (SELECT sha256(concat_ws('|', '2', '', string_agg(h, '' ORDER BY month))) AS dataset_hash FROM mh)"""
 
 
 @query(f"WITH {HASHED} SELECT dataset_hash FROM dh")
@@ -677,7 +687,7 @@ def dataset_fingerprint(spark, sf_dir):
 BUILT = f"""{BARS}, raw AS (SELECT symbol, date, close FROM bars UNION ALL SELECT 'ZZ', date, -5e0 FROM bars WHERE symbol = 'AF'), bad AS (SELECT symbol FROM raw GROUP BY 1 HAVING count(*) FILTER (WHERE close <= 0 OR close IS NULL) > 0 OR count(*) > count(DISTINCT date)),
     ok AS (SELECT * FROM raw WHERE symbol NOT IN (SELECT symbol FROM bad)), un AS (SELECT d.date, s.symbol, ok.close FROM (SELECT DISTINCT date FROM ok) d CROSS JOIN (SELECT DISTINCT symbol FROM ok) s LEFT JOIN ok ON ok.date = d.date AND ok.symbol = s.symbol),
     rh AS (SELECT date_trunc('month', date) AS month, sha256(concat_ws('|', CAST(date AS varchar), symbol, coalesce(CAST(CAST(round(close * 1e6) AS bigint) AS varchar), ''))) AS h FROM un),
-    mh AS (SELECT month, sha256(string_agg(h, '' ORDER BY h)) AS h FROM rh GROUP BY month), dh AS (SELECT sha256(concat_ws('|', '1', '', string_agg(h, '' ORDER BY month))) AS dataset_hash FROM mh)"""
+    bh AS (SELECT month, substring(h, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM rh GROUP BY 1, 2), mh AS (SELECT month, sha256(string_agg(h, '' ORDER BY p)) AS h FROM bh GROUP BY month), dh AS (SELECT sha256(concat_ws('|', '2', '', string_agg(h, '' ORDER BY month))) AS dataset_hash FROM mh)"""
 
 
 def _built(spark, sf_dir):
@@ -760,8 +770,18 @@ def dataset_manifest(spark, sf_dir):
     """The bars' manifest with the digests of the raw files that they come from (2 GB each at most)."""
     rows = settled(daily_bars(spark, sf_dir), "bars")
     digests = bars.file_digests(spark, f"{sf_dir}/lineitem.parquet").withColumn("path", F.element_at(F.split("path", "/"), -1))
-    out = ledger.manifest(rows, qc.qc_report(rows), digests, ledger.fingerprint(rows))
-    return out.select("rows", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), F.to_json("symbols").alias("symbols"), "all_present_rows", F.to_json("files").alias("files"), F.to_json("qc").alias("qc"), "passed", "dataset_hash")
+    counts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("_metadata.file_name").alias("path")).agg(F.count("*").alias("n_rows"))
+    out = ledger.manifest(rows, qc.qc_report(rows), digests.join(counts, "path", "left"), ledger.fingerprint(rows))
+    return out.select("rows", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), F.to_json("symbols").alias("symbols"), "all_present_rows", F.to_json("files").alias("files"), F.to_json("file_rows").alias("file_rows"), F.to_json("qc").alias("qc"), "passed", "dataset_hash")
+
+
+@query(f"""WITH {BARS}, {ACTIONS_SQL}, rh AS (SELECT date_trunc('month', date) AS month, sha256(concat_ws('|', CAST(date AS varchar), symbol, CAST(CAST(round(close * 1e6) AS bigint) AS varchar))) AS h FROM bars),
+    bh AS (SELECT month, substring(h, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM rh GROUP BY 1, 2), mh AS (SELECT month, sha256(string_agg(h, '' ORDER BY p)) AS h FROM bh GROUP BY month),
+    ac AS (SELECT sha256(concat('[', string_agg(concat('{{"ex_date":"', CAST(ex_date AS varchar), '","price_div":', CAST(price_div AS double), ',"symbol":"', symbol, '","vol_mult":', CAST(vol_mult AS double), '}}'), ',' ORDER BY ex_date, price_div, symbol), ']')) AS acts FROM acts)
+    SELECT sha256(concat_ws('|', '2', max(acts), string_agg(h, '' ORDER BY month))) AS dataset_hash FROM mh, ac""")
+def adjusted_fingerprint(spark, sf_dir):
+    """The fingerprint with the corporate actions' digest in it."""
+    return ledger.fingerprint(daily_bars(spark, sf_dir), _actions(spark))
 
 
 TRIALS = [("T1", "2024-01-01", "A", 12, "PASS"), ("T2", "2024-01-02", "A", 12, "REJECT"), ("T3", "2024-01-03", "B", 0, "REJECT"), ("T4", "2024-01-04", "C", 0, "STALE"), ("T5", "2024-01-05", "C", 64, "PASS")]
