@@ -2,7 +2,8 @@
 
 Emails, addresses of the Internet protocol, payment cards (Luhn) and international telephone numbers are always
 reported when their pattern and check hold. The method adds bank account numbers (IBAN, mod-97), and numbers that are
-only likely to be personal when the words around them say so: national telephone numbers and social security numbers.
+only likely to be personal when the words around them say so: national telephone numbers, social security numbers, and
+long hexadecimal strings that are secrets (keys, tokens, passwords).
 The patterns use possessive repeats and fixed starts, so that a scan takes time in proportion to the text.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import map_texts
 
 #: Kinds in the order in which equal starts are listed; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "phone_local")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "phone_local", "secret")
 BASE = 4
 #: A span is reported when its score reaches this.
 REPORTED = 0.5
@@ -26,7 +27,7 @@ REPORTED = 0.5
 NEAR = 40
 
 #: Score of a span by itself, and what a context word adds (fixed values).
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "phone_local": 0.2}
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "phone_local": 0.2, "secret": 0.3}
 #: Context words of each kind (fixed values).
 CONTEXT = {
     "email": ("email", "e-mail", "mail", "contact"),
@@ -36,6 +37,7 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
     "ssn": ("ssn", "social security"),
     "phone_local": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone"),
+    "secret": ("token", "secret", "key", "password", "passwd", "apikey", "api_key", "credential", "auth"),
 }
 CONTEXT_GAIN = 0.3
 
@@ -47,6 +49,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 PHONE_LOCAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,128}+(?![A-Za-z0-9])")
 DIGIT = re.compile(r"[0-9]")
 
 
@@ -102,6 +105,8 @@ def _proposed(text: str):
                 yield "ssn", m.start(), m.end()
     for m in PHONE_LOCAL.finditer(text):
         yield "phone_local", m.start(), m.end()
+    for m in SECRET.finditer(text):
+        yield "secret", m.start(), m.end()
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -133,9 +138,9 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The spans of find() as counts, a joined string, and the SHA-256 of the base spans joined likewise."""
+    """The spans of find() as counts (n_spans: of all kinds), a joined string, and the SHA-256 of the base spans joined likewise."""
     joined = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:BASE]))
     of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS[:BASE]]
-    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
