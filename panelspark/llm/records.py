@@ -4,7 +4,8 @@ Documents are dealt by ranges of doc_id and sorted, so that part after part hold
 one file of frames: the payload's length (uint64), the masked CRC-32 of those 8 bytes, the payload, the masked CRC-32
 of the payload; all little-endian. A payload is doc_id (int64), the ids' width in bytes (uint8) and the ids. The index
 file of a part has one entry a record: doc_id, offset of its frame, number of ids (three int64), so that a reader can
-take records in any order without scanning. Files are written under a name of the attempt and then renamed, and a
+take records in any order without scanning: read() deals stretches of the index out in a shuffled order and seeks to
+each. The smallest int64 stands for a missing doc_id, which comes first. Files are written under a name of the attempt and then renamed, and a
 rerun task replaces its file as a whole.
 """
 
@@ -29,7 +30,9 @@ HEAD = struct.Struct("<Q")
 SUM = struct.Struct("<I")
 PREFIX = struct.Struct("<qB")
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n_ids", "<i8")])
-ROWS_OUT = 20_000
+NO_ID = -(1 << 63)
+#: Records, and bytes, of a stretch that is read at once.
+STRETCH, STRETCH_BYTES = 2_000, 8 << 20
 
 
 def masked(crc: int) -> int:
@@ -59,14 +62,15 @@ def unframe(data, at: int) -> tuple[int, np.ndarray, int]:
 def _filesystem(uri: str):
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(uri)
+    return FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def write(docs: DataFrame, folder: str | None = None, tokenizer_path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write every row's whole text (null: empty) as a record of its ids and end_id, in ascending doc_id order.
 
     Returns the manifest, one row a part: part (ascending with doc_id), path, index_path, n_docs, n_ids. Rows that
-    repeat a doc_id become records side by side. An empty table gives no part.
+    repeat a doc_id become records side by side, rows without one come first. An empty table gives no part. folder is one
+    that all executors share, in a store that pyarrow opens (local, HDFS, S3, GCS).
     """
     path, folder = tokenizer_path or default_path(), folder or fresh_path(docs.sparkSession, "records")
     tail = np.array([end_id], "<u4").tobytes()
@@ -85,7 +89,7 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer_path: str | None
                     out = fs.open_output_stream(f"{name}.{mine}")
                 texts = [(t or "").encode("utf-8", "replace") for t in piece.column("text").to_pylist()]
                 encoder(path).turn()
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoder(path).by_words(texts), strict=True):
+                for doc_id, ids in zip(piece.column("doc_id").fill_null(NO_ID).to_pylist(), encoder(path).by_words(texts), strict=True):
                     ids = np.frombuffer(ids + tail, "<u4")
                     record = frame(doc_id, ids)
                     out.write(record)
@@ -107,29 +111,52 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer_path: str | None
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all records before), n_tokens and ids_crc32 of every record, all checksums checked."""
-    parts = manifest.count()
+    """doc_id, start (ids of all records before), n_tokens and ids_crc32 of every record, all checksums checked. Stretches of
+    the index, not files, are dealt out, in the order of a hash: no task holds a file."""
     start = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    def load(batches):
+    def listed(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 fs, _ = _filesystem(row["folder"])
-                with fs.open_input_stream(row["path"]) as f:
-                    yield from _rows(f.read(), row["start"])
-
-    return manifest.select("folder", "path", start.alias("start")).repartition(max(1, parts)).mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                with fs.open_input_file(row["index_path"]) as f:
+                    index = np.frombuffer(f.read(), INDEX)
+                ends = np.append(index["offset"][1:], fs.get_file_info(row["path"]).size)
+                before = row["start"] + np.cumsum(index["n_ids"]) - index["n_ids"]
+                at, out = 0, []
+                while at < len(index):
+                    to = min(at + STRETCH, max(at + 1, int(np.searchsorted(ends, index["offset"][at] + STRETCH_BYTES, side="right"))))
+                    out.append((row["folder"], row["path"], int(ends[to - 1]), int(before[at]), index[at:to].tobytes()))
+                    at = to
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["folder", "path", "stop", "start", "entries"])
 
-
-def _rows(data: bytes, start: int):
-    at, rows = 0, []
-    while at < len(data):
-        doc_id, ids, at = unframe(data, at)
-        rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-        start += len(ids)
-        if len(rows) == ROWS_OUT or at >= len(data):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
-            rows = []
+    def load(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                fs, _ = _filesystem(row["folder"])
+                index = np.frombuffer(row["entries"], INDEX)
+                first = int(index["offset"][0])
+                with fs.open_input_file(row["path"]) as f:
+                    f.seek(first)
+                    data = f.read(row["stop"] - first)
+                yield _rows(data, first, index, row["start"])
+
+    stretches = manifest.select("folder", "path", "index_path", start.alias("start")).mapInArrow(listed, "folder string, path string, stop long, start long, entries binary")
+    return stretches.repartition(F.xxhash64("path", "stop")).mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _rows(data: bytes, first: int, index: np.ndarray, start: int) -> pa.RecordBatch:
+    """The records of a stretch of the index; raises ValueError where a record is not what its entry says."""
+    ids_of, n, crc = [], [], []
+    for entry in index:
+        doc_id, ids, _ = unframe(data, int(entry["offset"]) - first)
+        if doc_id != entry["doc_id"] or len(ids) != entry["n_ids"]:
+            raise ValueError(f"the index does not match the record at {entry['offset']}")
+        ids_of.append(None if doc_id == NO_ID else doc_id)
+        n.append(len(ids))
+        crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+    n = np.array(n, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(ids_of, pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_one(folder: str, part: int, record: int) -> tuple[int, np.ndarray]:
