@@ -66,7 +66,10 @@ def exact_groups(docs: DataFrame, words_per_chunk: int = WORDS_PER_CHUNK) -> Dat
     recipes = written(recipes_of(docs, words_per_chunk), "recipes")
     clash = written(conflicts(recipes), "chunk-conflicts")
     plain = recipes.select("doc_id", "text_hash", "text_sha256", "recipe")
-    doubtful = plain.select("text_sha256", F.explode("recipe").alias("id")).join(clash, "id", "left_semi").select("text_sha256").distinct().withColumn("apart", F.col("text_sha256"))
-    keyed = plain.join(doubtful, "text_sha256", "left").withColumn("apart", F.coalesce("apart", F.lit("")))
+    if clash.isEmpty():
+        keyed = plain.withColumn("apart", F.lit(""))
+    else:
+        doubtful = written(plain.select("text_sha256", F.explode("recipe").alias("id")).join(clash, "id", "left_semi").select("text_sha256").distinct().withColumn("apart", F.col("text_sha256")), "doubtful")
+        keyed = plain.join(doubtful, "text_sha256", "left").withColumn("apart", F.coalesce("apart", F.lit("")))
     groups = written(keyed.groupBy("recipe", "apart").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")
     return keyed.join(groups, ["recipe", "apart"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_hash")
