@@ -180,7 +180,7 @@ def overlay_verdict(returns: DataFrame, benchmark: DataFrame, trials: int, keys:
     whether its 5th percentile is above 0. A key with no whole path has paths 0 and FAIL."""
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.coalesce("sharpe", F.lit(float("-inf")))), "config_id"))
     best = performance(returns, (*keys, "config_id")).withColumn("_rn", first).filter("_rn = 1").select(*keys, "config_id")
-    dsr = deflated_sharpe(returns.join(F.broadcast(best), [*keys, "config_id"], "left_semi"), trials, (*keys, "config_id"))
+    dsr = deflated_sharpe(returns.join(best, [*keys, "config_id"], "left_semi"), trials, (*keys, "config_id"))
     saved = distribution(paired_paths(returns, benchmark, keys=keys), "d_maxdd", keys).select(*keys, F.col("n").alias("paths"), F.col("median").alias("saved_median"), F.col("p5").alias("saved_p5"), F.col("positive").alias("saved_share"))
     out = dsr.select(*keys, "config_id", "sr", "sr0", "dsr").join(saved, list(keys), "left").withColumn("paths", F.coalesce("paths", F.lit(0)))
     return out.withColumn("mandate", F.when(F.col("saved_p5") > 0, "PASS").otherwise("FAIL"))
