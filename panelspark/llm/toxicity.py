@@ -287,7 +287,8 @@ def score_texts(net: Net, texts: list[bytes]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS, folds: int = 3, held_fold: int = 1) -> Net | None:
     """Fit on labelled documents outside the held-out fold: at most about max_rows of them, picked by a hash; a text of more
-    than max_chars is represented by ten pieces of it, evenly spread. None if there are none."""
+    than max_chars is represented by ten pieces of it, evenly spread; of rows that share a doc_id, by the smallest text.
+    None if there are none."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), folds) != held_fold)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     parts = 1 << 20
@@ -298,8 +299,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, ma
     pieces = F.concat_ws(" ", *[F.substring("text", F.lit(1) + F.floor((size - max_chars // 10) * k / 9).cast("int"), F.lit(max_chars // 10)) for k in range(10)])
     text = F.when(size <= max_chars, F.col("text")).otherwise(pieces)
     # the sample has about max_rows rows of two numbers, whatever the size of the tables
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", text.alias("text"), F.col("_toxic").alias("toxic")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    rows = found.groupBy("doc_id").agg(F.min(text).alias("text"), F.max("_toxic").alias("toxic")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return fit([r["text"].encode("utf-8", "replace") for r in rows], np.array([r["toxic"] for r in rows], np.int64)) if rows else None
 
 

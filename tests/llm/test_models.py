@@ -134,3 +134,13 @@ def test_odd_rows(spark):
     assert len(scored) == len(rows) and all(0 <= r["score"] <= 1 for r in scored) and len({round(r["score"], 5) for r in scored if r["doc_id"] == 5}) == 1
     net = toxicity.train(df, labels, max_chars=10)
     assert net is not None
+
+
+def test_repeated_rows_do_not_grow_the_sample(spark):
+    """Of rows that share a doc_id the network is fitted on one, the smallest text, however many there are."""
+    rows = [(i, ("nice words here" if i % 2 else "vile words here") + f" w{i}") for i in range(30)]
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(30)], "doc_id long, toxic int")
+    kinds = "doc_id long, text string"
+    once = toxicity.train(spark.createDataFrame(rows, kinds), labels)
+    again = toxicity.train(spark.createDataFrame(rows + [(3, rows[3][1])] * 50 + [(3, "zz other words")] * 50, kinds), labels)
+    assert all(np.array_equal(once.p[k], again.p[k]) for k in once.p) and (once.scale, once.shift) == (again.scale, again.shift)
