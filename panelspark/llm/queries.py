@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, embedding_dedup, exact_dedup, language_id, mixing, pii, records, simhash, substring_dedup, toxicity
+from panelspark.llm import bpe, embedding_dedup, exact_dedup, language_id, mixing, periodic_runs, pii, quality, records, simhash, substring_dedup, toxicity, whitening
 from panelspark.llm.common import table
 
 
@@ -48,7 +48,19 @@ def op10_token_records(spark, sf_dir):
     return records.read(records.write(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_language_id, op4_pii, op5_mixing, op6_simhash, op7_substring_dedup, op8_exact_dedup, op9_toxicity, op10_token_records)}
+def op11_quality(spark, sf_dir):
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.digest(periodic_runs.find_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_language_id, op4_pii, op5_mixing, op6_simhash, op7_substring_dedup, op8_exact_dedup, op9_toxicity, op10_token_records, op11_quality, op12_whitening, op13_periodic_runs)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
