@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import bounded_batches, crc_bucket, map_texts, slices
+from panelspark.llm.common import bounded_batches, crc_bucket, map_texts, slices, written
 
 #: Character n-grams of 1 to 3 letters fall into so many buckets.
 BUCKETS = 4096
@@ -119,16 +119,27 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
     return Model(languages, code, beta, bias, trust / trust.sum(), 6.0, x.shape[1])
 
 
+def chosen(labelled: DataFrame, max_rows: int) -> DataFrame:
+    """lang and key (a hash of doc_id and text) of the rows to learn from: of each language's different keys the smallest,
+    max_rows over all languages and equally many of each, but one at least. With more than max_rows languages, only the
+    max_rows with the most keys are learned."""
+    keys = written(labelled.select("lang", "key").distinct(), "fit-keys")
+    sizes = keys.groupBy("lang").agg(F.count("*").alias("n"), F.min("key").alias("first")).orderBy(F.desc("n"), "lang").limit(max_rows)
+    sizes = written(sizes, "fit-languages")
+    each, parts = max(1, max_rows // max(1, sizes.count())), 1 << 20
+    # about twice as many as are wanted come to the ranking, so it holds a bounded number of rows of a language
+    near = (F.pmod(F.col("key"), F.lit(parts)) < F.ceil(2.0 * each * parts / F.col("n"))) | (F.col("key") == F.col("first"))
+    number = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.col("key") == F.col("first")), F.pmod(F.col("key"), F.lit(parts)), "key"))
+    return written(keys.join(sizes, "lang").filter(near).withColumn("_rn", number).filter(F.col("_rn") <= each).select("lang", "key"), "fit-chosen")
+
+
 def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, folds: int = 5, held_fold: int = 0) -> Model | None:
-    """Fit on labelled rows outside the held-out fold: at most about max_rows, equally many of each language, picked by
-    a hash. None if there are none."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket(F.col("doc_id"), folds) != held_fold))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    each, parts = max(1, max_rows // len(counts)), 1 << 20
-    pick = F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(parts))
-    wanted = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(parts, -(-each * parts // n)))) for k, n in counts.items()])
+    """Fit on labelled rows outside the held-out fold (a row without doc_id is in no fold): at most max_rows, equally many
+    of each language, picked by a hash of doc_id and text, so that rows alike count once and rows of one doc_id are told
+    apart. None if there are none."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket(F.col("doc_id"), folds) != held_fold))
+    labelled = rows.select("lang", "text", F.xxhash64(F.lit("fit"), F.col("doc_id"), F.col("text")).alias("key"))
+    picked = labelled.join(chosen(labelled, max_rows), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.any_value("text").alias("text"))
 
     def of(piece):
         lang, text = piece.column("lang").to_pylist(), piece.column("text").to_pylist()
@@ -144,14 +155,15 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, folds: int = 5, held_
             del rows
             yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(x, lang))]})
 
-    sample = map_texts(labelled.filter(pick < wanted).select("lang", "text"), of, "lang string, x binary")
+    sample = map_texts(picked.select("lang", "text"), of, "lang string, x binary")
     fitted = sample.repartition(1).mapInArrow(learn, "model binary").collect()
     return pickle.loads(fitted[0]["model"]) if fitted else None
 
 
 def predict(docs: DataFrame, model: Model | None, threshold: float = AMBIGUOUS) -> DataFrame:
     """doc_id, lang_pred, score and ambiguous of every row. A text that is null or has no letter is `und` with score 0;
-    so is every text where there was nothing to learn from. Extra columns are ignored."""
+    so is every text where there was nothing to learn from. Every row is predicted from its own text, whether or not its
+    doc_id repeats or is missing. Extra columns are ignored."""
 
     def of(piece):
         ids, text = piece.column("doc_id"), piece.column("text").to_pylist()

@@ -1,9 +1,11 @@
 """The classifiers against plain versions of themselves, and the odd rows that they have to take."""
 
 import math
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.llm import language_id, toxicity
 
@@ -144,3 +146,44 @@ def test_repeated_rows_do_not_grow_the_sample(spark):
     once = toxicity.train(spark.createDataFrame(rows, kinds), labels)
     again = toxicity.train(spark.createDataFrame(rows + [(3, rows[3][1])] * 50 + [(3, "zz other words")] * 50, kinds), labels)
     assert all(np.array_equal(once.p[k], again.p[k]) for k in once.p) and (once.scale, once.shift) == (again.scale, again.shift)
+
+
+def many_texts(rng, n, letters):
+    return [" ".join("".join(rng.choice(letters, 4)) for _ in range(12)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("doc_id,alike", [(7, False), (30, False), (7, True), (30, True)])
+def test_language_training_with_one_repeated_doc_id(spark, doc_id, alike):
+    """However many rows share a doc_id, the sample keeps its bound and every language is learned."""
+    rng = np.random.default_rng(4)
+    one, other = many_texts(rng, 1 if alike else 3000, list("abcdef")), many_texts(rng, 60, list("uvwxyz"))
+    rows = [(doc_id, one[k % len(one)], "aa") for k in range(3000)] + [(100 + k, t, "bb") for k, t in enumerate(other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    keyed = df.withColumn("key", F.xxhash64(F.lit("fit"), "doc_id", "text"))
+    counts = {r["lang"]: r["n"] for r in language_id.chosen(keyed, 80).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"aa": 1 if alike else 40, "bb": 40}
+    model = language_id.train(df, max_rows=80)
+    assert model.languages == ["aa", "bb"]
+    probe = spark.createDataFrame([(1, " ".join(one[:3])), (None, " ".join(other[:3])), (1, None)], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language_id.predict(probe, model).collect()] == ["aa", "bb", "und"]
+
+
+def test_more_languages_than_rows(spark):
+    rows = [(100 + k, "xy " * (k + 1), f"l{k}") for k in range(30)] + [(200 + k, f"zz {'abcdefghij'[k]}", "l3") for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("key", F.xxhash64(F.lit("fit"), "doc_id", "text"))
+    got = [r["lang"] for r in language_id.chosen(df, 10).collect()]
+    assert len(got) == len(set(got)) == 10 and "l3" in got
+
+
+def plain_train(docs):
+    """The model that all labelled rows of different texts give when they are fewer than the bound."""
+    rows = sorted({(lang, language_id.features(t).astype(np.float16).tobytes()) for i, t, lang in docs if zlib.crc32(str(i).encode()) % 5})
+    return language_id.fit(np.stack([np.frombuffer(x, np.float16).astype(np.float32) for _, x in rows]), [k for k, _ in rows])
+
+
+def test_language_training_against_a_plain_fit(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, t, ("aa", "bb", "cc")[k % 3]) for k, t in enumerate(t for x in zip(*(many_texts(rng, 30, list(c)) for c in ("abcde", "fghij", "klmno")), strict=True) for t in x)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    want = plain_train(rows)
+    assert model.languages == want.languages and np.allclose(model.weights, want.weights, atol=1e-5) and np.allclose(model.trust, want.trust)
