@@ -10,9 +10,10 @@ task as a whole). Hashes only bring windows together: a window counts as seen wh
 of an earlier one. This finds what extending every pair would find, with work in proportion to the occurrences. Covered
 words merge into maximal repeats. Texts are shuffled once, by row, and the two joins with them share that exchange.
 
-A row is known by a 64-bit hash of its doc_id and text, as rows may share a doc_id. Rows alike in both are numbered: the
-first of them is extended, the others repeat it from end to end. So do texts that have the SHA-256 of one with a smaller
-doc_id: a table of digests finds them beforehand, and their passages are not compared with each other.
+A row is known by a 64-bit hash of its doc_id and text, as rows may share a doc_id. A table of all rows' hashes, doc_ids
+and SHA-256 digests verifies it: rows that share a hash but not both of these get hashes of their own. Of rows alike in
+both one is extended, the others, counted in that table, repeat it from end to end. So do texts that have the SHA-256 of
+one with a smaller doc_id: the digests find them beforehand, and their passages are not compared with each other.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import map_texts, slices, sorted_runs, written
@@ -31,6 +32,8 @@ SPLITS = 62
 SEED_WORDS = 8
 #: Occurrences of one anchor that a task holds at a time; anchors with more are dealt out by window.
 MOST_HELD = 20_000
+#: Copies of a row, alike in doc_id and text, that a task returns at a time.
+COPIES_AT_A_TIME = 100_000
 
 #: Odd multipliers, a value for each byte, and the finisher's multipliers (any fixed values do).
 BASE = 0xD6E8FEB86659FD93
@@ -171,8 +174,8 @@ def _seeds(docs: DataFrame, min_words: int, seed_words: int) -> DataFrame:
 
 
 def _compared(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The rows that are compared: those with a doc_id that do not repeat another one from end to end."""
-    return batch.filter(pc.and_(pc.and_(pc.is_null(batch.column("again")), pc.equal(batch.column("copy"), 1)), pc.is_valid(batch.column("doc_id"))))
+    """The rows that are compared: those that do not repeat another one from end to end."""
+    return batch.filter(pc.is_null(batch.column("again")))
 
 
 def _bytes(piece) -> list[bytes]:
@@ -316,42 +319,54 @@ def _settled(seen: DataFrame) -> DataFrame:
     return seen.repartition(spread).sortWithinPartitions(*keys, "doc_id", "row", "base").mapInArrow(run, "row long, base long, mask long")
 
 
-def _copies(texts: DataFrame, min_words: int) -> DataFrame:
+def row_hash() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def identified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, row of all rows; their keys: doc_id, digest of the text, row, n_chars): row is equal for rows alike in doc_id and
+    text, and for no others."""
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", row_hash())
+    keys = written(texts.select("doc_id", digest, "row", F.length("text").alias("n_chars")), "keys")
+    for seed in range(1, 9):
+        both = F.struct("doc_id", "digest")
+        clash = written(keys.groupBy("row").agg(F.min(both).alias("low"), F.max(both).alias("high")).filter(~F.col("low").eqNullSafe(F.col("high"))).select("row"), "row-conflicts")
+        if clash.isEmpty():
+            return texts, keys
+        number = F.row_number().over(Window.partitionBy("row").orderBy("doc_id", "digest"))
+        parted = keys.join(clash, "row", "left_semi").drop("n_chars").distinct().withColumn("_new", F.xxhash64(F.lit(seed), "row", number))
+        parted = written(parted.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("row").alias("_row"), "_new"), "parted")
+
+        def renamed(rows, parted=parted):
+            same = (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("digest").eqNullSafe(F.col("_digest"))
+            return rows.join(parted, same, "left").withColumn("row", F.coalesce("_new", "row")).drop("_id", "_digest", "_row", "_new")
+
+        texts, keys = renamed(texts.withColumn("digest", digest)).drop("digest"), written(renamed(keys), "keys")
+    raise ArithmeticError("rows' hashes keep clashing")
+
+
+def _copies(keys: DataFrame, min_words: int) -> DataFrame:
     """row of the texts of min_words words or more, at least by their length, that another text with a smaller doc_id (or
     of the same one, by row) equals."""
-    digests = written(texts.filter(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * min_words - 1)).select("doc_id", "row", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")), "digests")
+    digests = keys.filter(F.col("n_chars") >= 2 * min_words - 1)
     first = written(digests.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.row").alias("first_row")), "first-texts")
     return written(digests.join(first, "digest").filter("row <> first_row").select("row").distinct().withColumn("again", F.lit(1)), "copies")
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, spans (maximal repeats as [start, end) in words) and kept (the other
-    words, joined by single spaces).
-
-    A word goes if a window of min_words words that covers it also starts earlier, in a document of smaller doc_id or
-    before it in the same one. Null and empty texts have no words; shorter texts lose none. Different texts with one
-    doc_id are documents of their own, in an order that depends on nothing but them (that of the rows' hashes). Of rows
-    alike in doc_id and text one loses what it would lose alone; the others lose all words, unless they are shorter than
-    a window. A row without doc_id keeps all its words and is not compared. Extra columns are ignored.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    # all joins keep every text, so that they are the same exchange
-    texts = texts.join(_copies(texts, min_words).hint("shuffle_hash"), "row", "left").withColumn("copy", F.row_number().over(Window.partitionBy("row").orderBy("doc_id")))
-    places = _repeated(_seeds(texts, min_words, seed_words)).groupBy("row").agg(F.array_distinct(F.collect_list("pos")).alias("places"))
-    extended = _extended(texts.join(places.hint("shuffle_hash"), "row", "left"), min_words, seed_words)
-    repeats = _settled(_seen_before(extended, min_words)).groupBy("row").agg(F.collect_list(F.struct("base", "mask")).alias("repeats"))
+def _cleaned(rows: DataFrame, min_words: int, *extra: str) -> DataFrame:
+    """doc_id, n_words, spans, kept and extra columns of rows with their repeats, or with again where they go as a whole."""
 
     def of(piece):
-        out = {"doc_id": piece.column("doc_id"), "n_words": [], "spans": [], "kept": []}
-        again = pc.and_(pc.or_(pc.greater(piece.column("copy"), 1), pc.is_valid(piece.column("again"))), pc.is_valid(piece.column("doc_id"))).to_pylist()
-        for text, repeats, copy in zip(_bytes(piece), piece.column("repeats"), again, strict=True):
+        out = {"doc_id": piece.column("doc_id"), "n_words": [], "spans": [], "kept": []} | {c: piece.column(c) for c in extra}
+        for text, repeats, again in zip(_bytes(piece), piece.column("repeats"), piece.column("again").is_valid().to_pylist(), strict=True):
             words, spans = text.split(), []
-            if copy:
+            if again:
                 spans = [{"start": 0, "end": len(words)}] if len(words) >= min_words else []
             elif repeats.is_valid:
                 change = np.zeros(len(words) + 1, np.int64)
                 base, mask = (repeats.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                s = np.concatenate([base[(mask >> i & 1).astype(bool)] + i for i in range(min_words - seed_words + 1)])
+                s = np.concatenate([base[(mask >> i & 1).astype(bool)] + i for i in range(int(np.bitwise_or.reduce(mask)).bit_length())])
                 np.add.at(change, s, 1)
                 np.add.at(change, s + min_words, -1)
                 gone = np.cumsum(change[:-1]) > 0
@@ -366,8 +381,41 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
             out["kept"].append(b" ".join(kept + words[at:] if spans else words).decode())
         return out
 
-    joined = texts.join(repeats.hint("shuffle_hash"), "row", "left")
-    return map_texts(joined, of, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string")
+    return map_texts(rows, of, ", ".join(["doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string", *[f"{c} long" for c in extra]]))
+
+
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, spans (maximal repeats as [start, end) in words) and kept (the other
+    words, joined by single spaces).
+
+    A word goes if a window of min_words words that covers it also starts earlier, in a document of smaller doc_id or
+    before it in the same one. Null and empty texts have no words; shorter texts lose none. Different texts with one
+    doc_id are documents of their own, in an order that depends on nothing but them (that of the rows' hashes). Of rows
+    alike in doc_id and text one loses what it would lose alone; the others lose all words, unless they are shorter than
+    a window. A row without doc_id keeps all its words and is not compared. Extra columns are ignored.
+    """
+    texts, keys = identified(docs)
+    no_repeats = F.lit(None).cast("array<struct<base:long,mask:long>>").alias("repeats")
+    nobody = _cleaned(texts.filter("doc_id is null").select("doc_id", "text", no_repeats, F.lit(None).cast("int").alias("again")), min_words)
+    texts, keys = texts.filter("doc_id is not null"), keys.filter("doc_id is not null")
+    alike = written(keys.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1"), "alike")
+    others = nobody.limit(0)
+    if not alike.isEmpty():
+        first = written(texts.join(alike, "row", "left_semi").groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.any_value("text").alias("text")), "alike-texts")
+        texts = written(texts.join(alike, "row", "left_anti").unionByName(first), "texts")
+        keys = written(keys.distinct(), "keys")
+        gone = _cleaned(first.join(alike, "row").select("doc_id", "text", no_repeats, F.lit(1).alias("again"), "n"), min_words, "n")
+        # n - 1 of each, dealt out in parts of a bounded size
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / COPIES_AT_A_TIME))).alias("part")
+        size = F.least(F.lit(COPIES_AT_A_TIME).cast("long"), F.col("n") - 1 - F.col("part") * COPIES_AT_A_TIME)
+        parts = gone.select("*", part).repartition("doc_id", "part")
+        others = parts.select("doc_id", "n_words", "spans", "kept", F.explode(F.sequence(F.lit(1).cast("long"), size)).alias("_k")).drop("_k")
+    # all joins keep every text, so that they are the same exchange
+    texts = texts.join(_copies(keys, min_words), "row", "left")
+    places = _repeated(_seeds(texts, min_words, seed_words)).groupBy("row").agg(F.array_distinct(F.collect_list("pos")).alias("places"))
+    extended = _extended(texts.join(places, "row", "left"), min_words, seed_words)
+    repeats = _settled(_seen_before(extended, min_words)).groupBy("row").agg(F.collect_list(F.struct("base", "mask")).alias("repeats"))
+    return _cleaned(texts.join(repeats, "row", "left"), min_words).unionByName(nobody).unionByName(others)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
