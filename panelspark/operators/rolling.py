@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from panelspark.functions.positions import decayed_sums, parted
 from panelspark.functions.windows import rolling, series, so_far, trailing
 
 #: Rows of a block of the exponentially weighted sums; within one, weights stay within a double's range for spans >= 2.
@@ -53,11 +54,6 @@ def momentum(x: str, w: WindowSpec, lookbacks: tuple[int, ...]) -> Column:
     return sum((one(k) for k in lookbacks[1:]), one(lookbacks[0])) / len(lookbacks)
 
 
-def contiguous_groups(n: int, w: WindowSpec) -> Column:
-    """Number (from 1) of each row's near-equal contiguous group; the first groups are a row longer."""
-    return F.ntile(n).over(w)
-
-
 def turnover(position: str, w: WindowSpec) -> Column:
     return F.abs(F.col(position) - F.lag(position).over(w))
 
@@ -69,50 +65,44 @@ def ewm(df: DataFrame, column: str, out: dict[str, tuple[str, float]], keys: tup
     rec   the recursive form: the first present value, then (1 - a) times the last plus a times the new
     sd    bias-corrected standard deviation with the weights of mean, NULL at the first present value
 
-    A missing row ages the weights and repeats the last value. Sums run within blocks of EWM_BLOCK rows; what the blocks
-    before add up to, aged, is carried in, so no step scans a long series in one go and all of it is built-in.
+    A missing row ages the weights and repeats the last value. The sums are functions.positions.decayed_sums: time grows
+    with the rows, and no task holds a whole series.
     """
-    w = series(*keys, order=order)
-    block_keys = [*keys, "_blk"]
     x = F.col(column)
-    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_blk", F.floor(F.col("_i") / EWM_BLOCK)).withColumn("_o", F.col("_i") % EWM_BLOCK)
-    rows = rows.withColumn("_first", F.first(x, ignorenulls=True).over(so_far(w)))
-    inside = so_far(Window.partitionBy(*block_keys).orderBy("_i"))
-    decays = {}
-    for kind, span in out.values():
-        decays[span] = 1 - 2 / (span + 1)
+    rows = parted(df, keys, order)
+    firsts = rows.filter(x.isNotNull()).groupBy(*keys).agg(F.min_by(column, order).alias("_first"), F.min(order).alias("_from"))
+    rows = rows.join(firsts, list(keys), "left")
+    present = F.when(x.isNotNull(), 1.0)
     sums: dict[str, tuple[Column, float]] = {}
-    for kind, span in out.values():
-        q, s = decays[span], str(span).replace(".", "_")
-        sums[f"_x{s}"], sums[f"_w{s}"] = (x, q), (F.when(x.isNotNull(), 1.0), q)
-        if kind == "sd":  # about the first value, so that squares do not swallow the spread
-            sums[f"_d{s}"], sums[f"_e{s}"], sums[f"_v{s}"] = (x - F.col("_first"), q), ((x - F.col("_first")) * (x - F.col("_first")), q), (F.when(x.isNotNull(), 1.0), q * q)
-    for name, (value, q) in sums.items():
-        rows = rows.withColumn(name, F.coalesce(F.sum(value * F.pow(F.lit(q), -F.col("_o"))).over(inside), F.lit(0.0)) * F.pow(F.lit(q), F.col("_o")))
-    ends = rows.groupBy(*block_keys).agg(F.max("_o").alias("_n"), *[F.max_by(n, "_o").alias(n) for n in sums])
-    ordered = F.sort_array(F.collect_list(F.struct("_blk", "_n", *sums)))
-    folded = ends.groupBy(*keys).agg(ordered.alias("_b"))
-    zero = F.array(F.struct(F.lit(-1).cast("long").alias("_blk"), *[F.lit(0.0).alias(n) for n in sums]))
-    step = lambda acc, b: F.concat(acc, F.array(F.struct(b["_blk"].cast("long").alias("_blk"), *[(b[n] + F.element_at(acc, -1)[n] * F.pow(F.lit(q), b["_n"] + 1)).alias(n) for n, (_, q) in sums.items()])))
-    carried = folded.select(*keys, F.explode(F.aggregate("_b", zero, step)).alias("_c")).select(*keys, (F.col("_c._blk") + 1).alias("_blk"), *[F.col(f"_c.{n}").alias(f"_c{n}") for n in sums])
-    rows = rows.join(carried, block_keys, "left")
-    total = {n: F.col(n) + F.coalesce(F.col(f"_c{n}"), F.lit(0.0)) * F.pow(F.lit(q), F.col("_o") + 1) for n, (_, q) in sums.items()}
-    start = F.min(F.when(x.isNotNull(), F.col("_i"))).over(so_far(w))
-    rows = rows.withColumn("_start", start)
+    names = {}
     for name, (kind, span) in out.items():
-        q, s = decays[span], str(span).replace(".", "_")
-        weight = total[f"_w{s}"]
+        q, s = 1 - 2 / (span + 1), str(span).replace(".", "_")
+        names[name] = s
+        if kind == "rec":
+            sums[f"_r{s}"] = F.when(F.col(order) == F.col("_from"), x).otherwise((1 - q) * x), q
+            continue
+        sums[f"_w{s}"] = present, q
         if kind == "mean":
-            value = F.try_divide(total[f"_x{s}"], weight)
-        elif kind == "rec":
-            value = (1 - q) * total[f"_x{s}"] + q * F.col("_first") * F.pow(F.lit(q), F.col("_i") - F.col("_start"))
+            sums[f"_x{s}"] = x, q
+        else:  # about the first value, so that squares do not swallow the spread
+            away = x - F.col("_first")
+            sums[f"_d{s}"], sums[f"_e{s}"], sums[f"_v{s}"] = (away, q), (away * away, q), (present, q * q)
+    rows = decayed_sums(rows, keys, order, sums, EWM_BLOCK)
+    values = []
+    for name, (kind, _) in out.items():
+        s = names[name]
+        if kind == "rec":
+            value = F.col(f"_r{s}")
+        elif kind == "mean":
+            value = F.try_divide(F.col(f"_x{s}"), F.col(f"_w{s}"))
         else:
-            about = F.try_divide(total[f"_d{s}"], weight)
-            spread = F.greatest(F.try_divide(total[f"_e{s}"], weight) - about * about, F.lit(0.0))
-            free = weight * weight - total[f"_v{s}"]
+            weight = F.col(f"_w{s}")
+            about = F.try_divide(F.col(f"_d{s}"), weight)
+            spread = F.greatest(F.try_divide(F.col(f"_e{s}"), weight) - about * about, F.lit(0.0))
+            free = weight * weight - F.col(f"_v{s}")
             value = F.when(free > 1e-12, F.sqrt(spread * F.try_divide(weight * weight, free)))
-        rows = rows.withColumn(name, F.when(F.col("_start").isNotNull(), value))
-    return rows.select(*df.columns, *out)
+        values.append(F.when(F.col(order) >= F.col("_from"), value).alias(name))
+    return rows.select(*df.columns, *values)
 
 
 def drawdowns(df: DataFrame, ret: str = "ret", keys: tuple[str, ...] = ("config_id",), order: str = "date") -> DataFrame:

@@ -13,6 +13,7 @@ from math import comb
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.positions import as_of
 from panelspark.functions.windows import series
 from panelspark.operators.metrics import YEAR, deflated_sharpe, distribution, performance
 from panelspark.operators.rolling import drawdowns
@@ -47,16 +48,18 @@ def purged_kfold(rows: DataFrame, folds: int, embargo: int, strict: bool = True)
     """
     marked = contiguous(rows, folds, "_fold")
     bounds = marked.groupBy("_fold").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("date").alias("t0"), F.max("label_end").alias("t1"))
-    after = F.broadcast(bounds).join(rows.select(F.col("row").alias("_r"), F.col("date").alias("_d")), F.col("_d") <= F.col("t1")).groupBy("_fold", "a", "b", "t0").agg(F.max("_r").alias("last"))
+    after = as_of(rows, "date", "row", bounds, "t1", "last")
     before = F.col("label_end") < F.col("t0") if strict else F.col("label_end") <= F.col("t0")
     role = F.when(F.col("row").between(F.col("a"), F.col("b")), "test").when(before | (F.col("row") > F.col("last") + embargo), "train").otherwise("purged")
     return rows.crossJoin(F.broadcast(after)).select(F.col("_fold").alias("fold"), "row", role.alias("role"))
 
 
 def split_table(spark, groups: int, k: int) -> DataFrame:
-    """split_id (in order of combination), grp (from 1), role test or train: fixed by the two numbers."""
-    rows = [(s, g + 1, "test" if g in c else "train") for s, c in enumerate(combinations(range(groups), k)) for g in range(groups)]
-    return spark.createDataFrame(rows, "split_id int, grp int, role string")
+    """split_id (in order of combination), grp (from 1), role test or train, and how many groups before it the last test group
+    lies (NULL: none does): fixed by the two numbers."""
+    since = lambda g, c: g - max([t for t in c if t < g], default=g) or None
+    rows = [(s, g + 1, "test" if g in c else "train", since(g, c)) for s, c in enumerate(combinations(range(groups), k)) for g in range(groups)]
+    return spark.createDataFrame(rows, "split_id int, grp int, role string, since int")
 
 
 def n_paths(groups: int, k: int) -> int:
@@ -75,14 +78,19 @@ def combinatorial_splits(rows: DataFrame, groups: int, k: int, embargo: int) ->
 
 
 def group_sums(returns: DataFrame, groups: int, embargo: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, config_id, grp: n, s, q (rows, sum, sum of squares), and hn, hs, hq of the group's first rows (its head), as many
-    as the embargo, a share of all rows, holds."""
-    w = series(*keys, "config_id")
-    rows = returns.withColumn("grp", F.ntile(groups).over(w)).withColumn("emb", F.floor(F.count("*").over(Window.partitionBy(*keys, "config_id")) * embargo))
-    head = F.row_number().over(Window.partitionBy(*keys, "config_id", "grp").orderBy("date")) <= F.col("emb")
-    rows = rows.withColumn("head", head)
-    r, h = F.col("ret"), F.when(F.col("head"), F.col("ret"))
-    return rows.groupBy(*keys, "config_id", "grp").agg(F.count("*").alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("q"), F.count(h).alias("hn"), F.coalesce(F.sum(h), F.lit(0.0)).alias("hs"), F.coalesce(F.sum(h * h), F.lit(0.0)).alias("hq"), F.max("emb").alias("emb"))
+    """keys, config_id, grp, reach: n, s, q (rows, sum, sum of squares) of the group's rows with this reach, the number of
+    groups by which the row that lies an embargo (a share of all rows) before a row is in an earlier group. A row is
+    embargoed after a test group if that is at most its reach before its own; so any embargo, longer than a group or
+    not, is a choice of sums."""
+    by = Window.partitionBy(*keys, "config_id")
+    rows = returns.withColumn("_p", F.row_number().over(series(*keys, "config_id"))).withColumn("_t", F.count("*").over(by))
+    size, longer = F.floor(F.col("_t") / groups), F.col("_t") % groups
+    head = longer * (size + 1)
+    # the first groups are a row longer
+    group = lambda p: F.when(p <= head, F.ceil(p / (size + 1))).otherwise(longer + F.ceil((p - head) / F.greatest(size, F.lit(1)))).cast("int")
+    rows = rows.withColumn("grp", group(F.col("_p"))).withColumn("_lo", group(F.greatest(F.col("_p") - F.floor(F.col("_t") * embargo), F.lit(1))))
+    r = F.col("ret")
+    return rows.groupBy(*keys, "config_id", "grp", (F.col("grp") - F.col("_lo")).alias("reach")).agg(F.count("*").alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("q"))
 
 
 def sharpe_of_sums(n, s, q):
@@ -92,23 +100,15 @@ def sharpe_of_sums(n, s, q):
 
 def selections(returns: DataFrame, groups: int = 10, k: int = 2, embargo: float = 0.01, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, split_id and the configuration with the best in-sample ratio (the first of equal ones); splits with fewer than 50
-    train rows are left out. Only the rows after a test group are embargoed; an embargo longer than a group is an error."""
-    spark = returns.sparkSession
-    sums = group_sums(returns, groups, embargo, keys).withColumn("n", F.when(F.col("emb") > F.col("n"), F.raise_error(F.lit("the embargo is longer than a group"))).otherwise(F.col("n")))
-    splits = split_table(spark, groups, k)
-    before = splits.select("split_id", (F.col("grp") + 1).alias("grp"), (F.col("role") == "test").alias("after_test"))
-    train = splits.join(before, ["split_id", "grp"], "left").filter("role = 'train'").select("split_id", "grp", F.coalesce("after_test", F.lit(False)).alias("after_test"))
-    less = lambda c: F.sum(F.col(c) - F.when(F.col("after_test"), F.col(f"h{c}")).otherwise(0))
-    each = sums.join(F.broadcast(train), "grp").groupBy(*keys, "split_id", "config_id").agg(less("n").alias("n"), less("s").alias("s"), less("q").alias("q"))
+    train rows are left out. Rows within an embargo after a test group, however long it is, are not trained on."""
+    train = split_table(returns.sparkSession, groups, k).filter("role = 'train'").drop("role")
+    sums = group_sums(returns, groups, embargo, keys).join(F.broadcast(train), "grp").filter(F.col("since").isNull() | (F.col("reach") < F.col("since")))
+    each = sums.groupBy(*keys, "split_id", "config_id").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
     each = each.filter(F.col("n") >= LEAST_TRAIN).withColumn("score", sharpe_of_sums(F.col("n"), F.col("s"), F.col("q")))
     first = F.row_number().over(Window.partitionBy(*keys, "split_id").orderBy(F.desc("score"), "config_id"))
     return each.withColumn("_rn", first).filter("_rn = 1").select(*keys, "split_id", F.col("config_id").alias("selected"), "score")
 
 
-def selection_counts(selected: DataFrame) -> DataFrame:
-    return selected.groupBy("selected").agg(F.count("*").alias("times"))
-
-
 def path_segments(selected: DataFrame, spark, groups: int = 10, k: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, path, grp, selected: path p takes, in each group, the p-th split that tested it; paths lacking a group go."""
     tested = split_table(spark, groups, k).filter("role = 'test'").join(selected, "split_id")

@@ -5,10 +5,11 @@ Dates and times are returned as text and doubles rounded to six places, so that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.lineage import scratch, settled
+from panelspark.functions.positions import numbered
 from panelspark.functions.windows import rolling, series
 from panelspark.operators import adjust, build, ledger, metrics, panel, portfolio, qc, rolling as roll, signals, trades, validation
 from panelspark.plans import sql
@@ -577,9 +578,9 @@ def transaction_costs(spark, sf_dir):
 
 def _rows(spark, sf_dir):
     """row, date, label_end of the panel's dates: a label ends five dates later."""
-    dates = base(spark, sf_dir).select("date").distinct()
-    w = Window.orderBy("date")
-    return dates.select((F.row_number().over(w) - 1).cast("long").alias("row"), "date", F.lead("date", 5).over(w).alias("label_end")).withColumn("label_end", F.coalesce("label_end", "date"))
+    rows = settled(numbered(base(spark, sf_dir).select("date").distinct(), "date"), "rows")
+    later = rows.select((F.col("row") - 5).alias("row"), F.col("date").alias("label_end"))
+    return rows.join(later, "row", "left").withColumn("label_end", F.coalesce("label_end", "date"))
 
 
 ROWS = f"""{PANEL}, ro AS (SELECT row_number() OVER (ORDER BY date) - 1 AS row, date, coalesce(lead(date, 5) OVER (ORDER BY date), date) AS label_end FROM (SELECT DISTINCT date FROM r))"""
@@ -614,6 +615,21 @@ def cpcv_selection(spark, sf_dir):
     return tidy(validation.selections(configs(spark, sf_dir)))
 
 
+EMBARGOES = (0.01, 0.1, 0.3)
+
+
+@query(f"""WITH {CONFIGS}, {COMBOS}, em(embargo) AS (VALUES {', '.join(f'({e})' for e in EMBARGOES)}), gr AS (SELECT *, ntile(10) OVER (PARTITION BY config_id ORDER BY date) AS grp, row_number() OVER (PARTITION BY config_id ORDER BY date) AS rn, count(*) OVER (PARTITION BY config_id) AS t FROM cfg),
+    en AS (SELECT grp, max(rn) AS last FROM gr GROUP BY grp),
+    sc AS (SELECT embargo, split_id, config_id, count(*) AS n, avg(ret) / (stddev_pop(ret) + 1e-12) AS score FROM gr CROSS JOIN em CROSS JOIN co JOIN en e1 ON e1.grp = g1 JOIN en e2 ON e2.grp = g2
+        WHERE gr.grp NOT IN (g1, g2) AND NOT (rn > e1.last AND rn <= e1.last + floor(t * embargo)) AND NOT (rn > e2.last AND rn <= e2.last + floor(t * embargo)) GROUP BY 1, 2, 3 HAVING count(*) >= 50)
+    SELECT CAST(embargo AS double) AS embargo, CAST(split_id AS bigint) AS split_id, config_id AS selected, {r6('score', 'score')} FROM (SELECT *, row_number() OVER (PARTITION BY embargo, split_id ORDER BY score DESC, config_id) AS k FROM sc) WHERE k = 1""")
+def cpcv_selection_embargoes(spark, sf_dir):
+    """The selections under embargoes within a group, as long as one and longer than several."""
+    rows = settled(configs(spark, sf_dir), "configs")
+    parts = [validation.selections(rows, embargo=e).select(F.lit(e).alias("embargo"), "split_id", "selected", "score") for e in EMBARGOES]
+    return tidy(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 PATHS = f"""{SELECTED}, te AS (SELECT split_id, unnest([g1, g2]) AS grp FROM co), ps AS (SELECT te.grp, se.selected, row_number() OVER (PARTITION BY te.grp ORDER BY te.split_id) AS path FROM te JOIN se USING (split_id)),
     pr AS (SELECT ps.path, gr.date, gr.ret FROM ps JOIN gr ON gr.grp = ps.grp AND gr.config_id = ps.selected WHERE ps.path <= 9)"""
 
