@@ -31,16 +31,17 @@ def last_per_date(rows: DataFrame, order: str = "ts", date: str = "date") -> Dat
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def pair_join(a: DataFrame, b: DataFrame, on: str = "ts") -> DataFrame:
-    """Two instruments' closes on the times both have."""
-    return a.select(on, F.col("close").alias("a")).join(b.select(on, F.col("close").alias("b")), on).filter("a is not null and b is not null")
-
-
-def all_pairs(bars: DataFrame, pairs: DataFrame, on: str = "ts") -> DataFrame:
-    """Closes of many pairs (sym_a, sym_b) on the times both of a pair have."""
-    left = bars.select(F.col("symbol").alias("sym_a"), on, F.col("close").alias("a"))
-    right = bars.select(F.col("symbol").alias("sym_b"), on, F.col("close").alias("b"))
-    return left.join(pairs, "sym_a").join(right, ["sym_b", on]).filter("a is not null and b is not null").select(F.concat_ws("/", "sym_a", "sym_b").alias("pair"), "sym_a", "sym_b", on, "a", "b")
+def all_pairs(bars: DataFrame, pairs: DataFrame | None = None, on: str = "ts") -> DataFrame:
+    """Closes of every two symbols (sym_a before sym_b), or of the given pairs (sym_a, sym_b), on the times both have. Rows
+    meet at their time, so each is shuffled once; of given pairs only the symbols that occur in them take part."""
+    rows = bars.filter("close is not null").select("symbol", on, "close")
+    left, right = (rows.select(F.col("symbol").alias(f"sym_{x}"), on, F.col("close").alias(x)) for x in "ab")
+    if pairs is None:
+        met = left.join(right, on).filter("sym_a < sym_b")
+    else:
+        left, right = (df.join(pairs.select(f"sym_{x}").distinct(), f"sym_{x}", "left_semi") for df, x in ((left, "a"), (right, "b")))
+        met = left.join(right, on).join(pairs.select("sym_a", "sym_b").distinct(), ["sym_a", "sym_b"], "left_semi")
+    return met.select(F.concat_ws("/", "sym_a", "sym_b").alias("pair"), "sym_a", "sym_b", on, "a", "b")
 
 
 def common_history(panel: DataFrame) -> DataFrame:

@@ -40,15 +40,9 @@ def forecast(chosen: tuple[str, ...]):
     return clip(reduce(lambda a, b: a + b, [F.col(c) for c in chosen]) / len(chosen), -1.0, 1.0)
 
 
-def overlay_signal(panel: DataFrame, fast: int = 32, slow: int = 96, rows: int = 63) -> DataFrame:
-    """signal: tanh of the recursive averages' difference over the price's trailing deviation."""
-    out = ewm(panel, "close", {"_f": ("rec", fast), "_s": ("rec", slow)})
-    return out.withColumn("signal", F.tanh(F.try_divide(F.col("_f") - F.col("_s"), rolling(F.stddev_samp, "close", series("symbol"), rows)))).select(*panel.columns, "signal")
-
-
 def overlay_grid(panel: DataFrame, grid: list[tuple[int, int, float]], rows: int = 63, most: float = 1.0, span: int = 20) -> DataFrame:
-    """symbol, config_id, date, close, exposure of every (fast, slow, target deviation): all averages are worked out in
-    one pass over the panel, and the configurations are laid out at the end."""
+    """symbol, date, close and exposures, an array with one of every (fast, slow, target deviation): all averages are worked
+    out in one pass over the panel, and no row is copied for a configuration."""
     w = series("symbol")
     spans = sorted({s for f, s, _ in grid} | {f for f, _, _ in grid})
     out = ewm(panel.select("symbol", "date", "close"), "close", {f"_r{s}": ("rec", s) for s in spans}).withColumn("_sd", rolling(F.stddev_samp, "close", w, rows))
@@ -57,13 +51,9 @@ def overlay_grid(panel: DataFrame, grid: list[tuple[int, int, float]], rows: int
     for f, s, target in grid:
         signal = F.tanh(F.try_divide(F.col(f"_r{f}") - F.col(f"_r{s}"), F.col("_sd")))
         expo = F.coalesce(F.when(signal.isNotNull(), F.greatest(signal, F.lit(0.0))) * F.try_divide(F.lit(target), F.col("_vol")), F.lit(0.0))
-        one.append(F.struct(F.lit(f"{f:03d}/{s:03d}/{target}").alias("config_id"), clip(expo, 0.0, most).alias("exposure")))
-    return out.select("symbol", "date", "close", F.explode(F.array(*one)).alias("c")).select("symbol", "c.config_id", "date", "close", "c.exposure")
+        one.append(clip(expo, 0.0, most))
+    return out.select("symbol", "date", "close", F.array(*one).alias("exposures"))
 
 
-def overlay_exposure(panel: DataFrame, target: float = 0.01, most: float = 1.0, span: int = 20) -> DataFrame:
-    """exposure in [0, most]: the long side of signal, scaled to a target deviation; set at a close, earning after it."""
-    out = ewm(panel.withColumn("_ret", ratio_change("close", series("symbol"))), "_ret", {"_vol": ("sd", span)})
-    long_side = F.when(F.col("signal").isNotNull(), F.greatest(F.col("signal"), F.lit(0.0)))
-    expo = F.coalesce(long_side * F.try_divide(F.lit(target), F.col("_vol")), F.lit(0.0))
-    return out.withColumn("exposure", clip(expo, 0.0, most)).select(*panel.columns, "exposure")
+def overlay_names(grid: list[tuple[int, int, float]]) -> list[str]:
+    return [f"{f:03d}/{s:03d}/{target}" for f, s, target in grid]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -87,20 +87,22 @@ class SingleLeg:
 LEG_TRADE = "trade_no long, ts timestamp, bars long, reason string, sgn int, gross_pts double, net_pts double, r double"
 
 
-def leg_features(bars: DataFrame, p: SingleLeg = SingleLeg(), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """z, trend and range columns. bars: symbol, ts, a (traded close), b (other leg), high, low, bid_ask."""
-    out = ratio_zscore(bars, p.rows, keys, "ts")
-    out = ewm(out, "a", {"trend": ("rec", p.trend_span)}, keys, "ts")
-    return out.withColumn("range", average_range(series(*keys, order="ts"), p.range_rows)).withColumn("i", F.row_number().over(series(*keys, order="ts")) - 1)
+def leg_features(bars: DataFrame, p: SingleLeg = SingleLeg(), keys: tuple[str, ...] = ("symbol",), windows: tuple[int, ...] = ()) -> DataFrame:
+    """z (of window p.rows, and z<rows> of each of windows), trend, range and i columns: trend and range, which no window
+    changes, are worked out once. bars: symbol, ts, a (traded close), b (other leg), high, low, bid_ask."""
+    w = series(*keys, order="ts")
+    out = ewm(bars, "a", {"trend": ("rec", p.trend_span)}, keys, "ts").withColumn("range", average_range(w, p.range_rows)).withColumn("i", F.row_number().over(w) - 1)
+    names = [*out.columns]
+    for k in windows or (p.rows,):
+        name = f"z{k}" if windows else "z"
+        out = ratio_zscore(out, k, keys, "ts").select(*names, F.col("z").alias(name))
+        names.append(name)
+    return out
 
 
-def window_features(bars: DataFrame, windows: tuple[int, ...], p: SingleLeg = SingleLeg(), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """leg_features for each rolling window, told apart by rows. bars are read once a window."""
-    out = None
-    for k in windows:
-        part = leg_features(bars, replace(p, rows=k), keys).withColumn("rows", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return out
+def warmup(p: SingleLeg) -> int:
+    """Rows that are only watched: the longer of the window and the trend's span."""
+    return max(p.rows, p.trend_span)
 
 
 def leg_trades(features: DataFrame, configs: DataFrame, use_trend: bool = True) -> DataFrame:
@@ -108,46 +110,66 @@ def leg_trades(features: DataFrame, configs: DataFrame, use_trend: bool = True)
     and is hit within a bar at its price; else out when |z| reaches `stop`, or z crosses 0. One bid-ask a trade; r is
     the net over the stop's distance.
 
-    configs: config_id, entry, stop, range_mult, warmup (rows that are only watched), and rows (the window of the features
-    to use) where features holds several.
+    configs: config_id, entry, stop, range_mult, warmup (rows that are only watched), and rows (the window whose z<rows> is
+    used) where features holds several. The list of configurations goes to the driver and with the tasks; each symbol's
+    rows are shuffled once and run through all of them.
     """
-    rows = features.join(F.broadcast(configs), "rows") if "rows" in features.columns else features.crossJoin(F.broadcast(configs))
+    grid = [r.asDict() for r in configs.collect()]
 
-    def machine(_):
+    def one(config):
         state = {"open": None, "n": 0}
+        zed = f"z{config['rows']}" if "rows" in config else "z"
 
         def feed(c):
-            out = []
-            z, width = c["z"].astype(float), c["range"].astype(float)
-            for k in np.flatnonzero(np.isfinite(z) & np.isfinite(width) & (width > 0) & (c["i"] > c["warmup"])):
-                price, held = c["a"][k], state["open"]
-                if held is None:
-                    up, down = (price > c["trend"][k], price < c["trend"][k]) if use_trend else (True, True)
-                    side = 1 if z[k] < -c["entry"][k] and up else -1 if z[k] > c["entry"][k] and down else 0
-                    if side:
-                        far = width[k] * c["range_mult"][k]
-                        state["open"] = (side, c["i"][k], price, far, price - side * far)
-                    continue
-                side, since, at, far, level = held
-                if (side == 1 and c["low"][k] <= level) or (side == -1 and c["high"][k] >= level):
-                    leave, reason = level, "SL"
-                elif abs(z[k]) >= c["stop"][k]:
-                    leave, reason = price, "ALGO"
-                elif side * z[k] >= 0:
-                    leave, reason = price, "TGT"
-                else:
+            z, width = c[zed].astype(float), c["range"].astype(float)
+            use = np.flatnonzero(np.isfinite(z) & np.isfinite(width) & (width > 0) & (c["i"] > config["warmup"]))
+            z, width, price, trend, low, high, i = z[use], width[use], *(c[n][use].astype(float) for n in ("a", "trend", "low", "high")), c["i"][use]
+            up, down = (price > trend, price < trend) if use_trend else (True, True)
+            side_of = np.where((z < -config["entry"]) & up, 1, np.where((z > config["entry"]) & down, -1, 0))
+            opens, k, out = np.flatnonzero(side_of), 0, []
+            while k < len(z):
+                if state["open"] is None:
+                    at = np.searchsorted(opens, k)
+                    if at == len(opens):
+                        break
+                    k = int(opens[at])
+                    side, far = int(side_of[k]), width[k] * config["range_mult"]
+                    state["open"] = (side, i[k], price[k], far, price[k] - side * far)
+                    k += 1
                     continue
-                gross = side * (leave - at)
-                net = gross - c["bid_ask"][k]
-                state["n"] += 1
-                out.append((state["n"], c["ts"][k], c["i"][k] - since, reason, side, gross, net, net / far))
-                state["open"] = None
-            names = ("trade_no", "ts", "bars", "reason", "sgn", "gross_pts", "net_pts", "r")
+                side, since, paid, far, level = state["open"]
+                step = 32
+                while k < len(z):  # the first row that closes: looked for in stretches that double
+                    part = slice(k, k + step)
+                    stopped = (low[part] <= level) if side == 1 else (high[part] >= level)
+                    hit = stopped | (np.abs(z[part]) >= config["stop"]) | (side * z[part] >= 0)
+                    if hit.any():
+                        first = int(np.argmax(hit))
+                        k += first
+                        leave, reason = (level, "SL") if stopped[first] else (price[k], "ALGO" if abs(z[k]) >= config["stop"] else "TGT")
+                        gross = side * (leave - paid)
+                        net = gross - c["bid_ask"][use[k]]
+                        state["n"] += 1
+                        out.append((config["config_id"], state["n"], c["ts"][use[k]], i[k] - since, reason, side, gross, net, net / far))
+                        state["open"] = None
+                        k += 1
+                        break
+                    k, step = k + step, 2 * step
+            return out
+
+        return feed
+
+    def machine(_):
+        feeds = [one(config) for config in grid]
+
+        def feed(c):
+            out = [row for f in feeds for row in f(c)]
+            names = ("config_id", "trade_no", "ts", "bars", "reason", "sgn", "gross_pts", "net_pts", "r")
             return dict(zip(names, zip(*out, strict=True), strict=True)) if out else {}
 
         return feed
 
-    return scan(rows, ["symbol", "config_id"], "ts", machine, f"symbol string, config_id string, {LEG_TRADE}")
+    return scan(features, ["symbol"], "ts", machine, f"symbol string, config_id string, {LEG_TRADE}")
 
 
 def risk_summary(trades: DataFrame, risk: float = 0.015, keys: tuple[str, ...] = ("symbol", "config_id")) -> DataFrame:
@@ -167,11 +189,6 @@ def by_side(trades: DataFrame, keys: tuple[str, ...] = ("symbol", "config_id"))
     return trades.groupBy(*keys, "sgn").agg(F.count("*").alias("n"), (100 * F.avg((F.col("r") > 0).cast("double"))).alias("win"), F.avg("r").alias("avg_r"), F.sum("r").alias("sum_r"))
 
 
-def best_by_total(summary: DataFrame, least_trades: int = 30, top: int = 8) -> DataFrame:
-    """The configurations with enough trades and the largest total, best first."""
-    return summary.filter(F.col("trades") >= least_trades).orderBy(F.desc("sum_r"), "symbol", "config_id").limit(top)
-
-
 def sweep_ranking(summary: DataFrame, trials: int, least_trades: int = 30, top: int = 8) -> DataFrame:
     """Of each symbol, the configurations with enough trades and the largest total by rank; the best one has sr0 and dsr,
     its deflated Sharpe a trade, with trials the number of configurations tried, too few trades or not."""
@@ -209,32 +226,33 @@ def affordable(cash: float, price: float, rates: dict = COSTS) -> int:
 LEDGER = "date date, equity double, cost double, pos_frac double, strat_ret double"
 
 
-def share_ledger(exposures: DataFrame, capital: float = 100_000.0, max_cost_ratio: float = 0.0, deadband: float = 0.0, rates: dict = COSTS) -> DataFrame:
+def share_ledger(exposures: DataFrame, capital: float = 100_000.0, max_cost_ratio: float = 0.0, deadband: float = 0.0, rates: dict = COSTS, configs: list[str] | None = None) -> DataFrame:
     """Whole-share positions that follow an exposure, after costs: equity, cost, pos_frac and strat_ret a row. Buys
     shrink until cash stays non-negative; a trade is left out if it costs too much or the exposure moved too little.
 
-    exposures: symbol, config_id, date, close (positive and finite, else an error), exposure.
+    exposures: symbol, date, close (positive and finite, else an error) and, with configs, an array exposures with one of
+    each of them, so that a symbol's rows are shuffled once for all; else config_id and exposure.
     """
 
-    def machine(key):
+    def one(key):
         s = {"shares": 0, "cash": float(capital), "at": 0.0, "equity": None}
 
-        def feed(c):
-            price, want = c["close"].astype(float), np.nan_to_num(c["exposure"].astype(float))
+        def feed(c, want):
+            price, want = c["close"].astype(float), np.nan_to_num(want.astype(float))
             if not (np.isfinite(price).all() and (price > 0).all()):
                 raise ValueError(f"prices of {key} must be finite and positive")
             out = {n: np.zeros(len(price)) for n in ("equity", "cost", "pos_frac", "strat_ret")}
-            for k, p in enumerate(price):
-                move = math.floor(want[k] * (s["cash"] + s["shares"] * p) / p) - s["shares"]
+            for k, (p, w) in enumerate(zip(price.tolist(), want.tolist(), strict=True)):
+                move = math.floor(w * (s["cash"] + s["shares"] * p) / p) - s["shares"]
                 if move > 0:
                     move = min(move, affordable(s["cash"], p, rates))
                 if move:
                     value = abs(move) * p
                     cost = trade_cost(value, move < 0, rates)
-                    if not ((max_cost_ratio > 0 and cost > max_cost_ratio * value) or (deadband > 0 and abs(want[k] - s["at"]) < deadband)):
+                    if not ((max_cost_ratio > 0 and cost > max_cost_ratio * value) or (deadband > 0 and abs(w - s["at"]) < deadband)):
                         s["cash"] -= move * p + cost
                         s["shares"] += move
-                        s["at"] = want[k]
+                        s["at"] = w
                         out["cost"][k] = cost
                 held = s["shares"] * p
                 equity = s["cash"] + held
@@ -245,7 +263,21 @@ def share_ledger(exposures: DataFrame, capital: float = 100_000.0, max_cost_rati
 
         return feed
 
-    return scan(exposures, ["symbol", "config_id"], "date", machine, f"symbol string, config_id string, {LEDGER}")
+    def machine(key):
+        if configs is None:
+            single = one(key)
+            return lambda c: single(c, c["exposure"])
+        feeds = [(name, one(key)) for name in configs]
+
+        def feed(c):
+            wanted = np.stack(c["exposures"])
+            parts = [{"config_id": np.repeat(name, len(c["close"])), **f(c, wanted[:, k])} for k, (name, f) in enumerate(feeds)]
+            return {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
+
+        return feed
+
+    keys = ["symbol", "config_id"] if configs is None else ["symbol"]
+    return scan(exposures, keys, "date", machine, f"symbol string, config_id string, {LEDGER}")
 
 
 def friction_calibration(legs: DataFrame, rows: int = 60) -> DataFrame:

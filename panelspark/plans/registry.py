@@ -14,7 +14,7 @@ from panelspark.functions.windows import rolling, series
 from panelspark.operators import adjust, build, ledger, metrics, panel, portfolio, qc, rolling as roll, signals, trades, validation
 from panelspark.plans import sql
 from panelspark.sources import bars
-from panelspark.sources.views import damped, daily_bars, ticks
+from panelspark.sources.views import daily_bars, ticks, walked
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -50,10 +50,17 @@ def tidy(df: DataFrame) -> DataFrame:
 r6 = sql.r6
 
 
+def e6(c: str):
+    """Returns in millionths, so that six places say something of them."""
+    return (1e6 * F.col(c)).alias(f"{c}_e6")
+
+
 BARS = """bars AS (SELECT concat(l_returnflag, l_linestatus) AS symbol, CAST(l_shipdate AS date) AS date,
     CAST(sum(CAST(l_extendedprice AS decimal(15,2))) AS double) / count(*) AS close, max(l_extendedprice) AS high, min(l_extendedprice) AS low,
     CAST(sum(CAST(l_quantity AS bigint)) AS bigint) AS volume FROM lineitem GROUP BY 1, 2)"""
-PANEL = BARS + """, px AS (SELECT symbol, date, 5000 + close / 100 AS close, 5000 + high / 100 AS high, 5000 + low / 100 AS low FROM bars),
+PANEL = BARS + """, cb AS (SELECT *, CAST(round(close) AS bigint) AS c FROM bars), wkm AS (SELECT symbol, CAST(floor(CAST(sum(c) AS double) / count(*)) AS bigint) AS m FROM cb GROUP BY 1),
+wk0 AS (SELECT cb.*, 5000 + CAST(sum(c - m) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS double) / 1000 AS walk FROM cb JOIN wkm USING (symbol)),
+px AS (SELECT symbol, date, walk AS close, walk + (high - close) / 1000 AS high, walk + (low - close) / 1000 AS low FROM wk0),
 cm AS (SELECT * FROM px WHERE date IN (SELECT date FROM px GROUP BY date HAVING count(*) = (SELECT count(DISTINCT symbol) FROM px))),
 r AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i FROM cm)"""
 TICKS = """hour AS (SELECT event_type AS symbol, time_bucket(INTERVAL 60 MINUTES, ts) AS ts, arg_max(value, {'a': ts, 'b': event_id}) AS close,
@@ -63,8 +70,9 @@ LEGS = """leg AS MATERIALIZED (SELECT concat(a.symbol, '/', b.symbol) AS symbol,
 
 
 def base(spark, sf_dir) -> DataFrame:
-    """The damped panel on its common dates, with returns: symbol, date, close, high, low, volume, ret."""
-    return panel.with_returns(panel.common_history(damped(daily_bars(spark, sf_dir))))
+    """The walking panel on its common dates, with returns: symbol, date, close, high, low, volume, ret. Bars are written
+    once, as alignment and signals read them several times over."""
+    return panel.with_returns(panel.common_history(settled(walked(daily_bars(spark, sf_dir)), "walked")))
 
 
 def _span(rows) -> tuple[str, str]:
@@ -90,9 +98,9 @@ def resample_hourly(spark, sf_dir):
     return tidy(hourly(spark, sf_dir))
 
 
-@query(f"WITH {PANEL} SELECT symbol, CAST(date AS varchar) AS date, {r6('close', 'close')}, {r6('ret', 'ret')} FROM r")
+@query(f"WITH {PANEL} SELECT symbol, CAST(date AS varchar) AS date, {r6('close', 'close')}, {r6('1e6 * ret', 'ret_e6')} FROM r")
 def panel_common_history(spark, sf_dir):
-    return tidy(base(spark, sf_dir).select("symbol", "date", "close", "ret"))
+    return tidy(base(spark, sf_dir).select("symbol", "date", "close", e6("ret")))
 
 
 @query(f"""WITH {BARS}, u AS (SELECT d.date, s.symbol, b.close FROM (SELECT DISTINCT date FROM bars) d CROSS JOIN (SELECT DISTINCT symbol FROM bars) s
@@ -234,10 +242,13 @@ def breakout_signal(spark, sf_dir):
     return tidy(base(spark, sf_dir).select("symbol", "date", roll.breakout("close", series("symbol"), signals.BREAKOUT).alias("signal")))
 
 
-def _legs(spark, sf_dir, every="60 minutes"):
-    hours = hourly(spark, sf_dir, every)
-    pairs = hours.select(F.col("symbol").alias("sym_a")).distinct().crossJoin(hours.select(F.col("symbol").alias("sym_b")).distinct()).filter("sym_a < sym_b")
-    return panel.all_pairs(hours, pairs)
+def _hours(spark, sf_dir, every="60 minutes"):
+    """The coarser bars, written once for those who read them twice."""
+    return settled(hourly(spark, sf_dir, every), "hours")
+
+
+def _legs(hours):
+    return panel.all_pairs(hours)
 
 
 PAIRS = TICKS + """, legs AS (SELECT concat(a.symbol, '/', b.symbol) AS pair, a.symbol AS sym_a, b.symbol AS sym_b, a.ts, a.close AS a, b.close AS b, a.high, a.low, ln(a.close) AS la, ln(b.close) AS lb
@@ -250,7 +261,7 @@ z AS (SELECT *, CASE WHEN count(resid) OVER w = 60 THEN (resid - avg(resid) OVER
 
 @query(f"WITH {PAIRS} SELECT pair, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {r6('beta', 'beta')}, {r6('resid', 'resid')}, {r6('z', 'z')} FROM z")
 def rolling_beta_zscore(spark, sf_dir):
-    return tidy(roll.spread_zscore(_legs(spark, sf_dir)).select("pair", "ts", "beta", "resid", "z"))
+    return tidy(roll.spread_zscore(_legs(_hours(spark, sf_dir))).select("pair", "ts", "beta", "resid", "z"))
 
 
 @query(f"""WITH {PANEL} SELECT a.symbol AS i, b.symbol AS j, count(*) AS n, {r6('corr(a.ret, b.ret)', 'corr')} FROM r a JOIN r b ON a.date = b.date AND a.symbol <= b.symbol
@@ -302,18 +313,23 @@ def ensemble_forecast(spark, sf_dir):
 
 # --- portfolios --------------------------------------------------------------------------------------------------
 
-LOOKBACKS, VOL_ROWS = (10, 21, 42, 63), (20, 60)
+#: Lookbacks whose trend is followed or, negative, faded; and rows of the deviation.
+LOOKBACKS, VOL_ROWS = (-15, 42, -126, 252), (20, 60)
+
+
+def _config(k: int, v: int) -> str:
+    return f"{'R' if k < 0 else 'L'}{abs(k):03d}/V{v:03d}"
 
 
 def configs(spark, sf_dir) -> DataFrame:
-    """config_id, date, ret of eight simple trend configurations: a lagged momentum sign over a lagged trailing deviation."""
+    """config_id, date, ret of eight simple configurations: a lagged momentum sign, or its opposite, over a lagged trailing deviation."""
     w = series("symbol")
     rows = base(spark, sf_dir).select("symbol", "date", "close", "ret")
     for k in LOOKBACKS:
-        rows = rows.withColumn(f"_s{k}", roll.momentum("close", w, (k,)))
+        rows = rows.withColumn(f"_s{abs(k)}", (1 if k > 0 else -1) * roll.momentum("close", w, (abs(k),)))
     for v in VOL_ROWS:
         rows = rows.withColumn(f"_v{v}", rolling(F.stddev_samp, "ret", w, v))
-    one = [(f"L{k:03d}/V{v:03d}", F.coalesce(F.try_divide(F.lag(f"_s{k}").over(w), F.lag(f"_v{v}").over(w)), F.lit(0.0)) * 0.001) for k in LOOKBACKS for v in VOL_ROWS]
+    one = [(_config(k, v), F.coalesce(F.try_divide(F.lag(f"_s{abs(k)}").over(w), F.lag(f"_v{v}").over(w)), F.lit(0.0)) * 0.001) for k in LOOKBACKS for v in VOL_ROWS]
     for i, (_, e) in enumerate(one):
         rows = rows.withColumn(f"_e{i}", e)
     rows = rows.select("symbol", "date", "ret", F.explode(F.array(*[F.struct(F.lit(n).alias("config_id"), F.col(f"_e{i}").alias("pos")) for i, (n, _) in enumerate(one)])).alias("c")).select("symbol", "date", "ret", "c.*")
@@ -322,17 +338,17 @@ def configs(spark, sf_dir) -> DataFrame:
 
 def _configs_sql() -> str:
     sd = ", ".join(f"CASE WHEN count(ret) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {v - 1} PRECEDING AND CURRENT ROW) = {v} THEN stddev_samp(ret) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {v - 1} PRECEDING AND CURRENT ROW) END AS v{v}" for v in VOL_ROWS)
-    sg = ", ".join(f"sign(close / lag(close, {k}) OVER ({_W}) - 1) AS s{k}" for k in LOOKBACKS)
-    one = " UNION ALL ".join(f"SELECT 'L{k:03d}/V{v:03d}' AS config_id, date, ret, coalesce(lag(s{k}) OVER ({_W}) / nullif(lag(v{v}) OVER ({_W}), 0), 0) * 0.001 AS pos FROM fe" for k in LOOKBACKS for v in VOL_ROWS)
+    sg = ", ".join(f"{1 if k > 0 else -1} * sign(close / lag(close, {abs(k)}) OVER ({_W}) - 1) AS s{abs(k)}" for k in LOOKBACKS)
+    one = " UNION ALL ".join(f"SELECT '{_config(k, v)}' AS config_id, date, ret, coalesce(lag(s{abs(k)}) OVER ({_W}) / nullif(lag(v{v}) OVER ({_W}), 0), 0) * 0.001 AS pos FROM fe" for k in LOOKBACKS for v in VOL_ROWS)
     return f"{PANEL}, fe AS (SELECT symbol, date, ret, {sd}, {sg} FROM r), po AS ({one}), cfg AS (SELECT config_id, date, coalesce(sum(pos * ret), 0) AS ret FROM po GROUP BY 1, 2)"
 
 
 CONFIGS = _configs_sql()
 
 
-@query(f"WITH {CONFIGS} SELECT config_id, CAST(date AS varchar) AS date, {r6('ret', 'ret')} FROM cfg")
+@query(f"WITH {CONFIGS} SELECT config_id, CAST(date AS varchar) AS date, {r6('1e6 * ret', 'ret_e6')} FROM cfg")
 def trend_portfolio(spark, sf_dir):
-    return tidy(configs(spark, sf_dir))
+    return tidy(configs(spark, sf_dir).select("config_id", "date", e6("ret")))
 
 
 def _target(spark, sf_dir):
@@ -350,15 +366,15 @@ TARGETED = f"""{PANEL}, {_ewm_sql('r', 'ret', 30, 'v', 'sd')}, sg AS (SELECT sym
     po AS (SELECT tg.target_id, ex.symbol, ex.date, ex.ret, greatest(least(ex.expo * coalesce(least(tg.target / nullif(sc.sd, 0), 50), 0), 1), -1) AS pos FROM ex JOIN sc USING (date) CROSS JOIN tg)"""
 
 
-@query(f"WITH {TARGETED} SELECT target_id, CAST(date AS varchar) AS date, {r6('coalesce(sum(pos * ret), 0)', 'ret')} FROM po GROUP BY target_id, date")
+@query(f"WITH {TARGETED} SELECT target_id, CAST(date AS varchar) AS date, {r6('1e6 * coalesce(sum(pos * ret), 0)', 'ret_e6')} FROM po GROUP BY target_id, date")
 def vol_targeted_portfolio(spark, sf_dir):
-    return tidy(portfolio.portfolio_returns(_target(spark, sf_dir), ("target_id",)))
+    return tidy(portfolio.portfolio_returns(_target(spark, sf_dir), ("target_id",)).select("target_id", "date", e6("ret")))
 
 
 @query(f"""WITH {TARGETED}, fr AS (SELECT *, coalesce(abs(pos - lag(pos) OVER (PARTITION BY target_id, symbol ORDER BY date)) * 0.0005, 0) AS fric FROM po)
-    SELECT target_id, CAST(date AS varchar) AS date, {r6('coalesce(sum(pos * ret), 0) - sum(fric)', 'ret')} FROM fr GROUP BY target_id, date""")
+    SELECT target_id, CAST(date AS varchar) AS date, {r6('1e6 * (coalesce(sum(pos * ret), 0) - sum(fric))', 'ret_e6')} FROM fr GROUP BY target_id, date""")
 def vol_targeted_portfolio_costs(spark, sf_dir):
-    return tidy(portfolio.portfolio_returns(_target(spark, sf_dir).withColumn("cost", F.lit(0.0005)), ("target_id",), "cost"))
+    return tidy(portfolio.portfolio_returns(_target(spark, sf_dir).withColumn("cost", F.lit(0.0005)), ("target_id",), "cost").select("target_id", "date", e6("ret")))
 
 
 WEIGHTS_SQL = f"{sql.shrunk_windows(portfolio.COVARIANCE_ROWS, portfolio.REBALANCE_ROWS)}, {sql.EQUAL_RISK}"
@@ -367,9 +383,9 @@ GRID_SQL = f"WITH RECURSIVE {_CTE}, {_ewm_sql('r', 'ret', 30, 'vol', 'sd')}, {WE
 )
 
 
-@query(f"{GRID_SQL} SELECT config_id, CAST(date AS varchar) AS date, {r6('ret', 'ret')} FROM grid")
+@query(f"{GRID_SQL} SELECT config_id, CAST(date AS varchar) AS date, {r6('1e6 * ret', 'ret_e6')} FROM grid")
 def trend_study_grid(spark, sf_dir):
-    return tidy(portfolio.trend_grid(base(spark, sf_dir)))
+    return tidy(portfolio.trend_grid(base(spark, sf_dir)).select("config_id", "date", e6("ret")))
 
 
 @query(f"WITH {PANEL}, {sql.shrunk_windows(portfolio.COVARIANCE_ROWS, portfolio.REBALANCE_ROWS)} SELECT CAST(window_id AS bigint) AS window_id, i, j, {r6('1e6 * cov', 'cov_e6')}, {r6('delta', 'delta')} FROM cov")
@@ -392,10 +408,10 @@ DRAWN = """eq AS (SELECT *, product(1 + ret) OVER (PARTITION BY config_id ORDER
     sk AS (SELECT c.config_id, avg(pow(ret - m, 3)) / pow(max(v), 1.5) AS skew, avg(pow(ret - m, 4)) / pow(max(v), 2) - 3 AS kurt FROM cfg c JOIN mo USING (config_id) GROUP BY 1)"""
 
 
-@query(f"""WITH {CONFIGS}, {DRAWN} SELECT config_id, count(ret) AS n, {r6('avg(ret)', 'mean')}, {r6('stddev_samp(ret)', 'sd')}, {r6('max(dd)', 'maxdd')}, {r6('min(ret)', 'worst_day')}, {r6('max(skew)', 'skew')}, {r6('max(kurt)', 'kurt')},
+@query(f"""WITH {CONFIGS}, {DRAWN} SELECT config_id, count(ret) AS n, {r6('1e6 * avg(ret)', 'mean_e6')}, {r6('1e6 * stddev_samp(ret)', 'sd_e6')}, {r6('max(dd)', 'maxdd')}, {r6('1e6 * min(ret)', 'worst_day_e6')}, {r6('max(skew)', 'skew')}, {r6('max(kurt)', 'kurt')},
     {r6('avg(ret) / stddev_samp(ret) * sqrt(252)', 'sharpe')}, {r6('product(1 + ret) - 1', 'total_return')}, {r6('pow(product(1 + ret), 252.0 / count(ret)) - 1', 'annual_return')} FROM dd JOIN sk USING (config_id) GROUP BY config_id""")
 def performance_metrics(spark, sf_dir):
-    return tidy(metrics.performance(configs(spark, sf_dir)))
+    return tidy(metrics.performance(configs(spark, sf_dir)).select("config_id", "n", *[e6(c) for c in ("mean", "sd", "worst_day")], "maxdd", "skew", "kurt", "sharpe", "total_return", "annual_return"))
 
 
 @query(f"""WITH {CONFIGS}, sg AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY config_id ORDER BY date) <= floor(count(*) OVER (PARTITION BY config_id) * 0.6) THEN 'train' ELSE 'test' END AS segment FROM cfg)
@@ -439,8 +455,9 @@ SPEC = {"point": 0.01, "mult": 1.0, "comm_rt": 0.5, "spread": 5.0}
 
 
 def _pair_trades(spark, sf_dir, **how):
-    legs = _legs(spark, sf_dir).withColumn("spread_a", F.lit(SPEC["spread"])).withColumn("spread_b", F.lit(SPEC["spread"]))
-    specs = hourly(spark, sf_dir).select("symbol").distinct().select("symbol", *[F.lit(SPEC[c]).alias(c) for c in ("point", "mult", "comm_rt")])
+    hours = _hours(spark, sf_dir)
+    legs = _legs(hours).withColumn("spread_a", F.lit(SPEC["spread"])).withColumn("spread_b", F.lit(SPEC["spread"]))
+    specs = hours.select("symbol").distinct().select("symbol", *[F.lit(SPEC[c]).alias(c) for c in ("point", "mult", "comm_rt")])
     return trades.pair_trades(legs, specs, **how)
 
 
@@ -483,12 +500,14 @@ def ranked_screen(spark, sf_dir):
 
 
 def _leg_bars(spark, sf_dir, every="60 minutes"):
-    legs = _legs(spark, sf_dir, every).select(F.col("pair").alias("symbol"), "sym_a", "ts", "a", "b")
-    range_ = hourly(spark, sf_dir, every).select(F.col("symbol").alias("sym_a"), "ts", "high", "low")
+    hours = _hours(spark, sf_dir, every)
+    legs = _legs(hours).select(F.col("pair").alias("symbol"), "sym_a", "ts", "a", "b")
+    range_ = hours.select(F.col("symbol").alias("sym_a"), "ts", "high", "low")
     return legs.join(range_, ["sym_a", "ts"]).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))
 
 
-LEG_GRID = [(f"z{z}/a{m}", z, 3.0, m, 120) for z in (1.5, 2.0, 2.5) for m in (0.5, 1.0, 3.5)]
+#: Rows that are only watched follow from the window and the trend's span.
+LEG_GRID = [(f"z{z}/a{m}", z, 3.0, m, trades.warmup(trades.SingleLeg(rows=60, trend_span=60))) for z in (1.5, 2.0, 2.5) for m in (0.5, 1.0, 3.5)]
 LEG_SQL = f"WITH RECURSIVE {TICKS}, {LEGS}, {sql.recursive_mean('leg', 'a', 60, 'trend')}, {sql.leg_features(60, 60, 'f60')}, {sql.leg_trades(['f60'], [(*g, 0) for g in LEG_GRID])}"
 
 
@@ -512,7 +531,7 @@ def single_leg_by_side(spark, sf_dir):
 
 
 SWEEP_WINDOWS = (40, 60, 90)
-SWEEP_GRID = [(f"z{z}/a{m}/w{k}", z, 3.0, m, 120, k) for z in (1.5, 2.0, 2.5) for m in (2.5, 3.5, 5.0) for k in SWEEP_WINDOWS]
+SWEEP_GRID = [(f"z{z}/a{m}/w{k}", z, 3.0, m, trades.warmup(trades.SingleLeg(rows=k, trend_span=60)), k) for z in (0.5, 1.0, 1.5) for m in (2.5, 3.5, 5.0) for k in SWEEP_WINDOWS]
 SWEEP_SQL = (
     f"WITH RECURSIVE {TICKS.replace('60 MINUTES', '15 MINUTES')}, {LEGS}, {sql.recursive_mean('leg', 'a', 60, 'trend')}, "
     + ", ".join(sql.leg_features(k, 60, f"f{k}") for k in SWEEP_WINDOWS)
@@ -525,7 +544,7 @@ SWEEP_SQL = (
     SELECT {sql.summary_columns()}, CAST(rank AS bigint) AS rank, {r6('sr0', 'sr0')}, {r6(sql.normal_cdf('(sr_trade - sr0) / sd'), 'dsr')} FROM dz""")
 def parameter_sweep(spark, sf_dir):
     """Every entry x range multiple x window on 15-minute bars; the best configurations of each pair, the first one's Sharpe deflated."""
-    features = trades.window_features(settled(_leg_bars(spark, sf_dir, "15 minutes"), "legs"), SWEEP_WINDOWS, trades.SingleLeg(trend_span=60))
+    features = trades.leg_features(_leg_bars(spark, sf_dir, "15 minutes"), trades.SingleLeg(trend_span=60), windows=SWEEP_WINDOWS)
     done = trades.leg_trades(features, spark.createDataFrame(SWEEP_GRID, "config_id string, entry double, stop double, range_mult double, warmup int, rows int"))
     return tidy(trades.sweep_ranking(trades.risk_summary(settled(done, "sweep")), len(SWEEP_GRID)))
 
@@ -536,12 +555,12 @@ RATIO = PAIRS + """, qt AS (SELECT pair, ts, a, b, a - CASE WHEN count(*) OVER w
 
 @query(f"WITH {RATIO} SELECT pair, {r6('median(sd)', 'sigma')}, 0.05 AS bid_ask, {r6('0.05 / median(sd)', 'cost')} FROM ss GROUP BY pair")
 def friction_calibration(spark, sf_dir):
-    return tidy(trades.friction_calibration(_legs(spark, sf_dir).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))))
+    return tidy(trades.friction_calibration(_legs(_hours(spark, sf_dir)).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))))
 
 
 @query(sql.entry_thresholds(RATIO))
 def entry_thresholds(spark, sf_dir):
-    legs = _legs(spark, sf_dir).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))
+    legs = _legs(_hours(spark, sf_dir)).withColumn("bid_ask", F.lit(SPEC["spread"] * SPEC["point"]))
     return tidy(trades.entry_thresholds(trades.friction_calibration(legs)))
 
 
@@ -552,12 +571,12 @@ LEDGER_SQL = f"WITH RECURSIVE {PANEL}, {_ewm_sql('r', 'ret', 20, 'vol', 'sd')},
 
 
 def _ledger(spark, sf_dir):
-    return trades.share_ledger(signals.overlay_grid(base(spark, sf_dir), OVERLAY_GRID), max_cost_ratio=0.005)
+    return trades.share_ledger(signals.overlay_grid(base(spark, sf_dir), OVERLAY_GRID), max_cost_ratio=0.005, configs=signals.overlay_names(OVERLAY_GRID))
 
 
-@query(f"{LEDGER_SQL} SELECT symbol, config_id, CAST(date AS varchar) AS date, {r6('equity', 'equity')}, {r6('cost', 'cost')}, {r6('pos_frac', 'pos_frac')}, {r6('strat_ret', 'strat_ret')} FROM ledger")
+@query(f"{LEDGER_SQL} SELECT symbol, config_id, CAST(date AS varchar) AS date, {r6('equity', 'equity')}, {r6('cost', 'cost')}, {r6('pos_frac', 'pos_frac')}, {r6('1e6 * strat_ret', 'strat_ret_e6')} FROM ledger")
 def share_ledger(spark, sf_dir):
-    return tidy(_ledger(spark, sf_dir))
+    return tidy(_ledger(spark, sf_dir).select("symbol", "config_id", "date", "equity", "cost", "pos_frac", e6("strat_ret")))
 
 
 @query(f"""{LEDGER_SQL} SELECT symbol, config_id, count(*) FILTER (WHERE cost > 0) AS rebalances, {r6('sum(cost)', 'total_cost')}, {r6("1e4 * sum(cost) / 1e5 / (datediff('day', min(date), max(date)) / 365.25)", 'bps_per_year')},
@@ -827,7 +846,7 @@ def distinct_trials(spark, sf_dir):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A momentum portfolio on the three-symbol panel, sized by lagged trailing deviation, and its metrics."""
-    rows = panel.with_returns(panel.common_history(damped(daily_bars(spark, sf_dir, symbol=("l_returnflag",)))))
+    rows = panel.with_returns(panel.common_history(settled(walked(daily_bars(spark, sf_dir, symbol=("l_returnflag",))), "walked")))
     w = series("symbol")
     rows = rows.withColumn("_s", roll.momentum("close", w, (21, 63))).withColumn("_v", rolling(F.stddev_samp, "ret", w, 20))
     rows = rows.withColumn("pos", F.coalesce(F.try_divide(F.lag("_s").over(w), F.lag("_v").over(w)), F.lit(0.0)) * 0.001).withColumn("config_id", F.lit("trend"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SYMBOL = ("l_returnflag", "l_linestatus")
@@ -26,9 +26,15 @@ def daily_bars(spark: SparkSession, sf_dir: str, symbol=SYMBOL) -> DataFrame:
     )
 
 
-def damped(bars: DataFrame) -> DataFrame:
-    """Bars with tame prices, for signals and portfolios: 5000 + price / 100."""
-    return bars.select("symbol", "date", *[(5000 + F.col(c) / 100).alias(c) for c in ("close", "high", "low")], "volume")
+def walked(bars: DataFrame) -> DataFrame:
+    """Bars whose closes walk, for signals and portfolios: 5000 and a thousandth of the sum so far of the rounded closes less
+    their whole mean, all whole numbers until the last step; high and low keep their distance, on the same scale."""
+    close = F.round("close").cast("long")
+    means = bars.groupBy("symbol").agg(F.floor(F.sum(close) / F.count("*")).cast("long").alias("_mean"))
+    so_far = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    rows = bars.join(means, "symbol").withColumn("_walk", 5000 + F.sum(close - F.col("_mean")).over(so_far) / 1000)
+    away = lambda c: (F.col("_walk") + (F.col(c) - F.col("close")) / 1000).alias(c)
+    return rows.select("symbol", "date", F.col("_walk").alias("close"), away("high"), away("low"), "volume")
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
