@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.lineage import settled
 from panelspark.operators import ledger, panel, qc
+from panelspark.sources import bars as sources
+
+
+def build_from_files(spark: SparkSession, path: str, symbol: Column | None = None, actions: DataFrame | None = None, version: str = ledger.SCHEMA_VERSION) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(panel, report, manifest) of vendor files: a file that cannot be read is a FAIL row of the report and the rest is built.
+    The manifest has the raw files' digests and the report as well."""
+    rows = sources.read_vendor_files(spark, path, symbol).withColumn("date", F.to_date("ts"))
+    panel_, report, manifest = build_panel(rows, actions, version)
+    errors = settled(sources.load_errors(spark, path, symbol), "load-errors")
+    failed = errors.select(F.coalesce("symbol", "path").alias("symbol"), F.lit(0).cast("long").alias("n_rows"), F.concat(F.lit("load error: "), "issue").alias("issues"), F.lit("FAIL").alias("status"))
+    report = report.unionByName(failed, allowMissingColumns=True)
+    digests = sources.file_digests(spark, path)
+    files = digests.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "sha256")))).alias("files"))
+    quality = report.agg(F.sort_array(F.collect_list(F.struct("symbol", "status", "n_rows", "issues"))).alias("qc"), (F.count_if(F.col("status") == "FAIL") == 0).alias("passed"), F.sort_array(F.collect_list(F.when(F.col("status") == "FAIL", F.col("symbol")))).alias("failed"))
+    return panel_, report, manifest.drop("passed", "failed").crossJoin(quality).crossJoin(files)
 
 
 def build_panel(bars: DataFrame, actions: DataFrame | None = None, version: str = ledger.SCHEMA_VERSION) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = "2"
-TRIALS = "trial_id string, run_ts timestamp, commit string, dataset_hash string, config string, status string"
 
 
 def row_digests(panel: DataFrame) -> DataFrame:
@@ -51,6 +53,43 @@ def distinct_trials(trials: DataFrame) -> DataFrame:
     return trials.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def record_trials(trials: DataFrame, path: str) -> None:
+    """Append trials to the table at path: one slot a (config, dataset_hash), taken by the first run and never written again.
+
+    Rows are staged beside the table and each new slot is moved in by a rename that fails where the slot is there, so
+    a job that runs twice, or two at once, or again after it broke off, leave one row; readers never see half a slot.
+    (Object stores have no such rename: keep the ledger on a file system.) trials has config, dataset_hash, run_ts,
+    trial_id and what else is to be kept; a study records a row, so slots are moved one by one.
+    """
+    spark = trials.sparkSession
+    slot = F.sha2(F.concat_ws("|", F.coalesce("config", F.lit("")), F.coalesce("dataset_hash", F.lit(""))), 256)
+    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    distinct_trials(trials).withColumn("slot", slot).repartition("slot").write.partitionBy("slot").parquet(staging)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    files = hadoop.FileContext.getFileContext(hadoop.Path(staging).toUri(), conf)
+    kind = getattr(hadoop, "Options$Rename")
+    never_over = spark.sparkContext._gateway.new_array(kind, 1)
+    never_over[0] = kind.NONE
+    for found in files.util().listStatus(hadoop.Path(staging)):
+        name = found.getPath().getName()
+        if not name.startswith("slot="):
+            continue
+        target = hadoop.Path(f"{path.rstrip('/')}/{name}")
+        if not files.util().exists(target):
+            try:
+                files.rename(found.getPath(), target, never_over)
+            except Py4JJavaError as e:
+                if "FileAlreadyExistsException" not in str(e.java_exception.getClass().getName()):
+                    raise
+    files.delete(hadoop.Path(staging), True)
+
+
+def read_trials(spark: SparkSession, path: str) -> DataFrame:
+    """The recorded trials, a row a slot."""
+    return spark.read.parquet(path).drop("slot")
+
+
 def ledger_check(trials: DataFrame, current: DataFrame, budget: int = 20) -> DataFrame:
     """Active (not STALE) trials with their problem: 'hash mismatch' where the stored hash does not start the current
     one, and whether distinct active slots exceed the budget. current: one row, dataset_hash."""

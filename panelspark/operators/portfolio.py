@@ -49,13 +49,17 @@ def portfolio_returns(positions: DataFrame, keys: tuple[str, ...], cost: str | N
 
 
 def moments(windows: DataFrame) -> DataFrame:
-    """Per window and pair of symbols (i, j): population moments of demeaned returns, as the shrinkage needs them.
-    windows: window_id, date, symbol, ret."""
+    """Per window and pair of symbols (i, j), in either order: population moments of demeaned returns, as the shrinkage needs
+    them. Products are formed for i <= j only; the other order is the same sums under exchanged names. windows: window_id,
+    date, symbol, ret."""
     x = windows.withColumn("x", F.col("ret") - F.avg("ret").over(Window.partitionBy("window_id", "symbol")))
     a = x.select("window_id", "date", F.col("symbol").alias("i"), F.col("x").alias("xi"))
     b = x.select("window_id", "date", F.col("symbol").alias("j"), F.col("x").alias("xj"))
     xi, xj = F.col("xi"), F.col("xj")
-    return a.join(b, ["window_id", "date"]).groupBy("window_id", "i", "j").agg(F.count("*").alias("t"), F.avg(xi * xj).alias("s"), F.avg(xi * xi * xj * xj).alias("s22"), F.avg(xi * xi * xi * xj).alias("s31"), F.avg(xi * xj * xj * xj).alias("s13"))
+    half = a.join(b, ["window_id", "date"]).filter("i <= j").groupBy("window_id", "i", "j").agg(F.count("*").alias("t"), F.avg(xi * xj).alias("s"), F.avg(xi * xi * xj * xj).alias("s22"), F.avg(xi * xi * xi * xj).alias("s31"), F.avg(xi * xj * xj * xj).alias("s13"))
+    # each row of the half goes out as itself and, off the diagonal, once more with its names exchanged
+    kept, other = (F.struct(F.col(p).alias("i"), F.col(q).alias("j"), "t", "s", "s22", F.col(u).alias("s31"), F.col(v).alias("s13")) for p, q, u, v in (("i", "j", "s31", "s13"), ("j", "i", "s13", "s31")))
+    return half.select("window_id", F.explode(F.when(F.col("i") < F.col("j"), F.array(kept, other)).otherwise(F.array(kept))).alias("m")).select("window_id", "m.*")
 
 
 def shrunk_covariance(windows: DataFrame) -> DataFrame:

@@ -48,6 +48,40 @@ def qc_report(bars: DataFrame, order: str = "date") -> DataFrame:
     return out.select("symbol", "n_rows", "first", "last", "dup", "missing", "nonpos", "negative", "missing_days", "stale", "extreme", F.concat_ws("; ", "issues").alias("issues"), "status")
 
 
+def quick_report(bars: DataFrame, order: str = "date") -> DataFrame:
+    """The smaller report, a row a symbol: rows, range, duplicates, non-positive and missing closes, zero returns and the
+    largest absolute return."""
+    w = series("symbol", order=order)
+    rows = bars.withColumn("_ret", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)
+    return rows.groupBy("symbol").agg(
+        F.count("*").alias("n_rows"), F.min(order).alias("first"), F.max(order).alias("last"), (F.count(order) - F.countDistinct(order)).alias("dup"),
+        F.count_if(F.col("close") <= 0).alias("nonpos"), F.count_if(F.col("close").isNull() | F.isnan("close")).alias("missing"),
+        F.count_if(F.col("_ret") == 0).alias("zero_returns"), F.max(F.abs("_ret")).alias("largest_move"),
+    )
+
+
+def file_runs(start: str, end: str, files: DataFrame) -> DataFrame:
+    """first, last and days of each run of weekdays without a file between two dates. files: date."""
+    have = files.select(F.lit("").alias("symbol"), "date").distinct()
+    edges = files.sparkSession.createDataFrame([("", start), ("", end)], "symbol string, date string").withColumn("date", F.to_date("date"))
+    days = have.unionByName(edges)  # the range's edges bound the calendar, but a run at an edge counts them too
+    span = days.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    calendar = span.select(F.explode(business_days(F.col("a"), F.col("b"))).alias("date")).filter(F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    marked = calendar.join(have.select("date", F.lit(1).alias("here")), "date", "left")
+    # the calendar has a row a weekday: its size depends on the range, not on the data
+    island = marked.withColumn("island", F.sum(F.coalesce("here", F.lit(0))).over(Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+    return island.filter("here is null").groupBy("island").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("days")).drop("island")
+
+
+def halting(bars: DataFrame, start: str, end: str, files: DataFrame, longest: int = 4) -> DataFrame:
+    """bars, or an error where a run of more than `longest` weekdays has no file: a late publication or a broken source,
+    not holidays."""
+    worst = file_runs(start, end, files).filter(F.col("days") > longest).agg(F.min(F.struct("first", "days")).alias("_run"))
+    said = F.concat(F.col("_run.days").cast("string"), F.lit(" weekdays without a file from "), F.col("_run.first").cast("string"))
+    checked = bars.crossJoin(F.broadcast(worst)).withColumn("_run", F.when(F.col("_run").isNotNull(), F.raise_error(said)).cast("string"))
+    return checked.filter("_run is null").drop("_run")
+
+
 def passing(bars: DataFrame, report: DataFrame) -> DataFrame:
     """The bars of symbols whose status is not FAIL."""
     return bars.join(report.filter("status <> 'FAIL'").select("symbol"), "symbol", "left_semi")

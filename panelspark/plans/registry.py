@@ -5,7 +5,7 @@ Dates and times are returned as text and doubles rounded to six places, so that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.lineage import scratch, settled
@@ -129,6 +129,23 @@ def qc_report(spark, sf_dir):
     return tidy(qc.qc_report(daily_bars(spark, sf_dir)))
 
 
+@query(f"""WITH {BARS}, x AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM bars)
+    SELECT symbol, count(*) AS n_rows, CAST(min(date) AS varchar) AS first, CAST(max(date) AS varchar) AS last, count(date) - count(DISTINCT date) AS dup, count(*) FILTER (WHERE close <= 0) AS nonpos,
+    count(*) FILTER (WHERE close IS NULL) AS missing, count(*) FILTER (WHERE ret = 0) AS zero_returns, {r6('max(abs(ret))', 'largest_move')} FROM x GROUP BY symbol""")
+def quick_report(spark, sf_dir):
+    return tidy(qc.quick_report(daily_bars(spark, sf_dir)))
+
+
+@query(f"""WITH {BARS}, fi AS (SELECT DISTINCT date FROM bars WHERE day(date) NOT BETWEEN 10 AND 19), sp AS (SELECT min(date) AS a, max(date) AS b FROM bars),
+    wk AS (SELECT d AS date FROM (SELECT CAST(unnest(generate_series(CAST(a AS timestamp), CAST(b AS timestamp), INTERVAL 1 DAY)) AS date) AS d FROM sp) WHERE dayofweek(d) BETWEEN 1 AND 5),
+    m AS (SELECT wk.date, CASE WHEN fi.date IS NULL THEN 0 ELSE 1 END AS here FROM wk LEFT JOIN fi USING (date)), i AS (SELECT *, sum(here) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
+    SELECT CAST(min(date) AS varchar) AS first, CAST(max(date) AS varchar) AS last, count(*) AS days, count(*) > 4 AS halts FROM i WHERE here = 0 GROUP BY island""")
+def missing_files(spark, sf_dir):
+    """Runs of weekdays without a file where days numbered 10 to 19 have none, and whether they halt a job."""
+    rows = settled(daily_bars(spark, sf_dir), "bars")
+    return tidy(qc.file_runs(*_span(rows), rows.select("date").distinct().filter("day(date) not between 10 and 19")).withColumn("halts", F.col("days") > 4))
+
+
 def _one_dialect(spark, sf_dir) -> DataFrame:
     """Bars of all symbols under the two header dialects of exchange files (those before 'B' modern, series EQ; the others
     legacy, series BE), with padded keys and either date spelling, made one again."""
@@ -531,7 +548,7 @@ def single_leg_by_side(spark, sf_dir):
 
 
 SWEEP_WINDOWS = (40, 60, 90)
-SWEEP_GRID = [(f"z{z}/a{m}/w{k}", z, 3.0, m, trades.warmup(trades.SingleLeg(rows=k, trend_span=60)), k) for z in (0.5, 1.0, 1.5) for m in (2.5, 3.5, 5.0) for k in SWEEP_WINDOWS]
+SWEEP_GRID = [(f"z{z}/a{m}/w{k}", z, 3.0, m, trades.warmup(trades.SingleLeg(rows=k, trend_span=60)), k) for z in (1.5, 2.0, 2.5) for m in (2.5, 3.5, 5.0) for k in SWEEP_WINDOWS]
 SWEEP_SQL = (
     f"WITH RECURSIVE {TICKS.replace('60 MINUTES', '15 MINUTES')}, {LEGS}, {sql.recursive_mean('leg', 'a', 60, 'trend')}, "
     + ", ".join(sql.leg_features(k, 60, f"f{k}") for k in SWEEP_WINDOWS)
@@ -694,8 +711,15 @@ def overfitting_probability(spark, sf_dir):
 
 @query(sql.study_verdict(GRID_SQL))
 def study_verdict(spark, sf_dir):
-    """The verdict on the trend study's grid: every vol target x sizing x signal set."""
-    return tidy(validation.study_verdict(settled(portfolio.trend_grid(base(spark, sf_dir)), "configs")))
+    """The verdict on the trend study's grid, every vol target x sizing x signal set, as the ledger row of its dataset: it is
+    recorded twice and counted once."""
+    rows, path = settled(base(spark, sf_dir), "panel"), scratch(spark, "ledger")
+    verdict = validation.study_verdict(settled(portfolio.trend_grid(rows), "configs")).withColumnRenamed("config_id", "config")
+    verdict = settled(verdict.crossJoin(ledger.fingerprint(rows)).withColumn("trial_id", F.lit("T1")).withColumn("run_ts", F.current_timestamp()), "verdict")
+    for _ in range(2):
+        ledger.record_trials(verdict, path)
+    kept = ledger.read_trials(spark, path).withColumnRenamed("config", "config_id").withColumn("worst_day_e6", 1e6 * F.col("worst_day"))
+    return tidy(kept.withColumn("recorded", F.count("*").over(Window.partitionBy("dataset_hash"))).drop("trial_id", "run_ts", "worst_day"))
 
 
 @query(sql.overlay_gate(LEDGER_SQL, len(OVERLAY_GRID)))
@@ -739,13 +763,23 @@ def build_panel(spark, sf_dir):
     return tidy(_built(spark, sf_dir)[2].withColumns({"symbols": F.array_join("symbols", ","), "failed": F.array_join("failed", ",")}))
 
 
-@query(f"""WITH {BUILT} SELECT symbol, CAST(date AS varchar) AS date, {r6('close', 'close')}, {r6('close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1', 'ret')}
+@query(f"""WITH {BUILT} SELECT symbol, CAST(date AS varchar) AS date, {r6('close', 'close')}, {r6('1e6 * (close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1)', 'ret_e6')}, (SELECT dataset_hash FROM dh) AS dataset_hash
     FROM un WHERE symbol <> 'RF' AND date IN (SELECT date FROM un WHERE close IS NOT NULL AND symbol <> 'RF' GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) - 1 FROM un))""")
 def stored_panel(spark, sf_dir):
-    """The built panel written by symbol and read again without one of them, on the dates that all others have."""
+    """The built panel written by symbol and read again without one of them, on the dates that all others have, with the
+    hash that was stored beside it."""
     path = scratch(spark, "stored-panel")
     bars.write_panel(_built(spark, sf_dir)[0], path)
-    return tidy(bars.read_panel(spark, path, drop=("RF",)).select("symbol", "date", "close", "ret"))
+    return tidy(bars.read_panel(spark, path, drop=("RF",)).select("symbol", "date", "close", e6("ret")).crossJoin(F.broadcast(bars.stored_hash(spark, path))))
+
+
+@query(f"""WITH {BUILT} SELECT symbol, CAST(date AS varchar) AS date, {r6('close', 'close')} FROM un""")
+def wide_panel(spark, sf_dir):
+    """The built panel's closes as a wide CSV, a column a symbol, and read back."""
+    path = scratch(spark, "wide-panel")
+    built = settled(_built(spark, sf_dir)[0], "panel")
+    bars.write_panel(built, path, wide=sorted(r["symbol"] for r in built.select("symbol").distinct().collect()))
+    return tidy(bars.read_wide(spark, path))
 
 
 def _files(spark, sf_dir) -> DataFrame:
@@ -758,21 +792,41 @@ def bar_files(spark, sf_dir):
     """The bars as canonical bar files, one folder a symbol, and read back."""
     path = scratch(spark, "bar-files")
     bars.write_bar_files(_files(spark, sf_dir), path)
-    return tidy(bars.read_bar_files(spark, f"{path}/*", symbol=F.element_at(F.split(F.element_at(F.split("_metadata.file_path", "/"), -2), "="), -1)))
+    return tidy(bars.read_bar_files(spark, f"{path}/*", symbol=_folder()))
 
 
 @query(f"WITH {BARS} SELECT symbol, strftime(date, '%Y-%m-%d 00:00:00') AS ts, {r6('high', 'high')}, {r6('low', 'low')}, {r6('close', 'close')}, {r6('volume', 'volume')} FROM bars")
 def vendor_files(spark, sf_dir):
     """The bars as vendor files of both delimiters and two header shapes, and read back: dates that can't be read go."""
-    path, rows = scratch(spark, "vendor-files"), _files(spark, sf_dir)
+    path = _vendor_files(spark, sf_dir)
+    out = bars.read_vendor_files(spark, f"{path}/*/*", symbol=_folder())
+    return tidy(out.select("symbol", "ts", "high", "low", "close", "volume"))
+
+
+def _folder():
+    """A file's symbol where files lie in a folder a symbol."""
+    return F.element_at(F.split(F.element_at(F.split("_metadata.file_path", "/"), -2), "="), -1)
+
+
+def _vendor_files(spark, sf_dir) -> str:
+    path, rows = scratch(spark, "vendor-files"), settled(_files(spark, sf_dir), "bars")
     day = F.date_format("ts", "yyyy-MM-dd")
     comma = rows.filter("symbol < 'B'").select("symbol", day.alias("Date"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Adj Close"), F.col("volume").alias("Volume"))
     tab = rows.filter("symbol >= 'B'").select("symbol", F.date_format("ts", "yyyy.MM.dd").alias("<DATE>"), F.lit("00:00:00").alias("<TIME>"), F.col("high").alias("<HIGH>"), F.col("low").alias("<LOW>"), F.col("close").alias("<CLOSE>"), F.col("volume").alias("<VOL>"))
     odd = comma.filter("symbol = 'AF'").withColumn("Date", F.lit("1999-02-31"))
-    for name, df, sep in (("comma", comma.unionByName(odd), ","), ("tab", tab, "\t")):
+    bad = comma.filter("symbol = 'AF'").withColumn("symbol", F.lit("XX")).drop("Adj Close")
+    for name, df, sep in (("comma", comma.unionByName(odd), ","), ("tab", tab, "\t"), ("bad", bad, ",")):
         df.repartition("symbol").write.option("header", True).option("sep", sep).partitionBy("symbol").csv(f"{path}/{name}")
-    out = bars.read_vendor_files(spark, f"{path}/*/*", symbol=F.element_at(F.split(F.element_at(F.split("_metadata.file_path", "/"), -2), "="), -1))
-    return tidy(out.select("symbol", "ts", "high", "low", "close", "volume"))
+    return path
+
+
+@query(f"""WITH {BUILT}, q AS ({ORACLE_SQL["qc_report"]}) SELECT (SELECT string_agg(symbol, ',' ORDER BY symbol) FROM (SELECT DISTINCT symbol FROM ok)) AS symbols, 'XX' AS failed,
+    (SELECT string_agg(concat(symbol, ':', status), ',' ORDER BY symbol) FROM (SELECT symbol, status FROM q UNION ALL SELECT 'XX', 'FAIL')) AS qc, (SELECT count(DISTINCT symbol) + 1 FROM ok) AS n_files, count(DISTINCT date) AS rows, false AS passed, (SELECT dataset_hash FROM dh) AS dataset_hash FROM ok""")
+def build_from_files(spark, sf_dir):
+    """The build from vendor files, one of them without a close: its manifest."""
+    out = build.build_from_files(spark, f"{_vendor_files(spark, sf_dir)}/*/*", _folder())[2]
+    qc_list = F.array_join(F.transform("qc", lambda x: F.concat(x["symbol"], F.lit(":"), x["status"])), ",")
+    return tidy(out.select(F.array_join("symbols", ",").alias("symbols"), F.array_join("failed", ",").alias("failed"), qc_list.alias("qc"), F.size("files").alias("n_files"), "rows", "passed", "dataset_hash"))
 
 
 @query(f"WITH {BARS} SELECT CAST(date AS varchar) AS date, symbol, 'EQ' AS series, {r6('high', 'high')}, {r6('close', 'close')}, {r6('volume', 'volume')} FROM bars WHERE symbol = 'NO'")
@@ -832,16 +886,26 @@ def _trials(spark, current):
 _STORED = f"{HASHED}, {TRIALS_SQL}, st AS (SELECT tl.*, CASE WHEN keep > 0 THEN substring(dataset_hash, 1, keep) ELSE 'none' END AS stored, dataset_hash FROM tl, dh)"
 
 
-@query(f"""WITH {_STORED}, ac AS (SELECT * FROM st WHERE status <> 'STALE') SELECT trial_id, config, CASE WHEN starts_with(dataset_hash, stored) THEN '' ELSE 'hash mismatch' END AS problem,
-    (SELECT count(*) FROM (SELECT DISTINCT config, stored FROM ac)) AS slots, (SELECT count(*) FROM (SELECT DISTINCT config, stored FROM ac)) > 20 AS over_budget FROM ac""")
+_FIRST = f"{_STORED}, fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config, stored ORDER BY run_ts, trial_id) AS k FROM st) WHERE k = 1)"
+
+
+def _recorded(spark, sf_dir):
+    """The trials as the ledger has them after two runs of the same job, and the current fingerprint."""
+    path, current = scratch(spark, "ledger"), settled(ledger.fingerprint(daily_bars(spark, sf_dir)), "current")
+    for _ in range(2):
+        ledger.record_trials(_trials(spark, current), path)
+    return ledger.read_trials(spark, path), current
+
+
+@query(f"""WITH {_FIRST}, ac AS (SELECT * FROM fs WHERE status <> 'STALE') SELECT trial_id, config, CASE WHEN starts_with(dataset_hash, stored) THEN '' ELSE 'hash mismatch' END AS problem,
+    (SELECT count(*) FROM ac) AS slots, (SELECT count(*) FROM ac) > 20 AS over_budget FROM ac""")
 def ledger_check(spark, sf_dir):
-    current = ledger.fingerprint(daily_bars(spark, sf_dir))
-    return ledger.ledger_check(_trials(spark, current), current)
+    return ledger.ledger_check(*_recorded(spark, sf_dir))
 
 
-@query(f"WITH {_STORED} SELECT trial_id, config, stored AS dataset_hash, status FROM (SELECT *, row_number() OVER (PARTITION BY config, stored ORDER BY run_ts, trial_id) AS k FROM st) WHERE k = 1")
+@query(f"WITH {_FIRST} SELECT trial_id, config, stored AS dataset_hash, status FROM fs")
 def distinct_trials(spark, sf_dir):
-    return ledger.distinct_trials(_trials(spark, ledger.fingerprint(daily_bars(spark, sf_dir)))).drop("run_ts")
+    return _recorded(spark, sf_dir)[0].select("trial_id", "config", "dataset_hash", "status")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,8 +178,15 @@ def trend_grid(signals: str, sets: dict[str, tuple[str, ...]], targets: dict[str
     grid AS MATERIALIZED (SELECT concat_ws('/', target_id, c) AS config_id, date, coalesce(sum(greatest(least(expo * coalesce(least(target / nullif(sd, 0), 50), 0), 1), -1) * ret), 0) AS ret FROM xp JOIN rl USING (c, date) CROSS JOIN tg GROUP BY 1, 2)"""
 
 
+def fingerprint(source: str, p: str = "", version: str = "2") -> str:
+    """{p}dh (dataset_hash) of source (symbol, date, close)."""
+    return f"""{p}rh AS (SELECT date_trunc('month', date) AS month, sha256(concat_ws('|', CAST(date AS varchar), symbol, coalesce(CAST(CAST(round(close * 1e6) AS bigint) AS varchar), ''))) AS h FROM {source}),
+    {p}bh AS (SELECT month, substring(h, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM {p}rh GROUP BY 1, 2), {p}mh AS (SELECT month, sha256(string_agg(h, '' ORDER BY p)) AS h FROM {p}bh GROUP BY month),
+    {p}dh AS (SELECT sha256(concat_ws('|', '{version}', '', string_agg(h, '' ORDER BY month))) AS dataset_hash FROM {p}mh)"""
+
+
 def study_verdict(grid_sql: str, trials: int = 20) -> str:
-    return f"""{grid_sql}, lr AS MATERIALIZED (SELECT 1 AS key, config_id, date, ret FROM grid), {out_of_sample('lr')},
+    return f"""{grid_sql}, {fingerprint('r', 'f_')}, lr AS MATERIALIZED (SELECT 1 AS key, config_id, date, ret FROM grid), {out_of_sample('lr')},
     tp AS (SELECT selected AS config_id, count(*) AS times FROM se GROUP BY 1 ORDER BY 2 DESC, min(split_id) LIMIT 1), bs AS (SELECT lr.* FROM lr JOIN tp USING (config_id)), {deflated('bs', trials)},
     eq AS (SELECT config_id, ret, product(1 + ret) OVER w AS e, max(1e0) OVER w AS one, date FROM bs WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     dw AS (SELECT min(ret) AS worst_day, max(dd) AS maxdd FROM (SELECT ret, 1 - e / max(e) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dd FROM eq)),
@@ -189,8 +196,8 @@ def study_verdict(grid_sql: str, trials: int = 20) -> str:
     pv AS (SELECT m, config_id, max(CASE WHEN inside = 1 THEN sr END) AS a, max(CASE WHEN inside = 0 THEN sr END) AS b FROM hs GROUP BY 1, 2), pb AS (SELECT *, first_value(b) OVER (PARTITION BY m ORDER BY a DESC, config_id) AS bb FROM pv),
     pk AS (SELECT m, least(greatest(count(*) FILTER (WHERE b <= bb) * 1.0 / count(*), 1.0 / (count(*) + 1)), count(*) * 1.0 / (count(*) + 1)) AS rank FROM pb GROUP BY m), po AS (SELECT avg(CASE WHEN ln(rank / (1 - rank)) < 0 THEN 1.0 ELSE 0 END) AS pbo FROM pk),
     ve AS (SELECT config_id, times, sr, sr0, {normal_cdf('(sr - sr0) / sd')} AS dsr, worst_day, maxdd, paths, low, mid, high, pbo FROM tp JOIN dsr USING (config_id), dw, sh, po)
-    SELECT config_id, times, {r6('sr', 'sr')}, {r6('sr0', 'sr0')}, {r6('dsr', 'dsr')}, {r6('worst_day', 'worst_day')}, {r6('maxdd', 'maxdd')}, paths, {r6('low', 'sharpe_low')}, {r6('mid', 'sharpe_median')}, {r6('high', 'sharpe_high')}, {r6('pbo', 'pbo')},
-    CASE WHEN dsr > 0.95 AND pbo < 0.05 THEN 'PASS' ELSE 'REJECT' END AS status FROM ve"""
+    SELECT config_id, times, {r6('sr', 'sr')}, {r6('sr0', 'sr0')}, {r6('dsr', 'dsr')}, {r6('1e6 * worst_day', 'worst_day_e6')}, {r6('maxdd', 'maxdd')}, paths, {r6('low', 'sharpe_low')}, {r6('mid', 'sharpe_median')}, {r6('high', 'sharpe_high')}, {r6('pbo', 'pbo')},
+    CASE WHEN dsr > 0.95 AND pbo < 0.05 THEN 'PASS' ELSE 'REJECT' END AS status, dataset_hash, CAST(1 AS bigint) AS recorded FROM ve, f_dh"""
 
 
 def entry_thresholds(ratio_sql: str) -> str:

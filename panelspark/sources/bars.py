@@ -34,43 +34,61 @@ def read_bar_files(spark: SparkSession, path: str, symbol: Column | None = None)
     return raw.select(symbol.alias("symbol"), ts.alias("ts"), *cols).filter("ts is not null")
 
 
-def parsed_time(columns: list[str]) -> Column:
-    """A UTC timestamp from DATE and TIME, from DATETIME, or from DATE; NULL where it can't be read."""
-    text = F.concat_ws(" ", "DATE", "TIME") if {"DATE", "TIME"} <= set(columns) else F.col("DATETIME" if "DATETIME" in columns else "DATE")
-    formats = ("yyyy.MM.dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy-MM-dd HH:mm", "yyyy.MM.dd", "yyyy-MM-dd", "yyyyMMdd")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats], F.try_to_timestamp(text))
-
-
-def _vendor(raw: DataFrame, sep: str, header: str, symbol: Column) -> DataFrame:
-    names = [c.strip().strip("<>").upper() for c in header.rstrip("\r\n").split(sep)]
-    rename = {"OPEN": "open", "HIGH": "high", "LOW": "low", "CLOSE": "close", "ADJ CLOSE": "close", "VOLUME": "volume", "VOL": "volume"}
-    found = {v: k for k, v in rename.items() if k in names}
-    if "close" not in found:
-        raise ValueError(f"no CLOSE column in {header!r}")
-    if not ({"DATE", "DATETIME"} & set(names)):
-        raise ValueError(f"no DATE or DATETIME column in {header!r}")
-    parts = raw.filter((F.col("header") == header) & (F.col("value") != header)).select(symbol.alias("symbol"), F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in names)), {"sep": sep}).alias("_c"))
-    parts = parts.select("symbol", *[F.col(f"_c.`{n}`").alias(n) for n in names])
-    wanted = [(F.col(f"`{found[c]}`").try_cast("double") if c in found else F.lit(None).cast("double")).alias(c) for c in (*PRICES, "volume")]
-    return parts.select("symbol", parsed_time(names).alias("ts"), *wanted).filter("ts is not null")
+#: Columns of a vendor file at most; a file with more is an error of its own.
+MOST_COLUMNS = 64
+TIME_FORMATS = ("yyyy.MM.dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy-MM-dd HH:mm", "yyyy.MM.dd", "yyyy-MM-dd", "yyyyMMdd")
 
 
-def read_vendor_files(spark: SparkSession, path: str, symbol: Column | None = None) -> DataFrame:
-    """CSV files of either delimiter with DATE+TIME, DATETIME or DATE and at least CLOSE, one instrument each. A file's
-    header is its first line; the driver sees each distinct header once, never the files: lines are joined to their
-    file's header (broadcast where Spark finds that small), and parsed by it."""
+def _vendor_lines(spark: SparkSession, path: str, symbol: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Lines (value, path, symbol), and of each file: path, symbol, header, names (an array), sep and issue (NULL: none)."""
     symbol = symbol_of_file(F.col("_metadata.file_name")) if symbol is None else symbol
-    lines = spark.read.text(path).select("value", symbol.alias("_symbol"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
-    heads = lines.filter("at = 0").groupBy("path").agg(F.min_by("value", "row").alias("header"))
-    distinct = sorted(r["header"] for r in heads.select("header").distinct().collect())
-    if not distinct:
-        raise ValueError(f"no files under {path}")
-    raw, out = lines.select("value", "path", "_symbol").join(heads, "path"), None
-    for header in distinct:
-        sep = "\t" if header.count("\t") >= header.count(",") else ","
-        part = _vendor(raw, sep, header, F.col("_symbol"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    lines = spark.read.text(path).select("value", symbol.alias("symbol"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+    heads = lines.filter("at = 0").groupBy("path", "symbol").agg(F.min_by("value", "row").alias("header"))
+    tabs, commas = (F.length("header") - F.length(F.replace("header", F.lit(c))) for c in ("\t", ","))
+    sep = F.when(tabs >= commas, "\t").otherwise(",")
+    names = F.transform(F.split("header", F.when(F.col("sep") == "\t", "\t").otherwise(",")), lambda c: F.upper(F.regexp_replace(F.trim(F.regexp_replace(c, r"[\r\x{FEFF}]", "")), "^<|>$", "")))
+    heads = heads.withColumn("sep", sep).withColumn("names", names)
+    has = lambda *c: F.arrays_overlap("names", F.array(*map(F.lit, c)))
+    issue = F.when(F.size("names") > MOST_COLUMNS, f"more than {MOST_COLUMNS} columns").when(~has("CLOSE", "ADJ CLOSE"), "no CLOSE column").when(~has("DATE", "DATETIME"), "no DATE or DATETIME column")
+    return lines.select("value", "path"), heads.withColumn("issue", issue)
+
+
+def read_vendor_files(spark: SparkSession, path: str, symbol: Column | None = None) -> DataFrame:
+    """CSV files of either delimiter with DATE+TIME, DATETIME or DATE and at least CLOSE, one instrument each: symbol, ts, the
+    prices and volume. One scan whatever the number of headers: a file's header, its first line, travels to its lines as
+    data, and they are parsed by position. Files that cannot be read that way are left to load_errors()."""
+    lines, heads = _vendor_lines(spark, path, symbol)
+    fields = ", ".join(f"c{i} string" for i in range(MOST_COLUMNS))
+    rows = lines.join(heads.filter("issue is null"), "path").filter(F.col("value") != F.col("header"))
+    parsed = F.when(F.col("sep") == "\t", F.from_csv("value", F.lit(fields), {"sep": "\t"})).otherwise(F.from_csv("value", F.lit(fields), {"sep": ","}))
+
+    def fields_of(x: Column) -> Column:
+        has = lambda name: F.array_contains(x["names"], name)
+        at = lambda name: F.get(x["v"], F.array_position(x["names"], F.lit(name)).cast("int") - 1)
+        text = F.when(has("DATE") & has("TIME"), F.concat_ws(" ", at("DATE"), at("TIME"))).when(has("DATETIME"), at("DATETIME")).otherwise(at("DATE"))
+        values = {"open": at("OPEN"), "high": at("HIGH"), "low": at("LOW"), "close": F.when(has("ADJ CLOSE"), at("ADJ CLOSE")).otherwise(at("CLOSE")), "volume": F.when(has("VOL"), at("VOL")).otherwise(at("VOLUME"))}
+        return F.struct(text.alias("t"), *[v.try_cast("double").alias(c) for c, v in values.items()])
+
+    rows = rows.withColumn("_c", parsed).select("symbol", F.struct("names", F.array(*[F.col(f"_c.c{i}") for i in range(MOST_COLUMNS)]).alias("v")).alias("_l"))
+    # a lambda's variable is worked out once, however often it is used
+    rows = rows.select("symbol", F.get(F.transform(F.array("_l"), fields_of), 0).alias("_f"))
+    ts = F.coalesce(*[F.try_to_timestamp("_f.t", F.lit(f)) for f in TIME_FORMATS], F.try_to_timestamp("_f.t"))
+    return rows.select("symbol", ts.alias("ts"), *[f"_f.{c}" for c in (*PRICES, "volume")]).filter("ts is not null")
+
+
+def _without_rows(spark: SparkSession, files: DataFrame, found: DataFrame) -> DataFrame:
+    """path of the files that a reader lists but gives no row of: the empty ones."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  local paths are written in two ways
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(plain("path").alias("path"))
+    return listed.join(found.select(plain("path").alias("path")), "path", "left_anti")
+
+
+def load_errors(spark: SparkSession, path: str, symbol: Column | None = None) -> DataFrame:
+    """path, symbol and issue of the vendor files that give no bars: those without a column they need, and empty ones."""
+    _, heads = _vendor_lines(spark, path, symbol)
+    name = symbol_of_file(F.element_at(F.split("path", "/"), -1)) if symbol is None else F.lit(None).cast("string")
+    empty = _without_rows(spark, spark.read.text(path), heads).select("path", name.alias("symbol"), F.lit("empty file").alias("issue"))
+    return heads.filter("issue is not null").select("path", "symbol", "issue").unionByName(empty)
 
 
 def trade_date(text: Column) -> Column:
@@ -135,8 +153,12 @@ def write_bar_files(bars: DataFrame, path: str) -> None:
 
 
 def write_panel(panel: DataFrame, path: str, wide: list[str] | None = None) -> None:
-    """A long panel as Parquet by symbol; with the symbols given, also close and return as wide CSV under wide/."""
+    """A long panel as Parquet by symbol, with its fingerprint beside it; with the symbols given, also close and return as
+    wide CSV under wide/."""
+    from panelspark.operators.ledger import fingerprint
+
     panel.repartition("symbol").sortWithinPartitions("symbol", "date").write.partitionBy("symbol").parquet(f"{path}/long")
+    fingerprint(panel.sparkSession.read.parquet(f"{path}/long").select("symbol", "date", "close")).write.parquet(f"{path}/hash")
     if wide:
         for c in ("close", "ret"):
             panel.groupBy("date").pivot("symbol", wide).agg(F.first(c)).orderBy("date").write.option("header", True).csv(f"{path}/wide/{c}")
@@ -150,9 +172,23 @@ def read_panel(spark: SparkSession, path: str, drop: tuple[str, ...] = ()) -> Da
     return with_returns(common_history(kept.filter(~F.col("symbol").isin(*drop)) if drop else kept))
 
 
+def stored_hash(spark: SparkSession, path: str) -> DataFrame:
+    """dataset_hash of a stored panel as it was written, before any symbol is dropped."""
+    return spark.read.parquet(f"{path}/hash")
+
+
+def read_wide(spark: SparkSession, path: str, column: str = "close") -> DataFrame:
+    """A wide CSV of write_panel in long form: symbol, date and the column."""
+    wide = spark.read.option("header", True).csv(f"{path}/wide/{column}")
+    long = wide.unpivot("date", [c for c in wide.columns if c != "date"], "symbol", column)
+    return long.select("symbol", F.to_date("date").alias("date"), F.col(column).cast("double").alias(column))
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path and SHA-256 of each raw file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """path and SHA-256 of each raw file, empty ones included."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    empty = _without_rows(spark, files, spark.read.format("binaryFile").load(path).select("path"))
+    return files.unionByName(empty.select("path", F.sha2(F.lit("").cast("binary"), 256).alias("sha256")))
 
 
 def write_ranked(result: DataFrame, path: str) -> None:

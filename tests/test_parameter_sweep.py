@@ -50,7 +50,7 @@ def test_sweep_over_windows_against_pandas(spark):
     bars = spark.createDataFrame(rows, "symbol string, ts timestamp, a double, b double, high double, low double, bid_ask double")
     grid = [(f"z{z}/w{k}", z, 3.0, 2.5, 120, k) for z in (1.5, 2.0, 2.8) for k in (40, 90)]
     configs = spark.createDataFrame(grid, "config_id string, entry double, stop double, range_mult double, warmup int, rows int")
-    done = trades.leg_trades(trades.window_features(bars, (40, 90), trades.SingleLeg(trend_span=60)), configs)
+    done = trades.leg_trades(trades.leg_features(bars, trades.SingleLeg(trend_span=60), windows=(40, 90)), configs)
     got = trades.sweep_ranking(trades.risk_summary(done), 27, top=3).orderBy("symbol", "rank").toPandas()
     nd, euler, few = NormalDist(), 0.5772156649, 0
     for s, d in data.items():
