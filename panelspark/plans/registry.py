@@ -634,7 +634,7 @@ COMBOS = "co AS (SELECT row_number() OVER (ORDER BY a.g, b.g) - 1 AS split_id, a
 
 @query(f"""WITH {ROWS}, {COMBOS}, g AS (SELECT row, ntile(10) OVER (ORDER BY row) AS grp FROM ro), e AS (SELECT grp, max(row) AS last FROM g GROUP BY grp)
     SELECT CAST(split_id AS bigint) AS split_id, row, CASE WHEN g.grp IN (g1, g2) THEN 'test' WHEN (row > e1.last AND row <= e1.last + 25) OR (row > e2.last AND row <= e2.last + 25) THEN 'embargoed' ELSE 'train' END AS role
-    FROM g CROSS JOIN co JOIN e e1 ON e1.grp = g1 JOIN e e2 ON e2.grp = g2""")
+    FROM g CROSS JOIN co LEFT JOIN e e1 ON e1.grp = g1 LEFT JOIN e e2 ON e2.grp = g2""")
 def cpcv_splits(spark, sf_dir):
     return tidy(validation.combinatorial_splits(_rows(spark, sf_dir), 10, 2, 25))
 

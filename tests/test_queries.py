@@ -30,7 +30,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 #: Path-dependent trades and ledgers, validation, scans, files and records: those with a state or a rule of their own.
 STATEFUL = [
-    "pair_trades", "single_leg_trades", "share_ledger", "parameter_sweep", "purged_kfold", "cpcv_splits", "cpcv_selection", "cpcv_selection_embargoes", "cpcv_paths", "cpcv_paired_paths", "overfitting_probability", "overlay_gate",
+    "pair_trades", "single_leg_trades", "share_ledger", "parameter_sweep", "purged_kfold", "cpcv_splits", "cpcv_selection", "cpcv_selection_embargoes", "cpcv_paths", "cpcv_paired_paths", "overfitting_probability",
     "ewm_vol", "ewma_crossover", "vendor_files", "build_from_files", "stored_panel", "wide_panel", "ledger_check", "distinct_trials", "quick_report", "missing_files", "rolling_beta_zscore", "deflated_sharpe",
 ]
 
