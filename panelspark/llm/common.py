@@ -58,7 +58,12 @@ def delete(spark: SparkSession, *paths: str) -> None:
 def release(spark: SparkSession) -> None:
     """Delete every table that this subpackage has written in this application and not deleted yet: to be called when
     the results have been stored elsewhere, as lazy results read these tables."""
-    delete(spark, *list(_tables.get(spark.sparkContext.applicationId, [])))
+    delete(spark, *kept_tables(spark))
+
+
+def kept_tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables written in this application and not deleted yet."""
+    return list(_tables.get(spark.sparkContext.applicationId, []))
 
 
 def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -162,5 +162,5 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     times = _mixed(docs, **how).filter("2 * taken >= size and size > 0").withColumn("times", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int"))
     times = times.groupBy(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash")).agg(F.max(F.struct("times", "turns")).alias("_mix"))
     match = docs["doc_id"].eqNullSafe(times["_mix_id"]) & (F.xxhash64(docs["text"]) == times["_mix_hash"])
-    taken = docs.join(times.hint("shuffle_hash"), match).withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.col("_mix.times") - 1)))
+    taken = docs.join(times, match).withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.col("_mix.times") - 1)))
     return taken.withColumn("_mix_slot", F.get("_mix.turns", F.col("_mix_copy"))).orderBy("_mix_slot", F.md5(F.coalesce(F.col("_mix_id").cast("string"), F.lit("")).cast("binary"))).select(*[docs[c] for c in docs.columns])

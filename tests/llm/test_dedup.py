@@ -155,3 +155,11 @@ def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "LEAST_RECALL", 1.5)  # everything compared
     assert check() == want
     assert embedding_dedup.near_groups(df.limit(0)).count() == 0
+
+
+def test_recall_is_null_where_nothing_was_measured(spark):
+    rng = np.random.default_rng(3)
+    far = rng.standard_normal((3, 16))
+    rows = [(k, v.tolist(), 1) for k, v in zip((1, 2, 50), [far[0], far[0] * 2 + 1e-6, far[1]], strict=True)]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert {i: (r["n_links"], r["component_id"], r["recall"]) for i, r in got.items()} == {1: (1, 1, None), 2: (1, 1, None), 50: (0, 50, None)}

@@ -92,3 +92,23 @@ def test_stages(spark, rows, tmp_path):
     empty = df.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_run_deletes_what_its_stages_wrote(spark, rows, tmp_path):
+    from panelspark.llm.common import kept_tables, release
+
+    release(spark)
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(kept_tables(spark)) == 1 and "mixing" in kept_tables(spark)[0]
+    assert got.count() > 0
+
+
+def test_training_rows_of_one_doc_id(spark, tmp_path):
+    """Thousands of labelled rows that share a doc_id: the stages' model keeps both languages, and clean documents stay."""
+    rng = np.random.default_rng(12)
+    one, other = (" ".join("".join(rng.choice(POOLS[k], 3)) for _ in range(40)) for k in ("aa", "bb"))
+    rows = [(7, one, "aa", "s", 1)] * 3000 + [(100 + k, other + f" {POOLS['bb'][k % 5]}", "bb", "s", 1) for k in range(40)]
+    df = table(spark, rows)
+    kept = corpus_pipeline.identify_language(spark, df, "")
+    assert kept.count() == len(rows) and kept.columns == df.columns
