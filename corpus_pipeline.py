@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm import bpe, exact_dedup, language_id, mixing, simhash
-from panelspark.llm.common import table, written
+from panelspark.llm.common import delete, kept_tables, table, written, written_at
 
 #: A text is rejected when no language is found, or the best one's probability is below this and its lead is small.
 LEAST_SCORE = 0.4
@@ -20,7 +20,7 @@ def matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """docs joined (left_semi or left_anti) with keys (doc_id, text_hash): rows of one doc_id, or none, are told apart by
     their text."""
     keys = keys.select(F.col("doc_id").alias("_key_id"), F.col("text_hash").alias("_key_hash"))
-    return docs.join(keys.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keys["_key_id"]) & (F.xxhash64(docs["text"]) == keys["_key_hash"]), how)
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_key_id"]) & (F.xxhash64(docs["text"]) == keys["_key_hash"]), how)
 
 
 def one_of_each(docs: DataFrame, decided: DataFrame, *group: Column) -> DataFrame:
@@ -81,8 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents. What a stage has written is deleted once its result is, and so is its input; the last
+    one's result reads the mix."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = kept_tables(spark)
+        docs, new = written_at(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        delete(spark, *[p for p in kept_tables(spark) if p not in before and p != new], *([path] if path else []))
+        path = new
     return STAGES[-1][1](spark, docs, sf_dir)
