@@ -72,8 +72,8 @@ def combinatorial_splits(rows: DataFrame, groups: int, k: int, embargo: int) ->
     ends = marked.groupBy("grp").agg(F.max("row").alias("end"))
     splits = split_table(rows.sparkSession, groups, k)
     tests = splits.filter("role = 'test'").join(ends, "grp").groupBy("split_id").agg(F.collect_list("end").alias("ends"))
-    dealt = marked.join(F.broadcast(splits), "grp").join(F.broadcast(tests), "split_id")
-    late = F.exists("ends", lambda e: (F.col("row") > e) & (F.col("row") <= e + embargo))
+    dealt = marked.join(F.broadcast(splits), "grp").join(F.broadcast(tests), "split_id", "left")
+    late = F.coalesce(F.exists("ends", lambda e: (F.col("row") > e) & (F.col("row") <= e + embargo)), F.lit(False))
     return dealt.select("split_id", "row", F.when(F.col("role") == "test", "test").when(late, "embargoed").otherwise("train").alias("role"))
 
 
