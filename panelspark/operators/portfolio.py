@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -48,6 +51,12 @@ def portfolio_returns(positions: DataFrame, keys: tuple[str, ...], cost: str | N
     return positions.groupBy(*keys, "date").agg(gain.alias("ret"))
 
 
+def _both_orders(half: DataFrame) -> DataFrame:
+    """Each row of i <= j goes out as itself and, off the diagonal, once more with its names exchanged."""
+    kept, other = (F.struct(F.col(p).alias("i"), F.col(q).alias("j"), "t", "s", "s22", F.col(u).alias("s31"), F.col(v).alias("s13")) for p, q, u, v in (("i", "j", "s31", "s13"), ("j", "i", "s13", "s31")))
+    return half.select("window_id", F.explode(F.when(F.col("i") < F.col("j"), F.array(kept, other)).otherwise(F.array(kept))).alias("m")).select("window_id", "m.*")
+
+
 def moments(windows: DataFrame) -> DataFrame:
     """Per window and pair of symbols (i, j), in either order: population moments of demeaned returns, as the shrinkage needs
     them. Products are formed for i <= j only; the other order is the same sums under exchanged names. windows: window_id,
@@ -57,15 +66,16 @@ def moments(windows: DataFrame) -> DataFrame:
     b = x.select("window_id", "date", F.col("symbol").alias("j"), F.col("x").alias("xj"))
     xi, xj = F.col("xi"), F.col("xj")
     half = a.join(b, ["window_id", "date"]).filter("i <= j").groupBy("window_id", "i", "j").agg(F.count("*").alias("t"), F.avg(xi * xj).alias("s"), F.avg(xi * xi * xj * xj).alias("s22"), F.avg(xi * xi * xi * xj).alias("s31"), F.avg(xi * xj * xj * xj).alias("s13"))
-    # each row of the half goes out as itself and, off the diagonal, once more with its names exchanged
-    kept, other = (F.struct(F.col(p).alias("i"), F.col(q).alias("j"), "t", "s", "s22", F.col(u).alias("s31"), F.col(v).alias("s13")) for p, q, u, v in (("i", "j", "s31", "s13"), ("j", "i", "s13", "s31")))
-    return half.select("window_id", F.explode(F.when(F.col("i") < F.col("j"), F.array(kept, other)).otherwise(F.array(kept))).alias("m")).select("window_id", "m.*")
+    return _both_orders(half)
 
 
 def shrunk_covariance(windows: DataFrame) -> DataFrame:
     """Constant-correlation shrinkage: window_id, i, j, cov (shrunk) and delta (the intensity). Mean products such as
     E[(xi^2 - Sii)(xi xj - Sij)] are E[xi^3 xj] - Sii Sij, so one pass of moments gives everything."""
-    m = settled(moments(windows), "moments")
+    return _shrunk(settled(moments(windows), "moments"))
+
+
+def _shrunk(m: DataFrame) -> DataFrame:
     var = m.filter("i = j").select("window_id", F.col("i").alias("k"), F.col("s").alias("v"))
     m = m.join(var.select("window_id", F.col("k").alias("i"), F.col("v").alias("vi")), ["window_id", "i"]).join(var.select("window_id", F.col("k").alias("j"), F.col("v").alias("vj")), ["window_id", "j"])
     si, sj, off = F.sqrt("vi"), F.sqrt("vj"), F.col("i") != F.col("j")
@@ -121,10 +131,74 @@ def rebalance_windows(panel: DataFrame, rows: int = COVARIANCE_ROWS, every: int
     return dealt.join(whole, "window_id", "left_semi").select(F.col("window_id").cast("long").alias("window_id"), "date", "symbol", "ret")
 
 
+#: The powers (a, b) whose sums over x^a y^b give the moments of demeaned x and y that the shrinkage needs.
+POWERS = [(a, b) for a in range(4) for b in range(4) if a + b <= 4]
+#: Symbols of a block of the Gram matrices.
+BLOCK_SYMBOLS = 64
+
+
+def _gram(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums of powers of every two symbols of a slab's two blocks, the one that comes first in order as i."""
+    low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+    wide = pdf.pivot(index="t", columns="symbol", values="x").sort_index(axis=1)
+    block = pdf.drop_duplicates("symbol").set_index("symbol")["blk"].reindex(wide.columns).to_numpy()
+    x = wide.to_numpy(float)
+    there = np.isfinite(x).astype(float)
+    powers = [there, *(np.where(there > 0, x, 0.0) ** a for a in (1, 2, 3))]
+    sums = {(a, b): powers[a].T @ powers[b] for a, b in POWERS}
+    i, j = np.triu_indices(len(block))
+    ours = ((block[i] == low) & (block[j] == high)) | ((block[i] == high) & (block[j] == low))
+    i, j = i[ours], j[ours]
+    names = wide.columns.to_numpy()
+    out = {"slab": np.full(len(i), pdf["slab"].iloc[0]), "i": names[i], "j": names[j]}
+    return pd.DataFrame(out | {f"p{a}{b}": sums[a, b][i, j] for a, b in POWERS})
+
+
+def rebalance_moments(panel: DataFrame, rows: int = COVARIANCE_ROWS, every: int = REBALANCE_ROWS) -> DataFrame:
+    """moments() of the windows of rebalance_windows(), for a panel whose symbols have the same dates. Rows are summed once, in
+    slabs of the greatest length that windows and steps are multiples of, as Gram matrices of symbol blocks (each pair of
+    blocks a group: the rows shuffled grow with the number of blocks, a task's with the block); a window's moments are
+    those of its slabs' sums. Returns are taken about their symbol's mean first, so that powers do not swallow the spread."""
+    size = math.gcd(rows, every)
+    numbered = panel.select("symbol", "ret", F.row_number().over(series("symbol")).alias("t")).withColumn("t", (F.col("t") - 1).cast("long"))
+    means = panel.groupBy("symbol").agg(F.avg("ret").alias("c"), F.count("*").alias("_rows"))
+    last = means.agg(F.max("_rows").alias("rows"), F.count("*").alias("symbols")).first()
+    if not last["symbols"]:
+        return panel.sparkSession.createDataFrame([], "window_id long, i string, j string, t long, s double, s22 double, s31 double, s13 double")
+    blocks, windows = -(-last["symbols"] // BLOCK_SYMBOLS), (last["rows"] - 1 - rows) // every
+    x = numbered.filter("ret is not null").join(means, "symbol").select("symbol", "t", F.floor(F.col("t") / size).alias("slab"), (F.col("ret") - F.col("c")).alias("x"), F.pmod(F.xxhash64("symbol"), F.lit(blocks)).alias("blk"))
+    x = settled(x, "centred")
+    dealt = x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("*", F.least("blk", "_o").alias("low"), F.greatest("blk", "_o").alias("high")).drop("_o")
+    sums = dealt.groupBy("slab", "low", "high").applyInPandas(_gram, "slab long, i string, j string, " + ", ".join(f"p{a}{b} double" for a, b in POWERS))
+    step, length = every // size, rows // size
+    first = F.greatest(F.ceil((F.col("slab") - length + 1) / step), F.lit(0))
+    of = F.explode(F.when(F.least(F.floor(F.col("slab") / step), F.lit(windows)) >= first, F.sequence(first, F.least(F.floor(F.col("slab") / step), F.lit(windows))))).alias("_k")
+    names = [f"p{a}{b}" for a, b in POWERS]
+    pairs = sums.select("*", of).groupBy("_k", "i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    own = x.groupBy("slab", "symbol").agg(F.count("*").alias("n"), F.sum("x").alias("s")).select("*", of).groupBy("_k", "symbol").agg((F.sum("s") / F.sum("n")).alias("m"))
+    whole = x.groupBy("slab").agg(F.countDistinct("t").alias("n")).select("*", of).groupBy("_k").agg(F.sum("n").alias("n")).filter(F.col("n") >= rows // 2)
+    m = pairs.join(whole.select("_k"), "_k", "left_semi")
+    for k in "ij":
+        m = m.join(own.select("_k", F.col("symbol").alias(k), F.col("m").alias(f"m{k}")), ["_k", k])
+
+    def about(a: int, b: int):
+        """Mean of (x - mi)^a (y - mj)^b from the sums of powers."""
+        terms = [math.comb(a, k) * math.comb(b, q) * F.pow(-F.col("mi"), F.lit(a - k)) * F.pow(-F.col("mj"), F.lit(b - q)) * F.col(f"p{k}{q}") for k in range(a + 1) for q in range(b + 1)]
+        return reduce(lambda u, v: u + v, terms) / F.col("p00")
+
+    half = m.filter("p00 > 0").select((F.col("_k") * every + rows).cast("long").alias("window_id"), "i", "j", F.col("p00").cast("long").alias("t"), about(1, 1).alias("s"), about(2, 2).alias("s22"), about(3, 1).alias("s31"), about(1, 3).alias("s13"))
+    return _both_orders(half)
+
+
+def rebalance_covariance(panel: DataFrame, rows: int = COVARIANCE_ROWS, every: int = REBALANCE_ROWS) -> DataFrame:
+    """shrunk_covariance() of the windows before every rebalance row."""
+    return _shrunk(settled(rebalance_moments(panel, rows, every), "moments"))
+
+
 def risk_parity_weights(panel: DataFrame, rows: int = COVARIANCE_ROWS, every: int = REBALANCE_ROWS) -> DataFrame:
     """The panel with `weight`: the last rebalance's equal-risk weight, known a row later."""
     panel = settled(panel, "panel")
-    weights = equal_risk(shrunk_covariance(rebalance_windows(panel, rows, every))).withColumnRenamed("window_id", "t")
+    weights = equal_risk(rebalance_covariance(panel, rows, every)).withColumnRenamed("window_id", "t")
     w = series("symbol")
     out = panel.withColumn("t", (F.row_number().over(w) - 1).cast("long")).join(weights, ["t", "symbol"], "left")
     return out.withColumn("weight", F.last("weight", ignorenulls=True).over(so_far(w))).withColumn("weight", F.lag("weight").over(w)).drop("t")

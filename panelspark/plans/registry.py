@@ -408,8 +408,7 @@ def trend_study_grid(spark, sf_dir):
 @query(f"WITH {PANEL}, {sql.shrunk_windows(portfolio.COVARIANCE_ROWS, portfolio.REBALANCE_ROWS)} SELECT CAST(window_id AS bigint) AS window_id, i, j, {r6('1e6 * cov', 'cov_e6')}, {r6('delta', 'delta')} FROM cov")
 def ledoit_wolf(spark, sf_dir):
     """The shrunk covariance of every rebalance window."""
-    rows = portfolio.rebalance_windows(settled(base(spark, sf_dir), "panel"))
-    return tidy(portfolio.shrunk_covariance(rows).select("window_id", "i", "j", (1e6 * F.col("cov")).alias("cov_e6"), "delta"))
+    return tidy(portfolio.rebalance_covariance(settled(base(spark, sf_dir), "panel")).select("window_id", "i", "j", (1e6 * F.col("cov")).alias("cov_e6"), "delta"))
 
 
 @query(f"WITH RECURSIVE {PANEL}, {WEIGHTS_SQL} SELECT symbol, CAST(date AS varchar) AS date, {r6('weight', 'weight')} FROM wt")

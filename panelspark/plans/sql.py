@@ -201,11 +201,11 @@ def study_verdict(grid_sql: str, trials: int = 20) -> str:
 
 
 def entry_thresholds(ratio_sql: str) -> str:
-    """The best entry on a grid of 400 points and then on 400 around it; erfi by trapezoids on 2,000 points."""
-    den = "4 / sqrt(pi()) * sum(CASE WHEN q IN (0, 1999) THEN 5e-1 ELSE 1e0 END * exp(pow(-a / sqrt(2e0) * (q / 1999e0), 2)) * (-a / sqrt(2e0) / 1999))"
+    """The best entry on a grid of 400 points and then on 400 around it; erfi by 120 terms of its series."""
+    den = "4 / sqrt(pi()) * sum(exp((2 * q + 1) * ln(-a / sqrt(2e0)) - lgamma(q + 1e0)) / (2 * q + 1))"
     best = "arg_min(a, {{'v': CASE WHEN den > 0 THEN -(-2 * a - cost) / den ELSE 1e9 END, 'k': k}}) AS a, min(CASE WHEN den > 0 THEN -(-2 * a - cost) / den ELSE 1e9 END) AS v"
     best = best.replace("{{", "{").replace("}}", "}")
-    return f"""WITH {ratio_sql}, fc AS (SELECT pair, median(sd) AS sigma FROM ss GROUP BY 1), cs AS MATERIALIZED (SELECT pair, m AS multiple, 5e-2 / sigma * m AS cost FROM fc, (VALUES (0e0), (1e0), (2e0), (5e0)) t(m)), qs AS (SELECT unnest(range(2000)) AS q),
+    return f"""WITH {ratio_sql}, fc AS (SELECT pair, median(sd) AS sigma FROM ss GROUP BY 1), cs AS MATERIALIZED (SELECT pair, m AS multiple, 5e-2 / sigma * m AS cost FROM fc, (VALUES (0e0), (1e0), (2e0), (5e0)) t(m)), qs AS (SELECT unnest(range(120)) AS q),
     g0 AS (SELECT k, -4e0 + (-5e-2 - -4e0) * k / 399 AS a FROM (SELECT unnest(range(400)) AS k)), d0 AS MATERIALIZED (SELECT k, a, {den} AS den FROM g0, qs GROUP BY 1, 2), b0 AS MATERIALIZED (SELECT pair, multiple, cost, {best} FROM cs, d0 GROUP BY 1, 2, 3),
     g1 AS (SELECT DISTINCT a AS a0, k, a - 3.95e0 / 400 + (a + 3.95e0 / 400 - (a - 3.95e0 / 400)) * k / 399 AS a FROM b0, (SELECT unnest(range(400)) AS k)), d1 AS MATERIALIZED (SELECT a0, k, a, {den} AS den FROM g1, qs GROUP BY 1, 2, 3),
     b1 AS (SELECT pair, multiple, cost, a0, v0, {best} FROM (SELECT pair, multiple, cost, b0.a AS a0, b0.v AS v0, d1.k, d1.a, d1.den FROM b0 JOIN d1 ON d1.a0 = b0.a) GROUP BY 1, 2, 3, 4, 5)

@@ -85,3 +85,43 @@ def test_selections_under_any_embargo(spark, embargo):
             want[s] = (best, score[best])
     assert {s: c for s, (c, _) in got.items()} == {s: c for s, (c, _) in want.items()}
     assert all(got[s][1] == pytest.approx(want[s][1]) for s in want)
+
+
+def test_normal_and_erfi_columns(spark):
+    """Without a Python worker, against the standard library and a fine Simpson rule."""
+    import math
+    from statistics import NormalDist
+
+    from panelspark.functions.normal import erfi, normal_cdf
+
+    xs = [-40.0, -9.5, -6.0, -5.999, -3.3, -1e-9, 0.0, 0.5, 2.0, 4.7, 5.9999, 6.1, 12.0]
+    df = spark.createDataFrame([(x,) for x in [*xs, None, float("nan")]], "x double").select("x", normal_cdf(F.col("x")).alias("p"), erfi(F.col("x") / 5).alias("e"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = df.collect()
+    assert [r["p"] for r in rows[-2:]] == [None, None] and [r["e"] for r in rows[-2:]] == [None, None]
+    for r in rows[:-2]:
+        x = r["x"]
+        want = 0.5 * math.erfc(-x / math.sqrt(2))
+        assert r["p"] == pytest.approx(want, rel=1e-9, abs=1e-300) and abs(r["p"] - NormalDist().cdf(x)) < 1e-9
+        v, n = x / 5, 20_000
+        t = np.linspace(0, v, n + 1)
+        w = np.where(np.arange(n + 1) % 2, 4.0, 2.0)
+        w[[0, -1]] = 1
+        assert r["e"] == pytest.approx(2 / math.sqrt(math.pi) * v / n / 3 * float((w * np.exp(t * t)).sum()), rel=1e-9, abs=1e-15)
+
+
+def test_moments_from_slabs_and_symbol_blocks(spark, monkeypatch):
+    """More symbols than a block, returns missing here and there, rows in any order: as from whole windows."""
+    from panelspark.operators import portfolio
+
+    monkeypatch.setattr(portfolio, "BLOCK_SYMBOLS", 3)
+    rng = np.random.default_rng(7)
+    rows = [(f"s{k}", i, None if i == 0 or rng.random() < 0.05 else float(rng.standard_normal() * 0.01 + 0.5 * k)) for k in range(8) for i in range(130)]
+    panel = spark.createDataFrame(rows, "symbol string, date long, ret double").repartition(5)
+    keys = ["window_id", "i", "j"]
+    got = portfolio.rebalance_moments(panel, 60, 20).toPandas().sort_values(keys).reset_index(drop=True)
+    want = portfolio.moments(portfolio.rebalance_windows(panel, 60, 20)).toPandas().sort_values(keys).reset_index(drop=True)
+    assert got[[*keys, "t"]].equals(want[[*keys, "t"]]) and set(got.window_id) == {60, 80, 100, 120}
+    for c in ("s", "s22", "s31", "s13"):
+        np.testing.assert_allclose(got[c], want[c], rtol=1e-8, atol=1e-16)
+    assert portfolio.rebalance_moments(panel.limit(0), 60, 20).count() == 0
