@@ -40,6 +40,9 @@ REWEIGHT, CUTOFF = 0.975, 1 - 1e-8
 MOST_STEPS = 30
 #: Buckets of distance: so many to a unit of ln(1 + squared distance).
 BUCKETS = 64
+#: A table of so many groups at most (some megabytes) is sent to all tasks, so that a hot group's rows stay where they are;
+#: beyond it Spark joins as it sees fit, and splits the rows of a hot group.
+SENT_GROUPS = 10_000
 POOLED = "*"
 D = len(FLOORS)
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
@@ -142,6 +145,11 @@ def _distance(p: str = "") -> Column:
     return reduce(lambda a, b: a + b, [y * y for y in parts])
 
 
+def _small(groups: DataFrame) -> DataFrame:
+    """A written table of groups, marked for broadcast if it is counted to have SENT_GROUPS rows at most."""
+    return F.broadcast(groups) if groups.count() <= SENT_GROUPS else groups
+
+
 def _starts(counted: DataFrame) -> DataFrame:
     """grp, start and a first estimate, three of each group."""
     w = Window.partitionBy("grp", "dim").orderBy("value")
@@ -159,7 +167,7 @@ def _starts(counted: DataFrame) -> DataFrame:
     plain = middle.select("grp", F.lit("quartiles").alias("start"), n, *means, *[(F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
     from_middle = [(F.col(f"v{i}") - F.col(f"m{i}")) / F.col(f"d{i}") for i in range(D)]
     away = F.sqrt(reduce(lambda a, b: a + b, [z * z for z in from_middle]))
-    signs = counted.join(middle, "grp").select("grp", "cnt", *[F.round(UNIT * F.coalesce(F.try_divide(z, away), F.lit(0.0))).cast("long").alias(f"u{i}") for i, z in enumerate(from_middle)]).groupBy("grp").agg(*_moments(F.col("cnt"), "u"))
+    signs = counted.join(_small(middle), "grp").select("grp", "cnt", *[F.round(UNIT * F.coalesce(F.try_divide(z, away), F.lit(0.0))).cast("long").alias(f"u{i}") for i, z in enumerate(from_middle)]).groupBy("grp").agg(*_moments(F.col("cnt"), "u"))
     unit = lambda i, j: F.col(f"d{i}") * F.col(f"d{j}") * (D * F.col(f"q{i}{j}") / F.col("n") / UNIT**2 + (F.lit(0.01) if i == j else F.lit(0.0)))
     signs = signs.join(middle, "grp").select("grp", F.lit("signs").alias("start"), n, *means, *[unit(i, j).alias(f"c{i}{j}") for i, j in PAIRS])
     moments = _estimate(counted.groupBy("grp").agg(*_moments(F.col("cnt"))), 1.0, "grp").withColumn("start", F.lit("moments"))
@@ -169,7 +177,7 @@ def _starts(counted: DataFrame) -> DataFrame:
 def _step(counted: DataFrame, now: DataFrame) -> DataFrame:
     """The estimate, of each group and start, from the nearest SHARE of the vectors (whole buckets of distance)."""
     bucket = F.floor(BUCKETS * F.ln(1 + _distance())).alias("bucket")
-    sums = counted.join(now.drop("n"), "grp").groupBy("grp", "start", bucket).agg(*_moments(F.col("cnt")))
+    sums = counted.join(_small(now.drop("n")), "grp").groupBy("grp", "start", bucket).agg(*_moments(F.col("cnt")))
     w = Window.partitionBy("grp", "start")
     before = F.coalesce(F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     near = sums.withColumn("_before", before).withColumn("_all", F.sum("n").over(w)).filter(F.col("_before") < SHARE * F.col("_all"))
@@ -185,9 +193,10 @@ def estimates(stats: DataFrame) -> DataFrame:
     each = written(fit.groupBy("grp", *names).agg(F.count("*").alias("cnt")), "vectors")
     enough = each.groupBy("grp").agg(F.sum("cnt").alias("n")).filter(F.col("n") >= LEAST_ROWS).select("grp")
     pooled = each.groupBy(*names).agg(F.sum("cnt").alias("cnt")).withColumn("grp", F.lit(POOLED))
-    counted = written(each.join(enough, "grp", "left_semi").unionByName(pooled), "counted")
+    counted = written(each.join(_small(written(enough, "enough")), "grp", "left_semi").unionByName(pooled), "counted")
     # a first step makes the three starts comparable: each then is the estimate of a share of the vectors
-    now = written(_step(counted, _factored(_starts(counted), "grp", "start")), "estimate")
+    starts = written(_factored(_starts(counted), "grp", "start"), "starts")
+    now = written(_step(counted, starts), "estimate")
     for _ in range(MOST_STEPS):
         new = _step(counted, now)
         old = now.select("grp", "start", *[F.col(c).alias(f"_{c}") for c in now.columns if c not in ("grp", "start")])
@@ -198,8 +207,8 @@ def estimates(stats: DataFrame) -> DataFrame:
         if joined.filter("better").isEmpty():
             break
     first = F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))
-    best = now.withColumn("_rn", first).filter("_rn = 1").drop("_rn", "n")
-    inside = counted.join(best, "grp").filter(_distance() <= chi2_quantile(REWEIGHT, D)).groupBy("grp").agg(*_moments(F.col("cnt")))
+    best = written(now.withColumn("_rn", first).filter("_rn = 1").drop("_rn", "n"), "best")
+    inside = counted.join(_small(best), "grp").filter(_distance() <= chi2_quantile(REWEIGHT, D)).groupBy("grp").agg(*_moments(F.col("cnt")))
     return written(_factored(_estimate(inside, consistency(REWEIGHT), "grp"), "grp"), "mcd")
 
 
@@ -214,9 +223,9 @@ def assess(docs: DataFrame) -> DataFrame:
     """
     stats = written(vectors_of(statistics(docs)), "statistics")
     found = estimates(stats)
-    own = stats.join(found.select(F.col("grp").alias("_own"), F.lit(True).alias("has")).filter(F.col("_own") != POOLED), F.col("grp") == F.col("_own"), "left")
-    own = own.withColumn("_fit", F.coalesce(F.when(F.col("has"), F.col("grp")), F.lit(POOLED))).drop("_own", "has")
-    out = own.join(found.drop("n", "logdet").withColumnRenamed("grp", "_of"), F.col("_fit") == F.col("_of"), "left")
+    own = _small(found.filter(F.col("grp") != POOLED).select(F.col("grp").alias("_own")))
+    judged = stats.join(own, F.col("grp") == F.col("_own"), "left").withColumn("_fit", F.coalesce("_own", F.lit(POOLED))).drop("_own")
+    out = judged.join(_small(found.drop("n", "logdet").withColumnRenamed("grp", "_of")), F.col("_fit") == F.col("_of"), "left")
     distance = F.when(~F.col("base_failed"), _distance())
     kept = ~F.col("base_failed") & F.coalesce(distance <= chi2_quantile(CUTOFF, D), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), distance.alias("distance"))
