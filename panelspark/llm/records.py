@@ -105,9 +105,9 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer_path: str | None
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{name}.records"], "index_path": [f"{name}.index"], "n_docs": [len(index)], "n_ids": [n_ids]})
 
     bounded_batches(docs.sparkSession)
-    # rows of one doc_id, or of none, are ranged by a hash of their text as well, so that they may fill several parts
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").drop("_h")
+    # rows of one doc_id, or of none, are ranged by how their text begins as well, so that they may fill several parts
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_begins", F.substring("text", 1, 16))
+    ordered = rows.repartitionByRange("doc_id", "_begins").sortWithinPartitions("doc_id", "text").drop("_begins")
     manifest = ordered.mapInArrow(save, "part long, path string, index_path string, n_docs long, n_ids long")
     return written(manifest.withColumn("folder", F.lit(folder)), "manifest")
 
