@@ -855,7 +855,7 @@ def last_bar_per_date(spark, sf_dir):
 
 @query()
 def dataset_manifest(spark, sf_dir):
-    """The bars' manifest with the digests of the raw files that they come from (2 GB each at most)."""
+    """The bars' manifest with the digests of the raw files that they come from, of any size."""
     rows = settled(daily_bars(spark, sf_dir), "bars")
     digests = bars.file_digests(spark, f"{sf_dir}/lineitem.parquet").withColumn("path", F.element_at(F.split("path", "/"), -1))
     counts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("_metadata.file_name").alias("path")).agg(F.count("*").alias("n_rows"))

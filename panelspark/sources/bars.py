@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.sources import digests
+
 BAR_FILE = "`<DATE>` string, `<TIME>` string, `<OPEN>` double, `<HIGH>` double, `<LOW>` double, `<CLOSE>` double, `<TICKVOL>` long, `<VOL>` long, `<SPREAD>` int"
 
 #: Header dialects of an exchange's daily file: our name -> theirs (fixed values).
@@ -77,15 +79,15 @@ def read_vendor_files(spark: SparkSession, path: str, symbol: Column | None = No
 
 
 def _without_rows(spark: SparkSession, files: DataFrame, found: DataFrame) -> DataFrame:
-    """path of the files that a reader lists but gives no row of: the empty ones."""
+    """path of the files that a reader lists but gives no row of (found: path, not escaped): the empty ones."""
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  local paths are written in two ways
-    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(plain("path").alias("path"))
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(plain(digests.decoded(F.col("path"))).alias("path"))
     return listed.join(found.select(plain("path").alias("path")), "path", "left_anti")
 
 
 def load_errors(spark: SparkSession, path: str, symbol: Column | None = None) -> DataFrame:
     """path, symbol and issue of the vendor files that give no bars: those without a column they need, and empty ones."""
-    _, heads = _vendor_lines(spark, path, symbol)
+    heads = _vendor_lines(spark, path, symbol)[1].withColumn("path", digests.decoded(F.col("path")))
     name = symbol_of_file(F.element_at(F.split("path", "/"), -1)) if symbol is None else F.lit(None).cast("string")
     empty = _without_rows(spark, spark.read.text(path), heads).select("path", name.alias("symbol"), F.lit("empty file").alias("issue"))
     return heads.filter("issue is not null").select("path", "symbol", "issue").unionByName(empty)
@@ -185,9 +187,10 @@ def read_wide(spark: SparkSession, path: str, column: str = "close") -> DataFram
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path and SHA-256 of each raw file, empty ones included."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
-    empty = _without_rows(spark, files, spark.read.format("binaryFile").load(path).select("path"))
+    """path and SHA-256 of each raw file of any size, empty ones included."""
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    files = digests.file_digests(spark, path)
+    empty = _without_rows(spark, listed, files)
     return files.unionByName(empty.select("path", F.sha2(F.lit("").cast("binary"), 256).alias("sha256")))
 
 
