@@ -6,6 +6,7 @@ know of those before it is a number or a few sums a range.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +52,31 @@ def numbered(df: DataFrame, order: str, name: str = "row", keys: tuple[str, ...]
     return out.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).select(*df.columns, name)
 
 
+#: Rows of a key that one task sees at most, in chunked() and what builds on it.
+CHUNK = 1 << 20
+
+
+def chunked(df: DataFrame, keys: tuple[str, ...], order: str, halo: int, build: Callable[[DataFrame, tuple[str, ...]], DataFrame], rows: int | None = None) -> DataFrame:
+    """build(df, keys), for a build whose rows depend on at most `halo` rows before them in their keys' order, with no
+    more than `rows` and a halo of a key in one task.
+
+    Where no key has more rows, windows over whole keys do. Else rows are numbered, each goes to the chunk of its number
+    and, as halo, to the chunks that look back to it; build works by (keys, chunk), and what it gives for a halo is dropped.
+    build keeps the columns that it is given. Missing keys and values are handled as build handles them; rows that tie in
+    the order are numbered in some order, as in a window.
+    """
+    rows = rows or CHUNK
+    df = settled(df, "chunked")
+    longest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= rows:
+        return build(df, keys)
+    named = [f"_k{i}" for i in range(len(keys))]  # as structs, so that a missing key is a key like others
+    at = numbered(df.select("*", *[F.struct(k).alias(n) for k, n in zip(keys, named, strict=True)]), order, "_row", tuple(named)).drop(*named)
+    own = F.floor(F.col("_row") / rows)
+    spread = at.withColumn("_chunk", F.explode(F.sequence(own, F.floor((F.col("_row") + halo) / rows))))
+    return build(spread, (*keys, "_chunk")).filter(own == F.col("_chunk")).drop("_row", "_chunk")
+
+
 def as_of(points: DataFrame, order: str, value: str, bounds: DataFrame, at: str, name: str) -> DataFrame:
     """bounds with the value of the last point at or before `at`, NULL where there is none. Values rise with the order (row
     numbers, say). Points and bounds are merged in one order: a running maximum within a range, carried in by the range's number."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from panelspark.functions.positions import decayed_sums, parted
+from panelspark.functions.positions import chunked, decayed_sums, parted
 from panelspark.functions.windows import rolling, series, so_far, trailing
 
 #: Rows of a block of the exponentially weighted sums; within one, weights stay within a double's range for spans >= 2.
@@ -24,20 +24,29 @@ def zscore(x: str, w: WindowSpec, rows: int) -> Column:
 
 
 def spread_zscore(pairs: DataFrame, rows: int = 60, keys: tuple[str, ...] = ("pair",), order: str = "ts") -> DataFrame:
-    """beta, resid and z of log price a on log price b: chained windows over one partitioning, so one shuffle."""
-    w = series(*keys, order=order)
-    out = pairs.withColumn("_la", F.ln("a")).withColumn("_lb", F.ln("b")).withColumn("beta", regression_slope("_la", "_lb", w, rows))
-    out = out.withColumn("resid", F.col("_la") - F.col("beta") * F.col("_lb"))
-    return out.withColumn("z", zscore("resid", w, rows)).drop("_la", "_lb")
+    """beta, resid and z of log price a on log price b: chained windows over one partitioning, in chunks of long keys."""
 
+    def build(part: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        w = series(*by, order=order)
+        out = part.withColumn("_la", F.ln("a")).withColumn("_lb", F.ln("b")).withColumn("beta", regression_slope("_la", "_lb", w, rows))
+        out = out.withColumn("resid", F.col("_la") - F.col("beta") * F.col("_lb"))
+        return out.withColumn("z", zscore("resid", w, rows)).drop("_la", "_lb")
 
-def ratio_zscore(pairs: DataFrame, rows: int = 60, keys: tuple[str, ...] = ("pair",), order: str = "ts") -> DataFrame:
-    """spread and z of a less the rolling mean of a/b times b."""
-    w = series(*keys, order=order)
+    return chunked(pairs, keys, order, 2 * (rows - 1), build)
+
+
+def ratio_windows(pairs: DataFrame, rows: int, by: tuple[str, ...], order: str) -> DataFrame:
+    """spread, z and spread_sd of a less the rolling mean of a/b times b, as windows of whole keys."""
+    w = series(*by, order=order)
     out = pairs.withColumn("_q", F.try_divide("a", "b")).withColumn("spread", F.col("a") - rolling(F.avg, "_q", w, rows) * F.col("b"))
     return out.withColumn("z", zscore("spread", w, rows)).withColumn("spread_sd", rolling(F.stddev_samp, "spread", w, rows)).drop("_q")
 
 
+def ratio_zscore(pairs: DataFrame, rows: int = 60, keys: tuple[str, ...] = ("pair",), order: str = "ts") -> DataFrame:
+    """ratio_windows in chunks of long keys."""
+    return chunked(pairs, keys, order, 2 * (rows - 1), lambda part, by: ratio_windows(part, rows, by, order))
+
+
 def average_range(w: WindowSpec, rows: int = 14) -> Column:
     return rolling(F.avg, F.col("high") - F.col("low"), w, rows)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.normal import erfi, expected_max_sharpe, normal_cdf
 from panelspark.functions.windows import series
 from panelspark.operators.metrics import excess_kurtosis, skew
-from panelspark.operators.rolling import additive_drawdowns, average_range, ewm, ratio_zscore, spread_zscore
+from panelspark.operators.rolling import additive_drawdowns, average_range, ewm, ratio_windows, ratio_zscore, spread_zscore
 from panelspark.operators.sequential import scan
 
 PAIR_TRADE = "trade_no long, bars long, entry_z double, exit_z double, gross double, fric double, net double, stopped int"
@@ -95,7 +95,7 @@ def leg_features(bars: DataFrame, p: SingleLeg = SingleLeg(), keys: tuple[str, .
     names = [*out.columns]
     for k in windows or (p.rows,):
         name = f"z{k}" if windows else "z"
-        out = ratio_zscore(out, k, keys, "ts").select(*names, F.col("z").alias(name))
+        out = ratio_windows(out, k, keys, "ts").select(*names, F.col("z").alias(name))
         names.append(name)
     return out
 

@@ -188,10 +188,9 @@ def read_wide(spark: SparkSession, path: str, column: str = "close") -> DataFram
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path and SHA-256 of each raw file of any size, empty ones included."""
-    listed = spark.read.format("binaryFile").load(path).select("path")
-    files = digests.file_digests(spark, path)
-    empty = _without_rows(spark, listed, files)
-    return files.unionByName(empty.select("path", F.sha2(F.lit("").cast("binary"), 256).alias("sha256")))
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    empty = _without_rows(spark, listed, listed.filter("length > 0"))
+    return digests.file_digests(spark, path).unionByName(empty.select("path", F.sha2(F.lit("").cast("binary"), 256).alias("sha256")))
 
 
 def write_ranked(result: DataFrame, path: str) -> None:

@@ -15,7 +15,7 @@ WHOLE = 64 << 20
 #: Bytes of a block that travels to the task which hashes its file.
 BLOCK = 1 << 16
 #: Spark unpacks text files with these endings, so their raw bytes come from binaryFile at any size (2 GB at most).
-PACKED = r"\.(gz|bz2|deflate|snappy|lz4|zst|zstd)$"
+PACKED = ("gz", "bz2", "deflate", "snappy", "lz4", "zst", "zstd")
 
 _MARK = b"\xef\xbb\xbf"
 _BLOCKS = "path string, size long, start long, seq long, bytes binary"
@@ -94,12 +94,12 @@ def _hashed(batches):
 
 
 def streamed_digests(spark: SparkSession, path: str, over: int = -1) -> DataFrame:
-    """path and SHA-256 of the files with more than `over` bytes; those without a line (empty, or a byte order mark alone) and packed
-    ones are left out. Tasks read the splits of a file side by side as lines, whatever its bytes mean; blocks of them
+    """path and SHA-256 of the files with more than `over` bytes; those without a line (empty, or a byte order mark alone) and
+    packed ones are left out. Tasks read the splits of a file side by side as lines, whatever its bytes mean; blocks of them
     are sorted, spilling to disk, and pass through the hash in order, so that no task holds a file. What must fit is a
     stretch without a line feed."""
     meta = decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start")
-    large = (F.col("_metadata.file_size") > over) & ~F.lower("_metadata.file_name").rlike(PACKED)
+    large = (F.col("_metadata.file_size") > over) & ~F.lower("_metadata.file_name").rlike(rf"\.({'|'.join(PACKED)})$")
     lines = spark.read.option("lineSep", "\n").text(path).filter(large).select(*meta, F.col("value").cast("binary").alias("value"))
     blocks = lines.mapInArrow(_blocks, _BLOCKS)
     return blocks.repartition("path").sortWithinPartitions("path", "start", "seq").mapInArrow(_hashed, "path string, sha256 string")
@@ -108,6 +108,9 @@ def streamed_digests(spark: SparkSession, path: str, over: int = -1) -> DataFram
 def file_digests(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
     """path and SHA-256 of each file with any byte: small and packed ones read whole, the others streamed."""
     whole = max(whole, len(_MARK))
-    small = (F.col("length") <= whole) | F.lower("path").rlike(PACKED)
-    files = spark.read.format("binaryFile").load(path).filter((F.col("length") > 0) & small)
+    names = ",".join("".join(f"[{c}{c.upper()}]" for c in ending) for ending in PACKED)
+    # filters on length alone reach the reader, which refuses a file of over 2 GB before any other filter sees it
+    small = spark.read.format("binaryFile").load(path).filter((F.col("length") > 0) & (F.col("length") <= whole))
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{names}}}").load(path).filter(F.col("length") > whole)
+    files = small.select("path", "content").unionByName(packed.select("path", "content"))
     return files.select("path", F.sha2("content", 256).alias("sha256")).unionByName(streamed_digests(spark, path, whole))

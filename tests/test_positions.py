@@ -125,3 +125,38 @@ def test_moments_from_slabs_and_symbol_blocks(spark, monkeypatch):
     for c in ("s", "s22", "s31", "s13"):
         np.testing.assert_allclose(got[c], want[c], rtol=1e-8, atol=1e-16)
     assert portfolio.rebalance_moments(panel.limit(0), 60, 20).count() == 0
+
+
+@pytest.mark.parametrize("rows,chunk", [(20, 1000), (20, 64), (20, 7), (5, 1), (1, 3)])
+def test_rolling_windows_in_chunks(spark, monkeypatch, rows, chunk):
+    """Chunks longer and shorter than what windows look back to, missing values, a missing key, keys of one row: as whole keys give it."""
+    from panelspark.operators import rolling
+
+    rng = np.random.default_rng(5)
+    data = [(k, i * 2, None if rng.random() < 0.01 else float(rng.uniform(1, 2)), float(rng.uniform(1, 2)), i) for k, n in (("x", 700), ("y", 90), ("z", 1), (None, 150)) for i in range(n)]
+    df = spark.createDataFrame(data, "pair string, ts long, a double, b double, extra long").repartition(5)
+    seen = []
+    plain = positions.chunked
+    for f in (rolling.spread_zscore, rolling.ratio_zscore):
+        monkeypatch.setattr(positions, "CHUNK", 1 << 20)
+        want = f(df, rows).toPandas()
+        monkeypatch.setattr(positions, "CHUNK", chunk)
+
+        def watched(d, keys, order, halo, build, rows=None):
+            def counted(part, by):
+                seen.append((part.groupBy(*by).count().agg(F.max("count")).first()[0], halo))
+                return build(part, by)
+
+            return plain(d, keys, order, halo, counted, rows)
+
+        monkeypatch.setattr(rolling, "chunked", watched)
+        got = f(df, rows).toPandas()
+        monkeypatch.setattr(rolling, "chunked", plain)
+        assert list(got.columns) == list(want.columns)
+        a, b = (x.fillna({"pair": ""}).sort_values(["pair", "ts"]).reset_index(drop=True) for x in (got, want))
+        assert len(a) == len(data) and a.pair.equals(b.pair) and a.extra.equals(b.extra)
+        for c in ("z", "beta" if "beta" in a else "spread"):
+            assert np.allclose(a[c].astype(float), b[c].astype(float), atol=1e-9, equal_nan=True) and (rows == 1 or a[c].notna().sum() > 100)
+    assert all(n <= (chunk + halo if chunk < 700 else 700) for n, halo in seen)
+    monkeypatch.setattr(positions, "CHUNK", chunk)
+    assert rolling.spread_zscore(df.limit(0), rows).count() == 0
