@@ -11,7 +11,8 @@ Centres are as many as nodes ask for, so shards keep their size as a table grows
 dealt to cells, and each cell has centres of its own. A shard that is still too large for a task (many vectors that no
 centre tells apart) is compared exactly, in pairs of blocks. Recall is audited by brute force: every vector whose id is
 divisible by 50 against all rows, in blocks. Below the target the shards overlap more and the work is done again; if it
-is still below the least recall then, all pairs of blocks are compared exactly. The recall is part of the result.
+is still below the least recall then, or if no audited vector has a link, so that nothing was measured, all pairs of
+blocks are compared exactly, whatever the size of the table. The recall is part of the result.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ CANDIDATES, FAR_CANDIDATES, DEGREE, SLACK, BEAM, LIST = 56, 16, 24, 1.2, 24, 40
 #: and the recall below which everything is compared. Queries and nodes of a block of the audit.
 AUDITED, TARGET, ATTEMPTS, LEAST_RECALL = 50, 0.98, 2, 0.95
 AUDIT_BLOCK = 4096
-#: Different vectors that are compared exactly where the audit has nothing to measure by.
-EXACT_BELOW = 20_000
+#: Entries and most nodes of a block of the exact comparison, and rows of it that are compared at once.
+EXACT_ENTRIES, EXACT_BLOCK, EXACT_ROWS = 1 << 20, 16_384, 256
 
 log = logging.getLogger(__name__)
 
@@ -173,11 +174,16 @@ def _result(rep, m, a, b, counted) -> pa.Table:
     """Rows (rep, links) of the counted pairs, weighted by the vectors of a node, and rows (a, b) of connecting links."""
     n = len(rep)
     links = np.bincount(a[counted], m[b[counted]], n) + np.bincount(b[counted], m[a[counted]], n)
-    some, tree = np.flatnonzero(links), _forest(n, a, b)
+    tree = _forest(n, a, b)
+    return _rows(rep, links, a[tree], b[tree])
+
+
+def _rows(rep, links, a, b) -> pa.Table:
+    some = np.flatnonzero(links)
     none = lambda k: pa.nulls(k, pa.int64())
     return pa.table({
-        "rep": pa.chunked_array([pa.array(rep[some], pa.int64()), none(len(tree))]), "links": pa.chunked_array([pa.array(links[some].astype(np.int64)), none(len(tree))]),
-        "a": pa.chunked_array([none(len(some)), pa.array(rep[a[tree]], pa.int64())]), "b": pa.chunked_array([none(len(some)), pa.array(rep[b[tree]], pa.int64())]),
+        "rep": pa.chunked_array([pa.array(rep[some], pa.int64()), none(len(a))]), "links": pa.chunked_array([pa.array(links[some].astype(np.int64)), none(len(a))]),
+        "a": pa.chunked_array([none(len(some)), pa.array(rep[a], pa.int64())]), "b": pa.chunked_array([none(len(some)), pa.array(rep[b], pa.int64())]),
     })
 
 
@@ -370,6 +376,46 @@ def _found(members: DataFrame, similar: float) -> DataFrame:
     return out
 
 
+def _compare_all(similar: float):
+    """All pairs between the two blocks of a pair (or within its one block), some rows at a time: links are added up, and
+    of the pairs only those are kept that connect what the ones before do not."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, m, part = (table.column(k).to_numpy() for k in ("rep", "m", "part"))
+        v, low, same = unit(_matrix(table.column("embedding"))), table.column("low")[0].as_py(), table.column("low")[0] == table.column("high")[0]
+        left, right = np.flatnonzero(part == low), np.flatnonzero(same | (part != low))
+        n = len(rep)
+        links, group, a, b = np.zeros(n), np.arange(n), [], []
+        for i in range(0, len(left), EXACT_ROWS):
+            rows = left[i : i + EXACT_ROWS]
+            near = v[rows] @ v[right].T >= similar
+            if same:
+                near[np.arange(len(rows)), i + np.arange(len(rows))] = False
+            q, node = np.nonzero(near)
+            node = right[node]
+            links += np.bincount(rows[q], m[node], n)
+            if not same:
+                links += np.bincount(node, m[rows[q]], n)
+            for row, met in zip(rows, np.split(node, np.searchsorted(q, np.arange(1, len(rows)))), strict=True):
+                while len(met := met[group[met] != group[row]]):
+                    a.append(row)
+                    b.append(met[0])
+                    group[group == group[met[0]]] = group[row]
+        return _rows(rep, links, np.array(a, np.int64), np.array(b, np.int64))
+
+    return run
+
+
+def compared(nodes: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The links of all nodes, every pair of a label's nodes compared: the work grows with the square of the nodes, a task
+    holds two blocks of them and the pairs of some rows."""
+    block = F.greatest(F.lit(1), F.least(F.lit(EXACT_BLOCK), F.floor(F.lit(EXACT_ENTRIES) / F.col("dim"))))
+    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / block).cast("long").alias("parts"))
+    dealt = nodes.join(sizes, ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("rep", "m", "embedding", "label", "dim", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    return written(dealt.groupBy("label", "dim", "low", "high").applyInArrow(_compare_all(similar), FOUND), "compared-links")
+
+
 def audit(nodes: DataFrame, found: DataFrame, similar: float = SIMILAR) -> float | None:
     """Share of the true links of an audited node, by brute force over all rows, that were found: the mean over the nodes
     that have links, None where none has: nothing was measured then. Blocks of audited nodes meet blocks of all nodes of their label."""
@@ -395,8 +441,8 @@ def audit(nodes: DataFrame, found: DataFrame, similar: float = SIMILAR) -> float
 
 def near_groups(vectors: DataFrame, similar: float = SIMILAR, margin: float = MARGIN) -> DataFrame:
     """One row per row of vectors: vec_id, n_links (other vectors of its label with cosine >= similar), component_id
-    (smallest vec_id that links lead to), kept (vec_id = component_id), and the audited recall of the whole result, null where no audited vector has a link. With
-    EXACT_BELOW different vectors or fewer, an unmeasured result is made exactly.
+    (smallest vec_id that links lead to), kept (vec_id = component_id), and the audited recall of the whole result, null where no audited vector has a link: the
+    result is then made exactly, as it is where the recall is too low.
 
     Vectors that are null, empty, all zero or hold null or non-finite entries, or whose label or vec_id is null, have no
     links. Vectors of different lengths are not compared. Equal vectors of a label are linked. Rows that repeat a vec_id
@@ -414,10 +460,9 @@ def near_groups(vectors: DataFrame, similar: float = SIMILAR, margin: float = MA
         if recall is None or recall >= TARGET:
             break
         margin, most = margin * 1.6, most + 2
-    if (nodes.count() <= EXACT_BELOW) if recall is None else (recall < LEAST_RECALL):
-        one = nodes.withColumn("shard", F.lit(0).cast("long")).withColumn("shards", F.array("shard"))
-        found = _found(one.select("rep", "m", "embedding", *KEY, "shards"), similar)
-        recall = audit(nodes, found, similar)
+    if recall is None or recall < LEAST_RECALL:
+        found = compared(nodes, similar)
+        recall = None if recall is None else audit(nodes, found, similar)
     links = found.filter("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.filter("a is not null"), "a", "b").withColumnRenamed("node", "rep")
     of = nodes.join(links, "rep", "left").join(joined, "rep", "left").select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

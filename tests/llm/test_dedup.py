@@ -157,6 +157,44 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.near_groups(df.limit(0)).count() == 0
 
 
+def test_unmeasured_results_are_exact_at_any_size(spark, monkeypatch):
+    """No id is divisible by 50, so nothing is audited, and shards that do not overlap lose links: all are found all the same."""
+    monkeypatch.setattr(embedding_dedup, "MOST_SHARDS", 1)
+    n = 20_100
+    x = np.random.default_rng(5).standard_normal((n, 6)).astype(np.float32)
+    df = spark.createDataFrame([(50 * i + 1, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["recall"]) for r in embedding_dedup.near_groups(df).collect()}
+    u = embedding_dedup.unit(x.astype(np.float64))
+    want = [k for i in range(0, n, 1000) for k in ((u[i : i + 1000] @ u.T >= 0.98).sum(1) - 1).tolist()]
+    assert sum(want) > n and got == {50 * i + 1: (k, None) for i, k in enumerate(want)}
+
+
+@pytest.mark.parametrize("block", [16_384, 37])
+def test_all_pairs_compared_in_blocks(spark, monkeypatch, block):
+    """A dense group, chains, lone vectors, two labels and two lengths: links and what they connect, as by brute force."""
+    monkeypatch.setattr(embedding_dedup, "EXACT_BLOCK", block)
+    rng = np.random.default_rng(6)
+    turn = np.arange(60) * 0.07
+    dense = rng.standard_normal(4) + rng.standard_normal((300, 4)) * 0.02
+    v = [*dense, *np.stack([np.cos(turn), np.sin(turn), 0 * turn, 0 * turn], 1), *rng.standard_normal((40, 4))]
+    rows = [(i, x.tolist(), i % 2) for i, x in enumerate(v)] + [(1000 + i, x.tolist(), 1) for i, x in enumerate(rng.standard_normal((50, 3)))] + [(2000, v[0].tolist(), 0)]
+    nodes = embedding_dedup.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    found = embedding_dedup.compared(nodes)
+    links = {r[0]: r[1] for r in found.filter("rep is not null").groupBy("rep").sum("links").collect()}
+    near = {}
+    for kind in {(len(r[1]), r[2]) for r in rows}:
+        some = [r for r in rows if (len(r[1]), r[2]) == kind]
+        u = embedding_dedup.unit(np.array([r[1] for r in some]))
+        near |= {r[0]: {some[j][0] for j in np.flatnonzero(row)} for r, row in zip(some, u @ u.T >= 0.98, strict=True)}
+    copies = {0, 2000}
+    want = {i: len(s - (copies if i in copies else {i})) for i, s in near.items() if i != 2000}
+    assert links == {i: k for i, k in want.items() if k}
+    ids = sorted(near)
+    comp = dict(zip(ids, brute_components(ids, np.array([[j in near[i] for j in ids] for i in ids])), strict=True))
+    got = {r["node"]: r["component"] for r in components(found.filter("a is not null"), "a", "b").collect()}
+    assert {i: got.get(i, i) for i in ids if i != 2000} == {i: c for i, c in comp.items() if i != 2000}
+
+
 def test_recall_is_null_where_nothing_was_measured(spark):
     rng = np.random.default_rng(3)
     far = rng.standard_normal((3, 16))
