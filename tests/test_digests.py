@@ -46,6 +46,33 @@ def test_streamed_in_splits_and_blocks(spark, folder, monkeypatch, split, block)
     assert got == {n: h for n, h in want.items() if n not in ("empty.txt", "only-mark.txt", "packed.csv.gz")}
 
 
+def test_states_go_on_from_stretch_to_stretch(spark, folder, monkeypatch):
+    """Stretches of 100,000 bytes: each is hashed by a job of its own."""
+    path, want = folder
+    monkeypatch.setattr(digests, "STRETCH", 100_000)
+    jobs, hashed = [], digests._hashed
+    monkeypatch.setattr(digests, "_hashed", lambda last: jobs.append(last) or hashed(last))
+    monkeypatch.setattr(digests, "BLOCK", 1000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)
+    try:
+        got = named(digests.streamed_digests(spark, str(path)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n: h for n, h in want.items() if n not in ("empty.txt", "only-mark.txt", "packed.csv.gz")}
+    assert digests.carried() and jobs == [False] * 6 + [True]
+
+
+@pytest.mark.parametrize("at", [0, 1, 55, 63, 64, 65, 70_000])
+def test_a_hash_is_carried_on_at_any_byte(at):
+    data = random.Random(1).randbytes(70_000)
+    one = digests._Digest("a", len(data))
+    one.add(data[:at])
+    two = digests._Digest("a", len(data), one.state())
+    two.add(data[at:])
+    assert two.hex() == hashlib.sha256(data).hexdigest()
+
+
 @pytest.mark.parametrize("whole", [1 << 26, 100_000, 5, 0])
 def test_each_file_once_whatever_is_read_whole(spark, folder, monkeypatch, whole):
     path, want = folder
