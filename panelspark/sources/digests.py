@@ -25,6 +25,8 @@ WHOLE = 64 << 20
 BLOCK = 1 << 16
 #: A task hashes the splits of a file that start within so many bytes.
 STRETCH = 256 << 20
+#: Bytes of a row group of written blocks, which a task holds as a whole.
+GROUP = 16 << 20
 #: Spark unpacks text files with these endings, so their raw bytes come from binaryFile at any size (2 GB at most).
 PACKED = ("gz", "bz2", "deflate", "snappy", "lz4", "zst", "zstd")
 
@@ -179,7 +181,7 @@ def streamed_digests(spark: SparkSession, path: str, over: int = -1) -> DataFram
     lines = spark.read.option("lineSep", "\n").text(path).filter(large).select(*meta, F.col("value").cast("binary").alias("value"))
     step = F.floor(F.col("start") / STRETCH) if carried() else F.lit(0)
     path = scratch(spark, "digest-blocks")
-    lines.mapInArrow(_blocks, _BLOCKS).withColumn("step", step.cast("int")).write.partitionBy("step").parquet(path)
+    lines.mapInArrow(_blocks, _BLOCKS).withColumn("step", step.cast("int")).write.option("parquet.block.size", GROUP).partitionBy("step").parquet(path)
     blocks = spark.read.schema(f"{_BLOCKS}, step int").parquet(path)
     files = settled(blocks.groupBy("path").agg(F.max("step").alias("steps")), "digest-files")
     n, steps = files.agg(F.count("*"), F.max("steps")).first()
